@@ -114,7 +114,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rec = written(recipes(docs, id_col, text_col, chunk_bits, least, most, id_bytes), "recipes")
     clash = chunk_dictionary(rec, id_bytes).where(~F.col("verified")).limit(1).count()
     rec = rec.select("id", F.col("proofs" if clash else "ids").alias("recipe"), "text_sha256")
-    groups = rec.groupBy("recipe").agg(F.max("id").alias("keep"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    # written, so that the join has an exchange of its own on either side and Spark can split the partition of a large group
+    groups = written(rec.groupBy("recipe").agg(F.max("id").alias("keep"), F.count(F.lit(1)).alias("n")).where("n > 1"), "recipe-groups")
     keep = F.when(F.col("n").isNull(), F.col("id")).otherwise(F.col("keep"))
     return rec.join(groups, "recipe", "left").select(
         F.col("id").alias(id_col), keep.alias("keep_id"), F.coalesce("n", F.lit(1).cast("long")).alias("group_size"), F.col("id").eqNullSafe(keep).alias("kept"), "text_sha256"
