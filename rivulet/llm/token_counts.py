@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -17,6 +18,9 @@ from pyspark.sql import functions as F
 
 from rivulet.llm.common import limit_batches, work_path, written
 
+#: ASCII white space, which this kind of tokenizer splits at before anything else.
+SPACES = re.compile(r"[\t-\r ]+")
+
 CACHE = "digest binary, version string, n_tokens long"
 
 
@@ -38,10 +42,35 @@ def loaded(path: str):
     return t
 
 
-def encode_count(path: str, texts: list[str]) -> list[int]:
-    """Tokens of each text, without added special tokens."""
+#: Counts of words that this worker process has encoded, by tokenizer; emptied at so many words.
+_words: dict[str, dict[str, int]] = {}
+WORDS = 600_000
+
+
+def encode_count(path: str, texts: list[str], by_word: bool = True) -> list[int]:
+    """Tokens of each text, without added special tokens.
+
+    by_word: the tokenizer never joins characters across ASCII white space, so a text's count is the sum of its words' counts,
+    and words that recur are encoded once a worker. Otherwise each text is encoded as a whole.
+    """
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
-    return [len(x) for x in loaded(path).encode_batch_fast(texts, add_special_tokens=False)]  # the same tokens without offsets
+    tokenizer = loaded(path)
+
+    def counts(parts: list[str]) -> list[int]:
+        return [len(x) for x in tokenizer.encode_batch_fast(parts, add_special_tokens=False)]  # the same tokens without offsets
+
+    if not by_word:
+        return counts(texts)
+    known, out = _words.setdefault(path, {}), []
+    for text in texts:
+        words = SPACES.split(text)
+        missing = list({w for w in words if w not in known})
+        if len(known) + len(missing) > WORDS:
+            known.clear()
+            missing = list(set(words))
+        known.update(zip(missing, counts(missing)))
+        out.append(sum(map(known.__getitem__, words)))
+    return out
 
 
 def content(column: str) -> "F.Column":
@@ -57,19 +86,20 @@ def read_cache(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(CACHE).parquet(path)
 
 
-def token_counts(docs: DataFrame, tokenizer: str, cache: str | None = None, id_col: str = "doc_id", text_col: str = "text", limit: int = 2048, trims: bool = True) -> DataFrame:
+def token_counts(docs: DataFrame, tokenizer: str, cache: str | None = None, id_col: str = "doc_id", text_col: str = "text", limit: int = 2048, by_word: bool = True) -> DataFrame:
     """One row per document: id_col, n_bytes (UTF-8), n_tokens, over_limit.
 
     tokenizer: path of a tokenizers .json file that every executor has. cache: folder of the digest cache, in a store that all
     executors share; it is created or appended to (default: a new one). Special strings inside texts are handled as the
     tokenizer's default; nothing is truncated or padded. Null texts are empty (0 bytes). Rows with null or repeated ids
-    are counted like any other. trims: the tokenizer drops white space at a text's ends, so the digest may ignore it.
+    are counted like any other. by_word: the tokenizer drops white space and splits there (as this one's does); set it to
+    False for others, whose digests and encodings then are of whole texts.
     """
     spark = docs.sparkSession
     limit_batches(spark, 4 << 20)
     version = tokenizer_version(tokenizer)
     cache = cache or work_path(spark, "token-cache")
-    norm = content(text_col) if trims else F.coalesce(F.col(text_col), F.lit(""))
+    norm = content(text_col) if by_word else F.coalesce(F.col(text_col), F.lit(""))
     mark = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
     ids = written(docs.select(F.col(id_col).alias("id"), F.unhex(F.sha2(norm.cast("binary"), 256)).alias("digest"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes")), "digests")
     known = read_cache(spark, cache).where(F.col("version") == version).select("digest", "n_tokens").dropDuplicates(["digest"])
@@ -83,7 +113,7 @@ def token_counts(docs: DataFrame, tokenizer: str, cache: str | None = None, id_c
             found = dict(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
             counts, todo = [], list(found.values())
             for k in range(0, len(todo), 64):
-                counts += encode_count(tokenizer, todo[k : k + 64])
+                counts += encode_count(tokenizer, todo[k : k + 64], by_word)
             yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array([version] * len(found)), pa.array(counts, pa.int64())], names=["digest", "version", "n_tokens"])
 
     texts.mapInArrow(encode, CACHE).write.mode("append").parquet(cache)
