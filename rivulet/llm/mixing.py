@@ -20,7 +20,7 @@ from rivulet.llm.common import SPACE, limit_batches, written
 
 WORD = f"[^{SPACE}]+"
 #: Documents of a block, sources of a corpus (their totals are gathered on the driver), and what counts as 0 or 1.
-BLOCK, MAX_SOURCES, EPS = 20_000, 1_000_000, 1e-9
+BLOCK, MAX_SOURCES, EPS = 1_000, 1_000_000, 1e-9
 
 
 def targets(sizes: list[tuple[str | None, int]], share: float, weights: tuple[float, ...], ceiling: float) -> dict[str | None, float]:
