@@ -53,6 +53,11 @@ def matrix(texts: list[bytes]) -> np.ndarray:
     return np.array([statistics(t) for t in texts], float).reshape(len(texts), len(STATISTICS))
 
 
+def slices(x: np.ndarray, rows: int = 1024) -> list[np.ndarray]:
+    """x in parts whose random features are a few MB."""
+    return [x[k : k + rows] for k in range(0, len(x), rows)]
+
+
 @dataclass
 class QualityModel:
     mean: np.ndarray
@@ -77,7 +82,8 @@ class QualityModel:
     def scores(self, x: np.ndarray) -> np.ndarray:
         if self.beta is None:
             return np.full(len(x), self.constant)
-        return np.clip(np.interp(self.raw(x), self.points, self.values), 0.0, 1.0)
+        raw = [self.raw(part) for part in slices(x)]
+        return np.clip(np.interp(np.concatenate(raw) if raw else np.empty(0), self.points, self.values), 0.0, 1.0)
 
 
 def isotonic(y: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -120,12 +126,13 @@ def fit(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col:
     def equations(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = np.zeros((size, size)), np.zeros(size)
         for batch in batches:
-            z = model.features(np.array(batch.column(0).to_pylist(), float).reshape(-1, width))
-            a += z.T @ z
-            b += z.T @ batch.column(1).to_numpy()
+            for x, y in zip(slices(np.array(batch.column(0).to_pylist(), float).reshape(-1, width)), slices(batch.column(1).to_numpy())):
+                z = model.features(x)
+                a += z.T @ z
+                b += z.T @ y
         yield pa.RecordBatch.from_arrays([pa.array(["all"]), pa.array([np.concatenate([a.ravel(), b]).tobytes()], pa.binary())], names=["k", "v"])
 
-    total = np.frombuffer(tree_sum(rows.mapInArrow(equations, "k string, v binary"), "k", "v", 1 + scan_bytes(rows) // (16 << 20)).first()["v"], np.float64)
+    total = np.frombuffer(tree_sum(rows.mapInArrow(equations, "k string, v binary"), "k", "v", 1 + scan_bytes(rows, "x") // (16 << 20)).first()["v"], np.float64)
     a, b = total[: size * size].reshape(size, size), total[size * size :]
     penalty = RIDGE * sums["n"] * np.eye(size) / FEATURES
     penalty[-1, -1] = 0
@@ -133,7 +140,7 @@ def fit(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col:
 
     def binned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw = model.raw(np.array(batch.column(0).to_pylist(), float).reshape(-1, width))
+            raw = np.concatenate([model.raw(x) for x in slices(np.array(batch.column(0).to_pylist(), float).reshape(-1, width))])
             bins = np.clip((raw - LOW) / (HIGH - LOW) * BINS, 0, BINS - 1).astype(np.int64)
             at = np.unique(bins)
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.bincount(bins, batch.column(1).to_numpy(), BINS)[at]), pa.array(np.bincount(bins, minlength=BINS)[at].astype(float))], names=["bin", "y", "n"])
