@@ -53,9 +53,12 @@ def utf8(column: str) -> "F.Column":
     return F.coalesce(F.col(column), F.lit("")).cast("binary")
 
 
-def scan_bytes(df: DataFrame) -> int:
-    """Estimated input bytes, from the optimizer's statistics (file sizes); no job runs."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def scan_bytes(df: DataFrame, column: str) -> int:
+    """Input bytes: the optimizer's statistics (file sizes, no job), or the column's own where those are missing or far too large."""
+    estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if estimate < 1 << 42:
+        return estimate
+    return df.agg(F.sum(F.octet_length(F.col(column).cast("string")).cast("long"))).first()[0] or 0
 
 
 def binary_parts(column: pa.Array) -> tuple[memoryview, np.ndarray]:

@@ -136,7 +136,7 @@ def fit(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, weight_r
             yield pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array([v.tobytes() for v in sums.values()], pa.binary())], names=["lang", "v"])
 
     partials = rows.select("lang", "t").mapInArrow(count, "lang string, v binary")
-    found = tree_sum(partials, "lang", "v", 1 + scan_bytes(labelled) // (16 << 20)).limit(MAX_LANGUAGES + 1).collect()
+    found = tree_sum(partials, "lang", "v", 1 + scan_bytes(labelled, text_col) // (16 << 20)).limit(MAX_LANGUAGES + 1).collect()
     if len(found) > MAX_LANGUAGES:
         raise ValueError(f"over {MAX_LANGUAGES} languages")
     found = sorted((r["lang"], np.frombuffer(r["v"], np.float64)) for r in found)

@@ -185,7 +185,7 @@ def line_index(made: DataFrame) -> DataFrame:
 def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_chars: int = 10) -> DataFrame:
     """id, drops: for each document with lines to lose, their 128-bit hashes."""
     spark = docs.sparkSession
-    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-scan_bytes(docs) // SHARD_BYTES))
+    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-scan_bytes(docs, text_col) // SHARD_BYTES))
     made = written(entries(docs, id_col, text_col, shards, least_chars), "line-entries")
     index = written(line_index(made), "line-index")
     copies = F.greatest(F.lit(1), F.ceil(F.col("probes") / PROBES)).cast("int")

@@ -90,7 +90,8 @@ def token_counts(docs: DataFrame, tokenizer: str, cache: str | None = None, id_c
     """One row per document: id_col, n_bytes (UTF-8), n_tokens, over_limit.
 
     tokenizer: path of a tokenizers .json file that every executor has. cache: folder of the digest cache, in a store that all
-    executors share; it is created or appended to (default: a new one). Special strings inside texts are handled as the
+    executors share; it is created or appended to (default: a new one). A digest may stand there more than once (rows that
+    repeat an id and a text may be encoded by several tasks); all its counts are equal. Special strings inside texts are handled as the
     tokenizer's default; nothing is truncated or padded. Null texts are empty (0 bytes). Rows with null or repeated ids
     are counted like any other. by_word: the tokenizer drops white space and splits there (as this one's does); set it to
     False for others, whose digests and encodings then are of whole texts.
@@ -109,8 +110,10 @@ def token_counts(docs: DataFrame, tokenizer: str, cache: str | None = None, id_c
     texts = texts.join(misses, ["digest", "mark"], "left_semi").select("digest", "t")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: set[bytes] = set()
         for batch in batches:
-            found = dict(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+            found = {d: t for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if d not in done}
+            done.update(found)
             counts, todo = [], list(found.values())
             for k in range(0, len(todo), 64):
                 counts += encode_count(tokenizer, todo[k : k + 64], by_word)
