@@ -83,8 +83,8 @@ def bound(values: dict[str, str], body: str) -> str:
 
 
 def whole(name: str) -> Rule:
-    """ceil and floor keep the type of floating-point arguments, so infinity and NaN survive."""
-    return lambda x: f"(CASE WHEN typeof({x}) IN ('double', 'float') AND abs(CAST({x} AS DOUBLE)) < 9e15 THEN CAST({name}(CAST({x} AS DOUBLE)) AS DOUBLE) ELSE CAST({x} AS DOUBLE) END)"
+    """ceil and floor give doubles, so that infinity, NaN and large values survive."""
+    return lambda x: f"(CASE WHEN abs(CAST({x} AS DOUBLE)) < 9e15 THEN CAST({name}(CAST({x} AS DOUBLE)) AS DOUBLE) ELSE CAST({x} AS DOUBLE) END)"
 
 
 RULES["ceil"] = whole("ceil")
@@ -459,8 +459,13 @@ def path(keys: tuple[str, ...]) -> str:
     return quoted(out)
 
 
+def source(json: str) -> str:
+    """A JSON function's argument as text; the value of another one is a variant."""
+    return f"to_json({json})" if json.startswith("try_variant_get(") else json
+
+
 def value_of(json: str, keys: tuple[str, ...], kind: str = "variant") -> str:
-    return f"try_variant_get(try_parse_json({json}), {path(keys)}, '{kind}')"
+    return f"try_variant_get(try_parse_json({source(json)}), {path(keys)}, '{kind}')"
 
 
 def typed(kind: str, *names: str) -> Rule:
@@ -479,7 +484,7 @@ RULES["json_get_float"] = typed("double", "DOUBLE", "DECIMAL%", "BIGINT", "FLOAT
 RULES["json_get_bool"] = typed("boolean", "BOOLEAN")
 RULES["json_get"] = lambda j, *k: value_of(j, k)
 RULES["json_get_json"] = lambda j, *k: f"to_json({value_of(j, k)})"
-RULES["json_as_text"] = lambda j, *k: f"get_json_object({j}, {path(k)})"
+RULES["json_as_text"] = lambda j, *k: f"get_json_object({source(j)}, {path(k)})"
 RULES["json_contains"] = lambda j, *k: f"({value_of(j, k)} IS NOT NULL)"
 
 

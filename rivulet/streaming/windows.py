@@ -61,7 +61,8 @@ def window_join(inputs: dict[str, DataFrame], time: str, interval: str, keys: li
         raise ConfigError("the streaming equi-join takes two inputs; more go through window_query")
     sides = []
     for name, df in inputs.items():
-        sides.append(df.withWatermark(time, late).select(F.window(time, interval).alias("window"), *keys, *[F.col(c).alias(f"{name}_{c}") for c in df.columns if c not in keys]))
+        plain = lambda c: F.col(c) + F.expr("INTERVAL '0' SECOND") if c == time else F.col(c)  # noqa: E731  no second event time beside the window
+        sides.append(df.withWatermark(time, late).select(F.window(time, interval).alias("window"), *keys, *[plain(c).alias(f"{name}_{c}") for c in df.columns if c not in keys]))
     return sides[0].join(sides[1], ["window", *keys]).withColumn("window_start", F.col("window.start")).drop("window")
 
 
