@@ -28,8 +28,8 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (shingles of five words) the document with the smallest id."""
-    groups = simhash.simhash_components(docs, words_in_shingle=5)
+    """Of each group of near-duplicates (shingles of five words, similarity of 0.8 or more) the document with the smallest id."""
+    groups = simhash.near_duplicates(docs, words_in_shingle=5, similarity=0.8)
     away = groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id")
     return docs.select(COLUMNS).join(away, "doc_id", "left_anti").select(COLUMNS)
 

@@ -7,6 +7,7 @@ each task joins what it compares and emits one edge a fingerprint, to the smalle
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -16,18 +17,28 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rivulet.llm.common import limit_batches, utf8, written
+from rivulet.llm.common import binary_parts, limit_batches, utf8, written
 
 SEED = 42
 #: Bucket size up to which all pairs are compared at once; larger ones go by pivots.
 SMALL = 48
 
 
-def fingerprint(text: bytes, words_in_shingle: int) -> int:
-    """Unsigned 64-bit SimHash of a text's shingles; 0 without words."""
+def lane(h: np.ndarray, number: int) -> np.ndarray:
+    """Further 64 bits of each hash; lane 0 is the hash itself."""
+    if not number:
+        return h
+    x = h + np.uint64((number * 0x9E3779B97F4A7C15) & (2**64 - 1))
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def fingerprint(text: bytes, words_in_shingle: int, lanes: int = 1) -> bytes:
+    """SimHash of a text's shingles, 64 bits a lane, first bit highest; zero without words."""
     words = text.lower().split()
     if not words:
-        return 0
+        return bytes(8 * lanes)
     joined = b" ".join(words)
     digest = xxhash.xxh64_digest
     if len(words) <= words_in_shingle:
@@ -36,21 +47,27 @@ def fingerprint(text: bytes, words_in_shingle: int) -> int:
         ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
         starts = np.concatenate([[0], ends[:-1]])
         hashes = b"".join([digest(joined[a:b], SEED) for a, b in zip(starts[: len(words) - words_in_shingle + 1].tolist(), (ends[words_in_shingle - 1 :] - 1).tolist())])
-    bits = np.unpackbits(np.frombuffer(hashes, np.uint8).reshape(-1, 8), axis=1)
-    return int.from_bytes(np.packbits(bits.sum(axis=0) * 2 > len(bits)).tobytes(), "big")
+    h = np.frombuffer(hashes, ">u8").astype(np.uint64)
+    set_ = np.zeros(64 * lanes, np.int64)
+    for k in range(0, len(h), 255):  # so many rows add up in a byte
+        part = h[k : k + 255]
+        wide = np.stack([lane(part, j) for j in range(lanes)], axis=1).astype(">u8")
+        set_ += np.add.reduce(np.unpackbits(wide.view(np.uint8), axis=1), axis=0, dtype=np.uint8)
+    return np.packbits(set_ * 2 > len(h)).tobytes()
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_in_shingle: int = 4) -> DataFrame:
-    """id, fp: the fingerprint as a signed long. Null texts count as empty; a text of fewer words is one shingle."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_in_shingle: int = 4, lanes: int = 1) -> DataFrame:
+    """id, fp: one lane as a signed long, several as bytes. Null texts count as empty; a text of fewer words is one shingle."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.array([fingerprint(t, words_in_shingle) for t in batch.column(1).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["id", "fp"])
+            fps = [fingerprint(t, words_in_shingle, lanes) for t in batch.column(1).to_pylist()]
+            column = pa.array(fps, pa.binary()) if lanes > 1 else pa.array(np.frombuffer(b"".join(fps), ">i8").astype(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), column], names=["id", "fp"])
 
     limit_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), utf8(text_col).alias("t")).mapInArrow(hashed, f"id {kind}, fp long")
+    return docs.select(F.col(id_col).alias("id"), utf8(text_col).alias("t")).mapInArrow(hashed, f"id {kind}, fp {'binary' if lanes > 1 else 'long'}")
 
 
 def bands(n: int, bits: int) -> int:
@@ -70,10 +87,15 @@ def bucket_keys(m: int, bits: int) -> list[Column]:
         for i in chosen:
             mask |= ((1 << (edges[i + 1] - edges[i])) - 1) << edges[i]
         signed = mask - (1 << 64) if mask >> 63 else mask
-        keys.append(F.xxhash64(F.lit(number), F.col("fp").bitwiseAND(F.lit(signed).cast("long"))))
+        keys.append(F.xxhash64(F.lit(number), F.col("node").bitwiseAND(F.lit(signed).cast("long"))))
     return keys
 
 
+def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits of fingerprints, whose last axis is their lanes."""
+    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
+
+
 def merge(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """labels[i]: smallest index joined with i so far; also join a[j] with b[j]."""
     while True:
@@ -91,7 +113,7 @@ def merge(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def join_large(f: np.ndarray, bits: int) -> np.ndarray:
-    """Labels of one bucket's distinct fingerprints, by pivots.
+    """Labels of one bucket's distinct fingerprints (fingerprint x lane), by pivots.
 
     Fingerprints within bits // 2 of a pivot are its ball and all linked. A further one is linked with the ball if it is
     within bits of the pivot or of a member; by the triangle inequality only those within bits + bits // 2 of the pivot are tried.
@@ -101,21 +123,22 @@ def join_large(f: np.ndarray, bits: int) -> np.ndarray:
     for p in range(n):
         if not free[p]:
             continue
-        d = np.bitwise_count(f ^ f[p])
+        d = distance(f, f[p])
         ball = np.flatnonzero((d <= radius) & free)
         free[ball] = False
         near = d <= bits
         if len(ball) > 1:
-            for x in np.array_split(rim := np.flatnonzero((d > bits) & (d <= bits + radius)), max(1, len(rim) * len(ball) // 4_000_000)):
-                near[x] |= (np.bitwise_count(f[x][:, None] ^ f[ball][None, :]) <= bits).any(axis=1)
+            rim = np.flatnonzero((d > bits) & (d <= bits + radius))
+            for x in np.array_split(rim, max(1, len(rim) * len(ball) * f.shape[1] // 4_000_000)):
+                near[x] |= (distance(f[x][:, None], f[ball][None, :]) <= bits).any(axis=1)
         joined = np.unique(labels[near])
         if len(joined) > 1:
             labels[np.isin(labels, joined)] = joined[0]
     return labels
 
 
-def linked(keys: np.ndarray, f: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (fingerprint, smallest fingerprint it is joined with) within the buckets of whole runs of equal keys."""
+def linked(keys: np.ndarray, nodes: np.ndarray, f: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (node, smallest node it is joined with) within the buckets of whole runs of equal keys; f: the nodes' fingerprints."""
     starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
     sizes = np.diff(np.append(starts, len(keys)))
     a_all, b_all = [], []
@@ -132,39 +155,48 @@ def linked(keys: np.ndarray, f: np.ndarray, bits: int) -> tuple[np.ndarray, np.n
         at = at[run[at] == run[at + d]]
         if not len(at):
             break
-        near = at[np.bitwise_count(f[at] ^ f[at + d]) <= bits]
+        near = at[distance(f[at], f[at + d]) <= bits]
         a_all.append(near + d)
         b_all.append(near)
     if not a_all or not (a := np.concatenate(a_all)).size:
         return np.empty(0, np.int64), np.empty(0, np.int64)
-    values, place = np.unique(f.view(np.int64), return_inverse=True)
+    values, place = np.unique(nodes, return_inverse=True)
     labels = merge(np.arange(len(values)), place[a], place[np.concatenate(b_all)])
     at = np.flatnonzero(labels != np.arange(len(values)))
     return values[at], values[labels[at]]
 
 
-def links(distinct: DataFrame, bits: int, m: int) -> DataFrame:
-    """Edges (u, v), u > v, that join exactly the distinct fingerprints which differ in at most `bits` bits, directly or by others."""
+def links(distinct: DataFrame, keys: list[Column], bits: int, lanes: int = 1) -> DataFrame:
+    """Edges (u, v) of nodes that differ in at most `bits` bits and share a key, directly or by others.
+
+    distinct: node and, with several lanes, fp; with one lane the node is the fingerprint itself.
+    """
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, f = np.empty(0, np.int64), np.empty(0, np.uint64)
+        keys, nodes, f = np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, lanes), np.uint64)
 
         def out(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
         for batch in batches:
-            keys = np.concatenate([keys, batch.column(0).to_numpy()])
-            f = np.concatenate([f, batch.column(1).to_numpy().view(np.uint64)])
+            own = batch.column(1).to_numpy()
+            if lanes > 1:
+                values, at = binary_parts(batch.column(2))
+                wide = np.frombuffer(values[int(at[0]) : int(at[-1])], np.uint64).reshape(-1, lanes)
+            else:
+                wide = own.view(np.uint64)[:, None]
+            keys, nodes, f = np.concatenate([keys, batch.column(0).to_numpy()]), np.concatenate([nodes, own]), np.concatenate([f, wide])
             if keys[0] != keys[-1] and len(keys) >= 100_000:
                 whole = int(np.searchsorted(keys, keys[-1], "left"))  # the last run may go on
-                yield out(*linked(keys[:whole], f[:whole], bits))
-                keys, f = keys[whole:], f[whole:]
+                yield out(*linked(keys[:whole], nodes[:whole], f[:whole], bits))
+                keys, nodes, f = keys[whole:], nodes[whole:], f[whole:]
         if len(keys):
-            yield out(*linked(keys, f, bits))
+            yield out(*linked(keys, nodes, f, bits))
 
-    rows = distinct.select(F.explode(F.array(*bucket_keys(m, bits))).alias("key"), "fp")
+    columns = ["node", "fp"] if lanes > 1 else ["node"]
+    rows = distinct.select(F.explode(F.array(*keys)).alias("key"), *columns)
     parts = max(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    return rows.repartition(parts, "key").sortWithinPartitions("key", "fp").mapInArrow(compare, "u long, v long").distinct()
+    return rows.repartition(parts, "key").sortWithinPartitions("key", "node").mapInArrow(compare, "u long, v long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -191,6 +223,13 @@ def components(edges: DataFrame) -> DataFrame:
         now = written(tied.union(small.select("u", F.col("m").alias("v"))).distinct(), "edges")
 
 
+def named(distinct: DataFrame, roots: DataFrame) -> DataFrame:
+    """node, component_id: the smallest `least` of each node's component."""
+    rooted = distinct.join(roots.withColumnRenamed("u", "node"), "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    return rooted.select("node", "root").join(smallest, "root").select("node", "component_id")
+
+
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_in_shingle: int = 4, bits: int = 4) -> DataFrame:
     """One row per document: id_col, fingerprint (16 lowercase hex digits), component_id (the smallest id reachable by links).
 
@@ -199,9 +238,30 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     stay repeated. Other columns, whatever their names, are ignored.
     """
     prints = written(fingerprints(docs, id_col, text_col, words_in_shingle), "fingerprints")
-    distinct = written(prints.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
-    roots = components(links(distinct.select("fp"), bits, bands(distinct.count(), bits)))
-    rooted = distinct.join(roots.withColumnRenamed("u", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.select("fp", "root").join(smallest, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    distinct = written(prints.groupBy(F.col("fp").alias("node")).agg(F.min("id").alias("least")), "distinct")
+    roots = components(links(distinct.select("node"), bucket_keys(bands(distinct.count(), bits), bits), bits))
+    groups = named(distinct, roots).withColumnRenamed("node", "fp")
+    return prints.join(groups, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def most_bits(similarity: float, size: int) -> int:
+    """Differing bits that nine of ten pairs of the Jaccard similarity stay within: the angle of their shingle vectors gives the
+    mean, a binomial the spread."""
+    rate = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return int(size * rate + 1.3 * math.sqrt(size * rate * (1 - rate)))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_in_shingle: int = 5, similarity: float = 0.8, lanes: int = 8) -> DataFrame:
+    """One row per document: id_col, component_id. As simhash_components, for a Jaccard similarity of the shingles.
+
+    64 bits can't tell a similarity of 0.8 from chance without comparing nearly everything, so fingerprints have 64 bits a lane
+    (512 by default), blocks of 16 bits, and links at most_bits(similarity) differing bits. Pairs that differ in fewer bits than
+    there are blocks always share one (pigeonhole: similarities of 0.94 and more); of those at 0.8 nine in ten do.
+    """
+    size = 64 * lanes
+    prints = written(fingerprints(docs, id_col, text_col, words_in_shingle, lanes), "fingerprints")
+    distinct = written(prints.groupBy("fp").agg(F.min("id").alias("least")).withColumn("node", F.monotonically_increasing_id()), "distinct")
+    keys = [F.xxhash64(F.lit(k), F.substring("fp", 2 * k + 1, 2)) for k in range(size // 16)]
+    roots = components(links(distinct.select("node", "fp"), keys, most_bits(similarity, size), lanes))
+    groups = distinct.select("node", "fp").join(named(distinct.select("node", "least"), roots), "node").select("fp", "component_id")
+    return prints.join(groups, "fp").select(F.col("id").alias(id_col), "component_id")

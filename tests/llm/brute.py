@@ -47,6 +47,44 @@ def simhash(rows, bits=4, k=4):
     return [(rows[i][0], f"{fps[i]:016x}", least[find(i)]) for i in range(len(rows))]
 
 
+MASK = 2**64 - 1
+
+
+def lane(h, j):
+    if not j:
+        return h
+    x = (h + j * 0x9E3779B97F4A7C15) & MASK
+    x = ((x ^ x >> 30) * 0xBF58476D1CE4E5B9) & MASK
+    x = ((x ^ x >> 27) * 0x94D049BB133111EB) & MASK
+    return x ^ x >> 31
+
+
+def near(rows, most, k=5, lanes=8):
+    """Component ids of (id, text) rows: fingerprints of several lanes that share a 16-bit block and differ in at most `most` bits."""
+    fps = []
+    for _, text in rows:
+        w = WORD.findall((text or "").translate(UP))
+        h = [xxhash.xxh64_intdigest(" ".join(w[i : i + k]).encode(), 42) for i in range(max(1, len(w) - k + 1))] if w else []
+        fps.append([sum(1 << b for b in range(64) if 2 * sum(lane(x, j) >> b & 1 for x in h) > len(h)) for j in range(lanes)])
+    parent = list(range(len(rows)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            x = [a ^ b for a, b in zip(fps[i], fps[j])]
+            if sum(map(int.bit_count, x)) <= most and any(v >> s & 0xFFFF == 0 for v in x for s in (0, 16, 32, 48)):
+                parent[find(i)] = find(j)
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        if d is not None:
+            least[find(i)] = min(least.get(find(i), d), d)
+    return [(d, least.get(find(i))) for i, (d, _) in enumerate(rows)]
+
+
 def decontaminate(docs, bench, window=10):
     items = []
     for item, text in bench:

@@ -217,9 +217,9 @@ def test_simhash_links_are_whole():
         if (new == want).all():
             break
         want = new
-    got = simhash.join_large(f, 4)
+    got = simhash.join_large(f[:, None], 4)
     assert len({(a, b) for a, b in zip(want, got)}) == len(set(want)) == len(set(got))
-    u, v = simhash.linked(np.zeros(len(f), np.int64), f, 4)
+    u, v = simhash.linked(np.zeros(len(f), np.int64), f.view(np.int64), f[:, None], 4)
     assert len(u) == len(f) - len(set(want))
 
 
@@ -229,6 +229,29 @@ def test_components_of_a_path(spark):
     assert got == {k: 0 for k in range(1, 61)} | {101: 100, 102: 100}
 
 
+def test_near_duplicates(docs, none, rows):
+    """The links of wide fingerprints, and what they stand for: similar texts are joined, others aren't."""
+    small = [(d, t) for d, t in pairs(rows) if t is None or len(t) < 10_000]
+    df = docs.where(F.col("text").isNull() | (F.length("text") < 10_000))
+    same(simhash.near_duplicates(df).collect(), brute.near(small, simhash.most_bits(0.8, 512)))
+    assert simhash.near_duplicates(none).collect() == []
+
+
+def test_near_duplicates_by_similarity(spark):
+    r, rows, want = random.Random(8), [], {}
+    for k in range(120):
+        base = words(5000 + k, 200).split()
+        rows.append((10 * k, " ".join(base)))
+        copy = list(base)
+        for at in r.sample(range(0, 200, 10), 2 if k % 2 else 3):  # similarities of 0.9 and 0.86
+            copy[at] = f"changed{k}"
+        rows.append((10 * k + 1, " ".join(copy)))
+        want[10 * k + 1] = 10 * k
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert sum(got[a] == b for a, b in want.items()) >= 0.95 * len(want)
+    assert all(got[10 * k] == 10 * k for k in range(120)) and all(c // 10 == d // 10 for d, c in got.items())
+
+
 def test_pigeonhole():
     """m bands with m - bits of them equal meet for every pair within the distance."""
     from itertools import combinations
