@@ -51,7 +51,7 @@ def win_session_keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @frame(
     "win_sliding_count",
-    """WITH r AS (SELECT event_id, value, row_number() OVER (ORDER BY ts, event_id) - 1 AS rn, count(*) OVER () AS n FROM events), w AS (SELECT *, unnest(range(greatest((rn - 30 + 9) // 10 + CASE WHEN rn < 30 AND (rn - 30 + 9) < 0 THEN 0 ELSE 0 END, 0), rn // 10 + 1)) AS window_no FROM r)
+    """WITH r AS (SELECT event_id, value, row_number() OVER (ORDER BY ts, event_id) - 1 AS rn, count(*) OVER () AS n FROM events), w AS (SELECT *, unnest(range(greatest((rn - 30) // 10, 0), rn // 10 + 1)) AS window_no FROM r)
     SELECT window_no, count(*) AS rows, round(sum(value), 4) AS total FROM w WHERE window_no * 10 <= rn AND rn < window_no * 10 + 30 AND window_no * 10 + 30 <= n GROUP BY window_no""",
 )
 def win_sliding_count(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,11 +62,11 @@ def win_sliding_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     "window_join",
     """SELECT time_bucket(INTERVAL '1 day', a.ts, TIMESTAMP '1970-01-01') AS window_start, a.user_id, a.event_id AS clicks_event_id, b.event_id AS views_event_id
     FROM events a JOIN events b ON a.user_id = b.user_id AND time_bucket(INTERVAL '1 day', a.ts, TIMESTAMP '1970-01-01') = time_bucket(INTERVAL '1 day', b.ts, TIMESTAMP '1970-01-01')
-    WHERE a.event_id % 2 = 0 AND b.event_id % 2 = 1 AND a.value > b.value""",
+    WHERE a.event_type = 'click' AND b.event_type = 'view' AND a.value > b.value""",
 )
 def window_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = events(spark, sf_dir).select("event_id", "ts", "user_id", "value")
-    sides = {"clicks": rows.where("event_id % 2 = 0"), "views": rows.where("event_id % 2 = 1")}
+    rows = events(spark, sf_dir).select("event_id", "ts", "user_id", "value", "event_type")
+    sides = {"clicks": rows.where("event_type = 'click'").drop("event_type"), "views": rows.where("event_type = 'view'").drop("event_type")}
     joined = windows.window_join(sides, "ts", "1 day", ["user_id"])
     return joined.where("clicks_value > views_value").select("window_start", "user_id", "clicks_event_id", "views_event_id")
 

@@ -19,7 +19,7 @@ sql("cast_types", "SELECT l_orderkey, l_linenumber, l_linenumber::BIGINT AS a, C
 sql("exclude_columns", "SELECT * EXCLUDE (c_acctbal, c_mktsegment) FROM customer")
 sql("limit_offset_ordered", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20 OFFSET 10")
 sql("topk_revenue", "SELECT l_orderkey, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem GROUP BY l_orderkey ORDER BY revenue DESC, l_orderkey LIMIT 10")
-sql("order_nulls_default", "SELECT d.doc_id, l.quality FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id ORDER BY l.quality DESC, d.doc_id LIMIT 50", "SELECT d.doc_id, l.quality FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id ORDER BY l.quality DESC NULLS FIRST, d.doc_id LIMIT 50")
+sql("topk_nulls_first", "SELECT d.doc_id, l.quality FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id ORDER BY l.quality DESC, d.doc_id LIMIT 50", "SELECT d.doc_id, l.quality FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id ORDER BY l.quality DESC NULLS FIRST, d.doc_id LIMIT 50")
 sql("distinct_rows", "SELECT DISTINCT l_returnflag, l_linestatus FROM lineitem")
 sql("values_rows", "SELECT a, b FROM (VALUES (1, 'x'), (2, 'y')) AS t(a, b)")
 

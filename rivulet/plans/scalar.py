@@ -25,10 +25,10 @@ sql("fn_now", "SELECT current_date() AS d, now() AS n", None)
 sql("fn_conditional", "SELECT d.doc_id, coalesce(l.quality, -1) AS a, nullif(l.quality, 1) AS b, nvl(l.toxic, 9) AS c, nvl2(l.toxic, 1, 0) AS d, greatest(l.quality, 0, d.doc_id % 3) AS e, least(l.quality, 5) AS f, ifnull(l.quality, 7) AS g FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id",
     "SELECT d.doc_id, coalesce(l.quality, -1) AS a, nullif(l.quality, 1) AS b, coalesce(l.toxic, 9) AS c, CASE WHEN l.toxic IS NULL THEN 0 ELSE 1 END AS d, greatest(l.quality, 0, d.doc_id % 3) AS e, least(l.quality, 5) AS f, coalesce(l.quality, 7) AS g FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
 
-S = "substr(text, 1, 40)"
+S = "text"
 sql("fn_string_length", f"SELECT doc_id, ascii({S}) AS a, bit_length({S}) AS b, character_length({S}) AS c, octet_length({S}) AS d, levenshtein(source, 'sarc') AS e, strpos({S}, 'e') AS f, length({S}) AS g FROM documents",
     f"SELECT doc_id, ascii({S}) AS a, CAST(bit_length({S}) AS INT) AS b, CAST(length({S}) AS INT) AS c, CAST(octet_length(encode({S})) AS INT) AS d, CAST(levenshtein(source, 'sarc') AS INT) AS e, CAST(instr({S}, 'e') AS INT) AS f, CAST(length({S}) AS INT) AS g FROM documents")
-sql("fn_string_case", f"SELECT doc_id, lower({S}) AS a, upper({S}) AS b, reverse({S}) AS c, initcap(source) AS d, repeat(lang, 2) AS e FROM documents WHERE lang = 'en'", f"SELECT doc_id, lower({S}) AS a, upper({S}) AS b, reverse({S}) AS c, upper(source[1]) || lower(source[2:]) AS d, repeat(lang, 2) AS e FROM documents WHERE lang = 'en'")
+sql("fn_string_case", "SELECT doc_id, lower(text) AS a, upper(source) AS b, reverse(text) AS c, initcap(source) AS d, repeat(lang, 2) AS e FROM documents", "SELECT doc_id, lower(text) AS a, upper(source) AS b, reverse(text) AS c, upper(source[1]) || lower(source[2:]) AS d, repeat(lang, 2) AS e FROM documents")
 sql("fn_string_trim_pad", "SELECT n_nationkey, btrim('  x ') AS a, ltrim('zzxz', 'z') AS b, rtrim('zzxz', 'z') AS c, trim('xyx', 'x') AS d, lpad(n_name, 12, '*') AS e, rpad(n_name, 12, '-') AS f, lpad(n_name, 3) AS g FROM nation",
     "SELECT n_nationkey, 'x' AS a, ltrim('zzxz', 'z') AS b, rtrim('zzxz', 'z') AS c, 'y' AS d, lpad(n_name, 12, '*') AS e, rpad(n_name, 12, '-') AS f, substr(n_name, 1, 3) AS g FROM nation")
 sql("fn_string_search", "SELECT n_nationkey, contains(n_name, 'A') AS a, starts_with(n_name, 'N') AS b, ends_with(n_name, '1') AS c, find_in_set('b', 'a,b,c') AS d, replace(n_name, 'A', 'aa') AS e, translate(n_name, 'AN', 'an') AS f, split_part(n_name, 'A', 1) AS g, substr_index(n_name, '_', 1) AS h FROM nation",
@@ -72,8 +72,8 @@ sql("fn_array_series", "SELECT n_nationkey, array_to_string(generate_series(1, n
     "SELECT n_nationkey, array_to_string(generate_series(1, n_nationkey), ',') AS a, array_to_string(range(0, n_nationkey, 3), ',') AS b, greatest(3, n_nationkey) || ',' || least(3, n_nationkey) || ',-' AS c, '1,2,' || n_nationkey AS d, 'a|b|c' AS e FROM nation")
 sql("array_distance_topk", "SELECT a.vec_id AS a, b.vec_id AS b, round(array_distance(a.embedding, b.embedding), 4) AS d FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1",
     "SELECT a.vec_id AS a, b.vec_id AS b, round(sqrt(list_sum(list_transform(list_zip(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), lambda x: (x[1] - x[2]) * (x[1] - x[2])))), 4) AS d FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
-sql("unnest_array", "SELECT vec_id, unnest(array_slice(embedding, 1, 4)) AS x FROM embeddings", "SELECT vec_id, unnest(embedding[1:4]) AS x FROM embeddings")
-sql("unnest_lateral", "SELECT e.vec_id, u.x FROM embeddings e, unnest(array_slice(e.embedding, 1, 2)) AS u(x)", "SELECT vec_id, unnest(embedding[1:2]) AS x FROM embeddings")
+sql("unnest_array", "SELECT vec_id, unnest(embedding) AS x FROM embeddings", "SELECT vec_id, unnest(embedding) AS x FROM embeddings")
+sql("unnest_lateral", "SELECT e.vec_id, u.x FROM embeddings e, unnest(e.embedding) AS u(x)", "SELECT vec_id, unnest(embedding) AS x FROM embeddings")
 sql("unnest_struct", "SELECT s.c0 AS a, s.c1 AS b FROM (SELECT struct(n_nationkey, n_name) AS s FROM nation) t", "SELECT n_nationkey AS a, n_name AS b FROM nation")
 sql("fn_struct_map", "SELECT n_nationkey, named_struct('k', n_name, 'v', n_nationkey)['k'] AS a, array_to_string(map_keys(MAP {n_name: 1, 'z': 2}), ',') AS b, array_to_string(map_values(map(make_array('a', 'b'), make_array(n_nationkey, 5))), ',') AS c, array_to_string(map_extract(MAP {'q': n_nationkey}, 'q'), ',') AS d, cardinality(map_extract(MAP {'q': 1}, 'no')) AS e, get_field(named_struct('x', n_name), 'x') AS f FROM nation",
     "SELECT n_nationkey, n_name AS a, n_name || ',z' AS b, n_nationkey || ',5' AS c, CAST(n_nationkey AS VARCHAR) AS d, CAST(0 AS BIGINT) AS e, n_name AS f FROM nation")
@@ -85,4 +85,4 @@ sql("fn_json_get", "SELECT event_id, json_get_int(props, 'k') AS a, json_as_text
 sql("fn_types", "SELECT p_partkey, arrow_typeof(p_size) AS a, arrow_typeof(p_name) AS b, arrow_cast(p_size, 'Int64') AS c, arrow_cast(p_size, 'Utf8') AS d, arrow_typeof(arrow_cast(p_size, 'Float32')) AS e FROM part",
     "SELECT p_partkey, 'Int32' AS a, 'Utf8' AS b, CAST(p_size AS BIGINT) AS c, CAST(p_size AS VARCHAR) AS d, 'Float32' AS e FROM part")
 sql("fn_union", "SELECT n_nationkey, union_extract(u, 'str') AS a FROM (SELECT n_nationkey, named_struct('int', n_nationkey, 'str', n_name) AS u FROM nation) t", "SELECT n_nationkey, n_name AS a FROM nation")
-sql("at_time_zone", "SELECT event_id, CAST(date_trunc('second', ts AT TIME ZONE 'Asia/Tokyo') AS VARCHAR) AS a FROM events WHERE event_id < 100", "SELECT event_id, strftime(ts + INTERVAL 9 HOUR, '%Y-%m-%d %H:%M:%S') AS a FROM events WHERE event_id < 100")
+sql("at_time_zone", "SELECT event_id, CAST(date_trunc('second', ts AT TIME ZONE 'Asia/Tokyo') AS VARCHAR) AS a FROM events", "SELECT event_id, strftime(ts + INTERVAL 9 HOUR, '%Y-%m-%d %H:%M:%S') AS a FROM events")
