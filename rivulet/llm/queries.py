@@ -60,7 +60,7 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = decontaminate.annotate(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), out="d")
     return got.select(
-        "doc_id", "d.n_words", "d.n_hit", F.size("d.items").cast("long").alias("n_items"), decontaminate.items_digest(F.col("d.items")).alias("items_sha256"), (F.col("d.n_hit") > 0).alias("contaminated"), "d.longest_match"
+        "doc_id", "d.n_words", "d.n_hit", F.size("d.items").cast("long").alias("n_items"), decontaminate.items_digest(F.col("d.items")).alias("items_sha256"), (F.col("d.n_hit") > 0).alias("contaminated")
     )
 
 
@@ -99,7 +99,24 @@ SELECT t.doc_id, g.keep_id, g.group_size, t.doc_id = g.keep_id AS kept, sha256(t
 FROM t JOIN g ON t.norm = g.norm
 """
 
-ORACLES: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op2_warc": OP2_SQL, "op7_exact_dedup": OP7_SQL}
+WORDS = f"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+OP10_SQL = f"""
+WITH dw AS (SELECT doc_id, {WORDS} AS w FROM documents),
+bw AS (SELECT item_id, {WORDS} AS w FROM benchmark),
+win AS (
+  SELECT DISTINCT item_id, least(10, len(w)) AS size, array_to_string(w[i:i + least(10, len(w)) - 1], ' ') AS win
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM bw WHERE len(w) > 0)),
+own AS (
+  SELECT doc_id, size, i, array_to_string(w[i:i + size - 1], ' ') AS win
+  FROM (SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM dw, (SELECT DISTINCT size FROM win) WHERE len(w) >= size)),
+occ AS (SELECT own.doc_id, own.i, own.size, win.item_id FROM own JOIN win ON own.win = win.win AND own.size = win.size),
+hit AS (SELECT doc_id, count(DISTINCT pos) AS n FROM (SELECT doc_id, unnest(range(i, i + size)) AS pos FROM occ) GROUP BY doc_id),
+item AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM occ) GROUP BY doc_id)
+SELECT dw.doc_id, len(dw.w)::BIGINT AS n_words, coalesce(hit.n, 0)::BIGINT AS n_hit, coalesce(item.n, 0)::BIGINT AS n_items, sha256(coalesce(item.items, '')) AS items_sha256, hit.n IS NOT NULL AS contaminated
+FROM dw LEFT JOIN hit ON dw.doc_id = hit.doc_id LEFT JOIN item ON dw.doc_id = item.doc_id
+"""
+
+ORACLES: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op2_warc": OP2_SQL, "op7_exact_dedup": OP7_SQL, "op10_decontamination": OP10_SQL}
 
 QUERIES: dict[str, Query] = {
     "op1_line_dedup": op1_line_dedup,
