@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
+
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import PandasUDFType
 
-from rivulet.codecs import debezium
+from rivulet.codecs import debezium, protobuf, registry
 from rivulet.codecs import json as json_codec
 from rivulet.operators import processors, windows
 from rivulet.operators.vrl import vrl
 from rivulet.plans.tables import frame, load
 from rivulet.schema import VALUE, with_meta
-from rivulet.sinks.outputs import line_protocol
+from rivulet.sinks.outputs import line_protocol, routed
 from rivulet.sources import inputs
 
 
@@ -166,3 +168,68 @@ def udf_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     spark.udf.register("width", F.pandas_udf(width, "double", PandasUDFType.GROUPED_AGG))
     return processors.sql("SELECT p_partkey, round(width(p_retailprice) OVER (PARTITION BY p_brand), 4) AS spread FROM flow")(load(spark, sf_dir, "part"))
+
+
+PROTO = 'syntax = "proto3"; package demo; message Event { int64 event_id = 1; double value = 2; string event_type = 3; }'
+
+
+@frame("protobuf_roundtrip", "SELECT event_id, value, event_type FROM events")
+def protobuf_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sent = protobuf.encode(events(spark, sf_dir).select("event_id", "value", "event_type"), PROTO, "demo.Event")
+    return protobuf.decode(sent.select(VALUE), PROTO, "demo.Event")
+
+
+@frame("schema_registry_decode", "SELECT event_id, event_type FROM events")
+def schema_registry_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sent = protobuf.encode(events(spark, sf_dir).select("event_id", "value", "event_type"), PROTO, "demo.Event").select(VALUE)
+    framed = registry.frame(sent, 7)
+    return registry.decode(framed, {7: lambda df: protobuf.decode(df, PROTO, "demo.Event")}).select("event_id", "event_type")
+
+
+@frame("kafka_metadata", "SELECT o_orderkey AS id, 'kafka://orders' AS source, CAST(o_orderkey % 4 AS BIGINT) AS part, 'orders' AS topic FROM orders")
+def kafka_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of Spark's Kafka source as payload and metadata, then SQL over them."""
+    rows = load(spark, sf_dir, "orders").select(
+        F.lit(None).cast("binary").alias("key"), F.col("o_orderkey").cast("string").cast("binary").alias("value"), F.lit("orders").alias("topic"), (F.col("o_orderkey") % 4).cast("int").alias("partition"), F.col("o_orderkey").alias("offset"),
+        F.col("o_orderdate").cast("timestamp").alias("timestamp"), F.lit(0).alias("timestampType"),
+    )
+    return processors.sql("SELECT CAST(CAST(__value__ AS STRING) AS BIGINT) AS id, __meta_source AS source, __meta_partition AS part, __meta_ext['topic'] AS topic FROM flow")(inputs.kafka_columns(rows))
+
+
+@frame("dynamic_routing", "SELECT 'orders-' || lower(o_orderstatus) AS topic, CAST(o_custkey AS VARCHAR) AS key, CAST(o_orderkey AS VARCHAR) AS value FROM orders")
+def dynamic_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = load(spark, sf_dir, "orders").withColumn(VALUE, F.col("o_orderkey").cast("string").cast("binary"))
+    sent = routed(rows, {"topic": {"expr": "'orders-' || lower(o_orderstatus)"}, "key": {"expr": "o_custkey::STRING"}})
+    return sent.select("topic", "key", F.col("value").cast("string").alias("value"))
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder in the one that the cluster shares."""
+    return f"{spark.conf.get('spark.checkpoint.dir', None) or '/tmp/rivulet-checkpoints'}/rivulet/{name}-{uuid.uuid4().hex}"
+
+
+@frame("stream_from_config", "SELECT event_type, count(*) AS cnt FROM events WHERE value >= 10 GROUP BY event_type")
+def stream_from_config(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A configured stream, from a file input through SQL and JSON to a file output, run over its whole input."""
+    from rivulet.streaming import runtime
+
+    out = scratch(spark, "stream")
+    one = {
+        "id": "counts", "input": {"type": "file", "format": "parquet", "path": f"{sf_dir}/events.parquet"}, "output": {"type": "file", "path": out},
+        "pipeline": {"processors": [{"type": "sql", "query": "SELECT event_type, count(*) AS cnt FROM flow WHERE value >= 10 GROUP BY event_type"}, {"type": "arrow_to_json"}, {"type": "json_to_arrow", "schema": "event_type string, cnt bigint"}]},
+    }
+    runtime.streams({"streams": [one]})[0].run(spark)
+    return spark.read.parquet(out)
+
+
+@frame("stream_tumbling", "SELECT time_bucket(INTERVAL '1 hour', ts, TIMESTAMP '1970-01-01') AS window_start, count(*) AS n FROM events GROUP BY 1")
+def stream_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bounded windows again, by Structured Streaming: all windows, the open ones too, as the input ends."""
+    from rivulet.streaming import windows as stream_windows
+
+    kind = events(spark, sf_dir).schema
+    source = spark.readStream.schema(kind).parquet(f"{sf_dir}/events.parque[t]").withColumn("ts", F.col("ts").cast("timestamp"))  # a pattern: file streams take no single file
+    counted = stream_windows.tumbling(source, "ts", "1 hour", F.count(F.lit(1)).alias("n")).select("window_start", "n")
+    name = f"stream_{uuid.uuid4().hex}"
+    counted.writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", scratch(spark, "windows")).trigger(availableNow=True).start().awaitTermination()
+    return spark.table(name)
