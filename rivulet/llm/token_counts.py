@@ -120,5 +120,6 @@ def token_counts(docs: DataFrame, tokenizer: str, cache: str | None = None, id_c
             yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array([version] * len(found)), pa.array(counts, pa.int64())], names=["digest", "version", "n_tokens"])
 
     texts.mapInArrow(encode, CACHE).write.mode("append").parquet(cache)
-    counts = read_cache(spark, cache).where(F.col("version") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+    # written, so that the join has an exchange of its own on either side and Spark can split the partition of a common digest
+    counts = written(read_cache(spark, cache).where(F.col("version") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")), "counts")
     return ids.join(counts, "digest").select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
