@@ -29,7 +29,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def work_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/rivulet/{name}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/rivulet/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def discard_work(spark: SparkSession) -> None:
+    """Delete what this application's operators have written; results that weren't stored elsewhere are lost."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/rivulet/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

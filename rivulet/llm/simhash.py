@@ -22,6 +22,8 @@ from rivulet.llm.common import binary_parts, limit_batches, utf8, written
 SEED = 42
 #: Bucket size up to which all pairs are compared at once; larger ones go by pivots.
 SMALL = 48
+#: Bucket size from which a bucket is dealt to several tasks.
+SPLIT = 1 << 20
 
 
 def lane(h: np.ndarray, number: int) -> np.ndarray:
@@ -166,39 +168,56 @@ def linked(keys: np.ndarray, nodes: np.ndarray, f: np.ndarray, bits: int) -> tup
     return values[at], values[labels[at]]
 
 
-def links(distinct: DataFrame, keys: list[Column], bits: int, lanes: int = 1) -> DataFrame:
+def links(distinct: DataFrame, n: int, keys: list[Column], bits: int, lanes: int = 1) -> DataFrame:
     """Edges (u, v) of nodes that differ in at most `bits` bits and share a key, directly or by others.
 
-    distinct: node and, with several lanes, fp; with one lane the node is the fingerprint itself.
+    distinct: node and, with several lanes, fp; with one lane the node is the fingerprint itself. n: its rows; no bucket can
+    have more, so buckets are only counted where n is over SPLIT.
     """
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, nodes, f = np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, lanes), np.uint64)
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        size = 0
 
-        def out(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+        def edges(rows: list[np.ndarray]) -> pa.RecordBatch:
+            u, v = linked(*rows, bits)
             return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
         for batch in batches:
             own = batch.column(1).to_numpy()
             if lanes > 1:
                 values, at = binary_parts(batch.column(2))
-                wide = np.frombuffer(values[int(at[0]) : int(at[-1])], np.uint64).reshape(-1, lanes)
+                wide = np.frombuffer(bytes(values[int(at[0]) : int(at[-1])]), np.uint64).reshape(-1, lanes)
             else:
                 wide = own.view(np.uint64)[:, None]
-            keys, nodes, f = np.concatenate([keys, batch.column(0).to_numpy()]), np.concatenate([nodes, own]), np.concatenate([f, wide])
-            if keys[0] != keys[-1] and len(keys) >= 100_000:
-                whole = int(np.searchsorted(keys, keys[-1], "left"))  # the last run may go on
-                yield out(*linked(keys[:whole], nodes[:whole], f[:whole], bits))
-                keys, nodes, f = keys[whole:], nodes[whole:], f[whole:]
-        if len(keys):
-            yield out(*linked(keys, nodes, f, bits))
+            held.append((batch.column(0).to_numpy(), own, wide))
+            size += len(own)
+            if size >= 100_000 and held[0][0][0] != held[-1][0][-1]:
+                rows = [np.concatenate(x) for x in zip(*held)]
+                whole = int(np.searchsorted(rows[0], rows[0][-1], "left"))  # the last run may go on
+                yield edges([x[:whole] for x in rows])
+                held, size = [tuple(x[whole:] for x in rows)], size - whole
+        if size:
+            yield edges([np.concatenate(x) for x in zip(*held)])
 
     columns = ["node", "fp"] if lanes > 1 else ["node"]
     rows = distinct.select(F.explode(F.array(*keys)).alias("key"), *columns)
+    if n > SPLIT:
+        rows = pieces(rows)
     parts = max(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     return rows.repartition(parts, "key").sortWithinPartitions("key", "node").mapInArrow(compare, "u long, v long").distinct()
 
 
+def pieces(rows: DataFrame) -> DataFrame:
+    """rows with the buckets of over SPLIT rows in pieces: every two pieces of a bucket, and each with itself, are a bucket of
+    their own, so that all pairs still meet and no task gets more than two pieces of a bucket."""
+    hot = written(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SPLIT).select("key", F.ceil(F.col("n") / SPLIT).cast("int").alias("parts")), "hot-buckets")
+    rows = rows.join(hot, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    rows = rows.withColumn("piece", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    key = F.when(F.col("parts") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("piece", "other"), F.greatest("piece", "other")))
+    return rows.withColumn("key", key).drop("parts", "piece", "other")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """u, root: the smallest node of u's component, for every node that isn't the smallest itself.
 
@@ -239,7 +258,8 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     prints = written(fingerprints(docs, id_col, text_col, words_in_shingle), "fingerprints")
     distinct = written(prints.groupBy(F.col("fp").alias("node")).agg(F.min("id").alias("least")), "distinct")
-    roots = components(links(distinct.select("node"), bucket_keys(bands(distinct.count(), bits), bits), bits))
+    n = distinct.count()
+    roots = components(links(distinct.select("node"), n, bucket_keys(bands(n, bits), bits), bits))
     groups = named(distinct, roots).withColumnRenamed("node", "fp")
     return prints.join(groups, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
@@ -262,6 +282,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     prints = written(fingerprints(docs, id_col, text_col, words_in_shingle, lanes), "fingerprints")
     distinct = written(prints.groupBy("fp").agg(F.min("id").alias("least")).withColumn("node", F.monotonically_increasing_id()), "distinct")
     keys = [F.xxhash64(F.lit(k), F.substring("fp", 2 * k + 1, 2)) for k in range(size // 16)]
-    roots = components(links(distinct.select("node", "fp"), keys, most_bits(similarity, size), lanes))
+    roots = components(links(distinct.select("node", "fp"), distinct.count(), keys, most_bits(similarity, size), lanes))
     groups = distinct.select("node", "fp").join(named(distinct.select("node", "least"), roots), "node").select("fp", "component_id")
     return prints.join(groups, "fp").select(F.col("id").alias(id_col), "component_id")

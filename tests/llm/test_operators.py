@@ -252,6 +252,23 @@ def test_near_duplicates_by_similarity(spark):
     assert all(got[10 * k] == 10 * k for k in range(120)) and all(c // 10 == d // 10 for d, c in got.items())
 
 
+def test_hot_buckets_in_pieces(spark, docs, rows, monkeypatch):
+    """Buckets that are dealt to several tasks give the same links."""
+    monkeypatch.setattr(simhash, "SPLIT", 5)
+    monkeypatch.setattr(simhash, "bands", lambda n, bits: bits + 1)
+    same(simhash.simhash_components(docs).collect(), brute.simhash(pairs(rows)))
+
+
+def test_discard_work(spark, rows):
+    from rivulet.llm.common import discard_work, written
+
+    kept = written(spark.range(3), "x")
+    assert kept.count() == 3
+    discard_work(spark)
+    with pytest.raises(Exception, match="(?i)not.*exist|no such"):
+        kept.count()
+
+
 def test_pigeonhole():
     """m bands with m - bits of them equal meet for every pair within the distance."""
     from itertools import combinations
