@@ -16,33 +16,46 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts; it learns from the labelled ones of its input that aren't held out."""
+    """Documents that the quality classifier accepts; it learns from the labelled ones of its input that aren't held out.
+
+    Null texts are judged as empty ones; repeated rows are judged alike. Without labels all stay.
+    """
     model, _ = quality.train(docs, table(spark, sf_dir, "labels"))
     return quality.keep_good(docs.select(COLUMNS), model)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that an earlier one holds; n_chars follows the text. None is dropped."""
+    """Documents without the lines that an earlier one holds; n_chars follows the text. None is dropped.
+
+    Null texts become empty. Rows that share an id are one document, null ids the last one.
+    """
     got = line_dedup.dedup_lines(docs.select(COLUMNS))
     return got.select("doc_id", F.col("line_dedup.text").alias("text"), "lang", "source", F.length("line_dedup.text").cast("long").alias("n_chars"))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (shingles of five words, similarity of 0.8 or more) the document with the smallest id."""
+    """Of each group of near-duplicates (shingles of five words, similarity of 0.8 or more) the document with the smallest id.
+
+    Texts without words are one group. Rows that share an id stay or go together; rows without id stay.
+    """
     groups = simhash.near_duplicates(docs, words_in_shingle=5, similarity=0.8)
     away = groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id")
     return docs.select(COLUMNS).join(away, "doc_id", "left_anti").select(COLUMNS)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no window of a benchmark item."""
+    """Documents that hold no window of a benchmark item. Null texts hold none; repeated rows are judged alike."""
     return decontaminate.decontaminate(docs.select(COLUMNS), table(spark, sf_dir, "benchmark"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: documents that are taken, with their size in words, copies and words taken."""
-    taken = mixing.mix(docs).where("copies > 0").select("doc_id", "size", "target", "copies", "taken")
-    return docs.select(COLUMNS).join(taken, "doc_id")
+    """The mix: documents that are taken, with their size in words, their source's target, copies and words taken.
+
+    Rows that share an id, or have none, get the same number of copies, the largest that any of them was drawn for.
+    """
+    taken = mixing.mix(docs).groupBy(F.col("doc_id").alias("taken_id")).agg(F.max("target").alias("target"), F.max("copies").alias("copies")).where("copies > 0")
+    rows = docs.select(COLUMNS).join(taken, F.col("doc_id").eqNullSafe(F.col("taken_id"))).withColumn("size", mixing.words("text"))
+    return rows.select(*COLUMNS, "size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 STAGES = [

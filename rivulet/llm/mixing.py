@@ -13,7 +13,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rivulet.llm.common import SPACE, limit_batches, written
@@ -107,6 +107,11 @@ def round_of(seed: int, last: bool) -> Callable[[pd.DataFrame], pd.DataFrame]:
     return move
 
 
+def words(column: str) -> Column:
+    """Number of words; 0 for null."""
+    return F.coalesce(F.regexp_count(column, F.lit(WORD)), F.lit(0)).cast("long")
+
+
 def mix(docs: DataFrame, share: float = 1.5, weights: tuple[float, ...] = (5.0, 2.0, 1.0), ceiling: float = 2.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 17) -> DataFrame:
     """One row per document: id_col, size (words), source, source_size, target (of its source), copies, taken (words, repeats counted).
 
@@ -118,8 +123,7 @@ def mix(docs: DataFrame, share: float = 1.5, weights: tuple[float, ...] = (5.0,
     """
     spark = docs.sparkSession
     limit_batches(spark)
-    size = F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long")
-    sized = written(docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), size.alias("size")), "mix-sizes")
+    sized = written(docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), words(text_col).alias("size")), "mix-sizes")
     totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
     rows = totals.limit(MAX_SOURCES + 1).collect()
     if len(rows) > MAX_SOURCES:

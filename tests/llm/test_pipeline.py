@@ -72,6 +72,31 @@ def test_mixing_stage(stages):
     assert got.where(F.col("text").isNull()).count() == 0
 
 
+EDGES = [
+    (1, None, None, None, None), (2, "", "en", "a", 0), (3, "  \n ", "en", "a", 4), (None, "no id at all in this row", "en", "a", 1), (None, None, "en", "b", 1), (4, "The same text twice over here.", "en", "a", 30), (4, "The same text twice over here.", "en", "a", 30),
+    (5, "The same text twice over here.", "en", None, 30), (6, "long " * 200_000, "en", "b", 1), (7, "word " * 30 + "one", "de", "b", 1), (8, "word " * 30 + "one", "de", "b", 1), (8, "another text with the id eight", "de", "b", 1),
+]
+KIND = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+
+
+@pytest.mark.parametrize("k", range(5))
+def test_edge_rows(spark, k):
+    """Nulls, empty and long texts, repeated rows and ids, extra columns with names used inside, and no rows at all."""
+    name, stage = corpus_pipeline.STAGES[k]
+    docs = spark.createDataFrame(EDGES, KIND)
+    for extra in ("id", "fp", "t", "drops", "target", "copies", "size", "taken_id", "y", "x"):
+        docs = docs.withColumn(extra, F.lit("clash"))
+    got = stage(spark, docs, SF).collect()
+    ids = sorted(str(r.doc_id) for r in got)
+    if k in (1, 3):
+        assert ids == sorted(str(r[0]) for r in EDGES)
+    elif k == 2:
+        assert ids == sorted(["1", "None", "None", "4", "4", "6", "7"])
+    elif k == 4:
+        assert len(got) <= len(EDGES) and all(r.taken == r.size * r.copies for r in got)
+    assert stage(spark, docs.limit(0), SF).collect() == []
+
+
 def test_whole_run(spark, stages):
     assert sorted(map(tuple, corpus_pipeline.run(spark, SF).select("doc_id", "taken").collect())) == sorted(map(tuple, stages[-1][2].select("doc_id", "taken").collect()))
 
