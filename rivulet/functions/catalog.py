@@ -73,12 +73,6 @@ def integer(text: str) -> int | None:
     return int(t) if re.fullmatch(r"-?\d+", t) else None
 
 
-def bound(values: dict[str, str], body: str) -> str:
-    """body with each name's expression evaluated once: names are fields of a lambda's struct."""
-    fields = ", ".join(f"'{k}', {v}" for k, v in values.items())
-    return f"transform(array(named_struct({fields})), _s -> {body})[0]"
-
-
 # Math ---------------------------------------------------------------------------------------------------------------
 
 
@@ -188,7 +182,8 @@ def flagged(pattern: str, flags: str | None) -> str:
     own = own.replace("g", "")
     if set(own) - set("imsUx"):
         raise QueryError(f"unknown regular expression flags {flags}")
-    return f"concat('(?{own.replace('U', '')}){''}', {pattern})" if own.replace("U", "") else pattern
+    own = own.replace("U", "")  # Unicode classes are on already
+    return f"concat('(?{own})', {pattern})" if own else pattern
 
 
 RULES["regexp_like"] = lambda s, p, f=None: f"regexp_like({s}, {flagged(p, f)})"
@@ -318,7 +313,7 @@ RULES["array_distance"] = lambda a, b: (
 )
 RULES["array_distinct"] = lambda a: f"array_distinct({a})"
 RULES["array_element"] = lambda a, n: f"(CASE WHEN {n} = 0 THEN NULL ELSE try_element_at({a}, CAST(CASE WHEN {n} = 0 THEN 1 ELSE {n} END AS INT)) END)"
-RULES["array_has"] = lambda a, x: f"coalesce(array_contains({a}, {x}), {a} IS NULL AND NULL)"
+RULES["array_has"] = lambda a, x: f"CASE WHEN {a} IS NOT NULL THEN coalesce(array_contains({a}, {x}), false) END"
 RULES["array_has_all"] = lambda a, b: f"forall({b}, x -> coalesce(array_contains({a}, x), false))"
 RULES["array_has_any"] = lambda a, b: f"coalesce(arrays_overlap({a}, {b}), false)"
 RULES["array_length"] = lambda a, d="1": f"size({a})" if integer(d) == 1 else f"size({'flatten(' * (integer(d) - 2)}{a}{')' * (integer(d) - 2)}[0])"
@@ -400,8 +395,8 @@ RULES["generate_series"], RULES["range"] = series(True), series(False)
 @rule("string_to_array")
 def string_to_array(s: str, d: str, none: str | None = None) -> str:
     text = literal(d)
-    split = f"split({s}, {quoted(re.escape(text)) if text is not None else f'concat({chr(39)}\\\\Q{chr(39)}, {d}, {chr(39)}\\\\E{chr(39)})'})"
-    return split if none is None else f"transform({split}, x -> nullif(x, {none}))"
+    plain = quoted(re.escape(text)) if text is not None else rf"concat('\\Q', {d}, '\\E')"
+    return f"split({s}, {plain})" if none is None else f"transform(split({s}, {plain}), x -> nullif(x, {none}))"
 
 
 # Structs, maps, hashes ----------------------------------------------------------------------------------------------
@@ -510,11 +505,6 @@ RULES["array_agg"] = lambda x: f"transform(collect_list(named_struct('v', {x})){
 RULES["string_agg"] = lambda x, d: f"listagg({x}, {d})"
 
 
-@rule("array_dims")
-def array_dims(a: str) -> str:
-    raise QueryError("array_dims needs the argument's type; use functions.arrays.dims")
-
-
 @rule("array_ndims")
 def array_ndims(a: str) -> str:
     """Depth, from the type's name."""
@@ -547,6 +537,13 @@ def ordered(name: str, args: list[str], keys: list[tuple[str, bool, bool]], dist
     if own == "string_agg":
         by = ", ".join(f"{k} {'ASC' if up else 'DESC'} NULLS {'FIRST' if first else 'LAST'}" for k, up, first in keys)
         return f"listagg({'DISTINCT ' if distinct else ''}{args[0]}, {args[1]}) WITHIN GROUP (ORDER BY {by})"
+    if own in ("first_value", "last_value") and len({up for _, up, _ in keys}) == 1:
+        least = keys[0][1] == (own == "first_value")  # the wanted row is the smallest in order of the keys
+        parts = []
+        for k, up, first in keys:
+            nulls_small = first == up  # nulls come before the values when these ascend
+            parts += [f"{k} IS NOT NULL" if nulls_small else f"{k} IS NULL", k]
+        return f"{'min_by' if least else 'max_by'}({args[0]}, struct({', '.join(parts)}))"
     fields = ", ".join(f"'k{i}', {k}" for i, (k, _, _) in enumerate(keys))
     rows = f"collect_list(named_struct({fields}, 'v', {args[0]})){HOLE}"
     compare = ""

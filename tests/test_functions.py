@@ -74,7 +74,7 @@ def test_example(spark, text, want):
 AGGREGATES = [
     ("array_agg(x ORDER BY x DESC)", [None, 4, 3, 2, 1]), ("array_agg(x ORDER BY x)", [1, 2, 3, 4, None]), ("array_length(array_agg(x))", 5), ("avg(x)", 2.5), ("mean(x)", 2.5), ("bit_and(x)", 0), ("bit_or(x)", 7), ("bit_xor(x)", 4), ("bool_and(x > 0)", True), ("bool_or(x > 3)", True), ("count(*)", 5), ("count(x)", 4), ("count(DISTINCT k)", 2), ("max(x)", 4), ("min(x)", 1), ("median(x)", 2.5),
     ("string_agg(k, '-' ORDER BY k, x)", "a-a-a-b-b"), ("sum(x)", 10), ("round(var(x), 4)", 1.6667), ("var_pop(x)", 1.25), ("var_samp(x) = var_sample(x)", True), ("round(stddev(x), 4)", 1.291), ("round(stddev_pop(x), 4)", 1.118), ("corr(x, y)", 1.0), ("covar_pop(x, y)", 2.5), ("round(covar_samp(x, y), 4)", 3.3333), ("covar(x, y) = covar_samp(x, y)", True),
-    ("first_value(x ORDER BY x)", 1), ("first_value(x ORDER BY x DESC)", None), ("last_value(x ORDER BY x DESC)", 1), ("nth_value(x, 2 ORDER BY x)", 2), ("regr_slope(y, x)", 2.0), ("regr_intercept(y, x)", 0.0), ("regr_count(y, x)", 4), ("regr_avgx(y, x)", 2.5), ("regr_avgy(y, x)", 5.0), ("regr_r2(y, x)", 1.0), ("regr_sxx(y, x)", 5.0), ("regr_sxy(y, x)", 10.0), ("regr_syy(y, x)", 20.0),
+    ("first_value(x ORDER BY x)", 1), ("first_value(x ORDER BY x DESC)", None), ("last_value(x ORDER BY x DESC)", 1), ("last_value(x ORDER BY x)", None), ("first_value(x ORDER BY x NULLS FIRST)", None), ("first_value(x ORDER BY x DESC NULLS LAST)", 4), ("last_value(x ORDER BY x NULLS FIRST)", 4), ("last_value(x ORDER BY x DESC NULLS LAST)", None), ("first_value(x ORDER BY k DESC, x)", 4), ("first_value(y ORDER BY k, x)", 2.0), ("nth_value(x, 2 ORDER BY x)", 2), ("regr_slope(y, x)", 2.0), ("regr_intercept(y, x)", 0.0), ("regr_count(y, x)", 4), ("regr_avgx(y, x)", 2.5), ("regr_avgy(y, x)", 5.0), ("regr_r2(y, x)", 1.0), ("regr_sxx(y, x)", 5.0), ("regr_sxy(y, x)", 10.0), ("regr_syy(y, x)", 20.0),
     ("approx_distinct(x)", 4), ("approx_median(x) BETWEEN 2 AND 3", True), ("approx_percentile_cont(x, 0.75)", 3), ("approx_percentile_cont_with_weight(x, 1, 0.5)", 2.5), ("sum(x) FILTER (WHERE k = 'a')", 6), ("array_agg(x ORDER BY x) FILTER (WHERE k = 'b')", [4, None]), ("count(*) / 2", 2),
 ]
 
