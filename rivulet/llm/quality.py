@@ -116,11 +116,23 @@ def fit(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col:
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).cast("double").alias("y"))
     rows = written(stats.join(known, "id").select("x", "y"), "quality-rows")
     width = len(STATISTICS)
-    sums = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("y").alias("y"), *[F.avg(F.col("x")[k]).alias(f"m{k}") for k in range(width)], *[F.stddev_pop(F.col("x")[k]).alias(f"s{k}") for k in range(width)]).first()
-    if not sums["n"] or sums["y"] in (0.0, 1.0):
-        return QualityModel(np.zeros(width), np.ones(width), None, np.zeros(1), np.zeros(1), 0.5 if not sums["n"] else float(sums["y"]))
-    scale = np.array([sums[f"s{k}"] for k in range(width)])
-    model = QualityModel(np.array([sums[f"m{k}"] for k in range(width)]), np.where(scale > 1e-9, scale, 1.0), np.zeros(FEATURES + 1), np.zeros(1), np.zeros(1))
+    parts = 1 + scan_bytes(rows, "x") // (16 << 20)
+
+    def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(2 + 2 * width)
+        for batch in batches:
+            x, y = np.array(batch.column(0).to_pylist(), float).reshape(-1, width), batch.column(1).to_numpy()
+            total += np.concatenate([[len(y), y.sum()], x.sum(axis=0), (x * x).sum(axis=0)])
+        yield pa.RecordBatch.from_arrays([pa.array(["all"]), pa.array([total.tobytes()], pa.binary())], names=["k", "v"])
+
+    got = tree_sum(rows.mapInArrow(moments, "k string, v binary"), "k", "v", parts).first()
+    total = np.frombuffer(got["v"], np.float64) if got else np.zeros(2 + 2 * width)
+    n, y = total[0], total[1]
+    if not n or y in (0.0, n):
+        return QualityModel(np.zeros(width), np.ones(width), None, np.zeros(1), np.zeros(1), float(y / n) if n else 0.5)
+    mean = total[2 : 2 + width] / n
+    scale = np.sqrt(np.maximum(0, total[2 + width :] / n - mean * mean))
+    model = QualityModel(mean, np.where(scale > 1e-6, scale, 1.0), np.zeros(FEATURES + 1), np.zeros(1), np.zeros(1))
     size = FEATURES + 1
 
     def equations(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,9 +144,9 @@ def fit(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col:
                 b += z.T @ y
         yield pa.RecordBatch.from_arrays([pa.array(["all"]), pa.array([np.concatenate([a.ravel(), b]).tobytes()], pa.binary())], names=["k", "v"])
 
-    total = np.frombuffer(tree_sum(rows.mapInArrow(equations, "k string, v binary"), "k", "v", 1 + scan_bytes(rows, "x") // (16 << 20)).first()["v"], np.float64)
+    total = np.frombuffer(tree_sum(rows.mapInArrow(equations, "k string, v binary"), "k", "v", parts).first()["v"], np.float64)
     a, b = total[: size * size].reshape(size, size), total[size * size :]
-    penalty = RIDGE * sums["n"] * np.eye(size) / FEATURES
+    penalty = RIDGE * n * np.eye(size) / FEATURES
     penalty[-1, -1] = 0
     model.beta = np.linalg.solve(a + penalty, b)
 
