@@ -14,7 +14,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rivulet.llm.common import binary_parts, limit_batches, utf8, written
@@ -80,17 +80,23 @@ def bands(n: int, bits: int) -> int:
     return 64
 
 
-def bucket_keys(m: int, bits: int) -> list[Column]:
-    """For each choice of m - bits bands out of m: a long made of the choice's number and the bands' values."""
+def band_rows(distinct: DataFrame, m: int, bits: int) -> DataFrame:
+    """key, node: a row for each choice of m - bits bands out of m, keyed by the choice and the bands' values."""
     edges = [64 * i // m for i in range(m + 1)]
-    keys = []
-    for number, chosen in enumerate(combinations(range(m), m - bits)):
+    masks = []
+    for chosen in combinations(range(m), m - bits):
         mask = 0
         for i in chosen:
             mask |= ((1 << (edges[i + 1] - edges[i])) - 1) << edges[i]
-        signed = mask - (1 << 64) if mask >> 63 else mask
-        keys.append(F.xxhash64(F.lit(number), F.col("node").bitwiseAND(F.lit(signed).cast("long"))))
-    return keys
+        masks.append(mask - (1 << 64) if mask >> 63 else mask)
+    rows = distinct.select("node", F.posexplode(F.array(*[F.lit(x).cast("long") for x in masks])).alias("choice", "mask"))
+    return rows.select(F.xxhash64("choice", F.col("node").bitwiseAND(F.col("mask"))).alias("key"), "node")
+
+
+def block_rows(distinct: DataFrame, size: int) -> DataFrame:
+    """key, node, fp: a row for each block of 16 bits of fingerprints of `size` bits."""
+    rows = distinct.select("node", "fp", F.explode(F.sequence(F.lit(0), F.lit(size // 16 - 1))).alias("block"))
+    return rows.select(F.xxhash64("block", F.expr("substring(fp, 2 * block + 1, 2)")).alias("key"), "node", "fp")
 
 
 def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -168,10 +174,10 @@ def linked(keys: np.ndarray, nodes: np.ndarray, f: np.ndarray, bits: int) -> tup
     return values[at], values[labels[at]]
 
 
-def links(distinct: DataFrame, n: int, keys: list[Column], bits: int, lanes: int = 1) -> DataFrame:
+def links(rows: DataFrame, n: int, bits: int, lanes: int = 1) -> DataFrame:
     """Edges (u, v) of nodes that differ in at most `bits` bits and share a key, directly or by others.
 
-    distinct: node and, with several lanes, fp; with one lane the node is the fingerprint itself. n: its rows; no bucket can
+    rows: key, node and, with several lanes, fp; with one lane the node is the fingerprint itself. n: nodes; no bucket can
     have more, so buckets are only counted where n is over SPLIT.
     """
 
@@ -200,11 +206,9 @@ def links(distinct: DataFrame, n: int, keys: list[Column], bits: int, lanes: int
         if size:
             yield edges([np.concatenate(x) for x in zip(*held)])
 
-    columns = ["node", "fp"] if lanes > 1 else ["node"]
-    rows = distinct.select(F.explode(F.array(*keys)).alias("key"), *columns)
     if n > SPLIT:
         rows = pieces(rows)
-    parts = max(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     return rows.repartition(parts, "key").sortWithinPartitions("key", "node").mapInArrow(compare, "u long, v long").distinct()
 
 
@@ -218,6 +222,16 @@ def pieces(rows: DataFrame) -> DataFrame:
     return rows.withColumn("key", key).drop("parts", "piece", "other")
 
 
+def smallest_of(rows: DataFrame, key: str, value: str, name: str) -> DataFrame:
+    """key, name: the smallest value of each key (a long).
+
+    Grouped by the key's complement: a join on the key then has an exchange on this side too, without which Spark can't split
+    the partition of a key that many rows of the other side have.
+    """
+    grouped = rows.groupBy(F.bitwise_not(key).alias("_complement")).agg(F.min(value).alias(name))
+    return grouped.select(F.bitwise_not("_complement").alias(key), name)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """u, root: the smallest node of u's component, for every node that isn't the smallest itself.
 
@@ -233,10 +247,10 @@ def components(edges: DataFrame) -> DataFrame:
             return now.select("u", F.col("v").alias("root"))
         seen = state
         both = now.union(now.select("v", "u"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = smallest_of(both, "u", "v", "m").select("u", F.least("u", "m").alias("m"))
         # large star: v > u is tied to the smallest of u and its neighbours
         star = now.select(F.col("v").alias("u"), F.col("u").alias("v")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        small = star.groupBy("u").agg(F.min("v").alias("m"))
+        small = smallest_of(star, "u", "v", "m")
         # small star: u and its smaller neighbours are tied to the smallest of them
         tied = star.join(small, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         now = written(tied.union(small.select("u", F.col("m").alias("v"))).distinct(), "edges")
@@ -245,7 +259,7 @@ def components(edges: DataFrame) -> DataFrame:
 def named(distinct: DataFrame, roots: DataFrame) -> DataFrame:
     """node, component_id: the smallest `least` of each node's component."""
     rooted = distinct.join(roots.withColumnRenamed("u", "node"), "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
-    smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    smallest = smallest_of(rooted, "root", "least", "component_id")
     return rooted.select("node", "root").join(smallest, "root").select("node", "component_id")
 
 
@@ -259,7 +273,7 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     prints = written(fingerprints(docs, id_col, text_col, words_in_shingle), "fingerprints")
     distinct = written(prints.groupBy(F.col("fp").alias("node")).agg(F.min("id").alias("least")), "distinct")
     n = distinct.count()
-    roots = components(links(distinct.select("node"), n, bucket_keys(bands(n, bits), bits), bits))
+    roots = components(links(band_rows(distinct, bands(n, bits), bits), n, bits))
     groups = named(distinct, roots).withColumnRenamed("node", "fp")
     return prints.join(groups, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
@@ -281,7 +295,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     size = 64 * lanes
     prints = written(fingerprints(docs, id_col, text_col, words_in_shingle, lanes), "fingerprints")
     distinct = written(prints.groupBy("fp").agg(F.min("id").alias("least")).withColumn("node", F.monotonically_increasing_id()), "distinct")
-    keys = [F.xxhash64(F.lit(k), F.substring("fp", 2 * k + 1, 2)) for k in range(size // 16)]
-    roots = components(links(distinct.select("node", "fp"), distinct.count(), keys, most_bits(similarity, size), lanes))
+    roots = components(links(block_rows(distinct, size), distinct.count(), most_bits(similarity, size), lanes))
     groups = distinct.select("node", "fp").join(named(distinct.select("node", "least"), roots), "node").select("fp", "component_id")
     return prints.join(groups, "fp").select(F.col("id").alias(id_col), "component_id")

@@ -269,12 +269,16 @@ def test_discard_work(spark, rows):
         kept.count()
 
 
-def test_pigeonhole():
-    """m bands with m - bits of them equal meet for every pair within the distance."""
-    from itertools import combinations
-
-    m, bits = simhash.bands(250_000, 4), 4
-    assert m > bits and len(simhash.bucket_keys.__doc__) and len(list(combinations(range(m), m - bits))) == len(list(combinations(range(m), bits)))
+def test_pigeonhole(spark):
+    """Every pair within the distance meets under some choice of bands."""
+    r = random.Random(6)
+    for n in (10, 250_000, 10**9):
+        m = simhash.bands(n, 4)
+        a = r.getrandbits(63)
+        pairs_ = [(a, a ^ sum(1 << k for k in r.sample(range(63), 4))) for _ in range(3)]
+        keys = simhash.band_rows(spark.createDataFrame([(x,) for p in pairs_ for x in p], "node long"), m, 4).groupBy("node").agg(F.collect_set("key").alias("keys")).collect()
+        keys = {k.node: set(k["keys"]) for k in keys}
+        assert all(keys[x] & keys[y] for x, y in pairs_)
 
 
 LANGS = {"aa": "the cat and the dog are here with them", "bb": "der hund und die katze sind hier mit ihnen", "cc": "le chien et le chat sont ici avec eux", "dd": "el perro y el gato estan aqui con ellos"}
