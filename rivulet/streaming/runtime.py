@@ -20,6 +20,7 @@ from rivulet.operators import processors
 from rivulet.operators.lookup import Provider, RedisProvider
 from rivulet.operators.vrl import vrl
 from rivulet.operators.windows import seconds
+from rivulet.operators.windows import sliding_count as windows_of_rows
 from rivulet.sinks import outputs
 from rivulet.sources import inputs
 from rivulet.streaming import windows
@@ -27,6 +28,9 @@ from rivulet.streaming import windows
 log = logging.getLogger(__name__)
 
 
+BUFFERS = ("memory", "session_window", "sliding_window", "tumbling_window")
+
+
 @dataclass
 class Metrics:
     batches_in: int = 0
@@ -48,6 +52,11 @@ class Stream:
         for key in ("input", "output"):
             if key not in self.config:
                 raise ConfigError(f"stream {self.id} has no {key}")
+        kind = self.buffer().get("type", "memory")
+        if kind not in BUFFERS:
+            raise ConfigError(f"unknown buffer {kind!r}")
+        if kind == "sliding_window" and (self.buffer().get("join") or not {"window_size", "slide_size"} <= set(self.buffer())):
+            raise ConfigError("a sliding_window has window_size and slide_size and no join")
         self.process = processors.chain(*[processor(p, self.temporaries) for p in self.config.get("pipeline", {}).get("processors", [])])
         self.write = outputs.build(self.config["output"])
         error = self.config.get("error_output")
@@ -81,11 +90,15 @@ class Stream:
             df.unpersist()
 
     def run(self, spark: SparkSession) -> Metrics:
-        """Read the whole input once. A join buffer joins the inputs window by window."""
+        """Read the whole input once, as one window; a join buffer joins the inputs in it. With a sliding_window the rows come once
+        for each full window that they lie in, with its number in window_no, by which the processors' SQL groups."""
         join = self.buffer().get("join")
         if join:
             named = inputs.named_inputs(spark, self.config["input"])
             self.batch(bounded_join(spark, named, self.buffer()))
+        elif self.buffer().get("type") == "sliding_window":
+            rows = inputs.build(spark, self.config["input"]).withColumn("_arrival", F.monotonically_increasing_id())
+            self.batch(windows_of_rows(rows, ["_arrival"], int(self.buffer()["window_size"]), int(self.buffer()["slide_size"])).drop("_arrival"))
         else:
             self.batch(inputs.build(spark, self.config["input"]))
         return self.metrics
@@ -93,6 +106,8 @@ class Stream:
     def start(self, spark: SparkSession, checkpoint: str, once: bool = False) -> StreamingQuery:
         """Run on streams; each micro-batch is a batch. After a restart from the checkpoint no input is lost."""
         buffer, join = self.buffer(), self.buffer().get("join")
+        if buffer.get("type") == "sliding_window":
+            raise ConfigError("over streams, count-based windows take a key and an order: streaming.windows.sliding_count")
         if join:
             named = inputs.named_inputs(spark, self.config["input"], streaming=True)
             timed = {k: df if "__meta_ingest_time" in df.columns else df.withColumn("__meta_ingest_time", F.current_timestamp()) for k, df in named.items()}
@@ -182,5 +197,5 @@ def components() -> dict[str, list[str]]:
     """Names of all components by kind."""
     return {
         "input": sorted(inputs.INPUTS), "output": sorted(outputs.OUTPUTS), "codec": ["debezium_json", "json", "protobuf", "schema_registry"],
-        "processor": ["arrow_to_json", "arrow_to_protobuf", "batch", "json_to_arrow", "protobuf_to_arrow", "python", "sql", "vrl"], "buffer": ["memory", "session_window", "sliding_window", "tumbling_window"], "temporary": ["redis", "table"],
+        "processor": ["arrow_to_json", "arrow_to_protobuf", "batch", "json_to_arrow", "protobuf_to_arrow", "python", "sql", "vrl"], "buffer": list(BUFFERS), "temporary": ["redis", "table"],
     }

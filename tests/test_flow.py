@@ -478,6 +478,21 @@ def test_bounded_window_join(spark):
     assert [tuple(r) for r in found] == [(10, 20)]
 
 
+def test_sliding_window_buffer(spark, tmp_path):
+    found = []
+    one = config(tmp_path, found, sql="SELECT window_no, count(*) AS n, sum(v) AS s FROM flow GROUP BY window_no")["streams"][0]
+    one["input"]["messages"] = [json.dumps({"v": k}) for k in range(5)]
+    one["buffer"] = {"type": "sliding_window", "window_size": 3, "slide_size": 2, "interval": "1s"}
+    stream = runtime.streams({"streams": [one]})[0]
+    stream.run(spark)
+    assert sorted(map(tuple, found)) == [(0, 3, 3), (1, 3, 9)]
+    with pytest.raises(ConfigError):
+        stream.start(spark, str(tmp_path / "cp"))
+    for buffer in ({"type": "nope"}, {"type": "sliding_window", "window_size": 3}):
+        with pytest.raises(ConfigError):
+            runtime.streams({"streams": [one | {"buffer": buffer}]})
+
+
 def test_restart_loses_and_repeats_nothing(spark, tmp_path):
     """A stopped stream goes on from its checkpoint with the files that came meanwhile."""
     folder = tmp_path / "in"
