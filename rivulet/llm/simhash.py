@@ -24,6 +24,8 @@ SEED = 42
 SMALL = 48
 #: Bucket size from which a bucket is dealt to several tasks.
 SPLIT = 1 << 20
+#: Edges of a file between two rounds of the components.
+EDGES = 500_000
 
 
 def lane(h: np.ndarray, number: int) -> np.ndarray:
@@ -253,7 +255,8 @@ def components(edges: DataFrame) -> DataFrame:
         small = smallest_of(star, "u", "v", "m")
         # small star: u and its smaller neighbours are tied to the smallest of them
         tied = star.join(small, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        now = written(tied.union(small.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        # as many files as the edges fill, not as many as a shuffle has partitions
+        now = written(tied.union(small.select("u", F.col("m").alias("v"))).distinct().coalesce(1 + 2 * state["n"] // EDGES), "edges")
 
 
 def named(distinct: DataFrame, roots: DataFrame) -> DataFrame:
