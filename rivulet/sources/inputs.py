@@ -18,6 +18,7 @@ from rivulet.errors import ConfigError, ReadError, Unavailable
 from rivulet.packaging import ship_package
 from rivulet.plans.dialect import query
 from rivulet.schema import META, RAW, VALUE, with_meta
+from rivulet.sources import stores
 
 INPUTS: dict[str, Callable[..., DataFrame]] = {}
 
@@ -102,7 +103,7 @@ FORMATS = ("json", "csv", "parquet", "arrow", "avro", "orc", "text")
 def file(spark: SparkSession, config: dict, streaming: bool = False) -> DataFrame:
     """Files of one format, once; an optional query runs over them as a table (by default `flow`).
 
-    Paths may be in any store that Spark's Hadoop settings reach. Filters and columns of the query reach the scan.
+    Paths may be in any store that Spark's Hadoop settings reach; `store` gives those of one (sources.stores). Filters and columns of the query reach the scan.
     """
     kind = config.get("input_type", config.get("format", "parquet"))
     kind = kind.get("type") if isinstance(kind, dict) else kind
@@ -111,6 +112,7 @@ def file(spark: SparkSession, config: dict, streaming: bool = False) -> DataFram
         raise ConfigError(f"unknown file format {kind!r}")
     if not path:
         raise ConfigError("a file input needs a path")
+    path = stores.use(spark, config.get("store"), path)
     if kind == "arrow":
         ship_package(spark)
         spark.dataSource.register(ArrowSource)

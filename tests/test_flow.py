@@ -23,7 +23,7 @@ from rivulet.operators.lookup import TableProvider, enrich
 from rivulet.operators.vrl import vrl
 from rivulet.schema import META, RAW, VALUE, keep_columns, payloads, spark_type, with_meta
 from rivulet.sinks import outputs
-from rivulet.sources import inputs
+from rivulet.sources import inputs, stores
 from rivulet.sources.receiver import Receiver
 from rivulet.streaming import runtime
 from rivulet.streaming import windows as stream_windows
@@ -156,6 +156,27 @@ def test_file_formats(spark, tmp_path):
         inputs.build(spark, {"type": "file", "format": "avro", "path": str(tmp_path / "p")})
 
 
+S3 = {"type": "s3", "bucket_name": "b", "access_key_id": "k", "secret_access_key": "s"}
+
+
+def test_stores(spark, tmp_path):
+    assert stores.settings(S3 | {"endpoint": "https://e", "region": "r"})["fs.s3a.bucket.b.endpoint"] == "https://e" and stores.settings(S3)["fs.s3a.bucket.b.connection.ssl.enabled"] == "true"
+    assert stores.location(S3, "a/b.parquet") == "s3a://b/a/b.parquet" and stores.location(S3, "s3://b/x") == "s3a://b/x"
+    gs = {"type": "gs", "bucket_name": "b", "service_account_path": "/k.json"}
+    assert stores.location(gs, "/x") == "gs://b/x" and stores.settings(gs)["fs.gs.auth.service.account.json.keyfile"] == "/k.json"
+    az = {"type": "az", "account": "acc", "container_name": "c", "access_key": "a2V5"}
+    assert stores.location(az, "x") == "abfss://c@acc.dfs.core.windows.net/x" and stores.settings(az) == {"fs.azure.account.key.acc.dfs.core.windows.net": "a2V5"}
+    assert stores.location({"type": "hdfs", "url": "hdfs://n:9000/"}, "/x") == "hdfs://n:9000/x" and "fs.http.impl" in stores.settings({"type": "http", "url": "http://h"})
+    for bad in ({"type": "ftp"}, {"type": "s3", "bucket_name": "b"}, S3 | {"endpoint": "http://e"}, {"type": "gs", "bucket_name": "b"}, gs | {"service_account_key": "{}"}, {"type": "az", "account": "a"}, az | {"access_key": "?"}, {"type": "http", "url": "x"}, {"type": "hdfs", "url": "x"}):
+        with pytest.raises(ConfigError):
+            stores.settings(bad)
+    spark.range(3).write.parquet(str(tmp_path / "p"))
+    conf = spark._jsc.hadoopConfiguration()
+    got = inputs.build(spark, {"type": "file", "path": f"file://{tmp_path}/p", "store": {"type": "hdfs", "url": "hdfs://n", "ha_config": {"dfs.nameservices": "n"}}})
+    assert got.count() == 3 and conf.get("dfs.nameservices") == "n"
+    conf.unset("dfs.nameservices")
+
+
 def test_generate_memory_and_named_inputs(spark):
     assert inputs.build(spark, {"type": "generate", "context": "x", "batch_size": 10, "count": 25}).count() == 20
     assert rows(inputs.build(spark, {"type": "memory", "messages": ['{"a": 1}'], "codec": {"type": "json"}})) == [(1,)]
