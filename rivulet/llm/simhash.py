@@ -3,6 +3,8 @@
 Fingerprints are cut into m bands; two that differ in k bits agree on at least m - k of them, so they meet under one of the
 C(m, m - k) choices of bands. Only distinct fingerprints are compared. Inside a bucket, links are found without emitting pairs:
 each task joins what it compares and emits one edge a fingerprint, to the smallest one it is linked with.
+
+near_duplicates, the pipeline's stage, joins by the exact similarity of shingle sets instead.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rivulet.llm.common import binary_parts, limit_batches, utf8, written
@@ -26,6 +28,12 @@ SMALL = 48
 SPLIT = 1 << 20
 #: Edges of a file between two rounds of the components.
 EDGES = 500_000
+#: Bands of least hashes, and hashes a band: a pair at the similarity s shares a band with probability 1 - (1 - s**BAND)**BANDS.
+BANDS, BAND = 48, 6
+#: Texts and shingles of a block of texts that are checked in one task with each other and with one other block's.
+BLOCK, BLOCK_SHINGLES = 256, 250_000
+#: Bucket size from which a bucket's pairs are listed in several tasks.
+PAIRED = 2048
 
 
 def lane(h: np.ndarray, number: int) -> np.ndarray:
@@ -38,11 +46,11 @@ def lane(h: np.ndarray, number: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def fingerprint(text: bytes, words_in_shingle: int, lanes: int = 1) -> bytes:
-    """SimHash of a text's shingles, 64 bits a lane, first bit highest; zero without words."""
+def shingles(text: bytes, words_in_shingle: int) -> np.ndarray:
+    """Hashes of a text's shingles, in their order, repeated ones too; none without words."""
     words = text.lower().split()
     if not words:
-        return bytes(8 * lanes)
+        return np.empty(0, np.uint64)
     joined = b" ".join(words)
     digest = xxhash.xxh64_digest
     if len(words) <= words_in_shingle:
@@ -51,7 +59,14 @@ def fingerprint(text: bytes, words_in_shingle: int, lanes: int = 1) -> bytes:
         ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
         starts = np.concatenate([[0], ends[:-1]])
         hashes = b"".join([digest(joined[a:b], SEED) for a, b in zip(starts[: len(words) - words_in_shingle + 1].tolist(), (ends[words_in_shingle - 1 :] - 1).tolist())])
-    h = np.frombuffer(hashes, ">u8").astype(np.uint64)
+    return np.frombuffer(hashes, ">u8").astype(np.uint64)
+
+
+def fingerprint(text: bytes, words_in_shingle: int, lanes: int = 1) -> bytes:
+    """SimHash of a text's shingles, 64 bits a lane, first bit highest; zero without words."""
+    h = shingles(text, words_in_shingle)
+    if not len(h):
+        return bytes(8 * lanes)
     set_ = np.zeros(64 * lanes, np.int64)
     for k in range(0, len(h), 255):  # so many rows add up in a byte
         part = h[k : k + 255]
@@ -95,12 +110,6 @@ def band_rows(distinct: DataFrame, m: int, bits: int) -> DataFrame:
     return rows.select(F.xxhash64("choice", F.col("node").bitwiseAND(F.col("mask"))).alias("key"), "node")
 
 
-def block_rows(distinct: DataFrame, size: int) -> DataFrame:
-    """key, node, fp: a row for each block of 16 bits of fingerprints of `size` bits."""
-    rows = distinct.select("node", "fp", F.explode(F.sequence(F.lit(0), F.lit(size // 16 - 1))).alias("block"))
-    return rows.select(F.xxhash64("block", F.expr("substring(fp, 2 * block + 1, 2)")).alias("key"), "node", "fp")
-
-
 def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Differing bits of fingerprints, whose last axis is their lanes."""
     return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
@@ -214,10 +223,11 @@ def links(rows: DataFrame, n: int, bits: int, lanes: int = 1) -> DataFrame:
     return rows.repartition(parts, "key").sortWithinPartitions("key", "node").mapInArrow(compare, "u long, v long").distinct()
 
 
-def pieces(rows: DataFrame) -> DataFrame:
-    """rows with the buckets of over SPLIT rows in pieces: every two pieces of a bucket, and each with itself, are a bucket of
+def pieces(rows: DataFrame, split: int | None = None) -> DataFrame:
+    """rows with the buckets of over `split` (SPLIT) rows in pieces: every two pieces of a bucket, and each with itself, are a bucket of
     their own, so that all pairs still meet and no task gets more than two pieces of a bucket."""
-    hot = written(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SPLIT).select("key", F.ceil(F.col("n") / SPLIT).cast("int").alias("parts")), "hot-buckets")
+    split = split or SPLIT
+    hot = written(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > split).select("key", F.ceil(F.col("n") / split).cast("int").alias("parts")), "hot-buckets")
     rows = rows.join(hot, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     rows = rows.withColumn("piece", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     key = F.when(F.col("parts") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("piece", "other"), F.greatest("piece", "other")))
@@ -288,16 +298,142 @@ def most_bits(similarity: float, size: int) -> int:
     return int(size * rate + 1.3 * math.sqrt(size * rate * (1 - rate)))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_in_shingle: int = 5, similarity: float = 0.8, lanes: int = 8) -> DataFrame:
-    """One row per document: id_col, component_id. As simhash_components, for a Jaccard similarity of the shingles.
+_RANDOM = np.random.default_rng(SEED)
+#: Odd factors: each gives one order of the hashes, and the weights that make a band's least hashes its key.
+FACTORS, WEIGHTS = (_RANDOM.integers(0, 2**63, BANDS * BAND, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2))
+
+
+def band_keys(h: np.ndarray) -> np.ndarray:
+    """A key for each band of a set of hashes: sets of the Jaccard similarity s agree on a band with probability s**BAND."""
+    least = np.full(BANDS * BAND, 2**64 - 1, np.uint64)
+    for k in range(0, len(h), 1024):
+        np.minimum(least, np.multiply.outer(FACTORS, h[k : k + 1024]).min(axis=1), out=least)
+    return (least * WEIGHTS).reshape(BANDS, BAND).sum(axis=1, dtype=np.uint64).view(np.int64)
+
+
+def shingle_sets(docs: DataFrame, id_col: str, text_col: str, words_in_shingle: int) -> DataFrame:
+    """id, fp (128-bit digest of the set), n, keys (one a band, none without words), shingles (sorted distinct hashes, packed)."""
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingles(t, words_in_shingle)) for t in batch.column(1).to_pylist()]
+            packed = [x.tobytes() for x in sets]
+            keys = pa.array([band_keys(x) if len(x) else [] for x in sets], pa.list_(pa.int64()))
+            columns = [batch.column(0), pa.array([xxhash.xxh128_digest(x, SEED) for x in packed], pa.binary()), pa.array(list(map(len, sets)), pa.int64()), keys, pa.array(packed, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "fp", "n", "keys", "shingles"])
+
+    limit_batches(docs.sparkSession)
+    kind = docs.schema[id_col].dataType.simpleString()
+    return docs.select(F.col(id_col).alias("id"), utf8(text_col).alias("t")).mapInArrow(hashed, f"id {kind}, fp binary, n long, keys array<long>, shingles binary")
+
+
+def bucket_pairs(buckets: DataFrame, similarity: float) -> DataFrame:
+    """u, v: pairs of a bucket's nodes that have different roots, of which none is the bucket's hub, and whose sizes allow the similarity.
+
+    buckets: key, node, n, hub, root.
+    """
+
+    def pairs(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        keys, nodes, n, hubs, roots = rows
+        at, d = np.arange(len(keys)), 0
+        while True:
+            d += 1
+            at = at[at + d < len(keys)]
+            at = at[keys[at] == keys[at + d]]
+            if not len(at):
+                return
+            a, b = n[at], n[at + d]
+            new = at[(roots[at] != roots[at + d]) & (nodes[at] != hubs[at]) & (nodes[at + d] != hubs[at]) & (np.minimum(a, b) / np.maximum(a, b) >= similarity)]
+            if len(new):
+                yield pa.RecordBatch.from_arrays([pa.array(nodes[new + d]), pa.array(nodes[new])], names=["u", "v"])
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        size = 0
+        for batch in batches:
+            held.append([c.to_numpy() for c in batch.columns])
+            size += len(held[-1][0])
+            if size >= 100_000 and held[0][0][0] != held[-1][0][-1]:
+                rows = [np.concatenate(x) for x in zip(*held)]
+                end = int(np.searchsorted(rows[0], rows[0][-1], "left"))  # the last run may go on
+                yield from pairs([x[:end] for x in rows])
+                held, size = [[x[end:] for x in rows]], size - end
+        if size:
+            yield from pairs([np.concatenate(x) for x in zip(*held)])
+
+    rows = pieces(buckets, PAIRED).select("key", "node", "n", "hub", "root")
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    return rows.repartition(parts, "key").sortWithinPartitions("key", "node").mapInArrow(whole, "u long, v long").distinct()
+
+
+def similar(pairs: DataFrame, sets: DataFrame, groups: int, similarity: float) -> DataFrame:
+    """Edges (u, v): of the pairs (u, v), those whose sets have the Jaccard similarity or more, without those that others imply.
+
+    sets: node, root, block, blocks, n, shingles. A set goes once to each two blocks that it has a pair in; the pairs of
+    clusters of one block go by their roots' hash to `groups` groups.
+    """
 
-    64 bits can't tell a similarity of 0.8 from chance without comparing nearly everything, so fingerprints have 64 bits a lane
-    (512 by default), blocks of 16 bits, and links at most_bits(similarity) differing bits. Pairs that differ in fewer bits than
-    there are blocks always share one (pigeonhole: similarities of 0.94 and more); of those at 0.8 nine in ten do.
+    def check(pairs: pa.Table, sets: pa.Table) -> pa.Table:
+        nodes = sets["node"].to_numpy()
+        packed = [np.frombuffer(x, np.uint64) for x in sets["shingles"].to_pylist()]
+        order = np.argsort(nodes)
+        at = [order[np.searchsorted(nodes, pairs[c].to_numpy(), sorter=order)].tolist() for c in ("u", "v")]
+        parent = list(range(len(nodes)))
+
+        def find(i: int) -> int:
+            while parent[i] != i:
+                parent[i] = i = parent[parent[i]]
+            return i
+
+        found = []
+        for a, b in zip(*at):
+            x, y = find(a), find(b)
+            if x == y:
+                continue
+            both = np.sort(np.concatenate([packed[a], packed[b]]))
+            common = int(np.count_nonzero(both[1:] == both[:-1]))
+            if common / (len(both) - common) >= similarity:
+                parent[x] = y
+                found.append((a, b))
+        edges = nodes[np.array(found, np.int64).reshape(-1, 2)]
+        return pa.table({"u": edges[:, 0], "v": edges[:, 1]})
+
+    places = sets.select("node", "root", "block", "blocks", "n")
+    mine = places.toDF("u", "root", "block", "blocks", "n")
+    other = places.select(F.col("node").alias("v"), F.col("block").alias("block_v"), F.col("n").alias("n_v"))
+    both = pairs.join(mine, "u").join(other, "v").where(F.least("n", "n_v") / F.greatest("n", "n_v") >= similarity)
+    key = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("root"), F.lit(groups))).otherwise(F.xxhash64("root", F.least("block", "block_v"), F.greatest("block", "block_v")))
+    placed = written(both.select(key.alias("g"), "u", "v"), "pairs")
+    ends = placed.select(F.explode(F.array("u", "v")).alias("node"), F.col("g").alias("group")).distinct()
+    needed = ends.join(sets.select("node", "shingles"), "node")
+    return placed.groupBy("g").cogroup(needed.groupBy("group")).applyInArrow(check, "u long, v long")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_in_shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One row per document: id_col, component_id. As simhash_components, for a Jaccard similarity of the sets of shingles.
+
+    Links are exact: every one is checked on the sets (64-bit hashes of shingles). Fingerprints of any practical width can't tell
+    0.8 from 0.75, nor find all pairs at 0.8 by equal blocks, so candidates are texts that agree on a band of least hashes: a
+    pair at 0.8 is missed with probability (1 - 0.8**6)**48, 5 in 10 million, and one of higher similarity less often.
+
+    First each node of a bucket is checked with the bucket's smallest, its hub; then the pairs that this hasn't joined.
     """
-    size = 64 * lanes
-    prints = written(fingerprints(docs, id_col, text_col, words_in_shingle, lanes), "fingerprints")
-    distinct = written(prints.groupBy("fp").agg(F.min("id").alias("least")).withColumn("node", F.monotonically_increasing_id()), "distinct")
-    roots = components(links(block_rows(distinct, size), distinct.count(), most_bits(similarity, size), lanes))
-    groups = distinct.select("node", "fp").join(named(distinct.select("node", "least"), roots), "node").select("fp", "component_id")
-    return prints.join(groups, "fp").select(F.col("id").alias(id_col), "component_id")
+    prints = written(shingle_sets(docs, id_col, text_col, words_in_shingle).withColumn("row", F.monotonically_increasing_id()), "shingles")
+    distinct = written(prints.groupBy("fp").agg(F.min("id").alias("least"), F.min("row").alias("node")), "distinct")
+    rows = prints.select(F.col("row").alias("node"), "n", "keys").join(distinct.select("node"), "node", "left_semi").select("node", "n", F.explode("keys").alias("key"))
+    shared = rows.withColumn("hub", F.min("node").over(Window.partitionBy("key"))).withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("size > 1")
+    buckets = written(shared, "buckets")
+    stars = written(buckets.where("node <> hub").select(F.col("node").alias("u"), F.col("hub").alias("v")).distinct(), "stars")
+    clusters = components(stars).withColumnRenamed("u", "node")
+    members = written(buckets.select("node", "n").distinct().join(clusters, "node", "left").select("node", "n", F.coalesce("root", "node").alias("root")), "members")
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / BLOCK_SHINGLES)).alias("blocks")
+    placed = members.join(members.groupBy("root").agg(blocks), "root").withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
+    sets = written(prints.select(F.col("row").alias("node"), "shingles").join(placed, "node").select("node", "root", "block", "blocks", "n", "shingles"), "sets")
+    groups = 1 + (members.agg(F.sum("n")).first()[0] or 0) // BLOCK_SHINGLES
+
+    first = written(similar(stars, sets, groups, similarity), "links")
+    roots = components(first).withColumnRenamed("u", "node")
+    rooted = buckets.where("size > 2").join(roots, "node", "left").select("key", "node", "n", "hub", F.coalesce("root", "node").alias("root"))
+    second = written(similar(bucket_pairs(rooted, similarity), sets, groups, similarity), "links")
+    named_ = named(distinct.select("node", "least"), components(first.union(second)))
+    return prints.select("id", "fp").join(distinct.select("node", "fp").join(named_, "node").select("fp", "component_id"), "fp").select(F.col("id").alias(id_col), "component_id")

@@ -252,6 +252,54 @@ def test_near_duplicates_by_similarity(spark):
     assert all(got[10 * k] == 10 * k for k in range(120)) and all(c // 10 == d // 10 for d, c in got.items())
 
 
+def jaccard(a, b, k=5):
+    x, y = ({tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} for w in (a.split(), b.split()))
+    return len(x & y) / len(x | y)
+
+
+def linked_pairs(spark, pairs_):
+    """Of each pair of texts, whether near_duplicates joins them; nothing else may be joined."""
+    rows = [(2 * k + i, t) for k, p in enumerate(pairs_) for i, t in enumerate(p)]
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert all(c // 2 == d // 2 for d, c in got.items())
+    return [got[2 * k + 1] == 2 * k for k in range(len(pairs_))]
+
+
+def edited(seed, n, edits):
+    """A text of n words, and it with so many words changed, far enough from each other to change five shingles each."""
+    base = words(seed, n).split()
+    copy = list(base)
+    for at in random.Random(seed).sample(range(5, n - 5, 5), edits):
+        copy[at] = f"changed{seed}"
+    return " ".join(base), " ".join(copy)
+
+
+def test_near_duplicates_below_the_similarity(spark):
+    """Pairs below 0.8 aren't joined, nor are texts that share only a phrase repeated many times."""
+    below = [edited(20_000 + k, 200, 5 + k % 2) for k in range(60)]  # similarities of 0.77 and 0.73
+    phrase = [tuple(f"{words(30_000 + 2 * k + i, 200)}" + f" phrase{k} of eight words that is held often" * 40 for i in range(2)) for k in range(20)]
+    assert all(jaccard(*p) < 0.8 for p in below + phrase)
+    assert not any(linked_pairs(spark, below + phrase))
+
+
+def test_near_duplicates_in_a_large_bucket(spark, monkeypatch):
+    """Many edits of one text: all links of a large bucket are found, by its hub or not, in pieces too."""
+    monkeypatch.setattr(simhash, "PAIRED", 16)
+    monkeypatch.setattr(simhash, "BLOCK", 16)
+    r, base, texts_ = random.Random(3), words(9, 150).split(), []
+    for k in range(90):
+        copy = list(base)
+        for at in r.sample(range(150), 1 + k % 9):
+            copy[at] = f"changed{k}x{at}"
+        texts_.append(" ".join(copy))
+    near = [[j for j in range(90) if jaccard(texts_[i], texts_[j]) >= 0.8] for i in range(90)]
+    want = list(range(90))
+    for _ in range(90):
+        want = [min(want[j] for j in near[i]) for i in range(90)]
+    assert 1 < len(set(want)) < 90
+    same(simhash.near_duplicates(spark.createDataFrame(list(enumerate(texts_)), "doc_id bigint, text string")).collect(), list(enumerate(want)))
+
+
 def test_hot_buckets_in_pieces(spark, docs, rows, monkeypatch):
     """Buckets that are dealt to several tasks give the same links."""
     monkeypatch.setattr(simhash, "SPLIT", 5)
