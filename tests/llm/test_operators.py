@@ -282,6 +282,15 @@ def test_near_duplicates_below_the_similarity(spark):
     assert not any(linked_pairs(spark, below + phrase))
 
 
+def test_near_duplicates_are_candidates():
+    """All of 500 pairs each at similarities of 0.80, 0.82 and 0.85 agree on a band."""
+    r = np.random.default_rng(7)
+    for common, own in ((160, 20), (164, 18), (170, 15)):
+        for _ in range(500):
+            both, a, b = (r.integers(0, 2**64, n, dtype=np.uint64) for n in (common, own, own))
+            assert (simhash.band_keys(np.concatenate([both, a])) == simhash.band_keys(np.concatenate([both, b]))).any()
+
+
 def test_near_duplicates_in_a_large_bucket(spark, monkeypatch):
     """Many edits of one text: all links of a large bucket are found, by its hub or not, in pieces too."""
     monkeypatch.setattr(simhash, "PAIRED", 16)
