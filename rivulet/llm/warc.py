@@ -1,9 +1,10 @@
 """WARC writing and reading over a chunked record table.
 
-Payloads are written and read in pieces: a record is a run of rows (archive, record, chunk number, at most chunk_bytes of
-payload), each with the digest of the payload up to its end, so neither side holds a whole record beyond the input row.
-Archives are gzip members, one a record, in files that a manifest lists. The manifest is written by Spark's committer, so the
-files of failed or repeated attempts are never read.
+Oversized payloads are rows of (record, chunk number, at most chunk_bytes of payload) from the scan on: such rows are what is
+shuffled, written and read, with a digest that grows from chunk to chunk, so nothing beyond the input row holds a whole record.
+Which record is a response is decided on digests alone, before any payload moves. Archives are gzip members, one a record, in
+files that a manifest lists. The manifest is written by Spark's committer, so the files of failed or repeated attempts are
+never read.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rivulet.llm.common import limit_batches, utf8, work_path
+from rivulet.llm.common import limit_batches, utf8, work_path, written
 
 #: Payload bytes of a chunk row, compressed bytes read at once, and compressed bytes after which a new archive is begun.
 CHUNK, READ, ROLL = 1 << 20, 1 << 18, 1 << 30
@@ -34,8 +35,9 @@ def base32_sha1(h: "hashlib._Hash") -> str:
     return base64.b32encode(h.digest()).decode()
 
 
-def record_id(page: str, proof: str, repeat: int = 0) -> str:
-    return f"<urn:uuid:{uuid.uuid5(NAMES, f'{page}/{proof}/{repeat}')}>"
+def record_id(page: str, proof: str, row: int | None = None) -> str:
+    """Of a response that revisits refer to: of its page and payload; of others: also of its row."""
+    return f"<urn:uuid:{uuid.uuid5(NAMES, f'{page}/{proof}' if row is None else f'{page}/{proof}/{row}')}>"
 
 
 def opened(path: str) -> tuple[fs.FileSystem, str]:
@@ -44,18 +46,21 @@ def opened(path: str) -> tuple[fs.FileSystem, str]:
 
 
 class Archive:
-    """One file of gzip members; write() takes pieces and compresses as they come."""
+    """One file of gzip members; a record is begun, gets pieces, which are compressed as they come, and is ended."""
 
     def __init__(self, path: str):
         store, name = opened(path)
         store.create_dir(name.rpartition("/")[0], recursive=True)
-        self.path, self.out, self.records, self.bytes = path, store.open_output_stream(name, compression=None), 0, 0
+        self.path, self.out, self.records, self.bytes, self.z = path, store.open_output_stream(name, compression=None), 0, 0, None
 
-    def record(self, pieces: Iterator[bytes | memoryview]) -> None:
-        z = zlib.compressobj(1, zlib.DEFLATED, 31)
-        for piece in pieces:
-            self._put(z.compress(piece))
-        self._put(z.flush())
+    def begin(self) -> None:
+        self.z = zlib.compressobj(1, zlib.DEFLATED, 31)
+
+    def piece(self, data: bytes | memoryview) -> None:
+        self._put(self.z.compress(data))
+
+    def end(self) -> None:
+        self._put(self.z.flush())
         self.records += 1
 
     def _put(self, data: bytes) -> None:
@@ -73,53 +78,88 @@ def line(text: str | None) -> str:
     return "" if text is None else "".join(c if c >= " " else f"%{ord(c):02X}" for c in text)
 
 
+def head_of(page: str | None, uri: str | None, row: int, proof: str, size: int, sha: str, keeper: str | None, several: bool) -> tuple[bytes, bool]:
+    """A record's head, and whether it is a response. keeper: the page that its group's revisits refer to, if it has a group;
+    several: more than one record of the keeper's page has the payload, so that none can be referred to by its identifier."""
+    response = keeper is None or page == keeper
+    name = "null" if page is None else page
+    own = record_id(name, proof, None if response and keeper is not None and not several else row)
+    head = [
+        "WARC/1.1", f"WARC-Type: {'response' if response else 'revisit'}", f"WARC-Record-ID: {own}", f"WARC-Date: {DATE}", "Content-Type: application/octet-stream",
+        f"WARC-Payload-Digest: sha1:{base64.b32encode(bytes.fromhex(sha)).decode()}", f"Content-Length: {size if response else 0}", f"X-Payload-Length: {size}",
+    ]
+    if page is not None:
+        head.append(f"X-Page-ID: {line(page)}")
+    if uri is not None:
+        head.append(f"WARC-Target-URI: {line(uri)}")
+    if not response:
+        head += [f"WARC-Profile: {REVISIT}", f"X-Refers-To-Page-ID: {line(keeper)}"]
+        if not several:
+            head.append(f"WARC-Refers-To: {record_id(keeper, proof)}")
+    return ("\r\n".join(head) + "\r\n\r\n").encode(), response
+
+
+def keepers_of(marks: DataFrame, least_revisit: int) -> DataFrame:
+    """proof, bytes, keeper (the largest page), several: for payloads that several records have. marks: page, proof, bytes."""
+    by_page = marks.where(F.col("bytes") >= least_revisit).groupBy("proof", "bytes", "page").agg(F.count(F.lit(1)).alias("n"))
+    groups = by_page.groupBy("proof", "bytes").agg(F.max(F.struct("page", "n")).alias("last"), F.sum("n").alias("copies")).where("copies > 1 AND last.page IS NOT NULL")
+    return groups.select("proof", "bytes", F.col("last.page").cast("string").alias("keeper"), (F.col("last.n") > 1).alias("several"))
+
+
 def write_archives(pages: DataFrame, folder: str, id_col: str, url_col: str, payload_col: str, least_revisit: int, chunk_bytes: int) -> DataFrame:
     """Write pages as WARC records; the manifest, read back."""
     spark = pages.sparkSession
     limit_batches(spark)
-    size = F.octet_length("payload").cast("long")
-    rows = pages.select(F.col(id_col).alias("page"), F.col(url_col).cast("string").alias("uri"), utf8(payload_col).alias("payload")).withColumn("proof", F.sha2("payload", 256)).withColumn("bytes", size)
-    keepers = rows.where(F.col("bytes") >= least_revisit).groupBy("proof", "bytes").agg(F.max("page").alias("keeper"), F.count(F.lit(1)).alias("copies")).where("copies > 1").select("proof", "bytes", "keeper")
-    dealt = rows.join(keepers, ["proof", "bytes"], "left").select(F.col("page").cast("string"), "uri", "proof", F.when(F.col("keeper").isNotNull() & ~F.col("page").eqNullSafe(F.col("keeper")), F.col("keeper").cast("string")).alias("refers"), "payload")
+    payload = pages.select(F.col(id_col).alias("page"), F.col(url_col).cast("string").alias("uri"), utf8(payload_col).alias("payload"))
+    rows = payload.withColumns({"row": F.monotonically_increasing_id(), "proof": F.sha2("payload", 256), "sha": F.sha1("payload"), "bytes": F.octet_length("payload").cast("long")})
+    marks = written(rows.select("page", "proof", "bytes"), "warc-marks")
+    # written, so that the joins have an exchange of their own on this side and Spark can split a common payload's partition
+    keepers = written(keepers_of(marks, least_revisit), "warc-keepers")
+    same = [F.col("page").cast("string").alias("page"), "uri", "row", "proof", "bytes", "sha", "keeper", "several"]
+    response = F.col("keeper").isNull() | F.col("page").cast("string").eqNullSafe(F.col("keeper"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        task, archive, done = TaskContext.get(), None, []
-        seen: dict[tuple, int] = {}
+        task, archive, done, left, sha = TaskContext.get(), None, [], 0, None
         for batch in batches:
-            payloads = batch.column(4)
-            for k, (page, uri, proof, refers) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(4)))):
-                if archive is None or archive.bytes > ROLL:
-                    if archive:
-                        done.append(archive.close())
-                    archive = Archive(f"{folder}/archives/{task.partitionId():06d}-{task.taskAttemptId()}-{len(done)}.warc.gz")
-                payload = memoryview(payloads[k].as_buffer())
-                sha = hashlib.sha1()
-                for at in range(0, len(payload), chunk_bytes):
-                    sha.update(payload[at : at + chunk_bytes])
-                name = "null" if page is None else page
-                repeat = seen[name, proof] = seen.get((name, proof), -1) + 1
-                own = record_id(name, proof, repeat if page is not None else (task.partitionId() << 32) + repeat)
-                body = b"" if refers is not None else payload
-                head = [
-                    "WARC/1.1", f"WARC-Type: {'response' if refers is None else 'revisit'}", f"WARC-Record-ID: {own}", f"WARC-Date: {DATE}", "Content-Type: application/octet-stream",
-                    f"WARC-Payload-Digest: sha1:{base32_sha1(sha)}", f"Content-Length: {len(body)}", f"X-Payload-Length: {len(payload)}",
-                ]
-                if page is not None:
-                    head.append(f"X-Page-ID: {line(page)}")
-                if uri is not None:
-                    head.append(f"WARC-Target-URI: {line(uri)}")
-                if refers is not None:
-                    head += [f"WARC-Profile: {REVISIT}", f"WARC-Refers-To: {record_id(refers, proof)}", f"X-Refers-To-Page-ID: {line(refers)}"]
-                text = ("\r\n".join(head) + "\r\n\r\n").encode()
-                archive.record((text, *(body[at : at + chunk_bytes] for at in range(0, len(body), chunk_bytes)), b"\r\n\r\n"))
+            pieces = batch.column(9)
+            for k, (page, uri, row, proof, size, digest, keeper, several, chunk) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(9)))):
+                if chunk == 0:
+                    if archive is None or archive.bytes > ROLL:
+                        if archive:
+                            done.append(archive.close())
+                        archive = Archive(f"{folder}/archives/{task.partitionId():06d}-{task.taskAttemptId()}-{len(done)}.warc.gz")
+                    head, whole = head_of(page, uri, row, proof, size, digest, keeper, several)
+                    archive.begin()
+                    archive.piece(head)
+                    left, sha = size if whole else 0, hashlib.sha1()
+                if left:
+                    piece = memoryview(pieces[k].as_buffer())
+                    sha.update(piece)
+                    archive.piece(piece)
+                    left -= len(piece)
+                    if not left and sha.hexdigest() != digest:
+                        raise ValueError(f"the chunks of page {page} aren't its payload")
+                if not left:
+                    archive.piece(b"\r\n\r\n")
+                    archive.end()
+        if left:
+            raise ValueError("the last record's chunks aren't all there")
         if archive:
             done.append(archive.close())
         if done:
             yield pa.RecordBatch.from_arrays([pa.array([d[c] for d in done]) for c in range(3)], names=["archive", "records", "bytes"])
 
-    dealt.mapInArrow(write, MANIFEST).write.parquet(f"{folder}/manifest")
+    # a record of one chunk is a row; those of several are chunk rows, which are brought together by record
+    one = rows.where(F.col("bytes") <= chunk_bytes).join(keepers, ["proof", "bytes"], "left")
+    manifest = one.select(*same, F.lit(0).alias("chunk"), F.when(response, F.col("payload")).otherwise(F.lit(b"")).alias("piece")).mapInArrow(write, MANIFEST)
+    if (marks.agg(F.max("bytes")).first()[0] or 0) > chunk_bytes:
+        long = rows.where(F.col("bytes") > chunk_bytes).withColumn("chunk", F.explode(F.sequence(F.lit(0), ((F.col("bytes") - 1) / chunk_bytes).cast("int"))))
+        long = long.withColumn("payload", F.expr(f"substring(payload, chunk * {chunk_bytes} + 1, {chunk_bytes})")).join(keepers, ["proof", "bytes"], "left")
+        long = long.where((F.col("chunk") == 0) | response).select(*same, "chunk", F.col("payload").alias("piece"))
+        manifest = manifest.union(long.repartition("row", "proof").sortWithinPartitions("row", "proof", "chunk").mapInArrow(write, MANIFEST))
+    manifest.write.parquet(f"{folder}/manifest")
     return spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
 
 
@@ -231,8 +271,9 @@ def warc_round_trip(pages: DataFrame, folder: str | None = None, id_col: str = "
 
     Of rows with equal payloads of at least `least_revisit` bytes the largest id's is the response, the others revisit it.
     A null payload is empty; empty payloads are equal to each other. Null ids revisit a non-null one if there is any; groups of
-    null ids only are all responses, and so are rows that repeat the largest id with the same payload. Equality is that of
-    SHA-256 and length. Null URLs give records without target. folder: where archives and manifest go (shared; default a new one).
+    null ids only are all responses, and so are rows that repeat the largest id with the same payload (their revisits name the
+    page, but no record identifier). Equality is that of SHA-256 and length. Null URLs give records without target. Payloads of
+    over chunk_bytes are cut at the scan. folder: where archives and manifest go (shared; default a new one).
     """
     spark = pages.sparkSession
     manifest = write_archives(pages, folder or work_path(spark, "warc"), id_col, url_col, payload_col, least_revisit, chunk_bytes)
