@@ -13,16 +13,19 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rivulet.llm.common import limit_batches, scan_bytes, utf8, written
+from rivulet.llm.common import BATCH_BYTES, limit_batches, scan_bytes, utf8, written
 
 STRIP = b" \t\n\x0b\x0c\r"
 #: Input bytes a shard of the index stands for, and probes that one task answers against a copy of a shard.
 SHARD_BYTES, PROBES = 64 << 20, 1_000_000
+#: Batches whose entries of a shard are combined at once; beyond as many, batches are combined in groups first.
+COMBINED = 4096
 #: Levels of the perfect hash, and slots per key on each.
 LEVELS, GAMMA = 48, 2
+#: The document that rows without id are.
 NULL_ID = np.iinfo(np.int64).max
 
 
@@ -97,10 +100,11 @@ class PerfectHash:
         return cls(levels)
 
 
-#: Per batch and shard: probes (hash, document) and, for building, one entry a hash: smallest and largest document, count.
-ENTRIES = "shard int, piece long, n long, hashes binary, owners binary, b_hashes binary, b_least binary, b_most binary, b_count binary"
-#: Per shard: perfect hash, 32-bit fingerprints, counts (documents, up to 2**32 - 1), owners, and whether several documents hold the line.
-INDEX = "shard int, probes long, sizes binary, bits binary, prints binary, counts binary, owners binary, several binary"
+#: Per batch and shard: probes (hash, document, hash of its text) and, for building, one entry a hash: smallest and largest document, count.
+ENTRIES = "shard int, piece long, n long, hashes binary, owners binary, texts binary, b_hashes binary, b_least binary, b_most binary, b_count binary"
+#: Per shard: perfect hash, 32-bit fingerprints, counts (1: a single document; up to 2**32 - 1) and owners.
+INDEX = "shard int, probes long, sizes binary, bits binary, prints binary, counts binary, owners binary"
+PARTIAL = "shard int, n long, b_hashes binary, b_least binary, b_most binary, b_count binary"
 
 
 def entries(docs: DataFrame, id_col: str, text_col: str, shards: int, least_chars: int) -> DataFrame:
@@ -109,91 +113,120 @@ def entries(docs: DataFrame, id_col: str, text_col: str, shards: int, least_char
 
         part, number = TaskContext.get().partitionId(), 0
         for batch in batches:
-            hashes, owners = [], []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            hashes, owners, marks = [], [], []
+            for doc, mark, text in zip(*(batch.column(c).to_pylist() for c in range(3))):
                 keys = {key for line in text.split(b"\n") if long_enough(key := line_key(line), least_chars)}
                 hashes += map(line_hash, keys)
-                owners += [NULL_ID if doc is None else doc] * len(keys)
+                owners += [doc] * len(keys)
+                marks += [mark] * len(keys)
             if not hashes:
                 continue
             h = np.frombuffer(b"".join(hashes), ">u8").astype(np.uint64).reshape(-1, 2)
-            d = np.array(owners, np.int64)
+            d, m = np.array(owners, np.int64), np.array(marks, np.int64)
             shard = (h[:, 0] % np.uint64(shards)).astype(np.int64)
-            order = np.lexsort((d, h[:, 1], h[:, 0], shard))
-            h, d, shard = h[order], d[order], shard[order]
+            order = np.lexsort((m, d, h[:, 1], h[:, 0], shard))
+            h, d, m, shard = h[order], d[order], m[order], shard[order]
+            other = np.concatenate([[True], (h[1:] != h[:-1]).any(axis=1) | (d[1:] != d[:-1]) | (m[1:] != m[:-1])])  # equal rows probe once
+            h, d, m, shard = h[other], d[other], m[other], shard[other]
             new = np.concatenate([[True], (h[1:] != h[:-1]).any(axis=1)])  # equal hashes are neighbours: one shard
             first = np.flatnonzero(new)
             ends = np.append(first[1:], len(d))
             count = np.add.reduceat(np.concatenate([[True], new[1:] | (d[1:] != d[:-1])]).astype(np.int64), first)
-            cols: list[list] = [[] for _ in range(9)]
+            cols: list[list] = [[] for _ in range(10)]
             at = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]]))
             for s, e in zip(at, np.append(at[1:], len(d))):
                 fs, fe = np.searchsorted(first, [s, e])
-                for c, v in zip(cols, (int(shard[s]), (part << 24) + number, int(e - s), h[s:e].tobytes(), d[s:e].tobytes(), h[first[fs:fe]].tobytes(), d[first[fs:fe]].tobytes(), d[ends[fs:fe] - 1].tobytes(), count[fs:fe].tobytes())):
+                for c, v in zip(cols, (int(shard[s]), (part << 24) + number, int(e - s), h[s:e].tobytes(), d[s:e].tobytes(), m[s:e].tobytes(), h[first[fs:fe]].tobytes(), d[first[fs:fe]].tobytes(), d[ends[fs:fe] - 1].tobytes(), count[fs:fe].tobytes())):
                     c.append(v)
             number += 1
-            kinds = [pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 6]
+            kinds = [pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 7]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=[x.split()[0] for x in ENTRIES.split(", ")])
 
     limit_batches(docs.sparkSession)
-    return docs.select(F.col(id_col).cast("long").alias("id"), utf8(text_col).alias("t")).mapInArrow(pack, ENTRIES)
+    return docs.select(owner_of(id_col).alias("id"), mark_of(text_col).alias("mark"), utf8(text_col).alias("t")).mapInArrow(pack, ENTRIES)
 
 
-def build_shard(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Index of one shard, from the batches' pre-aggregated entries."""
+def owner_of(id_col: str) -> Column:
+    return F.coalesce(F.col(id_col).cast("long"), F.lit(int(NULL_ID)))
+
+
+def mark_of(text_col: str) -> Column:
+    """Tells rows with one id apart."""
+    return F.xxhash64(utf8(text_col))
+
+
+def combined(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct hashes of some entries, with smallest and largest document and count."""
     h = np.frombuffer(b"".join(pdf["b_hashes"]), np.uint64).reshape(-1, 2)
     least, most, count = (np.frombuffer(b"".join(pdf[c]), np.int64) for c in ("b_least", "b_most", "b_count"))
     order = np.lexsort((h[:, 1], h[:, 0]))
     h, least, most, count = h[order], least[order], most[order], count[order]
     first = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]).any(axis=1)]))
-    lo, hi = np.ascontiguousarray(h[first, 0]), np.ascontiguousarray(h[first, 1])
-    least, most, count = np.minimum.reduceat(least, first), np.maximum.reduceat(most, first), np.add.reduceat(count, first)
+    return h[first], np.minimum.reduceat(least, first), np.maximum.reduceat(most, first), np.add.reduceat(count, first)
+
+
+def combine_batches(pdf: pd.DataFrame) -> pd.DataFrame:
+    """One entry a hash of some batches of a shard."""
+    arrays = [x.tobytes() for x in combined(pdf)]
+    return pd.DataFrame([(pdf["shard"].iloc[0], int(pdf["n"].sum()), *arrays)], columns=["shard", "n", "b_hashes", "b_least", "b_most", "b_count"])
+
+
+def build_shard(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Index of one shard, from the batches' pre-aggregated entries."""
+    h, least, most, count = combined(pdf)
+    lo, hi = np.ascontiguousarray(h[:, 0]), np.ascontiguousarray(h[:, 1])
     table = PerfectHash.build(lo, hi)
     at = table.numbers(lo, hi)
-    prints, counts, owners, several = np.zeros(len(lo), np.uint32), np.zeros(len(lo), np.uint32), np.zeros(len(lo), np.int64), np.zeros(len(lo), bool)
-    prints[at], counts[at], owners[at], several[at] = hi.astype(np.uint32), np.minimum(count, 2**32 - 1), least, least != most
+    prints, counts, owners = np.zeros(len(lo), np.uint32), np.zeros(len(lo), np.uint32), np.zeros(len(lo), np.int64)
+    # a document may be in several batches' counts (rows that share an id): whether there is another one, the ids tell
+    prints[at], counts[at], owners[at] = hi.astype(np.uint32), np.where(least == most, 1, np.clip(count, 2, 2**32 - 1)), least
     sizes, bits = table.packed()
-    return pd.DataFrame([{"shard": pdf["shard"].iloc[0], "probes": int(pdf["n"].sum()), "sizes": sizes, "bits": bits, "prints": prints.tobytes(), "counts": counts.tobytes(), "owners": owners.tobytes(), "several": np.packbits(several).tobytes()}])
+    return pd.DataFrame([{"shard": pdf["shard"].iloc[0], "probes": int(pdf["n"].sum()), "sizes": sizes, "bits": bits, "prints": prints.tobytes(), "counts": counts.tobytes(), "owners": owners.tobytes()}])
 
 
 def probe_shard(probes: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
-    """(document, line hash) of the probes whose line several documents hold and another one owns."""
-    none = pd.DataFrame({"id": np.empty(0, np.int64), "hash": np.empty(0, object)})
+    """(document, hash of its text, line hash) of the probes whose line several documents hold and another one owns."""
+    none = pd.DataFrame({"id": np.empty(0, np.int64), "mark": np.empty(0, np.int64), "hash": np.empty(0, object)})
     if probes.empty or index.empty:
         return none
     one = index.iloc[0]
     table = PerfectHash.unpacked(one["sizes"], one["bits"])
-    prints, owners = np.frombuffer(one["prints"], np.uint32), np.frombuffer(one["owners"], np.int64)
-    several = np.unpackbits(np.frombuffer(one["several"], np.uint8), count=table.size).astype(bool)
+    prints, counts, owners = np.frombuffer(one["prints"], np.uint32), np.frombuffer(one["counts"], np.uint32), np.frombuffer(one["owners"], np.int64)
     out = [none]
-    for hashes, docs in zip(probes["hashes"], probes["owners"]):
-        h, d = np.frombuffer(hashes, np.uint64).reshape(-1, 2), np.frombuffer(docs, np.int64)
+    for hashes, docs, marks in zip(probes["hashes"], probes["owners"], probes["texts"]):
+        h, d, m = np.frombuffer(hashes, np.uint64).reshape(-1, 2), np.frombuffer(docs, np.int64), np.frombuffer(marks, np.int64)
         lo, hi = np.ascontiguousarray(h[:, 0]), np.ascontiguousarray(h[:, 1])
         at = table.numbers(lo, hi)
-        drop = np.flatnonzero((at >= 0) & (prints[at] == hi.astype(np.uint32)) & several[at] & (owners[at] != d))
+        drop = np.flatnonzero((at >= 0) & (prints[at] == hi.astype(np.uint32)) & (counts[at] > 1) & (owners[at] != d))
         if len(drop):
             big = h[drop].astype(">u8").tobytes()
-            out.append(pd.DataFrame({"id": d[drop], "hash": [big[16 * k : 16 * k + 16] for k in range(len(drop))]}))
+            out.append(pd.DataFrame({"id": d[drop], "mark": m[drop], "hash": [big[16 * k : 16 * k + 16] for k in range(len(drop))]}))
     return pd.concat(out, ignore_index=True)
 
 
-def line_index(made: DataFrame) -> DataFrame:
-    """The sharded index of `entries`."""
-    return made.select("shard", "n", "b_hashes", "b_least", "b_most", "b_count").groupBy("shard").applyInPandas(build_shard, INDEX)
+def line_index(made: DataFrame, batches: int) -> DataFrame:
+    """The sharded index of `entries`. batches: about how many there are; a line that all hold has an entry a batch in its shard,
+    which beyond COMBINED are combined in groups first."""
+    parts = made.select("shard", "piece", "n", "b_hashes", "b_least", "b_most", "b_count")
+    if batches > COMBINED:
+        group = F.pmod(F.xxhash64("piece"), F.lit(-(-batches // COMBINED)))
+        parts = parts.withColumn("group", group).groupBy("shard", "group").applyInPandas(lambda pdf: combine_batches(pdf), PARTIAL)
+    return parts.drop("piece").groupBy("shard").applyInPandas(build_shard, INDEX)
 
 
 def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_chars: int = 10) -> DataFrame:
-    """id, drops: for each document with lines to lose, their 128-bit hashes."""
+    """id, mark (hash of the text), drops: for each document with lines to lose, their 128-bit hashes."""
     spark = docs.sparkSession
-    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-scan_bytes(docs, text_col) // SHARD_BYTES))
+    size = scan_bytes(docs, text_col)
+    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES))
     made = written(entries(docs, id_col, text_col, shards, least_chars), "line-entries")
-    index = written(line_index(made), "line-index")
+    index = written(line_index(made, -(-size // BATCH_BYTES)), "line-index")
     copies = F.greatest(F.lit(1), F.ceil(F.col("probes") / PROBES)).cast("int")
-    probes = made.select("shard", "piece", "hashes", "owners").join(index.select("shard", copies.alias("copies")), "shard")
+    probes = made.select("shard", "piece", "hashes", "owners", "texts").join(index.select("shard", copies.alias("copies")), "shard")
     probes = probes.withColumn("copy", F.pmod(F.xxhash64("piece"), F.col("copies")).cast("int"))
     copied = index.select("*", F.explode(F.sequence(F.lit(0), copies - 1)).alias("copy"))
-    drops = probes.groupBy("shard", "copy").cogroup(copied.groupBy("shard", "copy")).applyInPandas(probe_shard, "id long, hash binary")
-    return written(drops.groupBy("id").agg(F.collect_list("hash").alias("drops")), "line-drops")
+    drops = probes.groupBy("shard", "copy").cogroup(copied.groupBy("shard", "copy")).applyInPandas(probe_shard, "id long, mark long, hash binary")
+    return written(drops.groupBy("id", "mark").agg(F.collect_set("hash").alias("drops")), "line-drops")
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_chars: int = 10, out: str = "line_dedup") -> DataFrame:
@@ -202,13 +235,14 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Lines split at \\n; a null or empty text is one empty line. A line's key is the line without white space at its ends and
     with A-Z lower-cased. Keys of at least `least_chars` code points that at least two documents hold lose all their lines
     except those of the smallest id that holds them, where all stay. Rows that repeat an id are one document. Null ids are one
-    document that comes after all others. A column of docs that is named like `out` is replaced. Ids must be integers.
+    document that comes after all others. A row's verdicts are found by its id and a 64-bit hash of its text. A column of docs
+    that is named like `out` is replaced. Ids must be integers.
     """
     drops = dropped_lines(docs, id_col, text_col, least_chars)
     docs = docs.drop(out)
-    key, text, lost = f"__{out}_id", f"__{out}_text", f"__{out}_drops"
-    own = docs.withColumn(key, F.coalesce(F.col(id_col).cast("long"), F.lit(int(NULL_ID))))
-    work = own.join(drops.select(F.col("id").alias(key), F.col("drops").alias(lost)), key, "left").drop(key)
+    key, mark, text, lost = f"__{out}_id", f"__{out}_mark", f"__{out}_text", f"__{out}_drops"
+    own = docs.withColumns({key: owner_of(id_col), mark: mark_of(text_col)})
+    work = own.join(drops.select(F.col("id").alias(key), F.col("mark").alias(mark), F.col("drops").alias(lost)), [key, mark], "left").drop(key, mark)
     work = work.withColumn(text, utf8(text_col)).withColumn(lost, F.coalesce(lost, F.array().cast("array<binary>")))
     columns = docs.columns
 
