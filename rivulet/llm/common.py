@@ -6,8 +6,9 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rivulet.packaging import ship_package
@@ -15,6 +16,9 @@ from rivulet.packaging import ship_package
 #: Bytes of one Arrow batch sent to Python. With two Python workers an executor this bounds what a task holds.
 BATCH_BYTES = 8 << 20
 
+#: Bits of a Bloom filter a key, and of all that one may have (8 MB).
+BLOOM_BITS, BLOOM_MOST = 10, 1 << 26
+
 #: The white space of the contracts, as a Java/Python character class body.
 SPACE = r"\x20\x09-\x0D"
 
@@ -77,29 +81,67 @@ def binary_parts(column: pa.Array) -> tuple[memoryview, np.ndarray]:
     return memoryview(values if values is not None else b""), at
 
 
+def maybe_in(keys: DataFrame, column: str, n: int) -> Callable[[Column], Column] | None:
+    """A test that is true for every one of the n longs of keys' column and for about one in a hundred others: a Bloom filter of
+    BLOOM_BITS a key. None if that would be over BLOOM_MOST bits: what it should keep out of a shuffle then has to go through it.
+    """
+    size = max(1, -(-BLOOM_BITS * n // (1 << 15))) << 15
+    if size > BLOOM_MOST:
+        return None
+
+    def places(key: Column) -> list[Column]:
+        return [F.pmod(F.xxhash64(F.lit(k), key), F.lit(size)) for k in range(4)]
+
+    at = keys.select(F.explode(F.array(*places(F.col(column)))).alias("at")).select((F.col("at") + 1).alias("at"))
+    made = at.groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
+    bits = np.zeros(size >> 3, np.uint8)
+    for row in made.toLocalIterator():  # BLOOM_MOST bits at most
+        bits[(row["bucket"] - 1) << 12 : row["bucket"] << 12] = np.frombuffer(row["bits"], np.uint8)
+    shared = keys.sparkSession.sparkContext.broadcast(bits)
+
+    @F.pandas_udf("boolean")
+    def test(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
+        found = np.ones(len(a), np.uint8)
+        for x in (a.to_numpy(), b.to_numpy(), c.to_numpy(), d.to_numpy()):
+            found &= shared.value[x >> 3] >> (x & 7).astype(np.uint8)
+        return pd.Series((found & 1).astype(bool))
+
+    return lambda key: test(*places(key))
+
+
 def tree_sum(partials: DataFrame, key: str, vector: str, parts: int) -> DataFrame:
-    """Sum float64 vectors (packed as binary) by key, in two levels of streaming adders.
+    """Sum float64 vectors (packed as binary) by key; parts: about how many rows a key has.
 
-    Each adder holds one vector a key, never the partials of a key; no key's partials are grouped in memory.
+    Adders get their rows by key and hold one vector, whatever the numbers of keys and rows; from 16 rows on they work in two levels,
+    so that none gets more than about the root of a key's rows.
     """
     schema = partials.select(key, vector).schema
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict = {}
+        now, total = None, None
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([now], schema_types[0]), pa.array([total.tobytes()], pa.binary())], names=[key, vector])
+
+        schema_types = None
         for batch in batches:
+            schema_types = [f.type for f in batch.schema]
             for k, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 x = np.frombuffer(v, np.float64)
-                if k in sums:
-                    sums[k] += x
-                else:
-                    sums[k] = x.copy()
-        if sums:
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums), type=batch.schema.field(0).type), pa.array([v.tobytes() for v in sums.values()], type=batch.schema.field(1).type)], names=[key, vector])
+                if total is not None and k == now:
+                    total += x
+                    continue
+                if total is not None:
+                    yield out()
+                now, total = k, x.copy()
+        if total is not None:
+            yield out()
 
     level = partials.select(key, vector)
     if parts > 16:
-        level = level.repartition(max(2, int(parts**0.5))).mapInArrow(add, schema)
-    return level.repartition(1).mapInArrow(add, schema)
+        salt = F.pmod(F.monotonically_increasing_id(), F.lit(int(parts**0.5)))
+        level = level.withColumn("_salt", salt).repartition(key, "_salt").sortWithinPartitions(key).select(key, vector).mapInArrow(add, schema)
+    return level.repartition(key).sortWithinPartitions(key).mapInArrow(add, schema)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

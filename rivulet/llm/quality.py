@@ -12,9 +12,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rivulet.llm.common import limit_batches, scan_bytes, tree_sum, utf8, written
 from rivulet.llm.language_id import held_out
@@ -97,17 +99,24 @@ def isotonic(y: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return np.repeat([p[0] for p in pools], [int(p[2]) for p in pools])
 
 
-def document_statistics(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, x: an array of STATISTICS."""
+def with_statistics(docs: DataFrame, text_col: str = "text", out: str = "x", columns: list[str] | None = None) -> DataFrame:
+    """The rows of docs with its columns (or some of them) and `out`: an array of STATISTICS. Null texts count as empty; a column named
+    like `out` is replaced."""
+    columns = [c for c in docs.columns if c != out] if columns is None else columns
+    work = docs.select(*columns, utf8(text_col).alias(f"__{out}_text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = matrix(batch.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(x), pa.list_(pa.float64()))], names=["id", "x"])
+            x = matrix(batch.column(batch.num_columns - 1).to_pylist())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(list(x), pa.list_(pa.float64()))], names=[*columns, out])
 
     limit_batches(docs.sparkSession)
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), utf8(text_col).alias("t")).mapInArrow(count, f"id {kind}, x array<double>")
+    return work.mapInArrow(count, T.StructType([*work.schema.fields[:-1], T.StructField(out, T.ArrayType(T.DoubleType()))]))
+
+
+def document_statistics(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, x: an array of STATISTICS."""
+    return with_statistics(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")), "t", columns=["id"])
 
 
 def fit(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality") -> QualityModel:
@@ -167,7 +176,12 @@ def fit(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col:
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", parts: int = 3, part: int = 1) -> tuple[QualityModel, DataFrame]:
     """Model from the labelled documents that aren't held out, and every document's statistics."""
     stats = written(document_statistics(docs, id_col, text_col), "statistics")
-    return fit(stats.where(~held_out("id", parts, part)), labels, id_col, label_col), stats
+    return train_on(stats, labels, id_col, label_col, parts, part), stats
+
+
+def train_on(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", parts: int = 3, part: int = 1) -> QualityModel:
+    """Model from the rows of stats (id, x) that have labels and aren't held out."""
+    return fit(stats.where(~held_out("id", parts, part)), labels, id_col, label_col)
 
 
 def score(stats: DataFrame, model: QualityModel) -> DataFrame:
@@ -181,14 +195,11 @@ def score(stats: DataFrame, model: QualityModel) -> DataFrame:
     return stats.select("id", "x").mapInArrow(apply, f"id {stats.schema['id'].dataType.simpleString()}, score double")
 
 
-def keep_good(docs: DataFrame, model: QualityModel, text_col: str = "text", least: float = 0.5) -> DataFrame:
-    """The rows of docs that score at least `least`; columns as in docs. Null texts are scored as empty ones. One pass, no shuffle."""
-    limit_batches(docs.sparkSession)
-    text, columns = "__quality_text", docs.columns
+def keep_good(rows: DataFrame, model: QualityModel, statistics: str = "x", least: float = 0.5) -> DataFrame:
+    """The rows that score at least `least`, without the column of statistics (of with_statistics). One pass, no shuffle; texts stay in the JVM."""
 
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = model.scores(matrix(batch.column(batch.num_columns - 1).to_pylist())) >= least
-            yield pa.RecordBatch.from_arrays(batch.columns[:-1], names=columns).filter(pa.array(good))
+    @F.pandas_udf("double")
+    def scored(x: pd.Series) -> pd.Series:
+        return pd.Series(model.scores(np.array(x.tolist(), float).reshape(-1, len(STATISTICS))))
 
-    return docs.withColumn(text, utf8(text_col)).mapInArrow(keep, docs.schema)
+    return rows.where(scored(statistics) >= least).drop(statistics)
