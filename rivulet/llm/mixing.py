@@ -17,30 +17,33 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rivulet.llm.common import SPACE, limit_batches, written
+from rivulet.operators.numbering import numbered
 
 WORD = f"[^{SPACE}]+"
-#: Documents of a block, sources of a corpus (their totals are gathered on the driver), and what counts as 0 or 1.
-BLOCK, MAX_SOURCES, EPS = 1_000, 1_000_000, 1e-9
-
-
-def targets(sizes: list[tuple[str | None, int]], share: float, weights: tuple[float, ...], ceiling: float) -> dict[str | None, float]:
-    """Target of each source: the weights repeat over the sources in order of code points, null last; no target is over
-    `ceiling` times the source's size, and what is over is shared again by weight until none is above."""
-    order = sorted(sizes, key=lambda x: (x[0] is None, x[0] or ""))
-    weight = {s: weights[k % len(weights)] for k, (s, _) in enumerate(order)}
-    size = dict(order)
-    left, free, out = share * sum(size.values()), [s for s, _ in order], {}
-    while free:
-        unit = left / sum(weight[s] for s in free)
-        full = [s for s in free if unit * weight[s] >= ceiling * size[s]]
-        if not full:
-            return out | {s: unit * weight[s] for s in free}
-        for s in full:
-            out[s] = ceiling * size[s]
-            left -= out[s]
-        free = [s for s in free if s not in out]
-        left = max(left, 0.0)
-    return out
+#: Documents of a block, rows that can't be told apart numbered in one step, and what counts as 0 or 1.
+BLOCK, STEP, EPS = 1_000, 4_096, 1e-9
+
+
+def targets(totals: DataFrame, share: float, weights: tuple[float, ...], ceiling: float) -> DataFrame:
+    """totals (source, source_size and others) with rank and target.
+
+    The weights repeat over the sources in order of code points, null last. A source's target is its weight times a unit, or
+    `ceiling` times its size if that is less; the unit is raised until the targets make up `share` of all sizes, or none is
+    below its ceiling. Sources are numbered without bringing them together, and only sums over them reach the driver.
+    """
+    ranked, _ = numbered(totals, ["source"], "rank")
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("rank") % len(weights) + 1).cast("int"))
+    ranked = written(ranked.withColumn("weight", weight), "mix-ranks")
+    most = F.col("source_size") * ceiling
+    first = ranked.agg(F.sum("source_size").alias("size"), F.sum("weight").alias("weight")).first()
+    whole, unit, full = share * (first["size"] or 0), share * (first["size"] or 0) / (first["weight"] or 1), 0
+    while True:
+        over = F.lit(unit) * F.col("weight") >= most
+        now = ranked.agg(F.sum(F.when(over, F.col("source_size"))).alias("size"), F.sum(F.when(~over, F.col("weight"))).alias("weight"), F.count_if(over).alias("n")).first()
+        if now["n"] == full or not now["weight"]:
+            break
+        unit, full = max(0.0, whole - ceiling * (now["size"] or 0)) / now["weight"], now["n"]
+    return ranked.withColumn("target", F.when(over, most).otherwise(F.lit(unit) * F.col("weight"))).drop("weight")
 
 
 def fly(pi: np.ndarray, size: np.ndarray, rng: random.Random) -> np.ndarray:
@@ -73,26 +76,13 @@ def fly(pi: np.ndarray, size: np.ndarray, rng: random.Random) -> np.ndarray:
     return np.array(p)
 
 
-def land(pi: np.ndarray, size: np.ndarray, flips: int = 3) -> np.ndarray:
-    """Landing: the at most two probabilities left become 0 or 1 so that words, then documents, stray least; then at most
-    `flips` documents change sides while that brings the words nearer."""
+def land(pi: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Landing: the at most two probabilities left become 0 or 1 so that words, then documents, stray least."""
     p = pi.copy()
     open_ = np.flatnonzero((p > 0) & (p < 1))
-    if not len(open_):
-        return p
-    own, weight = p[open_], size[open_].astype(float)
-    best = min(np.ndindex(*[2] * len(open_)), key=lambda x: (abs(float(((np.array(x) - own) * weight).sum())), abs(float((np.array(x) - own).sum())), x))
-    p[open_] = best
-    over = float(((np.array(best) - own) * weight).sum())
-    for _ in range(flips):
-        side = np.flatnonzero((p == (1.0 if over > 0 else 0.0)) & (size > 0))
-        if not len(side):
-            break
-        k = side[np.abs(size[side] - abs(over)).argmin()]
-        after = over + (size[k] if p[k] == 0 else -size[k])
-        if abs(after) >= abs(over):
-            break
-        p[k], over = 1 - p[k], float(after)
+    if len(open_):
+        own, weight = p[open_], size[open_].astype(float)
+        p[open_] = min(np.ndindex(*[2] * len(open_)), key=lambda x: (abs(float(((np.array(x) - own) * weight).sum())), abs(float((np.array(x) - own).sum())), x))
     return p
 
 
@@ -117,29 +107,25 @@ def mix(docs: DataFrame, share: float = 1.5, weights: tuple[float, ...] = (5.0,
 
     Null texts have 0 words. The null source is a source of its own and comes last in the order. No document is taken more
     than ceil(`ceiling`) times, so its words are at most that times its size. A source without words has target 0. Draws
-    depend on ids, sizes and the seed alone, so reruns agree; rows that repeat an id and a size are drawn on their own.
-    Ids may be null or of any type that sorts. Other columns are ignored. Over a million sources raise an error: their totals
-    are gathered on the driver.
+    depend on ids, sources, sizes, texts and the seed alone, so reruns agree; rows that agree in all of them are drawn on their
+    own. All but two documents of a source at most are drawn with probabilities that keep its words and its number of documents;
+    those land so that its words stray least. Ids may be null or of any type that sorts. Other columns are ignored.
     """
     spark = docs.sparkSession
     limit_batches(spark)
-    sized = written(docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), words(text_col).alias("size")), "mix-sizes")
+    sized = written(docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), words(text_col).alias("size"), F.xxhash64(text_col).alias("h")), "mix-sizes")
     totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
-    rows = totals.limit(MAX_SOURCES + 1).collect()
-    if len(rows) > MAX_SOURCES:
-        raise ValueError(f"over {MAX_SOURCES} sources")
-    goal = targets([(r["source"], r["source_size"]) for r in rows], share, weights, ceiling)
-    plan = []
-    for k, r in enumerate(sorted(rows, key=lambda r: (r["source"] is None, r["source"] or ""))):
-        t = float(goal[r["source"]])
-        rate = t / r["source_size"] if r["source_size"] else 0.0
-        whole = int(rate + EPS)
-        plan.append((r["source"], k, r["source_size"], t, whole, max(0.0, rate - whole), -(-r["n"] // BLOCK)))
-    sources = spark.createDataFrame(plan, "source string, rank int, source_size long, target double, whole int, pi double, blocks int")
-    state = sized.join(sources, sized["source"].eqNullSafe(sources["source"])).select("id", "size", "rank", "pi", "blocks")
-    tie = F.xxhash64(F.lit(seed), F.col("id").cast("string"), F.col("size"))
-    state = state.withColumn("tie", tie).withColumn("block", F.pmod("tie", F.col("blocks")).cast("int"))
-    most, rounds = max([p[-1] for p in plan], default=1), []
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    plan = targets(totals, share, weights, ceiling).withColumn("whole", F.floor(rate + EPS).cast("int")).withColumn("pi", F.greatest(F.lit(0.0), rate - F.col("whole")))
+    sources = written(plan.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).drop("n"), "mix-sources")
+    alike = sized.groupBy("id", "source", "size", "h").agg(F.count(F.lit(1)).alias("m"))
+    # rows that can't be told apart get numbers, in two steps: none makes an array of all of them
+    alike = alike.withColumn("high", F.explode(F.sequence(F.lit(0), F.expr(f"(m - 1) div {STEP}"))))
+    alike = alike.withColumn("low", F.explode(F.sequence(F.lit(0), F.least(F.lit(STEP), F.col("m") - F.col("high") * STEP) - 1)))
+    state = alike.withColumn("tie", F.xxhash64(F.lit(seed), F.col("id").cast("string"), "source", "size", "h", "high", "low"))
+    state = state.join(sources.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).select("id", "size", "rank", "pi", "blocks", "tie")
+    state = state.withColumn("block", F.pmod("tie", F.col("blocks")).cast("int"))
+    most, rounds = sources.agg(F.max("blocks")).first()[0] or 1, []
     while True:
         last = most <= 1
         kind = state.schema
