@@ -7,6 +7,7 @@ version; only the misses are encoded, each once, and appended to the cache. Copi
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 from collections.abc import Iterator
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rivulet.llm.common import limit_batches, work_path, written
+from rivulet.llm.common import limit_batches, maybe_in, work_path, written
 
 #: ASCII white space, which this kind of tokenizer splits at before anything else.
 SPACES = re.compile(r"[\t-\r ]+")
@@ -42,12 +43,39 @@ def loaded(path: str):
     return t
 
 
+#: Normalisers that do the same to a text as to its words.
+BY_WORD = ("NFC", "NFD", "NFKC", "NFKD", "Lowercase", "StripAccents")
+
+
+def splits_at_spaces(path: str) -> bool:
+    """Whether the tokenizer drops ASCII white space and never joins what it separates, by its file: its normalisers work on words, and
+    its first pre-tokenizer keeps only pieces without white space. False where the file doesn't tell."""
+    import regex
+
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    norm, first = spec.get("normalizer"), spec.get("pre_tokenizer") or {}
+    steps = [] if norm is None else norm["normalizers"] if norm["type"] == "Sequence" else [norm]
+    if not all(x["type"] in BY_WORD or (x["type"] == "Replace" and x["pattern"].get("Regex") == r"\s+" and x["content"] == " ") for x in steps):
+        return False
+    if any(re.search(r"\s", x["content"]) for x in spec.get("added_tokens") or []):
+        return False
+    while first.get("type") == "Sequence":
+        first = first["pretokenizers"][0]
+    if first.get("type") in ("Whitespace", "WhitespaceSplit", "BertPreTokenizer"):
+        return True
+    if first.get("type") != "Split" or first.get("behavior") != "Removed" or not first.get("invert") or "Regex" not in first["pattern"]:
+        return False
+    probe = " ".join(f"{a}{space}{b}" for a in "aÉ1!'\u0301" for b in "aÉ1!'\u0301" for space in (" ", "  ", "\t", "\n", "\r\n", "\v", "\f"))
+    return not any(SPACES.search(piece) for piece in regex.findall(first["pattern"]["Regex"], probe))
+
+
 #: Counts of words that this worker process has encoded, by tokenizer; emptied at so many words.
 _words: dict[str, dict[str, int]] = {}
 WORDS = 600_000
 
 
-def encode_count(path: str, texts: list[str], by_word: bool = True) -> list[int]:
+def encode_count(path: str, texts: list[str], by_word: bool) -> list[int]:
     """Tokens of each text, without added special tokens.
 
     by_word: the tokenizer never joins characters across ASCII white space, so a text's count is the sum of its words' counts,
@@ -86,27 +114,34 @@ def read_cache(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(CACHE).parquet(path)
 
 
-def token_counts(docs: DataFrame, tokenizer: str, cache: str | None = None, id_col: str = "doc_id", text_col: str = "text", limit: int = 2048, by_word: bool = True) -> DataFrame:
+def token_counts(docs: DataFrame, tokenizer: str, cache: str | None = None, id_col: str = "doc_id", text_col: str = "text", limit: int = 2048, by_word: bool | None = None) -> DataFrame:
     """One row per document: id_col, n_bytes (UTF-8), n_tokens, over_limit.
 
     tokenizer: path of a tokenizers .json file that every executor has. cache: folder of the digest cache, in a store that all
     executors share; it is created or appended to (default: a new one). A digest may stand there more than once (rows that
     repeat an id and a text may be encoded by several tasks); all its counts are equal. Special strings inside texts are handled as the
     tokenizer's default; nothing is truncated or padded. Null texts are empty (0 bytes). Rows with null or repeated ids
-    are counted like any other. by_word: the tokenizer drops white space and splits there (as this one's does); set it to
-    False for others, whose digests and encodings then are of whole texts.
+    are counted like any other. by_word: the tokenizer drops white space and splits there, so that words that recur are encoded
+    once; None: as its file says. Otherwise digests and encodings are of whole texts. Where less than half of the digests are
+    misses, a filter of theirs keeps the other texts out of the shuffle; without misses no text is read a second time.
     """
     spark = docs.sparkSession
     limit_batches(spark, 4 << 20)
     version = tokenizer_version(tokenizer)
+    by_word = splits_at_spaces(tokenizer) if by_word is None else by_word
     cache = cache or work_path(spark, "token-cache")
     norm = content(text_col) if by_word else F.coalesce(F.col(text_col), F.lit(""))
     mark = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
     ids = written(docs.select(F.col(id_col).alias("id"), F.unhex(F.sha2(norm.cast("binary"), 256)).alias("digest"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes")), "digests")
     known = read_cache(spark, cache).where(F.col("version") == version).select("digest", "n_tokens").dropDuplicates(["digest"])
-    misses = ids.groupBy("digest").agg(F.min(F.coalesce(F.col("id").cast("string"), F.lit(""))).alias("mark")).join(known, "digest", "left_anti")
+    found = ids.groupBy("digest").agg(F.min(F.coalesce(F.col("id").cast("string"), F.lit(""))).alias("mark"))
+    misses = written(found.join(known, "digest", "left_anti").withColumn("h", F.xxhash64("digest")), "misses")
+    missing, distinct = misses.count(), found.count()
     # the text of one document for each missing digest
     texts = docs.select(mark.alias("mark"), norm.alias("t")).withColumn("digest", F.unhex(F.sha2(F.col("t").cast("binary"), 256)))
+    maybe = maybe_in(misses, "h", missing) if 2 * missing < distinct else None
+    if maybe is not None:
+        texts = texts.where(maybe(F.xxhash64("digest")))
     texts = texts.join(misses, ["digest", "mark"], "left_semi").select("digest", "t")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,7 +154,8 @@ def token_counts(docs: DataFrame, tokenizer: str, cache: str | None = None, id_c
                 counts += encode_count(tokenizer, todo[k : k + 64], by_word)
             yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array([version] * len(found)), pa.array(counts, pa.int64())], names=["digest", "version", "n_tokens"])
 
-    texts.mapInArrow(encode, CACHE).write.mode("append").parquet(cache)
+    if missing or not distinct:
+        texts.mapInArrow(encode, CACHE).write.mode("append").parquet(cache)
     # written, so that the join has an exchange of its own on either side and Spark can split the partition of a common digest
     counts = written(read_cache(spark, cache).where(F.col("version") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")), "counts")
     return ids.join(counts, "digest").select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
