@@ -1,14 +1,15 @@
 """Language ID with error-correcting output codes.
 
 Each language has a codeword; for each bit a binary classifier over hashed byte n-grams tells the languages with a 1 from those
-with a 0. Training is one pass that sums n-gram counts by language (every labelled row, no sample); the bits' weights come from
-a bounded sample of labelled rows. A document gets the codeword with the least weighted loss; a small lead flags ambiguity.
+with a 0. Training is one pass that sums n-gram counts by language (every labelled row, no sample), and sums over languages for
+each bit; only the bits' tables and the languages' names reach the driver. The bits' weights come from a bounded sample of
+labelled rows. A document gets the codeword with the least weighted loss; a small lead flags ambiguity.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
@@ -17,12 +18,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rivulet.llm.common import binary_parts, limit_batches, scan_bytes, tree_sum, utf8
+from rivulet.llm.common import binary_parts, limit_batches, scan_bytes, tree_sum, utf8, written
 
 #: n-gram lengths, buckets of each (a power of two), positions scored at once, and rows of the sample that weighs the bits.
 ORDERS, BUCKETS, SLICE, WEIGHT_ROWS = (2, 3), 1 << 14, 1 << 17, 2000
-#: Languages that a model may have; each costs ORDERS x BUCKETS counts on the driver.
-MAX_LANGUAGES = 512
+#: Languages whose counts a task holds before it passes them on, that one task sums for the bits, and up to which the code is the best of several.
+HELD, SUMMED, CHOSEN = 64, 512, 512
 SMOOTH, MARGIN = 0.5, 0.5
 UNDETERMINED = "und"
 #: A-Z lower-cased, other ASCII bytes that are no letters as one separator.
@@ -51,17 +52,22 @@ def batch_text(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def codewords(n: int) -> np.ndarray:
-    """n codewords of +1 and -1: every split of the languages up to five, else the best of 64 random codes of 12 log2 n bits."""
+    """n codewords of +1 and -1: every split of the languages up to five, else a random code of 12 log2 n bits, up to CHOSEN languages
+    that of 64 whose words are farthest apart."""
     if n <= 1:
         return np.ones((n, 0))
     if n <= 5:
         rows = [[1 if i == 0 or i in chosen else -1 for i in range(n)] for k in range(n - 1) for chosen in combinations(range(1, n), k)]
         return np.array(rows, float).T
-    best = None
-    for seed in range(64):
+    best, seed = None, 0
+    while seed < (64 if n <= CHOSEN else 1) or best[0] <= 0:
         code = np.random.default_rng(seed).choice([-1.0, 1.0], (n, int(12 * np.ceil(np.log2(n)))))
-        code = code[:, np.abs(code.sum(axis=0)) < n]
-        apart = min((code.shape[1] - code[i] @ code[j]) / 2 for i, j in combinations(range(n), 2))
+        code, seed = code[:, np.abs(code.sum(axis=0)) < n], seed + 1
+        if n <= CHOSEN:
+            same = code @ code.T
+            apart = (code.shape[1] - same[~np.eye(n, dtype=bool)].max()) / 2
+        else:
+            apart = float(len(np.unique(code, axis=0)) == n)
         if best is None or apart > best[0]:
             best = apart, code
     return best[1]
@@ -70,23 +76,9 @@ def codewords(n: int) -> np.ndarray:
 @dataclass
 class LanguageModel:
     languages: list[str]
-    counts: np.ndarray  # language x (order x bucket)
-    weights: np.ndarray | None = None
-    code: np.ndarray = field(init=False)
-    tables: list[np.ndarray] = field(init=False)
-
-    def __post_init__(self) -> None:
-        self.code = codewords(len(self.languages))
-        self.tables = []
-        if self.weights is None:
-            self.weights = np.ones(self.code.shape[1])
-        for k in range(len(ORDERS)):
-            own = self.counts[:, k * BUCKETS : (k + 1) * BUCKETS]
-            rates = (own + SMOOTH) / (own.sum(axis=1, keepdims=True) + SMOOTH * BUCKETS)
-            table = np.zeros((BUCKETS + 1, self.code.shape[1]), np.float32)  # the last row is of no n-gram
-            for b in range(self.code.shape[1]):
-                table[:-1, b] = np.log(rates[self.code[:, b] > 0].mean(axis=0)) - np.log(rates[self.code[:, b] < 0].mean(axis=0))
-            self.tables.append(table)
+    code: np.ndarray  # language x bit
+    tables: list[np.ndarray]  # of each order: bucket x bit, the last row of no n-gram
+    weights: np.ndarray  # of the bits
 
     def margins(self, text: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Document x bit: mean log-ratio of its n-grams, grown with the root of their number up to 256."""
@@ -132,20 +124,77 @@ def fit(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, weight_r
                 for lang in set(langs):
                     mine = buckets[(langs == lang)[owner]]
                     sums.setdefault(lang, np.zeros(width))[k * BUCKETS : (k + 1) * BUCKETS] += np.bincount(mine, minlength=BUCKETS + 1)[:-1]
-        if sums:
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array([v.tobytes() for v in sums.values()], pa.binary())], names=["lang", "v"])
+            if len(sums) > HELD:
+                yield from passed_on(sums)
+        yield from passed_on(sums)
+
+    def passed_on(sums: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        while sums:
+            lang, v = sums.popitem()
+            yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([v.tobytes()], pa.binary())], names=["lang", "v"])
 
     partials = rows.select("lang", "t").mapInArrow(count, "lang string, v binary")
-    found = tree_sum(partials, "lang", "v", 1 + scan_bytes(labelled, text_col) // (16 << 20)).limit(MAX_LANGUAGES + 1).collect()
-    if len(found) > MAX_LANGUAGES:
-        raise ValueError(f"over {MAX_LANGUAGES} languages")
-    found = sorted((r["lang"], np.frombuffer(r["v"], np.float64)) for r in found)
-    model = LanguageModel([lang for lang, _ in found], np.array([v for _, v in found]).reshape(len(found), width))
-    if model.code.shape[1]:
+    counts = written(tree_sum(partials, "lang", "v", 1 + scan_bytes(labelled, text_col) // (16 << 20)), "language-counts")
+    languages = sorted(r["lang"] for r in counts.select("lang").collect())  # names only
+    code = codewords(len(languages))
+    model = LanguageModel(languages, code, bit_tables(counts, languages, code), np.ones(code.shape[1]))
+    if code.shape[1]:
         model.weights = bit_weights(rows, model, weight_rows)
     return model
 
 
+def bit_tables(counts: DataFrame, languages: list[str], code: np.ndarray) -> list[np.ndarray]:
+    """For each order the log-ratio of a bucket's mean rates in the languages with +1 and in those with -1, by bit.
+
+    Tasks sum the rates of SUMMED languages each, for all bits; a bit's sums meet in one task, in the same order in every run.
+    """
+    number, bits, width = {x: k for k, x in enumerate(languages)}, code.shape[1], len(ORDERS) * BUCKETS
+
+    def sides(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, group = np.zeros((bits, 2, width)), None
+        for batch in batches:
+            for g, lang, v in zip(*(batch.column(c).to_pylist() for c in range(3))):
+                if group is not None and g != group:
+                    yield packed(group, sums)
+                    sums[:] = 0
+                group, own = g, np.frombuffer(v, np.float64).reshape(len(ORDERS), BUCKETS)
+                rates = ((own + SMOOTH) / (own.sum(axis=1, keepdims=True) + SMOOTH * BUCKETS)).ravel()
+                side = (code[number[lang]] < 0).astype(int)
+                for b in range(bits):
+                    sums[b, side[b]] += rates
+        if group is not None:
+            yield packed(group, sums)
+
+    def packed(group: int, sums: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.arange(bits)), pa.array([group] * bits, pa.int64()), pa.array([x.tobytes() for x in sums], pa.binary())], names=["bit", "g", "v"])
+
+    def ratios(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, total = None, np.zeros((2, width))
+
+        def out() -> pa.RecordBatch:
+            have = np.array([(code[:, now] > 0).sum(), (code[:, now] < 0).sum()])[:, None]
+            rates = np.log(total / have)
+            return pa.RecordBatch.from_arrays([pa.array([now]), pa.array([(rates[0] - rates[1]).astype(np.float32).tobytes()], pa.binary())], names=["bit", "v"])
+
+        for batch in batches:
+            for bit, v in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+                if now is not None and bit != now:
+                    yield out()
+                    total = np.zeros((2, width))
+                now = bit
+                total = total + np.frombuffer(v, np.float64).reshape(2, width)
+        if now is not None:
+            yield out()
+
+    tables = np.zeros((len(ORDERS), BUCKETS + 1, bits), np.float32)
+    if bits:
+        group = F.pmod(F.xxhash64("lang"), F.lit(-(-len(languages) // SUMMED)))
+        summed = counts.select(group.alias("g"), "lang", "v").repartition("g").sortWithinPartitions("g", "lang").mapInArrow(sides, "bit long, g long, v binary")
+        for row in summed.repartition("bit").sortWithinPartitions("bit", "g").mapInArrow(ratios, "bit long, v binary").collect():  # 128 KB a bit
+            tables[:, :-1, row["bit"]] = np.frombuffer(row["v"], np.float32).reshape(len(ORDERS), BUCKETS)
+    return list(tables)
+
+
 def bit_weights(rows: DataFrame, model: LanguageModel, most: int) -> np.ndarray:
     """How well each bit's classifier tells labelled rows, 0 to 1, from a sample of at most `most` rows chosen by hash."""
     order = {lang: k for k, lang in enumerate(model.languages)}
@@ -174,7 +223,7 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", out:
     docs = docs.drop(out)
     text, letter = f"__{out}_text", f"__{out}_letter"
     work = docs.withColumn(text, utf8(text_col)).withColumn(letter, F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)))
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # of MAX_LANGUAGES codewords over fixed tables at most
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # names, codewords and 128 KB a bit
     columns = docs.columns
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
