@@ -50,8 +50,9 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = secrets.train(secrets.labelled_samples(spark))
-    got = secrets.scan(table(spark, sf_dir, "documents"), model)
+    docs = table(spark, sf_dir, "documents")
+    model = secrets.train(secrets.labelled_samples(spark).union(secrets.corpus_samples(docs)))
+    got = secrets.scan(docs, model)
     kinds = F.transform("base", lambda s: s["kind"])
     counts = [(F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{name}") for k, name in enumerate(secrets.KINDS[:3])]
     return got.select("doc_id", *counts, F.sha2(secrets.listed(F.col("base")).cast("binary"), 256).alias("base_sha256"), secrets.listed(F.col("all")).alias("spans"))

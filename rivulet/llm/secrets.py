@@ -1,7 +1,9 @@
 """Secret scans in DataFrame functions only: three fixed patterns, and character Markov models for what they miss.
 
 Two first-order Markov models over the characters of a token, one of random strings and one of ordinary identifiers, are
-trained from labelled samples by counting transitions. A token whose mean log-likelihood ratio passes the threshold is a span.
+trained from labelled samples by counting transitions: generated ones, and tokens of a sample of the documents, of which those
+that a pattern matches are labelled random and the others ordinary. The part of a token with the greatest log-likelihood ratio
+is a span if the ratio outweighs the prior odds, so that short parts need clearer evidence and a key is found behind ordinary words.
 Spark has no match positions, so they are sums of the lengths of what a pattern splits off and of what it matches.
 """
 
@@ -21,9 +23,13 @@ KINDS = ("assign", "access", "hex", "markov")
 LEAST_VALUE = 6
 #: Characters of a candidate token, in the order of the models' tables, and a candidate's least length.
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
-CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
-#: Log-likelihood ratio per transition from which a token counts as random.
-THRESHOLD = 0.35
+CANDIDATE = r"[A-Za-z0-9+/_=-]{16,}"
+#: Prior share of random strings among parts of tokens: a part counts as random if its log-likelihood ratio is over the prior odds.
+PRIOR = 1e-10
+#: Counts that a character's own rate weighs in the rate of a transition.
+BACK_OFF = 20.0
+#: Documents of the sample that labelled tokens are taken from, and the least length of its ordinary ones.
+SAMPLE_ROWS, SAMPLE_LENGTH = 2000, 6
 BLOCK = 256
 #: Ordinary words that identifiers are made of in the default labelled sample.
 WORDS = (
@@ -37,7 +43,7 @@ WORDS = (
 
 def labelled_samples(spark: SparkSession, rows: int = 2000) -> DataFrame:
     """token, random: strings derived from SHA-512 in base 64, base 64 without signs, upper case and hex; and identifiers of two to
-    four of WORDS in camel case, snake case, kebab case, as paths and run together. `rows` of each form."""
+    four of WORDS in camel case, snake case, kebab case, as paths and run together, and runs of one character. `rows` of each form."""
     ids = spark.range(rows).withColumn("h", F.sha2(F.concat(F.lit("sample"), F.col("id").cast("string")), 512))
     size = (20 + F.col("id") % 21).cast("int")
     code = F.base64(F.unhex("h"))
@@ -45,7 +51,7 @@ def labelled_samples(spark: SparkSession, rows: int = 2000) -> DataFrame:
     words = F.array(*[F.lit(w) for w in WORDS])
     word = [words[F.pmod(F.xxhash64(F.lit(k), "id"), F.lit(len(WORDS))).cast("int")] for k in range(4)]
     cap = [F.initcap(w) for w in word]
-    plain = [F.concat(word[0], cap[1], cap[2]), F.concat_ws("_", *word[:3]), F.concat_ws("-", *word), F.concat_ws("/", *word), F.concat(*word[:3]), F.upper(F.concat_ws("_", *word[:3])), F.concat(cap[0], cap[1], cap[2], (F.col("id") % 100).cast("string"))]
+    plain = [F.concat(word[0], cap[1], cap[2]), F.concat_ws("_", *word[:3]), F.concat_ws("-", *word), F.concat_ws("/", *word), F.concat(*word[:3]), F.upper(F.concat_ws("_", *word[:3])), F.concat(cap[0], cap[1], cap[2], (F.col("id") % 100).cast("string")), F.repeat(F.substring(F.lit(ALPHABET), (F.col("id") % len(ALPHABET) + 1).cast("int"), F.lit(1)), size)]
     out = None
     for label, forms in ((True, [F.substring(x, F.lit(1), size) for x in random]), (False, plain)):
         for form in forms:
@@ -54,6 +60,21 @@ def labelled_samples(spark: SparkSession, rows: int = 2000) -> DataFrame:
     return out
 
 
+def corpus_samples(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = SAMPLE_ROWS) -> DataFrame:
+    """token, random: from at most `rows` documents that a hash of their ids picks. What the base patterns match (of `assign`: values of
+    16 characters or more) is random, the tokens of the rest are ordinary. Distinct tokens count once. Null ids and texts are left out."""
+    ids = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"))
+    chosen = ids.orderBy(F.xxhash64(F.col("id").cast("string")), "id").limit(rows).distinct()
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).join(F.broadcast(chosen), "id", "left_semi").select("t")  # `rows` ids at most
+    values = F.concat(*[F.regexp_extract_all("t", F.lit(p), F.lit(g)) for p, g in ((ASSIGN, 1), (ACCESS, 0), (HEX, 0))])
+    rest = F.regexp_replace(F.regexp_replace(F.regexp_replace("t", ASSIGN, " "), ACCESS, " "), HEX, " ")
+    found = [
+        texts.select(F.explode(F.filter(values, lambda x: F.length(x) >= 16)).alias("token"), F.lit(True).alias("random")),
+        texts.select(F.explode(F.array_distinct(F.regexp_extract_all(rest, F.lit(f"[A-Za-z0-9+/_=-]{{{SAMPLE_LENGTH},}}"), F.lit(0)))).alias("token"), F.lit(False).alias("random")),
+    ]
+    return found[0].union(found[1]).distinct()
+
+
 def numbered(token: Column) -> Column:
     """Places of a token's characters in ALPHABET, from 1; 0: none."""
     return F.transform(F.filter(F.split(token, ""), lambda c: c != ""), lambda c: F.call_function("locate", c, F.lit(ALPHABET)))
@@ -62,31 +83,42 @@ def numbered(token: Column) -> Column:
 def train(samples: DataFrame, token_col: str = "token", label_col: str = "random") -> list[float]:
     """Log-ratios of the transitions, random over ordinary, one row of ALPHABET's length for each first character.
 
-    Null tokens and labels and characters outside ALPHABET are left out. Add-one smoothing; a transition that neither sample
-    has counts as its smoothed rates say.
+    Null tokens and labels and characters outside ALPHABET are left out. A transition's rate is mixed with BACK_OFF counts' worth of
+    the second character's own rate, which has add-one smoothing.
     """
     n = len(ALPHABET)
     places = samples.where(F.col(token_col).isNotNull() & F.col(label_col).isNotNull() & (F.length(token_col) > 1)).select(F.col(label_col).cast("boolean").alias("r"), numbered(F.col(token_col)).alias("p"))
     pairs = places.select("r", F.explode(F.transform(F.sequence(F.lit(1), F.size("p") - 1), lambda i: (F.element_at("p", i) - 1) * n + F.element_at("p", i + 1) - 1)).alias("t"), "p").where(~F.array_contains("p", 0))
-    counts: dict[bool, list[float]] = {True: [1.0] * (n * n), False: [1.0] * (n * n)}
+    counts: dict[bool, list[float]] = {True: [0.0] * (n * n), False: [0.0] * (n * n)}
     for row in pairs.groupBy("r", "t").agg(F.count(F.lit(1)).alias("n")).collect():  # 2 x 67 x 67 rows at most
         counts[row["r"]][row["t"]] += row["n"]
     rates = {}
     for label, table in counts.items():
-        rates[label] = [x / sum(table[k // n * n : k // n * n + n]) for k, x in enumerate(table)]
+        own = [(sum(table[j::n]) + 1) / (sum(table) + n) for j in range(n)]
+        rates[label] = [(x + BACK_OFF * own[k % n]) / (sum(table[k // n * n : k // n * n + n]) + BACK_OFF) for k, x in enumerate(table)]
     return [math.log(a / b) for a, b in zip(rates[True], rates[False])]
 
 
-def log_ratio(token: Column, model: list[float]) -> Column:
-    """Mean log-likelihood ratio of a token's transitions; characters outside ALPHABET don't occur in candidates."""
+def random_part(token: Column, model: list[float]) -> Column:
+    """The part of a token with the greatest sum of log-ratios: score, begin and end (characters of the token, end exclusive).
+
+    Characters outside ALPHABET don't occur in candidates. Sums start anew where they fall to 0 or less.
+    """
     n = len(ALPHABET)
     table = F.from_json(F.lit(json.dumps([round(x, 5) for x in model])), "array<double>")  # folded into one literal
-    total = F.aggregate(
-        numbered(token),
-        F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("last"), F.lit(0).alias("n")),
-        lambda a, p: F.struct((a["sum"] + F.when(a["last"] > 0, F.element_at(table, ((a["last"] - 1) * n + p).cast("int"))).otherwise(0.0)).alias("sum"), p.alias("last"), (a["n"] + 1).alias("n")),
-    )
-    return total["sum"] / F.greatest(total["n"] - 1, F.lit(1))
+
+    def step(a: Column, p: Column) -> Column:
+        ratio = F.element_at(table, ((a["last"] - 1) * n + p).cast("int"))
+        total = F.when(a["last"] > 0, a["sum"] + ratio).otherwise(F.lit(0.0))
+        on = total > 0
+        better = total > a["score"]
+        return F.struct(
+            F.when(on, total).otherwise(F.lit(0.0)).alias("sum"), p.alias("last"), (a["at"] + 1).alias("at"), F.when(on, a["start"]).otherwise(a["at"]).alias("start"),
+            F.when(better, total).otherwise(a["score"]).alias("score"), F.when(better, a["start"]).otherwise(a["begin"]).alias("begin"), F.when(better, a["at"] + 1).otherwise(a["end"]).alias("end"),
+        )
+
+    zero = F.struct(*[F.lit(0.0 if k in ("sum", "score") else 0).alias(k) for k in ("sum", "last", "at", "start", "score", "begin", "end")])
+    return F.aggregate(numbered(token), zero, step)
 
 
 def running(sizes: Column) -> Column:
@@ -128,17 +160,21 @@ def listed(spans: Column) -> Column:
     return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))))
 
 
-def scan(docs: DataFrame, model: list[float], id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+def scan(docs: DataFrame, model: list[float], id_col: str = "doc_id", text_col: str = "text", prior: float = PRIOR) -> DataFrame:
     """One row per document: id_col, base and all: arrays of (start, kind, end, value), by start, then kind as in KINDS.
 
-    Positions are code points, ends exclusive. Null texts are empty. Markov spans are candidates of at least 20 characters that
-    no base span touches. Rows with null or repeated ids stay as they are; other columns are ignored.
+    Positions are code points, ends exclusive. Null texts are empty. A Markov span is the random part of a run of 16 or more
+    characters of ALPHABET, if no base span touches the part; a run has one at most. Rows with null or repeated ids stay as they are; other columns are ignored.
     """
     found = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     for name, pattern, kind, group in (("assign", ASSIGN, 0, 1), ("access", ACCESS, 1, 0), ("hex", HEX, 2, 0), ("candidates", CANDIDATE, 3, 0)):
         found = with_matches(found, "t", pattern, name, kind, group)
     long_value = F.filter("assign", lambda s: F.length(s["value"]) >= LEAST_VALUE)
     found = found.select("id", F.array_sort(F.concat(long_value, "access", "hex")).alias("base"), "candidates")
-    free = F.filter("candidates", lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
-    more = F.filter(free, lambda c: log_ratio(c["value"], model) >= threshold)
+    whole = F.filter("candidates", lambda c: ~F.exists("base", lambda b: (b["start"] <= c["start"]) & (c["end"] <= b["end"])))
+    parts = F.transform(whole, lambda c: F.struct(c.alias("c"), random_part(c["value"], model).alias("r")))
+    found = found.withColumn("parts", parts)
+    random = F.filter("parts", lambda x: x["r"]["score"] >= math.log((1 - prior) / prior))
+    spans = F.transform(random, lambda x: F.struct((x["c"]["start"] + x["r"]["begin"]).alias("start"), F.lit(3).alias("kind"), (x["c"]["start"] + x["r"]["end"]).alias("end"), F.substring(x["c"]["value"], x["r"]["begin"] + 1, x["r"]["end"] - x["r"]["begin"]).alias("value")))
+    more = F.filter(spans, lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
     return found.select(F.col("id").alias(id_col), "base", F.array_sort(F.concat("base", more)).alias("all"))
