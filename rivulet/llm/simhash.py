@@ -4,46 +4,61 @@ Fingerprints are cut into m bands; two that differ in k bits agree on at least m
 C(m, m - k) choices of bands. Only distinct fingerprints are compared. Inside a bucket, links are found without emitting pairs:
 each task joins what it compares and emits one edge a fingerprint, to the smallest one it is linked with.
 
-near_duplicates, the pipeline's stage, joins by the exact similarity of shingle sets instead.
+near_duplicates, the pipeline's stage, is for a similarity of shingle sets that differs in too many bits for whole pigeonholes:
+wider fingerprints are cut into more and wider blocks the more documents there are, pairs that share a block and stay within a
+Hamming distance are candidates, and an exact check of the shingle sets decides.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from rivulet.llm.common import binary_parts, limit_batches, utf8, written
+from rivulet.llm.common import limit_batches, maybe_in, utf8, written
 
 SEED = 42
 #: Bucket size up to which all pairs are compared at once; larger ones go by pivots.
 SMALL = 48
 #: Bucket size from which a bucket is dealt to several tasks.
 SPLIT = 1 << 20
+#: One node in so many tells which buckets those are.
+SEEN = 64
 #: Edges of a file between two rounds of the components.
 EDGES = 500_000
-#: Bands of least hashes, and hashes a band: a pair at the similarity s shares a band with probability 1 - (1 - s**BAND)**BANDS.
-BANDS, BAND = 48, 6
+#: 64-bit lanes of the fingerprints that are cut into blocks; random fingerprints that may share a bucket; share of the pairs at
+#: the similarity that is to meet in a block; and the share that may be lost to the Hamming distance.
+LANES, RANDOM, RECALL, LOST = 16, 64, 0.99, 0.001
+#: Bits of a fingerprint that its rows carry, and steps of the logarithm of the set's size to the base 1 / similarity.
+CARRIED, STEPS = 120, 4
+#: Bucket size up to which a bucket's pairs are compared by shifts; larger ones are kept whole.
+SHIFTED = 512
+#: Rounds in which each text is checked with its nearest one of another component, and rows that it is compared with for that.
+ROUNDS, WINDOW = 2, 64
 #: Texts and shingles of a block of texts that are checked in one task with each other and with one other block's.
 BLOCK, BLOCK_SHINGLES = 256, 250_000
 #: Bucket size from which a bucket's pairs are listed in several tasks.
 PAIRED = 2048
 
 
-def lane(h: np.ndarray, number: int) -> np.ndarray:
-    """Further 64 bits of each hash; lane 0 is the hash itself."""
-    if not number:
-        return h
-    x = h + np.uint64((number * 0x9E3779B97F4A7C15) & (2**64 - 1))
+def lanes_of(h: np.ndarray, lanes: int) -> np.ndarray:
+    """Hash x lane: 64 bits a lane, each a mix of the hash; lane 0 is the hash itself."""
+    if lanes == 1:
+        return h[:, None]
+    x = h[:, None] + np.arange(lanes, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    x ^= x >> np.uint64(31)
+    x[:, 0] = h
+    return x
 
 
 def shingles(text: bytes, words_in_shingle: int) -> np.ndarray:
@@ -62,31 +77,26 @@ def shingles(text: bytes, words_in_shingle: int) -> np.ndarray:
     return np.frombuffer(hashes, ">u8").astype(np.uint64)
 
 
-def fingerprint(text: bytes, words_in_shingle: int, lanes: int = 1) -> bytes:
-    """SimHash of a text's shingles, 64 bits a lane, first bit highest; zero without words."""
-    h = shingles(text, words_in_shingle)
-    if not len(h):
-        return bytes(8 * lanes)
+def simhash(h: np.ndarray, lanes: int = 1) -> bytes:
+    """Fingerprint of hashes: a bit is 1 if set in over half of them; 64 bits a lane, first bit highest; zero without hashes."""
     set_ = np.zeros(64 * lanes, np.int64)
     for k in range(0, len(h), 255):  # so many rows add up in a byte
-        part = h[k : k + 255]
-        wide = np.stack([lane(part, j) for j in range(lanes)], axis=1).astype(">u8")
+        wide = lanes_of(h[k : k + 255], lanes).astype(">u8")
         set_ += np.add.reduce(np.unpackbits(wide.view(np.uint8), axis=1), axis=0, dtype=np.uint8)
     return np.packbits(set_ * 2 > len(h)).tobytes()
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_in_shingle: int = 4, lanes: int = 1) -> DataFrame:
-    """id, fp: one lane as a signed long, several as bytes. Null texts count as empty; a text of fewer words is one shingle."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_in_shingle: int = 4) -> DataFrame:
+    """id, fp: 64 bits as a signed long. Null texts count as empty; a text of fewer words is one shingle."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = [fingerprint(t, words_in_shingle, lanes) for t in batch.column(1).to_pylist()]
-            column = pa.array(fps, pa.binary()) if lanes > 1 else pa.array(np.frombuffer(b"".join(fps), ">i8").astype(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), column], names=["id", "fp"])
+            fps = [simhash(shingles(t, words_in_shingle)) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.frombuffer(b"".join(fps), ">i8").astype(np.int64))], names=["id", "fp"])
 
     limit_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), utf8(text_col).alias("t")).mapInArrow(hashed, f"id {kind}, fp {'binary' if lanes > 1 else 'long'}")
+    return docs.select(F.col(id_col).alias("id"), utf8(text_col).alias("t")).mapInArrow(hashed, f"id {kind}, fp long")
 
 
 def bands(n: int, bits: int) -> int:
@@ -185,49 +195,56 @@ def linked(keys: np.ndarray, nodes: np.ndarray, f: np.ndarray, bits: int) -> tup
     return values[at], values[labels[at]]
 
 
-def links(rows: DataFrame, n: int, bits: int, lanes: int = 1) -> DataFrame:
-    """Edges (u, v) of nodes that differ in at most `bits` bits and share a key, directly or by others.
+def runs(compare: Callable[[list[np.ndarray]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function of Arrow batches, sorted by their first column, that gives `compare` whole runs of equal keys."""
 
-    rows: key, node and, with several lanes, fp; with one lane the node is the fingerprint itself. n: nodes; no bucket can
-    have more, so buckets are only counted where n is over SPLIT.
-    """
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
         size = 0
-
-        def edges(rows: list[np.ndarray]) -> pa.RecordBatch:
-            u, v = linked(*rows, bits)
-            return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
-
         for batch in batches:
-            own = batch.column(1).to_numpy()
-            if lanes > 1:
-                values, at = binary_parts(batch.column(2))
-                wide = np.frombuffer(bytes(values[int(at[0]) : int(at[-1])]), np.uint64).reshape(-1, lanes)
-            else:
-                wide = own.view(np.uint64)[:, None]
-            held.append((batch.column(0).to_numpy(), own, wide))
-            size += len(own)
+            held.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+            size += batch.num_rows
             if size >= 100_000 and held[0][0][0] != held[-1][0][-1]:
                 rows = [np.concatenate(x) for x in zip(*held)]
-                whole = int(np.searchsorted(rows[0], rows[0][-1], "left"))  # the last run may go on
-                yield edges([x[:whole] for x in rows])
-                held, size = [tuple(x[whole:] for x in rows)], size - whole
+                end = int(np.searchsorted(rows[0], rows[0][-1], "left"))  # the last run may go on
+                yield from compare([x[:end] for x in rows])
+                held, size = [[x[end:] for x in rows]], size - end
         if size:
-            yield edges([np.concatenate(x) for x in zip(*held)])
+            yield from compare([np.concatenate(x) for x in zip(*held)])
+
+    return whole
+
 
-    if n > SPLIT:
-        rows = pieces(rows)
+def dealt(rows: DataFrame) -> DataFrame:
+    """rows by key, sorted, a bucket in one task."""
     parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    return rows.repartition(parts, "key").sortWithinPartitions("key", "node").mapInArrow(compare, "u long, v long").distinct()
+    return rows.repartition(parts, "key").sortWithinPartitions("key", "node")
 
 
-def pieces(rows: DataFrame, split: int | None = None) -> DataFrame:
+def links(rows: DataFrame, n: int, bits: int) -> DataFrame:
+    """Edges (u, v) of nodes (fingerprints) that differ in at most `bits` bits and share a key, directly or by others.
+
+    n: nodes; no bucket can have more, so large buckets are only looked for where n is over SPLIT.
+    """
+
+    def compare(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        keys, nodes = rows
+        u, v = linked(keys, nodes, nodes.view(np.uint64)[:, None], bits)
+        yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+
+    return dealt(pieces(rows, every=SEEN) if n > SPLIT else rows).select("key", "node").mapInArrow(runs(compare), "u long, v long").distinct()
+
+
+def pieces(rows: DataFrame, split: int | None = None, every: int = 1) -> DataFrame:
     """rows with the buckets of over `split` (SPLIT) rows in pieces: every two pieces of a bucket, and each with itself, are a bucket of
-    their own, so that all pairs still meet and no task gets more than two pieces of a bucket."""
+    their own, so that all pairs still meet and no task gets more than two pieces of a bucket.
+
+    every: bucket sizes are estimated from one node in so many. Pairs meet whatever the estimate says.
+    """
     split = split or SPLIT
-    hot = written(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > split).select("key", F.ceil(F.col("n") / split).cast("int").alias("parts")), "hot-buckets")
+    seen = rows.where(F.pmod(F.xxhash64(F.lit(SEED), "node"), F.lit(every)) == 0) if every > 1 else rows
+    hot = seen.groupBy("key").agg((F.count(F.lit(1)) * every).alias("n")).where(F.col("n") > split)
+    hot = written(hot.select("key", F.ceil(F.col("n") / split).cast("int").alias("parts")), "hot-buckets")
     rows = rows.join(hot, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     rows = rows.withColumn("piece", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     key = F.when(F.col("parts") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("piece", "other"), F.greatest("piece", "other")))
@@ -254,7 +271,8 @@ def components(edges: DataFrame) -> DataFrame:
     now = written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     seen = None
     while True:
-        state = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v") % 1_000_003).alias("h")).first()
+        # two sums of whole hashes: equal ones are equal edges
+        state = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20)")).alias("h"), F.sum(F.xxhash64(F.lit(SEED), "v", "u").cast("decimal(20)")).alias("g")).first()
         if state["n"] == 0 or state == seen:
             return now.select("u", F.col("v").alias("root"))
         seen = state
@@ -291,79 +309,236 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return prints.join(groups, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def most_bits(similarity: float, size: int) -> int:
-    """Differing bits that nine of ten pairs of the Jaccard similarity stay within: the angle of their shingle vectors gives the
-    mean, a binomial the spread."""
-    rate = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return int(size * rate + 1.3 * math.sqrt(size * rate * (1 - rate)))
+@dataclass(frozen=True)
+class BlockPlan:
+    """How fingerprints are cut: bits of a block, number of blocks, and the most bits that candidate pairs differ in: of the CARRIED
+    ones, and of all."""
+
+    bits: int
+    blocks: int
+    carried: int
+    most: int
+
+    def places(self, lanes: int = LANES) -> np.ndarray:
+        """Blocks x bits: the fingerprint's bits that each block has. Blocks of one layout (a permutation of all bits) are apart."""
+        width, out, layout = 64 * lanes, [], 0
+        while len(out) < self.blocks:
+            order = np.random.default_rng((SEED, layout)).permutation(width)
+            out += list(order[: width // self.bits * self.bits].reshape(-1, self.bits))
+            layout += 1
+        return np.array(out[: self.blocks])
 
 
-_RANDOM = np.random.default_rng(SEED)
-#: Odd factors: each gives one order of the hashes, and the weights that make a band's least hashes its key.
-FACTORS, WEIGHTS = (_RANDOM.integers(0, 2**63, BANDS * BAND, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2))
+def rate(similarity: float) -> float:
+    """Share of bits in which fingerprints of sets of the Jaccard similarity differ, at most: the angle of sets of one size."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
 
 
-def band_keys(h: np.ndarray) -> np.ndarray:
-    """A key for each band of a set of hashes: sets of the Jaccard similarity s agree on a band with probability s**BAND."""
-    least = np.full(BANDS * BAND, 2**64 - 1, np.uint64)
-    for k in range(0, len(h), 1024):
-        np.minimum(least, np.multiply.outer(FACTORS, h[k : k + 1024]).min(axis=1), out=least)
-    return (least * WEIGHTS).reshape(BANDS, BAND).sum(axis=1, dtype=np.uint64).view(np.int64)
+def binomial(n: int, p: float) -> np.ndarray:
+    """Probabilities of 0 to n."""
+    k = np.arange(n + 1)
+    with np.errstate(divide="ignore"):
+        logs = np.cumsum(np.concatenate([[0.0], np.log((n - k[:-1]) / k[1:])])) + k * np.log(p) + (n - k) * np.log1p(-p)
+    return np.exp(logs)
 
 
-def shingle_sets(docs: DataFrame, id_col: str, text_col: str, words_in_shingle: int) -> DataFrame:
-    """id, fp (128-bit digest of the set), n, keys (one a band, none without words), shingles (sorted distinct hashes, packed)."""
+def plan_blocks(n: int, similarity: float, recall: float = RECALL, lanes: int = LANES) -> BlockPlan:
+    """Blocks for n distinct texts: so wide that about RANDOM unrelated ones share a bucket whatever n is, and so many that pairs at
+    the similarity meet with probability `recall`. A document's comparisons grow with the number of blocks, n to the power 0.24."""
+    width, p = 64 * lanes, rate(similarity)
+    bits = min(40, max(8, math.ceil(math.log2(max(1, n) / RANDOM))))
+    spread, differ = binomial(width, p), np.arange(width + 1)
+    j = np.arange(bits)
+    agree = np.prod(np.clip((width - differ[:, None] - j) / (width - j), 0, 1), axis=1)  # a block's bits are all of the equal ones
+    low, high = 1, 1
+    while spread @ (1 - (1 - agree) ** high) < recall:
+        low, high = high, 2 * high
+    while high - low > 1:
+        mid = (low + high) // 2
+        low, high = (low, mid) if spread @ (1 - (1 - agree) ** mid) >= recall else (mid, high)
+    carried, most = (int(np.searchsorted(np.cumsum(binomial(n, p)), 1 - LOST)) for n in (CARRIED, width))
+    return BlockPlan(bits, high, carried, most)
+
+
+def block_keys(prints: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Document x block: the block's number and the values of its bits, as one long. prints: document x byte."""
+    bits = np.unpackbits(prints, axis=1)
+    out = np.broadcast_to(np.arange(len(places), dtype=np.int64), (len(prints), len(places))).copy()
+    for j in range(places.shape[1]):
+        out <<= 1
+        out |= bits[:, places[:, j]]
+    return out
+
+
+def text_marks(text_col: str) -> list[Column]:
+    """128 bits of a text's content, h1 and h2."""
+    return [F.xxhash64(utf8(text_col)).alias("h1"), F.xxhash64(F.lit(SEED), utf8(text_col)).alias("h2")]
+
+
+def set_prints(docs: DataFrame, id_col: str, text_col: str, words_in_shingle: int) -> DataFrame:
+    """id, h1, h2, fp (128-bit digest of the set of shingles), n (its size), print (its fingerprint, LANES lanes)."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [np.unique(shingles(t, words_in_shingle)) for t in batch.column(1).to_pylist()]
-            packed = [x.tobytes() for x in sets]
-            keys = pa.array([band_keys(x) if len(x) else [] for x in sets], pa.list_(pa.int64()))
-            columns = [batch.column(0), pa.array([xxhash.xxh128_digest(x, SEED) for x in packed], pa.binary()), pa.array(list(map(len, sets)), pa.int64()), keys, pa.array(packed, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "fp", "n", "keys", "shingles"])
+            sets = [np.unique(shingles(t, words_in_shingle)) for t in batch.column(3).to_pylist()]
+            made = [pa.array([xxhash.xxh128_digest(x.tobytes(), SEED) for x in sets], pa.binary()), pa.array(list(map(len, sets)), pa.int64()), pa.array([simhash(x, LANES) for x in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *made], names=["id", "h1", "h2", "fp", "n", "print"])
 
     limit_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), utf8(text_col).alias("t")).mapInArrow(hashed, f"id {kind}, fp binary, n long, keys array<long>, shingles binary")
+    return docs.select(F.col(id_col).alias("id"), *text_marks(text_col), utf8(text_col).alias("t")).mapInArrow(hashed, f"id {kind}, h1 long, h2 long, fp binary, n long, print binary")
 
 
-def bucket_pairs(buckets: DataFrame, similarity: float) -> DataFrame:
-    """u, v: pairs of a bucket's nodes that have different roots, of which none is the bucket's hub, and whose sizes allow the similarity.
+def shingle_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, words_in_shingle: int) -> DataFrame:
+    """wanted without id, h1 and h2, and with shingles: the sorted distinct hashes, packed. wanted: node, and id, h1 and h2 of a row with its text.
 
-    buckets: key, node, n, hub, root.
+    Only texts that a filter of h1 lets pass are shuffled, which is all if there are too many nodes for one.
     """
+    texts = docs.select(F.col(id_col).alias("id"), *text_marks(text_col), utf8(text_col).alias("t"))
+    maybe = maybe_in(wanted, "h1", wanted.count())
+    if maybe is not None:
+        texts = texts.where(maybe(F.col("h1")))
+    same = (texts["h1"] == wanted["h1"]) & (texts["h2"] == wanted["h2"]) & texts["id"].eqNullSafe(wanted["id"])
+    kept = [c for c in wanted.columns if c not in ("id", "h1", "h2")]
+    found = texts.join(wanted, same).select(*kept, "t").dropDuplicates(["node"])
 
-    def pairs(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        keys, nodes, n, hubs, roots = rows
-        at, d = np.arange(len(keys)), 0
-        while True:
-            d += 1
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingles(t, words_in_shingle)).tobytes() for t in batch.column(len(kept)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(sets, pa.binary())], names=[*kept, "shingles"])
+
+    return found.mapInArrow(hashed, T.StructType([*[wanted.schema[c] for c in kept], T.StructField("shingles", T.BinaryType())]))
+
+
+def block_rows(prints: DataFrame, plan: BlockPlan, similarity: float) -> DataFrame:
+    """key, node, a, b: a row for each block of each fingerprint; a and b: its first CARRIED bits, and the set's size in STEPS.
+    prints: node, n, print."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places = plan.places()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                wide = np.frombuffer(b"".join(part.column(2).to_pylist()), np.uint8).reshape(len(part), -1)
+                steps = np.minimum(255, np.log(part.column(1).to_numpy()) / -math.log(similarity) * STEPS).astype(np.uint8)
+                carried = [np.ascontiguousarray(x).view(np.int64)[:, 0] for x in (wide[:, :8], np.concatenate([steps[:, None], wide[:, 8:15]], axis=1))]
+                repeated = [pa.array(np.repeat(x, plan.blocks)) for x in (part.column(0).to_numpy(), *carried)]
+                yield pa.RecordBatch.from_arrays([pa.array(block_keys(wide, places).ravel()), *repeated], names=["key", "node", "a", "b"])
+
+    return prints.select("node", "n", "print").mapInArrow(cut, "key long, node long, a long, b long")
+
+
+def alike(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray, most: int) -> np.ndarray:
+    """Whether rows i and j differ in at most `most` of the carried bits and their sets' sizes allow the similarity."""
+    x = b[i] ^ b[j]
+    near = np.bitwise_count(a[i] ^ a[j]) + np.bitwise_count(x >> np.uint64(8)) <= most
+    steps = (b & np.uint64(255)).astype(np.int16)
+    return near & (np.abs(steps[i] - steps[j]) <= STEPS)
+
+
+def has_alike(keys: np.ndarray, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
+    """Whether each row is alike another one of its bucket; rows of buckets over SHIFTED count as such. Rows come in whole buckets, sorted."""
+    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    sizes = np.diff(np.append(starts, len(keys)))
+    run = np.repeat(np.arange(len(starts)), sizes)
+    found = sizes[run] > SHIFTED
+    at, d = np.flatnonzero((sizes[run] > 1) & ~found), 0
+    while len(at):
+        d += 1
+        at = at[at + d < len(keys)]
+        at = at[run[at] == run[at + d]]
+        near = at[alike(a, b, at, at + d, most)]
+        found[near] = found[near + d] = True
+    return found
+
+
+def shared_blocks(rows: DataFrame, n: int, most: int) -> DataFrame:
+    """key, node: the rows that are alike another one of their bucket.
+
+    n: nodes; no bucket can have more, so large buckets are only looked for where n is over SPLIT.
+    """
+
+    def compare(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        keys, nodes, a, b = rows
+        at = np.flatnonzero(has_alike(keys, a.view(np.uint64), b.view(np.uint64), most))
+        yield pa.RecordBatch.from_arrays([pa.array(keys[at]), pa.array(nodes[at])], names=["key", "node"])
+
+    return dealt(pieces(rows, every=SEEN) if n > SPLIT else rows).select("key", "node", "a", "b").mapInArrow(runs(compare), "key long, node long")
+
+
+def lanes_in(prints: np.ndarray) -> np.ndarray:
+    """Fingerprints as they come from Arrow: row x lane."""
+    return np.frombuffer(b"".join(prints), np.uint64).reshape(len(prints), -1)
+
+
+def could_be(n: np.ndarray, f: np.ndarray, i: np.ndarray, j: np.ndarray, similarity: float, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Whether rows i and j may be candidates by their sets' sizes and fingerprints, and the bits that they differ in."""
+    bits = distance(f[i], f[j])
+    return (bits <= most) & (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j])), bits
+
+
+def nearest(buckets: DataFrame, turn: int, similarity: float, most: int) -> DataFrame:
+    """node, other: for each node the nearest of some rows of its buckets that have another root, if any is a candidate.
+
+    buckets: key, node, n, print, root, cuts. A row is compared with WINDOW others that a hash of the turn picks, in pieces of hot
+    buckets that another one does, so that the work is linear in the rows.
+    """
+
+    def compare(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        keys, nodes, n, roots, prints = rows
+        order = np.lexsort((lanes_of(nodes.view(np.uint64), turn + 2)[:, turn + 1], keys))
+        keys, nodes, n, roots, f = keys[order], nodes[order], n[order], roots[order], lanes_in(prints[order])
+        best, other = np.full(len(keys), most + 1), np.zeros(len(keys), np.int64)
+        at = np.arange(len(keys))
+        for d in range(1, WINDOW + 1):
             at = at[at + d < len(keys)]
             at = at[keys[at] == keys[at + d]]
-            if not len(at):
-                return
-            a, b = n[at], n[at + d]
-            new = at[(roots[at] != roots[at + d]) & (nodes[at] != hubs[at]) & (nodes[at + d] != hubs[at]) & (np.minimum(a, b) / np.maximum(a, b) >= similarity)]
-            if len(new):
-                yield pa.RecordBatch.from_arrays([pa.array(nodes[new + d]), pa.array(nodes[new])], names=["u", "v"])
+            i = at[roots[at] != roots[at + d]]
+            ok, bits = could_be(n, f, i, i + d, similarity, most)
+            for mine, theirs in ((i[ok], i[ok] + d), (i[ok] + d, i[ok])):
+                nearer = bits[ok] < best[mine]
+                best[mine[nearer]], other[mine[nearer]] = bits[ok][nearer], nodes[theirs[nearer]]
+        at = np.flatnonzero(best <= most)
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[at]), pa.array(best[at].astype(np.int64)), pa.array(other[at])], names=["node", "bits", "other"])
 
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []
-        size = 0
-        for batch in batches:
-            held.append([c.to_numpy() for c in batch.columns])
-            size += len(held[-1][0])
-            if size >= 100_000 and held[0][0][0] != held[-1][0][-1]:
-                rows = [np.concatenate(x) for x in zip(*held)]
-                end = int(np.searchsorted(rows[0], rows[0][-1], "left"))  # the last run may go on
-                yield from pairs([x[:end] for x in rows])
-                held, size = [[x[end:] for x in rows]], size - end
-        if size:
-            yield from pairs([np.concatenate(x) for x in zip(*held)])
+    key = F.when(F.col("cuts") == 1, F.col("key")).otherwise(F.xxhash64("key", F.pmod(F.xxhash64(F.lit(turn), "node"), F.col("cuts"))))
+    found = dealt(buckets.withColumn("key", key)).select("key", "node", "n", "root", "print").mapInArrow(runs(compare), "node long, bits long, other long")
+    return found.groupBy("node").agg(F.min(F.struct("bits", "other")).alias("best")).select("node", F.col("best.other").alias("other"))
 
-    rows = pieces(buckets, PAIRED).select("key", "node", "n", "hub", "root")
-    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    return rows.repartition(parts, "key").sortWithinPartitions("key", "node").mapInArrow(whole, "u long, v long").distinct()
+
+def bucket_pairs(buckets: DataFrame, similarity: float, most: int) -> DataFrame:
+    """u, v: the candidates of a bucket that have different roots. buckets: key, node, n, print, root."""
+
+    def pairs(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        keys, nodes, n, roots, prints = rows
+        f = lanes_in(prints)
+
+        def out(i: np.ndarray, j: np.ndarray) -> Iterator[pa.RecordBatch]:
+            ok, _ = could_be(n, f, i, j, similarity, most)
+            if ok.any():
+                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(nodes[i[ok]], nodes[j[ok]])), pa.array(np.minimum(nodes[i[ok]], nodes[j[ok]]))], names=["u", "v"])
+
+        starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        sizes = np.diff(np.append(starts, len(keys)))
+        for s, size in zip(starts[sizes > SHIFTED], sizes[sizes > SHIFTED]):
+            _, group, members = np.unique(roots[s : s + size], return_inverse=True, return_counts=True)
+            rows = s + np.lexsort((group, members[group]))  # small components first: each is compared with those after it
+            ends = np.cumsum(np.sort(members))
+            for begin, end in zip(np.concatenate([[0], ends[:-1]]), ends):
+                for own in rows[begin:end]:
+                    yield from out(np.full(size - end, own), rows[end:])
+        run = np.repeat(np.arange(len(starts)), sizes)
+        at, d = np.flatnonzero((sizes[run] > 1) & (sizes[run] <= SHIFTED)), 0
+        while len(at):
+            d += 1
+            at = at[at + d < len(keys)]
+            at = at[run[at] == run[at + d]]
+            other = at[roots[at] != roots[at + d]]
+            yield from out(other, other + d)
+
+    several = buckets.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
+    rows = pieces(buckets.join(several, "key", "left_semi"), PAIRED)
+    return dealt(rows).select("key", "node", "n", "root", "print").mapInArrow(runs(pairs), "u long, v long").distinct()
 
 
 def similar(pairs: DataFrame, sets: DataFrame, groups: int, similarity: float) -> DataFrame:
@@ -412,28 +587,40 @@ def similar(pairs: DataFrame, sets: DataFrame, groups: int, similarity: float) -
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_in_shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """One row per document: id_col, component_id. As simhash_components, for a Jaccard similarity of the sets of shingles.
 
-    Links are exact: every one is checked on the sets (64-bit hashes of shingles). Fingerprints of any practical width can't tell
-    0.8 from 0.75, nor find all pairs at 0.8 by equal blocks, so candidates are texts that agree on a band of least hashes: a
-    pair at 0.8 is missed with probability (1 - 0.8**6)**48, 5 in 10 million, and one of higher similarity less often.
+    Links are exact: every one is checked on the sets (64-bit hashes of shingles). Candidates are texts whose fingerprints share
+    a block and differ in no more of their CARRIED bits than all but one in a thousand pairs at the similarity. A pair at the
+    similarity itself shares a block with probability RECALL, one of higher similarity with more: equal blocks can't find all
+    pairs that differ in so many bits. Texts without words are one group.
 
-    First each node of a bucket is checked with the bucket's smallest, its hub; then the pairs that this hasn't joined.
+    In some rounds each text is checked with its nearest candidate of another component, which joins large groups with few checks;
+    then all candidates that are still apart are. Shingles are hashed again for the texts that have candidates, instead of being
+    kept for all.
     """
-    prints = written(shingle_sets(docs, id_col, text_col, words_in_shingle).withColumn("row", F.monotonically_increasing_id()), "shingles")
+    prints = written(set_prints(docs, id_col, text_col, words_in_shingle).withColumn("row", F.monotonically_increasing_id()), "prints")
     distinct = written(prints.groupBy("fp").agg(F.min("id").alias("least"), F.min("row").alias("node")), "distinct")
-    rows = prints.select(F.col("row").alias("node"), "n", "keys").join(distinct.select("node"), "node", "left_semi").select("node", "n", F.explode("keys").alias("key"))
-    shared = rows.withColumn("hub", F.min("node").over(Window.partitionBy("key"))).withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("size > 1")
-    buckets = written(shared, "buckets")
-    stars = written(buckets.where("node <> hub").select(F.col("node").alias("u"), F.col("hub").alias("v")).distinct(), "stars")
-    clusters = components(stars).withColumnRenamed("u", "node")
-    members = written(buckets.select("node", "n").distinct().join(clusters, "node", "left").select("node", "n", F.coalesce("root", "node").alias("root")), "members")
-    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / BLOCK_SHINGLES)).alias("blocks")
-    placed = members.join(members.groupBy("root").agg(blocks), "root").withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
-    sets = written(prints.select(F.col("row").alias("node"), "shingles").join(placed, "node").select("node", "root", "block", "blocks", "n", "shingles"), "sets")
+    nodes = distinct.count()
+    plan = plan_blocks(nodes, similarity)
+    own = prints.where("n > 0").select(F.col("row").alias("node"), "n", "print").join(distinct.select("node"), "node", "left_semi")
+    shared = written(shared_blocks(block_rows(own, plan, similarity), nodes, plan.carried), "shared")
+    cuts = shared.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / PAIRED).alias("cuts")).where("cuts > 1")
+    buckets = written(shared.join(own, "node").join(cuts, "key", "left").withColumn("cuts", F.coalesce("cuts", F.lit(1))), "buckets")
+    stars = written(nearest(buckets.withColumn("root", F.col("node")), 0, similarity, plan.most), "stars")
+    first = stars.select(F.greatest("node", "other").alias("u"), F.least("node", "other").alias("v")).distinct()
+    clusters = components(first).withColumnRenamed("u", "node")
+    rows = prints.select(F.col("row").alias("node"), "n", "id", "h1", "h2")
+    members = written(rows.join(buckets.select("node").distinct(), "node").join(clusters, "node", "left").withColumn("root", F.coalesce("root", "node")), "members")
+    sizes = members.groupBy("root").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / BLOCK_SHINGLES)).alias("blocks"))
+    wanted = written(members.join(sizes, "root").withColumn("block", F.pmod(F.xxhash64("node"), "blocks")).select("node", "root", "block", "blocks", "n", "id", "h1", "h2"), "wanted")
+    sets = written(shingle_sets(docs, wanted, id_col, text_col, words_in_shingle), "sets")
     groups = 1 + (members.agg(F.sum("n")).first()[0] or 0) // BLOCK_SHINGLES
 
-    first = written(similar(stars, sets, groups, similarity), "links")
-    roots = components(first).withColumnRenamed("u", "node")
-    rooted = buckets.where("size > 2").join(roots, "node", "left").select("key", "node", "n", "hub", F.coalesce("root", "node").alias("root"))
-    second = written(similar(bucket_pairs(rooted, similarity), sets, groups, similarity), "links")
-    named_ = named(distinct.select("node", "least"), components(first.union(second)))
+    linked = written(similar(first, sets, groups, similarity), "links")
+    for turn in range(1, ROUNDS + 1):
+        roots = components(linked).withColumnRenamed("u", "node")
+        rooted = buckets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        pairs = bucket_pairs(rooted, similarity, plan.most)
+        if turn < ROUNDS:
+            pairs = nearest(rooted, turn, similarity, plan.most).select(F.greatest("node", "other").alias("u"), F.least("node", "other").alias("v")).distinct()
+        linked = written(linked.union(similar(pairs, sets, groups, similarity)), "links")
+    named_ = named(distinct.select("node", "least"), components(linked))
     return prints.select("id", "fp").join(distinct.select("node", "fp").join(named_, "node").select("fp", "component_id"), "fp").select(F.col("id").alias(id_col), "component_id")

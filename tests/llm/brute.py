@@ -1,6 +1,7 @@
 """Plain versions of the operators, for small tables."""
 
 import hashlib
+import math
 import re
 from collections import defaultdict
 
@@ -47,25 +48,12 @@ def simhash(rows, bits=4, k=4):
     return [(rows[i][0], f"{fps[i]:016x}", least[find(i)]) for i in range(len(rows))]
 
 
-MASK = 2**64 - 1
-
-
-def lane(h, j):
-    if not j:
-        return h
-    x = (h + j * 0x9E3779B97F4A7C15) & MASK
-    x = ((x ^ x >> 30) * 0xBF58476D1CE4E5B9) & MASK
-    x = ((x ^ x >> 27) * 0x94D049BB133111EB) & MASK
-    return x ^ x >> 31
-
-
-def near(rows, most, k=5, lanes=8):
-    """Component ids of (id, text) rows: fingerprints of several lanes that share a 16-bit block and differ in at most `most` bits."""
-    fps = []
+def near(rows, similarity, k=5):
+    """Component ids of (id, text) rows: links at a Jaccard similarity of the sets of shingles; no words are alike no words."""
+    sets = []
     for _, text in rows:
         w = WORD.findall((text or "").translate(UP))
-        h = [xxhash.xxh64_intdigest(" ".join(w[i : i + k]).encode(), 42) for i in range(max(1, len(w) - k + 1))] if w else []
-        fps.append([sum(1 << b for b in range(64) if 2 * sum(lane(x, j) >> b & 1 for x in h) > len(h)) for j in range(lanes)])
+        sets.append({tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set())
     parent = list(range(len(rows)))
 
     def find(i):
@@ -73,10 +61,9 @@ def near(rows, most, k=5, lanes=8):
             i = parent[i]
         return i
 
-    for i in range(len(rows)):
-        for j in range(i):
-            x = [a ^ b for a, b in zip(fps[i], fps[j])]
-            if sum(map(int.bit_count, x)) <= most and any(v >> s & 0xFFFF == 0 for v in x for s in (0, 16, 32, 48)):
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets[:i]):
+            if x == y or min(len(x), len(y)) >= similarity * max(len(x), len(y)) and len(x & y) >= similarity * len(x | y):
                 parent[find(i)] = find(j)
     least = {}
     for i, (d, _) in enumerate(rows):
@@ -109,6 +96,60 @@ def decontaminate(docs, bench, window=10):
     return out
 
 
+def targets(sizes, share, weights, ceiling):
+    """Target of each source of {source: size}: shares by weight, what is over a source's ceiling is shared again."""
+    order = sorted(sizes, key=lambda x: (x is None, x or ""))
+    weight = {s: weights[k % len(weights)] for k, s in enumerate(order)}
+    out, left = {}, share * sum(sizes.values())
+    while free := [s for s in order if s not in out]:
+        unit = max(0.0, left) / sum(weight[s] for s in free)
+        full = [s for s in free if unit * weight[s] >= ceiling * sizes[s]]
+        if not full:
+            return out | {s: unit * weight[s] for s in free}
+        for s in full:
+            out[s] = ceiling * sizes[s]
+            left -= out[s]
+    return out
+
+
+def bit_tables(texts, code, buckets, orders, bucket, smooth):
+    """Log-ratios by order, bucket and bit from {language: texts}, n-gram by n-gram. bucket(n-gram) gives its place."""
+    out = []
+    for order in orders:
+        rates = []
+        for lang in sorted(texts):
+            n = [0] * buckets
+            for t in texts[lang]:
+                for i in range(len(t) - order + 1):
+                    n[bucket(t[i : i + order])] += 1
+            rates.append([(x + smooth) / (sum(n) + smooth * buckets) for x in n])
+        rows = []
+        for b in range(buckets):
+            row = []
+            for bit in range(len(code[0])):
+                up = [r[b] for r, c in zip(rates, code) if c[bit] > 0]
+                down = [r[b] for r, c in zip(rates, code) if c[bit] < 0]
+                row.append(math.log(sum(up) / len(up)) - math.log(sum(down) / len(down)))
+            rows.append(row)
+        out.append(rows)
+    return out
+
+
+def longest_match(text, bench):
+    """(words, item, position) of the longest run of words that is in an item too: the first one, and its first item by name."""
+    w, best = BENCH_WORD.findall((text or "").translate(UP)), (0, None, None)
+    items = [("" if i is None else str(i), BENCH_WORD.findall((t or "").translate(UP))) for i, t in bench]
+    for p in range(len(w)):
+        for name, x in items:
+            for q in range(len(x)):
+                n = 0
+                while p + n < len(w) and q + n < len(x) and w[p + n] == x[q + n]:
+                    n += 1
+                if n and (-n, p, name) < (-best[0], best[2] if best[0] else 0, best[1] or ""):
+                    best = (n, name, p)
+    return best
+
+
 def secrets(text):
     text = text or ""
     spans = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
@@ -145,3 +186,17 @@ def exact(rows):
         keep = max((x for x in g if x is not None), default=None)
         out.append((d, keep, len(g), d == keep, sha((t or "").translate(UP))))
     return out
+
+
+def markov_spans(text, model, alphabet, least, base):
+    """(start, end) of the random parts of runs, by all parts of each run; base: spans that they mustn't touch."""
+    n, out = len(alphabet), []
+    for m in re.finditer(r"[A-Za-z0-9+/_=-]{16,}", text or ""):
+        if any(s <= m.start() and m.end() <= e for s, e in base):
+            continue
+        at = [alphabet.index(c) for c in m[0]]
+        ratio = [round(model[a * n + b], 5) for a, b in zip(at, at[1:])]
+        best = max(((sum(ratio[i:j]), -i, -j) for i in range(len(ratio)) for j in range(i + 1, len(ratio) + 1)), default=(0, 0, 0))
+        if best[0] >= least and not any(s < m.start() - best[2] + 1 and m.start() - best[1] < e for s, e in base):
+            out.append((m.start() - best[1], m.start() - best[2] + 1))
+    return out

@@ -1,6 +1,7 @@
 """Operators against plain versions: nulls, empty and very long texts, ties and repeated rows, empty tables, clashing columns."""
 
 import base64
+import gzip
 import hashlib
 import random
 import sys
@@ -85,6 +86,24 @@ def test_line_dedup_hot_line(spark, monkeypatch):
     same(lines_of(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(40)), brute.lines(rows))
 
 
+def test_line_dedup_repeated_ids(spark):
+    """Rows without id, or that share one, get verdicts of their own text, not of all rows with the id; the index combines in two levels."""
+    rows = [(None if k % 3 else 7, "\n".join(f"shared line number {(k * 7 + j) % 50}" for j in range(20))) for k in range(120)] + [(1, "shared line number 3"), (7, "shared line number 4\nshared line number 4")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(7)
+    same(lines_of(df), brute.lines(rows))
+    drops = line_dedup.dropped_lines(df)
+    assert drops.selectExpr("max(size(drops))").first()[0] <= 20
+    assert drops.count() <= len(set(rows))
+
+
+def test_line_index_in_two_levels(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "COMBINED", 2)
+    monkeypatch.setattr(line_dedup, "BATCH_BYTES", 64)
+    rows = [(k, f"this line is everywhere\nline of its own {k}\nline of a few {k % 9}") for k in range(200)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(30)
+    same(lines_of(df), brute.lines(rows))
+
+
 def test_perfect_hash():
     keys = np.random.default_rng(1).integers(0, 2**63, (5000, 2)).astype(np.uint64)
     table = line_dedup.PerfectHash.build(keys[:, 0].copy(), keys[:, 1].copy())
@@ -135,6 +154,41 @@ def test_warc_chunks(spark, tmp_path):
     assert warc.opened(path)[0].get_file_info(warc.opened(path)[1]).size < len(text)
 
 
+def test_warc_common_payload(spark, monkeypatch):
+    """A payload that nearly all pages have, of several chunks: tasks share its records, and revisits move no chunks."""
+    rows = [(k, "u", "x" * 5000 if k % 10 else f"own {k}") for k in range(300)]
+    df = spark.createDataFrame(rows, PAGES).repartition(6)
+    seen, real = [], type(df).mapInArrow
+
+    def watched(self, f, schema, *rest):
+        if schema == warc.MANIFEST:
+            seen.append(self.select("row", "chunk", F.spark_partition_id().alias("p")).collect())
+        return real(self, f, schema, *rest)
+
+    monkeypatch.setattr(type(df), "mapInArrow", watched)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        same(pages_of(df, chunk_bytes=1000), plain_pages(rows))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    long = seen[1]
+    assert len({r.p for r in long}) > 1
+    assert len(long) == 269 + 5  # a row for each revisit's head, five chunks of the response
+
+
+def test_warc_record_ids(spark, tmp_path):
+    """Identifiers differ, also those of repeated rows; revisits refer to a response that is there."""
+    rows = [(1, "u", "a"), (1, "u", "a"), (2, "u", "a"), (3, "u", "b"), (3, "u", "b"), (None, "u", "b"), (None, "u", "c"), (None, "u", "c"), (4, "u", "d"), (4, "u", "d" * 3000), (5, "u", "d" * 3000)]
+    manifest = warc.write_archives(spark.createDataFrame(rows, PAGES).repartition(3), str(tmp_path / "w"), "page_id", "url", "html", 0, 1000)
+    ids = [r.record_id for r in warc.read_archives(spark, manifest, 1000).where("chunk = 0").collect()]
+    assert len(ids) == len(set(ids)) == len(rows)
+    refers = set()
+    for r in manifest.collect():
+        for head in gzip.open(warc.opened(r.archive)[1]).read().split(b"WARC/1.1")[1:]:
+            refers |= {x.split(b": ")[1].decode() for x in head.split(b"\r\n") if x.startswith(b"WARC-Refers-To:")}
+    assert len(refers) == 2 and refers <= set(ids)
+
+
 TOKENIZER = pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")
 
 
@@ -156,20 +210,64 @@ def test_token_counts(spark, docs, none, rows, tmp_path):
     assert stored == {hashlib.sha256((x or "").strip(" \t\n\r\x0b\x0c").encode()).digest() for _, x in pairs(rows) + odd}
     same(token_counts.token_counts(df, TOKENIZER, by_word=False).collect(), want)
     assert token_counts.token_counts(none, TOKENIZER).collect() == []
+    more = df.unionByName(spark.createDataFrame([(k, f"another text of number {k}") for k in range(900, 905)], "doc_id bigint, text string"), allowMissingColumns=True)
+    extra = [(k, len(f"another text of number {k}"), len(t.encode(f"another text of number {k}", add_special_tokens=False).ids), False) for k in range(900, 905)]
+    same(token_counts.token_counts(more, TOKENIZER, cache).collect(), want + extra)  # few misses: a filter keeps the others out
+    assert token_counts.read_cache(spark, cache).count() == before + 5
+
+
+def test_splits_at_spaces(tmp_path):
+    """Told from the tokenizer's file; one that keeps white space encodes whole texts."""
+    import json
 
+    import public_tokenizers
 
-def test_targets():
-    got = mixing.targets([("b", 100), ("a", 1000), (None, 10), ("c", 50)], 1.5, (5, 2, 1), 2.0)
-    assert got["b"] == 200 and got["c"] == 100 and got[None] == 20 and got["a"] == pytest.approx(1.5 * 1160 - 320)
-    assert mixing.targets([], 1.5, (5, 2, 1), 2.0) == {} and mixing.targets([("a", 0)], 1.5, (5,), 2.0) == {"a": 0.0}
+    assert token_counts.splits_at_spaces(TOKENIZER) and not token_counts.splits_at_spaces(public_tokenizers.path("byte_bpe_50k.json"))
+    spec = json.loads(Path(TOKENIZER).read_text())
+    for change in ({"pre_tokenizer": None}, {"normalizer": {"type": "Prepend", "prepend": "_"}}, {"added_tokens": [{"content": "a b"}]}, {"pre_tokenizer": {"type": "Split", "pattern": {"Regex": " ?\\w+"}, "behavior": "Removed", "invert": True}}):
+        (tmp_path / "t.json").write_text(json.dumps(spec | change))
+        assert not token_counts.splits_at_spaces(str(tmp_path / "t.json"))
+
+
+def test_targets(spark):
+    r = random.Random(11)
+    for sizes in ({"a": 100, "b": 100, "c": 100}, {None: 50, "z": 1000, "é": 7, "Z": 0, "": 3}, {f"s{k}": r.randrange(1, 5000) ** 2 for k in range(40)}, {"a": 0}):
+        for share, ceiling in ((1.5, 2.0), (3.0, 2.0), (0.2, 1.0)):
+            totals = spark.createDataFrame(list(sizes.items()), "source string, source_size long")
+            got = {x.source: x.target for x in mixing.targets(totals, share, (5.0, 2.0, 1.0), ceiling).collect()}
+            assert got == pytest.approx(brute.targets(sizes, share, (5.0, 2.0, 1.0), ceiling))
 
 
 def test_flight_keeps_the_sums():
-    r = np.random.default_rng(3)
-    size, pi = r.integers(1, 500, 4000), np.full(4000, 0.37)
-    p = mixing.fly(pi, size, random.Random(1))
-    assert ((p > 0) & (p < 1)).sum() <= 2
-    assert p.sum() == pytest.approx(pi.sum()) and (p * size).sum() == pytest.approx((pi * size).sum())
+    r = np.random.default_rng(2)
+    pi, size = r.random(500), r.integers(0, 5000, 500).astype(float)
+    p = mixing.fly(pi, size, random.Random(3))
+    assert ((p > 0) & (p < 1)).sum() <= 2 and p.sum() == pytest.approx(pi.sum()) and (p * size).sum() == pytest.approx((pi * size).sum(), rel=1e-6)
+
+
+def test_flight_draws_by_probability():
+    """Over many seeds each document is taken as often as its probability says; words and documents land near their totals in all of them."""
+    r = np.random.default_rng(5)
+    pi, size = r.random(40), np.sort(r.integers(1, 900, 40))[::-1].astype(float)
+    drawn = []
+    for seed in range(1500):
+        p = mixing.land(mixing.fly(pi, size, random.Random(seed)), size)
+        assert set(p) <= {0.0, 1.0} and abs(p.sum() - pi.sum()) < 2 and abs((p * size).sum() - (pi * size).sum()) <= size.max() / 2
+        drawn.append(p)
+    early = slice(0, 30)  # the last ones land
+    assert np.abs(np.mean(drawn, axis=0) - pi)[early].max() < 4.5 * 0.5 / 1500**0.5
+
+
+def test_mixing_rows_that_are_alike(spark, monkeypatch):
+    """Rows without id, of one text, are dealt into several blocks, and numbered in steps."""
+    monkeypatch.setattr(mixing, "BLOCK", 10)
+    monkeypatch.setattr(mixing, "STEP", 7)
+    rows = [(None, "three words here", "a")] * 100 + [(k, "two words", "b") for k in range(30)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).collect()
+    want = brute.targets({"a": 300, "b": 60}, 1.5, (5.0, 2.0, 1.0), 2.0)
+    for s, n in (("a", 100), ("b", 30)):
+        own = [x for x in got if x.source == s]
+        assert len(own) == n and abs(sum(x.taken for x in own) - want[s]) <= 2 and abs(sum(x.copies for x in own) - want[s] / own[0].source_size * n) < 2
 
 
 @pytest.mark.parametrize("block", [1000, 10])
@@ -182,7 +280,7 @@ def test_mixing(spark, docs, none, rows, monkeypatch, block):
     sizes = {}
     for _, t, _, s, _ in all_:
         sizes[s] = sizes.get(s, 0) + len(brute.WORD.findall(t or ""))
-    goal = mixing.targets(list(sizes.items()), 1.5, (5.0, 2.0, 1.0), 2.0)
+    goal = brute.targets(sizes, 1.5, (5.0, 2.0, 1.0), 2.0)
     assert Counter((r.doc_id, r.size, r.source) for r in got) == Counter((d, len(brute.WORD.findall(t or "")), s) for d, t, _, s, _ in all_)
     assert all(0 <= r.taken <= 2 * r.size and r.source_size == sizes[r.source] and r.target == pytest.approx(goal[r.source]) for r in got)
     for s in sizes:
@@ -230,10 +328,8 @@ def test_components_of_a_path(spark):
 
 
 def test_near_duplicates(docs, none, rows):
-    """The links of wide fingerprints, and what they stand for: similar texts are joined, others aren't."""
-    small = [(d, t) for d, t in pairs(rows) if t is None or len(t) < 10_000]
-    df = docs.where(F.col("text").isNull() | (F.length("text") < 10_000))
-    same(simhash.near_duplicates(df).collect(), brute.near(small, simhash.most_bits(0.8, 512)))
+    """Similar texts are joined, others aren't, as a comparison of all pairs says."""
+    same(simhash.near_duplicates(docs).collect(), brute.near(pairs(rows), 0.8))
     assert simhash.near_duplicates(none).collect() == []
 
 
@@ -283,18 +379,69 @@ def test_near_duplicates_below_the_similarity(spark):
 
 
 def test_near_duplicates_are_candidates():
-    """All of 500 pairs each at similarities of 0.80, 0.82 and 0.85 agree on a band."""
+    """Of 600 pairs each, nearly all share a block and are within the Hamming distance, whatever the sets' size and the plan."""
     r = np.random.default_rng(7)
-    for common, own in ((160, 20), (164, 18), (170, 15)):
-        for _ in range(500):
-            both, a, b = (r.integers(0, 2**64, n, dtype=np.uint64) for n in (common, own, own))
-            assert (simhash.band_keys(np.concatenate([both, a])) == simhash.band_keys(np.concatenate([both, b]))).any()
+    for nodes in (10_000, 10**8):
+        plan = simhash.plan_blocks(nodes, 0.8)
+        for common, own, other in ((160, 20, 20), (1600, 200, 200), (164, 18, 18), (170, 15, 15), (16, 2, 2), (40, 10, 0), (8, 1, 1)):
+            prints = [[], []]
+            for _ in range(600):
+                both, a, b = (r.integers(0, 2**64, n, dtype=np.uint64) for n in (common, own, other))
+                for p, x in zip(prints, (a, b)):
+                    p.append(simhash.simhash(np.concatenate([both, x]), simhash.LANES))
+            a, b = (np.frombuffer(b"".join(p), np.uint8).reshape(600, -1) for p in prints)
+            met = (simhash.block_keys(a, plan.places()) == simhash.block_keys(b, plan.places())).any(axis=1)
+            near = np.bitwise_count(a[:, : simhash.CARRIED // 8] ^ b[:, : simhash.CARRIED // 8]).sum(axis=1) <= plan.carried
+            near &= np.bitwise_count(a ^ b).sum(axis=1) <= plan.most
+            assert (met & near).mean() > 0.97
+
+
+def test_plan_of_blocks():
+    """Unrelated fingerprints of a bucket stay few at any size; blocks grow far slower than documents."""
+    plans = {n: simhash.plan_blocks(n, 0.8) for n in (0, 1, 10**5, 10**6, 10**7, 10**8, 10**9, 10**10)}
+    assert all(n / 2**p.bits <= simhash.RANDOM for n, p in plans.items())
+    assert plans[10**9].blocks < 12 * plans[10**5].blocks
+    for n in (10**5, 10**9):
+        places = plans[n].places()
+        assert places.shape == (plans[n].blocks, plans[n].bits) and all(len(set(x)) == len(x) for x in places.tolist())
+
+
+def test_has_alike():
+    r = np.random.default_rng(3)
+    keys = np.sort(r.integers(0, 40, 900))
+    a = r.integers(0, 2**64, 8, dtype=np.uint64)[r.integers(0, 8, 900)] ^ (np.uint64(1) << r.integers(0, 64, 900).astype(np.uint64))
+    steps = r.integers(40, 50, 900)
+    b = (a << np.uint64(8)) | steps.astype(np.uint64)
+    bits = np.bitwise_count(a[:, None] ^ a) + np.bitwise_count((b >> np.uint64(8))[:, None] ^ (b >> np.uint64(8)))
+    like = (keys[:, None] == keys) & (bits <= 3) & (np.abs(steps[:, None] - steps) <= simhash.STEPS) & ~np.eye(900, dtype=bool)
+    assert 0.2 < like.any(axis=1).mean() < 0.8
+    assert (simhash.has_alike(keys, a, b, 3) == like.any(axis=1)).all()
+
+
+def test_steps_of_sizes():
+    """Sizes that allow the similarity are at most STEPS steps apart, however they are rounded."""
+    n = np.arange(1, 60_000)
+    steps = np.minimum(255, np.log(n) / -np.log(0.8) * simhash.STEPS).astype(np.uint8).astype(int)
+    assert (steps - steps[np.ceil(0.8 * n).astype(int) - 1]).max() <= simhash.STEPS and steps.max() < 255
+
+
+def test_maybe_in(spark):
+    """A filter lets all keys pass and few others; there is none for too many keys."""
+    from rivulet.llm import common
+
+    keys = spark.range(0, 3000, 3).selectExpr("xxhash64(id) AS k")
+    maybe = common.maybe_in(keys, "k", 1000)
+    passed = {r.id for r in spark.range(9000).where(maybe(F.xxhash64("id"))).collect()}
+    assert passed >= set(range(0, 3000, 3)) and len(passed) < 1200
+    assert common.maybe_in(keys, "k", 10**9) is None
+    none = common.maybe_in(keys.limit(0), "k", 0)
+    assert spark.range(100).where(none(F.xxhash64("id"))).count() == 0
 
 
 def test_near_duplicates_in_a_large_bucket(spark, monkeypatch):
-    """Many edits of one text: all links of a large bucket are found, by its hub or not, in pieces too."""
-    monkeypatch.setattr(simhash, "PAIRED", 16)
-    monkeypatch.setattr(simhash, "BLOCK", 16)
+    """Many edits of one text: all links of a large bucket are found, in pieces and by components too."""
+    for name in ("PAIRED", "BLOCK", "SHIFTED", "WINDOW"):
+        monkeypatch.setattr(simhash, name, 16 if name != "WINDOW" else 3)
     r, base, texts_ = random.Random(3), words(9, 150).split(), []
     for k in range(90):
         copy = list(base)
@@ -370,8 +517,41 @@ def test_language_score_is_of_its_text_alone(spark):
     assert together == pytest.approx(apart)
 
 
+def test_bit_tables(spark):
+    """Sums over languages, in several groups, against a count n-gram by n-gram."""
+    texts_ = {x: [t for _, t, lang in language_rows(40) if lang == x] for x in LANGS} | {"ee": ["etwas mehr text", "x"]}
+    code = language_id.codewords(5)
+
+    def bucket_of(gram):
+        got = language_id.grams(np.frombuffer(gram, np.uint8), np.array([len(gram)]), len(gram))
+        return int(got[0])
+
+    clean = {k: [t.encode().translate(language_id.LETTERS) for t in v] for k, v in texts_.items()}
+    want = brute.bit_tables(clean, code.tolist(), language_id.BUCKETS, language_id.ORDERS, bucket_of, language_id.SMOOTH)
+    df = spark.createDataFrame([(k, t, lang) for lang, v in texts_.items() for k, t in enumerate(v)], "doc_id bigint, text string, lang string").repartition(5)
+    for held, summed in ((language_id.HELD, language_id.SUMMED), (1, 2)):
+        language_id.HELD, language_id.SUMMED, before = held, summed, (language_id.HELD, language_id.SUMMED)
+        try:
+            model = language_id.fit(df, "doc_id", "text", "lang")
+        finally:
+            language_id.HELD, language_id.SUMMED = before
+        assert model.languages == sorted(texts_)
+        for table, rows in zip(model.tables, want):
+            assert np.allclose(table[:-1], np.array(rows), atol=1e-4) and not table[-1].any()
+
+
+def test_many_languages(spark):
+    """No bound on their number: more than one task's sums and the chosen codes."""
+    rows = [(10 * k + j, " ".join(f"{a}{k:03d}{b}" .translate(str.maketrans("0123456789", "abcdefghij")) for a in "xyz" for b in "uvw"), f"l{k}") for k in range(530) for j in range(2)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(4)
+    model = language_id.fit(df, "doc_id", "text", "lang")
+    assert len(model.languages) == 530
+    got = language_id.identify(df, model).collect()
+    assert np.mean([r.language.lang == r.lang for r in got]) > 0.9
+
+
 def test_codewords():
-    for n in (2, 3, 4, 5, 12):
+    for n in (2, 3, 4, 5, 12, 600):
         code = language_id.codewords(n)
         assert code.shape[0] == n and len({tuple(x) for x in code}) == n
     assert language_id.codewords(4).shape[1] == 7
@@ -407,9 +587,11 @@ def test_quality(spark, docs, none, rows):
     model, stats = quality.train(df, labels)
     scored = quality.score(stats, model).where(language_id.held_out("id", 3, 1)).collect()
     assert all((r.score >= 0.5) == (r.id < 1000) for r in scored) and all(0 <= r.score <= 1 for r in scored)
-    kept = quality.keep_good(docs, model)
-    assert kept.columns == docs.columns and all(0 <= r.score <= 1 for r in quality.score(quality.document_statistics(docs, "doc_id", "text"), model).collect())
-    assert quality.keep_good(none, model).collect() == []
+    rated = quality.with_statistics(docs, out="rated")
+    kept = quality.keep_good(rated, model, "rated")
+    assert kept.columns == docs.columns and kept.count() == sum(r.score >= 0.5 for r in quality.score(rated.select(F.col("doc_id").alias("id"), F.col("rated").alias("x")), model).collect())
+    assert all(0 <= r.score <= 1 for r in quality.score(quality.document_statistics(docs, "doc_id", "text"), model).collect())
+    assert quality.keep_good(quality.with_statistics(none), model).collect() == []
     flat, _ = quality.train(docs, spark.createDataFrame([], "doc_id bigint, quality int"))
     assert flat.scores(np.zeros((2, len(quality.STATISTICS)))).tolist() == [0.5, 0.5]
     one, _ = quality.train(df, spark.createDataFrame([(k, 1) for k in range(50)], "doc_id bigint, quality int"))
@@ -438,10 +620,56 @@ def test_secrets(spark, docs, none, rows, markov):
     assert secrets.scan(none, markov).collect() == []
 
 
+def spans_of(spark, texts_, model):
+    df = spark.createDataFrame(list(enumerate(texts_)), "doc_id bigint, text string")
+    got = {r.doc_id: r.all for r in secrets.scan(df, model).collect()}
+    return [[(x.start, x.kind, x.end, x.value) for x in got[k]] for k in range(len(texts_))]
+
+
 def test_markov(spark, markov):
-    samples = [("ok", "please call HttpConnectionManagerFactory or internationalisation_of_services for this"), ("key", "see kJ8sQz2LxW9vTb4NmR7pYc3H in the notes"), ("both", "token=kJ8sQz2LxW9vTb4NmR7pYc3H")]
-    got = {r[0]: r.spans for r in secrets.scan(spark.createDataFrame(samples, "doc_id string, text string"), markov).select("doc_id", secrets.listed(F.col("all")).alias("spans")).collect()}
-    assert got == {"ok": "", "key": "markov:4:28", "both": "assign:0:30"}
+    got = spans_of(spark, ["please call HttpConnectionManagerFactory or internationalisation_of_services for this", "see kJ8sQz2LxW9vTb4NmR7pYc3H in the notes", "token=kJ8sQz2LxW9vTb4NmR7pYc3H"], markov)
+    assert got[0] == [] and [(a, k) for a, k, _, _ in got[1]] == [(4, 3)] and got[1][0][3] in "kJ8sQz2LxW9vTb4NmR7pYc3H" and len(got[1][0][3]) > 20
+    assert [(a, k, b) for a, k, b, _ in got[2]] == [(0, 0, 30)]
+
+
+def planted(seed, n):
+    """(text, begin, end) of random keys of 20 to 40 characters that no base pattern matches: alone, behind a path, a name, in a text."""
+    r, out = random.Random(seed), []
+    for k in range(n):
+        key = "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789" + "+/" * (k % 2)) for _ in range(r.randrange(20, 41)))
+        before = ("", "https://example.org/customer/account/session/reset/", "DATABASE_CONNECTION_STRING=", "please note the following: ")[k % 4]
+        out.append((f"{before}{key} thanks", len(before), len(before) + len(key)))
+    return out
+
+
+ORDINARY = ["getUserAccountByIdentifier", "https://example.org/documentation/reference/configuration", "some_function_name_that_is_long", "README-first-before-installing", "2024-01-31T12:00:00", "internationalization", "DEFAULT_MAXIMUM_RETRY_COUNT", "Donaudampfschifffahrtsgesellschaft", "======================", "--------------------", "path/to/the/directory/of/modules", "aaaaaaaaaaaaaaaaaaaaaaaaaaaa", "version-2-of-the-protocol-buffers", "________________________"]
+
+
+def test_markov_precision_and_recall(spark, markov):
+    """Keys that base patterns miss are found, nearly whole; ordinary names aren't taken for keys."""
+    keys = planted(21, 400)
+    got = spans_of(spark, [t for t, _, _ in keys] + ORDINARY, markov)
+    right = [sum(k == 3 and a >= begin - 4 and b <= end and b - a >= 0.7 * (end - begin) for a, k, b, _ in g) for (_, begin, end), g in zip(keys, got)]
+    assert sum(map(bool, right)) >= 0.95 * len(keys)
+    spans = sum(k == 3 for g in got for _, k, _, _ in g)
+    assert sum(right) >= 0.95 * spans and not any(k == 3 for g in got[len(keys) :] for _, k, _, _ in g)
+
+
+def test_markov_spans_are_whole(spark, markov):
+    """All spans against all parts of every run."""
+    r = random.Random(6)
+    texts_ = [t for t, _, _ in planted(22, 40)] + SECRETS[:16] + ORDINARY + [" ".join("".join(r.choice(secrets.ALPHABET) for _ in range(r.randrange(8, 40))) for _ in range(6)) + " token=abcdef" for _ in range(20)]
+    for t, g in zip(texts_, spans_of(spark, texts_, markov)):
+        base = [(a, b) for a, k, b, _ in g if k < 3]
+        assert [(a, b) for a, k, b, _ in g if k == 3] == brute.markov_spans(t, markov, secrets.ALPHABET, np.log((1 - secrets.PRIOR) / secrets.PRIOR), base)
+        assert all((t or "")[a:b].endswith(v) for a, k, b, v in g if k == 3)
+
+
+def test_samples_of_a_corpus(spark):
+    docs = spark.createDataFrame([(1, 'password="kJ8sQz2LxW9vTb4NmR7pYc3H" and ordinary identifiers'), (2, "deadbeef" * 4 + " here"), (3, None), (None, "without number"), (4, "secret=short another_identifier")], "doc_id bigint, text string")
+    got = {(r.token, r.random) for r in secrets.corpus_samples(docs).collect()}
+    assert got == {("kJ8sQz2LxW9vTb4NmR7pYc3H", True), ("deadbeef" * 4, True), ("ordinary", False), ("identifiers", False), ("another_identifier", False)}
+    assert secrets.corpus_samples(docs, rows=1).count() <= 3 and secrets.corpus_samples(docs.limit(0)).count() == 0
 
 
 BENCH = "item_id bigint, text string"
@@ -465,11 +693,33 @@ def test_decontamination(spark, docs, none, rows, block):
     assert kept.columns == docs.columns
 
 
-def test_longest_match(spark):
-    item = " ".join(f"w{k}" for k in range(40))
-    docs = spark.createDataFrame([(1, "x y " + " ".join(f"w{k}" for k in range(5, 28)) + " z"), (2, "w1 w2")], "doc_id bigint, text string")
-    got = {r.doc_id: r.decontamination for r in decontaminate.annotate(docs, spark.createDataFrame([(9, item)], BENCH)).collect()}
-    assert (got[1].longest_match, got[1].longest_item, got[1].longest_at) == (23, "9", 2) and got[2].longest_match == 0
+@pytest.mark.parametrize("block", [1 << 20, 300])
+def test_longest_match(spark, block):
+    """Below and above the window and the depth of the arrays, with ties, whatever the blocks."""
+    r = random.Random(4)
+    pool = [f"w{k}" for k in range(30)]
+    bench = [(k, " ".join(r.choice(pool) for _ in range(r.randrange(1, 60)))) for k in range(25)] + [(7, "w1 w2 w3"), (None, "w4 w5"), (99, None)]
+    texts_ = [" ".join(r.choice(pool + ["none"] * 3) for _ in range(r.randrange(40))) for _ in range(60)]
+    for k in range(40):  # passages of items, longer than the window too
+        own = bench[r.randrange(25)][1].split()
+        cut = r.randrange(len(own))
+        texts_.append(" ".join(["none"] * r.randrange(3) + own[cut:] + [r.choice(pool)] + own[: cut + 12]))
+    texts_ += [bench[3][1], bench[3][1] + " " + bench[4][1], "none at all", "", None, "w4"]
+    df = spark.createDataFrame(list(enumerate(texts_)), "doc_id bigint, text string")
+    got = {x.doc_id: x.decontamination for x in decontaminate.annotate(df, spark.createDataFrame(bench, BENCH), block_bytes=block).collect()}
+    want = {k: brute.longest_match(t, bench) for k, t in enumerate(texts_)}
+    assert {k: (x.longest_match, x.longest_item, x.longest_at) for k, x in got.items()} == want
+    assert {min(n, 20) for n, _, _ in want.values()} >= {0, 1, 2, 3, 4, 20}
+    same(contamination(df, spark.createDataFrame(bench, BENCH), block_bytes=block), brute.decontaminate(list(enumerate(texts_)), bench))
+
+
+def test_block_size():
+    """Arrays stay within BUILT bytes a word, with one header in all items too, whose windows share a set of owners."""
+    header = " ".join(f"h{k}" for k in range(30))
+    rows = [(str(k), f"{header} {words(k, 40)}".encode()) for k in range(500)]
+    block = decontaminate.Block(rows, 10)
+    assert block.size() <= decontaminate.BUILT * len(block.ids)
+    assert sum(len(x) == 500 for x in block.sets) == 1
 
 
 def test_large_vocabulary(spark):

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 import brute
 import corpus_pipeline
-from rivulet.llm import queries, simhash
+from rivulet.llm import queries
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(SF).exists(), reason="no test tables")
@@ -55,7 +55,7 @@ def test_line_stage(stages):
 
 def test_near_stage(stages):
     _, docs, got = stages[2]
-    want = {d for d, c in brute.near(rows_of(docs), simhash.most_bits(0.8, 512)) if d == c}
+    want = {d for d, c in brute.near(rows_of(docs), 0.8) if d == c}
     assert {d for d, _ in rows_of(got)} == want
 
 
