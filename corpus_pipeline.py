@@ -20,8 +20,9 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
     Null texts are judged as empty ones; repeated rows are judged alike. Without labels all stay.
     """
-    model, _ = quality.train(docs, table(spark, sf_dir, "labels"))
-    return quality.keep_good(docs.select(COLUMNS), model)
+    rows = written(quality.with_statistics(docs.select(COLUMNS)), "statistics")
+    model = quality.train_on(rows.select(F.col("doc_id").alias("id"), "x"), table(spark, sf_dir, "labels"))
+    return quality.keep_good(rows, model)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
