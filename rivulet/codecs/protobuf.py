@@ -78,31 +78,45 @@ def load(paths: list[str]) -> str:
 
 def decode(df: DataFrame, proto: str, message: str, column: str = VALUE, fields: list[str] | None = None) -> DataFrame:
     """The message's fields as columns, in place of all others; fields that a payload leaves out have their default."""
-    schema = spark_schema(proto, message)
-    own = [f for f in schema.fields if not fields or f.name in fields]
-    out = T.StructType(own)
-    names = [f.name for f in own]
+    return decode_by_id(df.withColumn("schema_id", F.lit(0).cast("bigint")), {0: proto}, message, column, fields)
+
+
+def decode_by_id(df: DataFrame, protos: dict[int, str], message: str, column: str = VALUE, fields: list[str] | None = None) -> DataFrame:
+    """The fields of payloads of several versions of a message, told apart by the column schema_id, in one pass; null where a version
+    has no such field. A field's type is that of the first version that has it."""
+    versions = {number: spark_schema(proto, message) for number, proto in protos.items()}
+    known: dict[str, T.StructField] = {}
+    for schema in versions.values():
+        for f in schema.fields:
+            known.setdefault(f.name, f)
+    own = [f for f in known.values() if not fields or f.name in fields]
+    out, has = T.StructType(own), {number: set(schema.names) for number, schema in versions.items()}
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from decimal import Decimal
+
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        kind, cls = to_arrow_schema(out), message_class(proto, message)
-        wide = {f.name for f in own if isinstance(f.dataType, T.DecimalType)}
+        kind, classes = to_arrow_schema(out), {number: message_class(proto, message) for number, proto in protos.items()}
         for batch in batches:
             rows = []
-            for v in batch.column(0).to_pylist():
-                m = cls()
+            for number, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                m = classes[number]()
                 try:
                     m.ParseFromString(bytes(v))
                 except Exception as e:
                     raise ReadError(f"no {message}: {e}") from e
-                rows.append(m)
-            from decimal import Decimal
-
-            yield pa.RecordBatch.from_arrays([pa.array([Decimal(getattr(m, n)) if n in wide else getattr(m, n) for m in rows], kind.field(n).type) for n in names], schema=kind)
+                rows.append((has[number], m))
+            columns = []
+            for f in own:
+                values = [getattr(m, f.name) if f.name in names else None for names, m in rows]
+                if isinstance(f.dataType, T.DecimalType):
+                    values = [None if v is None else Decimal(v) for v in values]
+                columns.append(pa.array(values, kind.field(f.name).type))
+            yield pa.RecordBatch.from_arrays(columns, schema=kind)
 
     ship_package(df.sparkSession)
-    return payloads(df, column).select(column).mapInArrow(apply, out)
+    return payloads(df, column).select("schema_id", column).mapInArrow(apply, out)
 
 
 def encode(df: DataFrame, proto: str, message: str, column: str = VALUE) -> DataFrame:

@@ -415,9 +415,9 @@ def digest(x: str, algorithm: str) -> str:
         return f"unhex(md5({x}))"
     if name in ("sha224", "sha256", "sha384", "sha512"):
         return f"unhex(sha2({x}, {name[3:]}))"
-    if name in ("blake2s", "blake2b"):
+    if name in ("blake2s", "blake2b", "blake3"):
         return f"rivulet_{name}(CAST({x} AS BINARY))"  # registered by functions.python
-    raise QueryError(f"digest: no algorithm {algorithm} here (blake3 needs a library that isn't public in Spark or Python)")
+    raise QueryError(f"digest: no algorithm {algorithm}")
 
 
 # Unions, types ------------------------------------------------------------------------------------------------------
@@ -442,16 +442,18 @@ def arrow_typeof(x: str) -> str:
 
 
 def path(keys: tuple[str, ...]) -> str:
-    """JSON path of literal keys and 0-based positions."""
-    out = "$"
+    """JSON path of keys and 0-based positions; keys that aren't literals are put in row by row."""
+    out: list[str] = ["$"]
     for k in keys:
         if (n := integer(k)) is not None:
-            out += f"[{n}]"
+            out[-1] += f"[{n}]"
         elif (text := literal(k)) is not None:
-            out += f"['{text}']"
+            out[-1] += f"['{text}']"
         else:
-            raise QueryError("JSON functions take literal keys")
-    return quoted(out)
+            out += [f"CASE WHEN typeof({k}) IN ('tinyint', 'smallint', 'int', 'bigint') THEN concat('[', {k}, ']') ELSE concat('[', {quoted(chr(39))}, {k}, {quoted(chr(39))}, ']') END", ""]
+    if len(out) == 1:
+        return quoted(out[0])
+    return f"concat({', '.join(quoted(x) if i % 2 == 0 else x for i, x in enumerate(out))})"
 
 
 def source(json: str) -> str:

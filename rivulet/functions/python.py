@@ -10,21 +10,24 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from rivulet.errors import ConfigError
+from rivulet.functions.blake3 import blake3
 from rivulet.packaging import ship_package
 
 
 def hashed(name: str) -> Callable:
+    digest = blake3 if name == "blake3" else lambda data: getattr(hashlib, name)(data).digest()
+
     @F.pandas_udf("binary")
     def apply(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: None if v is None else getattr(hashlib, name)(bytes(v)).digest())
+        return values.map(lambda v: None if v is None else digest(bytes(v)))
 
     return apply
 
 
 def register(spark: SparkSession) -> None:
-    """digest's BLAKE2 algorithms."""
+    """digest's BLAKE algorithms."""
     ship_package(spark)
-    for name in ("blake2s", "blake2b"):
+    for name in ("blake2s", "blake2b", "blake3"):
         spark.udf.register(f"rivulet_{name}", hashed(name))
 
 

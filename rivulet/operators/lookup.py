@@ -15,8 +15,8 @@ BROADCAST_BYTES = 32 << 20
 
 
 class Provider(Protocol):
-    def rows(self, spark: SparkSession, keys: DataFrame) -> DataFrame:
-        """Rows of the lookup table for the distinct keys (one column, `key`)."""
+    def rows(self, spark: SparkSession, keys: DataFrame | None) -> DataFrame:
+        """Rows of the lookup table for the distinct keys (one column, `key`); all rows without keys."""
 
 
 class TableProvider:
@@ -25,11 +25,14 @@ class TableProvider:
     def __init__(self, table: DataFrame | Callable[[SparkSession], DataFrame], key: str):
         self.table, self.key = table, key
 
-    def rows(self, spark: SparkSession, keys: DataFrame) -> DataFrame:
+    def rows(self, spark: SparkSession, keys: DataFrame | None = None) -> DataFrame:
         table = self.table if isinstance(self.table, DataFrame) else self.table(spark)
         if self.key not in table.columns:
             raise ConfigError(f"the lookup table has no column {self.key}")
-        return sized(table)
+        if keys is None:
+            return sized(table)
+        named = keys.select(F.col("key").cast(table.schema[self.key].dataType).alias("_key"))
+        return sized(table).join(sized(named), F.col(self.key) == F.col("_key"), "left_semi")
 
 
 class RedisProvider:
@@ -46,5 +49,5 @@ def sized(table: DataFrame) -> DataFrame:
 def enrich(df: DataFrame, provider: Provider, on: str, key: str, how: str = "left") -> DataFrame:
     """df with the lookup's columns where df's expression `on` equals the lookup's key."""
     keyed = df.withColumn("_key", F.expr(on))
-    table = provider.rows(df.sparkSession, keyed.select(F.col("_key").alias("key")))
+    table = provider.rows(df.sparkSession, None)  # the join finds the keys
     return keyed.join(table, keyed["_key"] == table[key], how).drop("_key")

@@ -2,30 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rivulet.session import shared_folder
 
-def ensure_checkpoints(df: DataFrame) -> None:
-    """A checkpoint folder: that of the session, or a local one where none is set (tests)."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        spark.sparkContext.setCheckpointDir("/tmp/rivulet-checkpoints")
 
+def in_ranges(df: DataFrame, order: list[str]) -> DataFrame:
+    """df in sorted ranges, one a task, checkpointed: with _p, the number of a row's range, and _id, which ascends in the order."""
+    shared_folder(df.sparkSession)
+    ranged = df.orderBy(*[F.col(c).asc_nulls_last() for c in order]).withColumn("_id", F.monotonically_increasing_id()).checkpoint()
+    return ranged.withColumn("_p", F.shiftright("_id", 33).cast("bigint"))
 
-def numbered(df: DataFrame, order: list[str], name: str) -> tuple[DataFrame, int]:
-    """df with 0-based numbers in the order, and the number of rows.
 
-    Sorted ranges are checkpointed; their sizes (one number a range) give each range's first number.
-    """
-    ensure_checkpoints(df)
-    ranged = df.orderBy(*[F.col(c).asc_nulls_last() for c in order]).withColumn("_id", F.monotonically_increasing_id()).checkpoint()
-    part, place = F.shiftright("_id", 33), F.col("_id").bitwiseAND((1 << 33) - 1)
-    sizes = sorted((r["p"], r["n"]) for r in ranged.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect())
+def with_offsets(ranged: DataFrame, counted: Column, name: str) -> tuple[DataFrame, int]:
+    """ranged with `name`: the sum of `counted` (an aggregate) over the ranges before a row's, and the sum over all of them."""
+    sums = sorted((r["_p"], r["n"]) for r in ranged.groupBy("_p").agg(counted.alias("n")).collect())  # one row a range
     starts, total = [], 0
-    for p, n in sizes:
+    for p, n in sums:
         starts.append((p, total))
         total += n
-    offsets = df.sparkSession.createDataFrame(starts, "_p bigint, _start bigint")
-    joined = ranged.withColumn("_p", part.cast("bigint")).join(F.broadcast(offsets), "_p")  # one row a range
-    return joined.withColumn(name, F.col("_start") + place).drop("_p", "_start", "_id"), total
+    offsets = ranged.sparkSession.createDataFrame(starts, f"_p bigint, {name} bigint")
+    return ranged.join(F.broadcast(offsets), "_p"), total
+
+
+def numbered(df: DataFrame, order: list[str], name: str) -> tuple[DataFrame, int]:
+    """df with 0-based numbers in the order, and the number of rows."""
+    rows, total = with_offsets(in_ranges(df, order), F.count(F.lit(1)), "_start")
+    return rows.withColumn(name, F.col("_start") + F.col("_id").bitwiseAND((1 << 33) - 1)).drop("_p", "_start", "_id"), total

@@ -15,7 +15,7 @@ from rivulet.codecs.json import infer, to_json_value
 from rivulet.errors import ConfigError, ProcessError
 from rivulet.operators.lookup import Provider
 from rivulet.packaging import ship_package
-from rivulet.plans.dialect import query, translate
+from rivulet.plans.dialect import expression, query, translate
 from rivulet.schema import VALUE, keep_columns, payloads
 
 Processor = Callable[[DataFrame], DataFrame]
@@ -30,14 +30,27 @@ def chain(*processors: Processor) -> Processor:
     return run
 
 
-def sql(text: str, table: str = "flow", temporaries: dict[str, Provider] | None = None) -> Processor:
-    """One SELECT over the batch as `table`, and over the lookup tables by their names. The text is checked when this is built."""
+def sql(text: str, table: str = "flow", temporaries: dict[str, Provider | tuple[Provider, dict]] | None = None) -> Processor:
+    """One SELECT over the batch as `table`, and over the lookup tables by their names. The text is checked when this is built.
+
+    temporaries: a provider, or with it the key: {"expr": over the batch} or {"value": text}. With a key the lookup table has the
+    rows of the batch's distinct keys only.
+    """
     translate(text)
+    lookups = {name: one if isinstance(one, tuple) else (one, None) for name, one in (temporaries or {}).items()}
+    for _, key in lookups.values():
+        if key is not None and ("expr" in key) == ("value" in key):
+            raise ConfigError("a key has one of expr and value")
+        if key and "expr" in key:
+            expression(key["expr"])
 
     def run(df: DataFrame) -> DataFrame:
         tables = {table: df}
-        for name, provider in (temporaries or {}).items():
-            tables[name] = provider.rows(df.sparkSession, df)
+        for name, (provider, key) in lookups.items():
+            keys = None
+            if key is not None:
+                keys = df.select(F.expr(expression(key["expr"])).alias("key")).distinct() if "expr" in key else df.sparkSession.createDataFrame([(key["value"],)], "key string")
+            tables[name] = provider.rows(df.sparkSession, keys)
         return query(df.sparkSession, text, **tables)
 
     return run

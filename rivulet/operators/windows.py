@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rivulet.errors import ConfigError, QueryError
-from rivulet.operators.numbering import numbered
+from rivulet.operators.numbering import in_ranges, numbered, with_offsets
 
 
 def tumbling(df: DataFrame, time: str, interval: str) -> DataFrame:
@@ -23,9 +23,26 @@ def sliding(df: DataFrame, time: str, size: str, slide: str) -> DataFrame:
 
 
 def session_bounds(df: DataFrame, time: str, gap: str, *keys: str) -> DataFrame:
-    """One row per session: keys, session_start, session_end (last row plus gap), rows. Sessions merge where a row comes within gap."""
-    grouped = df.groupBy(*keys, F.session_window(time, gap).alias("_w")).agg(F.count(F.lit(1)).alias("rows"))
-    return grouped.select(*keys, F.col("_w.start").alias("session_start"), F.col("_w.end").alias("session_end"), "rows")
+    """One row per session: keys, session_start, session_end (last row plus gap), rows. Sessions merge where a row comes within gap.
+
+    Without keys rows are sorted into ranges, which count the sessions that begin in them; a session goes on over as many ranges
+    as it needs, and no task sees all rows. Rows without time are in no session.
+    """
+    if keys:
+        grouped = df.groupBy(*keys, F.session_window(time, gap).alias("_w")).agg(F.count(F.lit(1)).alias("rows"))
+        return grouped.select(*keys, F.col("_w.start").alias("session_start"), F.col("_w.end").alias("session_end"), "rows")
+    wide = F.expr(f"INTERVAL '{gap}'")
+    ranged = in_ranges(df.select(F.col(time).alias("_t")).where("_t IS NOT NULL"), ["_t"])
+    lasts = sorted((r["_p"], r["last"]) for r in ranged.groupBy("_p").agg(F.max("_t").alias("last")).collect())  # one row a range
+    kind = ranged.schema["_t"].dataType.simpleString()
+    before = df.sparkSession.createDataFrame([(p, lasts[k - 1][1] if k else None) for k, (p, _) in enumerate(lasts)], f"_p bigint, _before {kind}")
+    within = Window.partitionBy("_p").orderBy("_id")
+    rows = ranged.join(F.broadcast(before), "_p").withColumn("_last", F.coalesce(F.lag("_t").over(within), "_before"))
+    rows = rows.withColumn("_new", (F.col("_last").isNull() | (F.col("_t") > F.col("_last") + wide)).cast("bigint"))
+    rows = rows.withColumn("_no", F.sum("_new").over(within.rowsBetween(Window.unboundedPreceding, 0)))
+    rows, _ = with_offsets(rows, F.max("_no"), "_start")
+    grouped = rows.groupBy((F.col("_start") + F.col("_no")).alias("_session")).agg(F.min("_t").alias("session_start"), (F.max("_t") + wide).alias("session_end"), F.count(F.lit(1)).alias("rows"))
+    return grouped.drop("_session")
 
 
 def sliding_count(df: DataFrame, order: list[str], size: int, slide: int) -> DataFrame:
@@ -37,10 +54,15 @@ def sliding_count(df: DataFrame, order: list[str], size: int, slide: int) -> Dat
     if size <= 0 or slide <= 0 or size < slide:
         raise ConfigError("window_size and slide_size must be over 0, and window_size at least slide_size")
     rows, total = numbered(df, order, "_rn")
+    return window_numbers(rows, total, size, slide).drop("_rn")
+
+
+def window_numbers(rows: DataFrame, total: int, size: int, slide: int) -> DataFrame:
+    """rows, numbered from 0 in _rn, once for each full window that they lie in, with window_no."""
     first = F.greatest(F.floor((F.col("_rn") - size) / slide) + 1, F.lit(0))
     last = F.least(F.floor(F.col("_rn") / slide), F.lit((total - size) // slide))
     inside = rows.withColumn("_first", first.cast("bigint")).withColumn("_last", last.cast("bigint")).where("_last >= _first")
-    return inside.withColumn("window_no", F.explode(F.sequence("_first", "_last"))).drop("_rn", "_first", "_last")
+    return inside.withColumn("window_no", F.explode(F.sequence("_first", "_last"))).drop("_first", "_last")
 
 
 def over_groups(df: DataFrame, aggregate: str, name: str, partition: list[str], order: str, before: int | None, after: int | None) -> DataFrame:

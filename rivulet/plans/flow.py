@@ -13,11 +13,14 @@ from pyspark.sql.pandas.functions import PandasUDFType
 from rivulet.codecs import debezium, protobuf, registry
 from rivulet.codecs import json as json_codec
 from rivulet.operators import processors, windows
+from rivulet.operators.lookup import TableProvider
 from rivulet.operators.vrl import vrl
 from rivulet.plans.tables import frame, load
 from rivulet.schema import VALUE, with_meta
+from rivulet.session import shared_folder
 from rivulet.sinks.outputs import line_protocol, routed
 from rivulet.sources import inputs
+from rivulet.streaming import windows as stream_windows
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -205,7 +208,43 @@ def dynamic_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder in the one that the cluster shares."""
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or '/tmp/rivulet-checkpoints'}/rivulet/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/rivulet/{name}-{uuid.uuid4().hex}"
+
+
+@frame("vrl_json", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, event_type || '!' AS label, 'seen' AS state FROM events")
+def vrl_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    program = """
+    data = parse_json!(.props)
+    .k = to_int!(data.k)
+    parts = split(.event_type, ",")
+    .label = join([parts[0], "!"])
+    if .k < 0 { abort }
+    . = merge(., {"state": "seen"})
+    del(.props)
+    del(.event_type)
+    .
+    """
+    rows = events(spark, sf_dir).select("event_id", F.concat("event_type", F.lit(",x")).alias("event_type"), "props")
+    return rows.transform(vrl(program))
+
+
+@frame("vrl_rows", "SELECT n_nationkey AS id, 'name' AS what, n_name AS value FROM nation UNION ALL SELECT n_nationkey, 'region', CAST(n_regionkey AS VARCHAR) FROM nation")
+def vrl_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    program = '[{"id": .n_nationkey, "what": "name", "value": .n_name}, {"id": .n_nationkey, "what": "region", "value": to_string(.n_regionkey)}]'
+    return load(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey").transform(vrl(program))
+
+
+@frame("lookup_in_sql", "SELECT o_orderkey, c_name FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_totalprice > 300000")
+def lookup_in_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A SQL processor with a lookup table that has the rows of the batch's keys."""
+    from rivulet.streaming import runtime
+
+    config = {
+        "type": "sql", "query": "SELECT f.o_orderkey, c.c_name FROM flow f JOIN customers c ON c.c_custkey = f.o_custkey",
+        "temporary_list": [{"name": "by_key", "table_name": "customers", "key": {"expr": "o_custkey"}}],
+    }
+    own = TableProvider(lambda s: load(s, sf_dir, "customer").select("c_custkey", "c_name"), "c_custkey")
+    return runtime.processor(config, {"by_key": own})(load(spark, sf_dir, "orders").where("o_totalprice > 300000"))
 
 
 @frame("stream_from_config", "SELECT event_type, count(*) AS cnt FROM events WHERE value >= 10 GROUP BY event_type")
@@ -222,14 +261,82 @@ def stream_from_config(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(out)
 
 
+@frame("stream_error_output", "SELECT event_id, event_type FROM events")
+def stream_error_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A batch whose SQL fails goes to the error output as it came in."""
+    from rivulet.streaming import runtime
+
+    out, failed = scratch(spark, "out"), scratch(spark, "failed")
+    one = {
+        "input": {"type": "file", "format": "parquet", "path": f"{sf_dir}/events.parquet", "query": "SELECT event_id, event_type FROM flow"}, "output": {"type": "file", "path": out}, "error_output": {"type": "file", "path": failed},
+        "pipeline": {"processors": [{"type": "sql", "query": "SELECT event_id / 0 AS x FROM flow"}]},
+    }
+    runtime.streams({"streams": [one]})[0].run(spark)
+    return spark.read.parquet(failed)
+
+
+def stream_of(spark: SparkSession, sf_dir: str, table: str = "events") -> DataFrame:
+    kind = load(spark, sf_dir, table).schema
+    rows = spark.readStream.schema(kind).parquet(f"{sf_dir}/{table}.parque[t]")  # a pattern: file streams take no single file
+    return rows.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def replayed(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
+    """What a stream gives until its input ends, as files. mode complete: the windows that are still open too."""
+    spark, out = df.sparkSession, scratch(df.sparkSession, name)
+    own = "overwrite" if mode == "complete" else "append"
+    df.writeStream.foreachBatch(lambda batch, _: batch.write.mode(own).parquet(out)).outputMode(mode).option("checkpointLocation", scratch(spark, f"{name}-checkpoint")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(df.schema).parquet(out)
+
+
 @frame("stream_tumbling", "SELECT time_bucket(INTERVAL '1 hour', ts, TIMESTAMP '1970-01-01') AS window_start, count(*) AS n FROM events GROUP BY 1")
 def stream_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The bounded windows again, by Structured Streaming: all windows, the open ones too, as the input ends."""
-    from rivulet.streaming import windows as stream_windows
-
-    kind = events(spark, sf_dir).schema
-    source = spark.readStream.schema(kind).parquet(f"{sf_dir}/events.parque[t]").withColumn("ts", F.col("ts").cast("timestamp"))  # a pattern: file streams take no single file
-    counted = stream_windows.tumbling(source, "ts", "1 hour", F.count(F.lit(1)).alias("n")).select("window_start", "n")
-    name = f"stream_{uuid.uuid4().hex}"
-    counted.writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", scratch(spark, "windows")).trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name)
+    return replayed(stream_windows.tumbling(stream_of(spark, sf_dir), "ts", "1 hour", F.count(F.lit(1)).alias("n")).select("window_start", "n"), "tumbling", "complete")
+
+
+@frame("stream_session", SESSIONS.format(k="user_id,", p="PARTITION BY user_id", g="12 HOUR"))
+def stream_session(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replayed(stream_windows.session(stream_of(spark, sf_dir), "ts", "12 hours", F.count(F.lit(1)).alias("rows"), keys=("user_id",)).select("user_id", "session_start", "session_end", "rows"), "session", "complete")
+
+
+@frame(
+    "stream_sliding",
+    """WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS rn, count(*) OVER (PARTITION BY event_type) AS n FROM events), w AS (SELECT *, unnest(range(greatest((rn - 20) // 10, 0), rn // 10 + 1)) AS window_no FROM r)
+    SELECT event_type, window_no, round(sum(value), 4) AS total FROM w WHERE window_no * 10 <= rn AND rn < window_no * 10 + 20 AND window_no * 10 + 20 <= n GROUP BY event_type, window_no""",
+)
+def stream_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    slid = stream_windows.sliding_count(stream_of(spark, sf_dir), "event_type", "event_id", "value", 20, 10)
+    total = F.aggregate("values", F.lit(0.0), lambda a, x: a + x)
+    return replayed(slid, "sliding").select(F.col("key").alias("event_type"), "window_no", F.round(total, 4).alias("total"))
+
+
+@frame(
+    "stream_window_join",
+    """SELECT time_bucket(INTERVAL '1 day', a.ts, TIMESTAMP '1970-01-01') AS window_start, a.user_id, a.event_id AS clicks_event_id, b.event_id AS views_event_id
+    FROM events a JOIN events b ON a.user_id = b.user_id AND time_bucket(INTERVAL '1 day', a.ts, TIMESTAMP '1970-01-01') = time_bucket(INTERVAL '1 day', b.ts, TIMESTAMP '1970-01-01')
+    WHERE a.event_type = 'click' AND b.event_type = 'view'""",
+)
+def stream_window_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    side = lambda kind: stream_of(spark, sf_dir).where(F.col("event_type") == kind).select("ts", "user_id", "event_id")
+    joined = stream_windows.window_join({"clicks": side("click"), "views": side("view")}, "ts", "1 day", ["user_id"])
+    return replayed(joined.select("window_start", "user_id", "clicks_event_id", "views_event_id"), "join")
+
+
+@frame("stream_buffer_join", "SELECT n_name AS nation, r_name AS region FROM nation JOIN region ON n_regionkey = r_regionkey")
+def stream_buffer_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two inputs that land as files, joined in a configured window, which closes as the replay ends."""
+    from rivulet.streaming import runtime
+
+    out = scratch(spark, "joined")
+    sources = []
+    for name, table in (("nations", "nation"), ("regions", "region")):
+        landing = scratch(spark, name)
+        load(spark, sf_dir, table).select(F.to_json(F.struct("*")).alias("value")).write.text(landing)
+        sources.append({"name": name, "type": "http", "landing": landing, "codec": None})
+    one = {
+        "id": f"joined-{uuid.uuid4().hex}", "input": {"type": "multiple_inputs", "inputs": sources}, "output": {"type": "file", "path": out},
+        "buffer": {"type": "tumbling_window", "interval": "1h", "join": {"query": "SELECT n.n_name AS nation, r.r_name AS region FROM nations n JOIN regions r ON n.n_regionkey = r.r_regionkey", "codec": {"type": "json"}}},
+    }
+    runtime.streams({"streams": [one]})[0].start(spark, scratch(spark, "joined-checkpoint"), once=True).awaitTermination()
+    return spark.read.parquet(out)

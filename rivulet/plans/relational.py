@@ -93,6 +93,7 @@ sql("agg_bool_bit", "SELECT l_returnflag, bool_and(l_quantity > 0) AS ba, bool_o
 sql("agg_string_agg", "SELECT n_regionkey, string_agg(n_name, '|' ORDER BY n_name) AS names FROM nation GROUP BY n_regionkey")
 sql("agg_array_agg_ordered", "SELECT n_regionkey, array_to_string(array_agg(n_nationkey ORDER BY n_name DESC), ',') AS ids FROM nation GROUP BY n_regionkey")
 sql("agg_array_agg_nulls", "SELECT d.lang, array_length(array_agg(l.quality)) AS n FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id GROUP BY d.lang", "SELECT d.lang, CAST(len(array_agg(l.quality)) AS INT) AS n FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id GROUP BY d.lang")
+sql("agg_array_agg_distinct", "SELECT d.lang, array_length(array_agg(DISTINCT l.quality)) AS n FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id GROUP BY d.lang", "SELECT d.lang, CAST(count(DISTINCT l.quality) + max(CASE WHEN l.quality IS NULL THEN 1 ELSE 0 END) AS INT) AS n FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id GROUP BY d.lang")
 sql(
     "agg_first_last_nth",
     "SELECT n_regionkey, first_value(n_name ORDER BY n_name) AS f, last_value(n_name ORDER BY n_name) AS l, nth_value(n_name, 2 ORDER BY n_name) AS s FROM nation GROUP BY n_regionkey",
@@ -102,7 +103,7 @@ sql("agg_median", "SELECT o_orderstatus, round(median(o_totalprice), 4) AS m FRO
 sql("agg_min_max_avg", "SELECT o_orderpriority, min(o_totalprice) AS a, max(o_totalprice) AS b, round(mean(o_totalprice), 4) AS c FROM orders GROUP BY o_orderpriority")
 sql("agg_approx_distinct", "SELECT approx_distinct(o_custkey) AS n FROM orders", None)
 sql("agg_approx_median", "SELECT approx_median(l_quantity) AS m, approx_percentile_cont(l_extendedprice, 0.9) AS p FROM lineitem", None)
-sql("agg_approx_weighted", "SELECT approx_percentile_cont_with_weight(l_quantity, l_linenumber, 0.5) AS p FROM lineitem", None)
+sql("agg_approx_weighted", "SELECT approx_percentile_cont_with_weight(l_quantity, l_linenumber, 0.5) AS p FROM lineitem", "SELECT quantile_cont(l_quantity, 0.5) AS p FROM (SELECT l_quantity, unnest(range(l_linenumber)) FROM lineitem) t")
 
 sql("sub_scalar_select", "SELECT c_custkey, (SELECT max(o_totalprice) FROM orders o WHERE o.o_custkey = c.c_custkey) AS most FROM customer c")
 sql("sub_from", "SELECT t.s, count(*) AS n FROM (SELECT o_orderstatus AS s FROM orders WHERE o_totalprice > 100000) t GROUP BY t.s")
@@ -125,6 +126,11 @@ sql("win_rows_frame", WINDOWED.format(f=f"round(sum(o_totalprice) OVER ({BY} ROW
 sql("win_range_frame", "SELECT p_partkey, count(*) OVER (PARTITION BY p_brand ORDER BY p_size RANGE BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS n FROM part")
 sql("win_named", "SELECT o_orderkey, max(o_totalprice) OVER w AS m, min(o_totalprice) OVER w AS l FROM orders WINDOW w AS (PARTITION BY o_custkey)")
 sql("win_running_total", WINDOWED.format(f=f"round(sum(o_totalprice) OVER ({BY}), 2) AS running"))
+sql("win_filter_over", WINDOWED.format(f="round(sum(o_totalprice) FILTER (WHERE o_orderstatus = 'F') OVER (PARTITION BY o_custkey), 2) AS s, count(*) FILTER (WHERE o_totalprice > 100000) OVER w AS n") + " WINDOW w AS (PARTITION BY o_custkey)")
+sql("win_groups_sql", "SELECT p.p_partkey, count(*) OVER (PARTITION BY p.p_brand ORDER BY p_size GROUPS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS n, sum(p_size) OVER (PARTITION BY p_brand ORDER BY p_size DESC GROUPS 2 PRECEDING) AS s FROM part p WHERE p_size < 40",
+    "SELECT p.p_partkey, count(*) OVER (PARTITION BY p.p_brand ORDER BY p_size GROUPS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS n, CAST(sum(p_size) OVER (PARTITION BY p_brand ORDER BY p_size DESC GROUPS 2 PRECEDING) AS BIGINT) AS s FROM part p WHERE p_size < 40")
+sql("win_order_nulls", "SELECT d.doc_id, row_number() OVER (PARTITION BY d.lang ORDER BY l.quality DESC, d.doc_id) AS n, row_number() OVER (PARTITION BY d.lang ORDER BY l.quality NULLS FIRST, d.doc_id) AS m FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id",
+    "SELECT d.doc_id, CAST(row_number() OVER (PARTITION BY d.lang ORDER BY l.quality DESC NULLS FIRST, d.doc_id) AS INT) AS n, CAST(row_number() OVER (PARTITION BY d.lang ORDER BY l.quality NULLS FIRST, d.doc_id) AS INT) AS m FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
 
 
 @frame("win_groups_frame", "SELECT p_partkey, count(*) OVER (PARTITION BY p_brand ORDER BY p_size GROUPS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS n FROM part")

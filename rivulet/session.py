@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
+from rivulet.errors import ConfigError
+
 #: The dialect's settings. ANSI: overflow, division by zero and bad casts are errors, not nulls.
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -30,3 +34,15 @@ def configure(spark: SparkSession) -> SparkSession:
         if not key.startswith("spark.sql.streaming"):
             spark.conf.set(key, value)
     return spark
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, from spark.checkpoint.dir. Where that is unset a local master gets a local one; any
+    other is refused: its executors wouldn't see each other's files."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ConfigError("spark.checkpoint.dir is not set: the cluster's shared folder")
+        folder = f"{tempfile.gettempdir()}/rivulet-shared"
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder.rstrip("/")

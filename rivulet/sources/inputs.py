@@ -15,6 +15,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from rivulet.codecs.hook import decoder
 from rivulet.errors import ConfigError, ReadError, Unavailable
+from rivulet.operators.windows import seconds
 from rivulet.packaging import ship_package
 from rivulet.plans.dialect import query
 from rivulet.schema import META, RAW, VALUE, with_meta
@@ -143,6 +144,8 @@ def sql(spark: SparkSession, config: dict, streaming: bool = False) -> DataFrame
     """A SELECT that a database runs, read by JDBC; partition_column with bounds and num_partitions reads it in parallel."""
     kind = config.get("input_type", {})
     url = config.get("url") or kind.get("uri")
+    if config.get("tables"):
+        return joined_tables(spark, config)
     if not url or not config.get("select_sql"):
         raise ConfigError("a sql input needs url and select_sql")
     options = {"url": url, "query": config["select_sql"], "fetchsize": str(config.get("fetchsize", 10_000))} | config.get("options", {})
@@ -152,16 +155,32 @@ def sql(spark: SparkSession, config: dict, streaming: bool = False) -> DataFrame
     return spark.read.format("jdbc").options(**options).load()
 
 
+def joined_tables(spark: SparkSession, config: dict) -> DataFrame:
+    """select_sql over `tables`, of several databases: a name each, with `url` and `table` (or `select_sql`) as a sql input has them, or
+    any other input. Filters and columns reach the databases; the joins are Spark's."""
+    if not config.get("select_sql"):
+        raise ConfigError("a sql input needs select_sql")
+    named = {}
+    for name, own in config["tables"].items():
+        if "type" in own:
+            named[name] = build(spark, own)
+        elif not own.get("url") or not (own.get("table") or own.get("select_sql")):
+            raise ConfigError(f"table {name} needs url, and table or select_sql")
+        elif own.get("table"):
+            named[name] = spark.read.format("jdbc").options(**{"url": own["url"], "dbtable": own["table"]} | own.get("options", {})).load()
+        else:
+            named[name] = sql(spark, own)
+    return query(spark, config["select_sql"], **named)
+
+
 @source("generate")
 def generate(spark: SparkSession, config: dict, streaming: bool = False) -> DataFrame:
     """`context` as a payload: batch_size rows every interval, count rows at most. A batch that would pass count isn't sent."""
     size, count = int(config.get("batch_size", 1)), config.get("count")
     text = F.lit(config["context"]).cast("binary").alias(VALUE)
     if streaming:
-        per = {"s": 1, "ms": 0.001}
-        interval = config.get("interval", "1s")
-        seconds = float(interval.rstrip("ms")) * per["ms" if interval.endswith("ms") else "s"]
-        df = spark.readStream.format("rate-micro-batch").option("rowsPerBatch", size).option("advanceMillisPerBatch", int(seconds * 1000)).load()
+        interval = seconds(config.get("interval", "1s"))  # also the stream's trigger (streaming.runtime)
+        df = spark.readStream.format("rate-micro-batch").option("rowsPerBatch", size).option("advanceMillisPerBatch", int(interval * 1000)).load()
         if count is not None:
             df = df.where(F.col("value") < count // size * size)
         return df.select(text)

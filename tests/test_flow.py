@@ -9,6 +9,7 @@ import urllib.request
 from decimal import Decimal
 from http.server import BaseHTTPRequestHandler, HTTPServer
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -25,7 +26,9 @@ from rivulet.schema import META, RAW, VALUE, keep_columns, payloads, spark_type,
 from rivulet.sinks import outputs
 from rivulet.sources import inputs, stores
 from rivulet.sources.receiver import Receiver
-from rivulet.streaming import runtime
+from rivulet.__main__ import main as command
+from rivulet.streaming import buffers, runtime
+from rivulet.streaming import config as configurations
 from rivulet.streaming import windows as stream_windows
 
 
@@ -122,6 +125,39 @@ def test_schema_registry(spark):
         registry.decode(framed, {})
 
 
+def test_schema_registry_over_http(spark):
+    """Versions of a message are fetched once each and decoded in one pass."""
+    pytest.importorskip("google.protobuf")
+    newer = PROTO.replace("uint64 big = 5;", "uint64 big = 5; string unit = 6;")
+    asked = []
+
+    class Registry(BaseHTTPRequestHandler):
+        def do_GET(self):
+            asked.append((self.path, self.headers["Authorization"]))
+            body = {"/schemas/ids/1": PROTO, "/schemas/ids/2": newer}.get(self.path)
+            self.send_response(200 if body else 404)
+            self.end_headers()
+            self.wfile.write(json.dumps({"schema": body}).encode())
+
+        def log_message(self, *args):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Registry)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        one = registry.frame(protobuf.encode(spark.createDataFrame([(7, 2.0, "s")], "timestamp bigint, value double, sensor string"), PROTO, "demo.Message").select(VALUE), 1)
+        two = registry.frame(protobuf.encode(spark.createDataFrame([(8, 3.0, "u", "kg")], "timestamp bigint, value double, sensor string, unit string"), newer, "demo.Message").select(VALUE), 2)
+        decode = decoder({"type": "schema_registry", "url": f"http://127.0.0.1:{server.server_address[1]}/", "message_type": "demo.Message", "auth": {"type": "bearer", "token": "t"}})
+        for _ in range(2):
+            got = sorted(decode(one.union(two)).collect(), key=lambda r: r.timestamp)
+            assert [(r.timestamp, r.value, r.sensor, r.unit) for r in got] == [(7, 2.0, "s", None), (8, 3.0, "u", "kg")]
+        assert sorted(asked) == [("/schemas/ids/1", "Bearer t"), ("/schemas/ids/2", "Bearer t")]
+        with pytest.raises(ReadError, match="unknown schema 9"):
+            decode(registry.frame(raw(spark, b""), 9))
+    finally:
+        server.shutdown()
+
+
 def test_codec_hooks(spark):
     assert encoder(None)(raw(spark, "a")).count() == 1
     with pytest.raises(ReadError):
@@ -197,6 +233,28 @@ def test_jdbc(spark, tmp_path):
         outputs.build({"type": "sql", "url": url, "table_name": "t"})(spark.createDataFrame([([1],)], "a array<int>"))
 
 
+def test_tables_of_several_databases(spark, tmp_path):
+    names, options = {}, {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    for k, name in enumerate(("left", "right")):
+        url = f"jdbc:derby:{tmp_path}/{name};create=true"
+        outputs.build({"type": "sql", "url": url, "table_name": "t", "properties": options})(spark.createDataFrame([(1, f"{name}1"), (2, f"{name}2")][: 2 - k], "id bigint, s string"))
+        names[name[0]] = {"url": url, "table": "t", "options": options}
+    names["m"] = {"type": "memory", "messages": ['{"id": 1}'], "codec": {"type": "json", "schema": "id bigint"}}
+    got = inputs.build(spark, {"type": "sql", "tables": names, "select_sql": "SELECT l.s AS a, r.s AS b FROM l JOIN r ON l.id = r.id JOIN m ON m.id = l.id"})
+    assert rows(got) == [("left1", "right1")]
+    for bad in ({"tables": names}, {"tables": {"x": {"url": "u"}}, "select_sql": "SELECT 1 FROM x"}):
+        with pytest.raises(ConfigError):
+            inputs.build(spark, {"type": "sql"} | bad)
+
+
+def test_generate_intervals(spark):
+    """All intervals that windows take; the stream gets its trigger from them."""
+    for interval in ("1m", "5min", "250ms", "2 hours"):
+        assert inputs.build(spark, {"type": "generate", "context": "x", "interval": interval}, streaming=True).isStreaming
+    with pytest.raises(ConfigError):
+        inputs.build(spark, {"type": "generate", "context": "x", "interval": "soon"}, streaming=True)
+
+
 def test_kafka_columns(spark):
     df = spark.createDataFrame([(b"k", b"v", "orders", 2, 9, dt.datetime(2024, 1, 1), 0), (None, b"w", "orders", 2, 10, dt.datetime(2024, 1, 1), 1)], "key binary, value binary, topic string, partition int, offset bigint, timestamp timestamp, timestampType int")
     got = inputs.kafka_columns(df)
@@ -312,6 +370,19 @@ def test_sql_processor(spark):
     assert rows(got) == [(1, "one"), (2, None)]
 
 
+def test_lookup_by_key(spark):
+    """A lookup table has the rows of the batch's keys, or of one."""
+    df = spark.createDataFrame([(1, "x"), (2, "y"), (2, "y")], "id int, s string")
+    names = TableProvider(spark.createDataFrame([(1, "one"), (2, "two"), (3, "three")], "k bigint, name string"), "k")
+    got = lambda key: sorted(r.name for r in processors.sql("SELECT n.name FROM names n", temporaries={"names": (names, key)})(df).collect())
+    assert got({"expr": "id + 1"}) == ["three", "two"] and got({"value": "3"}) == ["three"] and got({"expr": "id * 10"}) == [] and got(None) == ["one", "three", "two"]
+    for bad in ({}, {"expr": "id", "value": "1"}):
+        with pytest.raises(ConfigError):
+            processors.sql("SELECT 1 FROM names", temporaries={"names": (names, bad)})
+    config = {"type": "sql", "query": "SELECT f.id, n.name FROM flow f JOIN names n ON f.id = n.k", "temporary_list": [{"name": "t", "table_name": "names", "key": {"expr": "id"}}]}
+    assert rows(runtime.processor(config, {"t": names})(df.distinct())) == [(1, "one"), (2, "two")]
+
+
 def test_lookup(spark):
     df = spark.createDataFrame([(1,), (2,)], "id int")
     assert rows(enrich(df, TableProvider(lambda s: s.createDataFrame([(2, "b")], "k int, v string"), "k"), "id", "k")) == [(1, None, None), (2, 2, "b")]
@@ -341,11 +412,40 @@ def test_vrl(spark):
     df = spark.createDataFrame([(3, "abc"), (30, None)], "value int, s string")
     got = vrl('.v2, err = .value * 2\n.t = upcase(.s) ?? "none"\nif .value > 10 && !is_null(.value) { .c = "big" } else if .value > 2 { .c = "mid" } else { .c = "low" }\nhalf = .value / 2\n.h = half\ndel(.s)\n.')(df)
     assert got.columns == ["value", "v2", "t", "c", "h"] and rows(got) == [(3, 6, "ABC", "mid", 1.5), (30, 60, "none", "big", 15.0)]
-    for bad, error in (("", QueryError), (".a = nope(.b)", QueryError), ("1 + 1", ProcessError), (".a.b = 1", QueryError), (".a = {", QueryError), ("for x in y", QueryError)):
+    for bad, error in (("", QueryError), (".a = nope(.b)", QueryError), ("1 + 1", ProcessError), (".a.b = 1", QueryError), (".a = {", QueryError), ("for x in y", QueryError), (". = .s", ProcessError), ("[1, 2]", ProcessError), (".a = parse_timestamp(.s, .s)", QueryError), (".a = upcase()", QueryError)):
         with pytest.raises(error):
             vrl(bad)(df)
 
 
+def test_vrl_json(spark):
+    """Parsed JSON: nested fields, text again in the result, as the whole event; bad text is an error with !, else null."""
+    df = spark.createDataFrame([('{"a": {"b": [1, 2]}, "c": "x"}', 5), ('{"a": {"b": []}, "c": "y"}', 6)], "message string, n int")
+    got = vrl('data = parse_json!(.message)\n.b = to_int(data.a.b[1])\n.c = data.c\n.all = data.a\ndel(.message)')(df)
+    assert got.columns == ["n", "b", "c", "all"] and rows(got) == [(5, 2, "x", '{"b":[1,2]}'), (6, None, "y", '{"b":[]}')]
+    assert rows(vrl(". = parse_json!(.message)\n.c = upcase(.c)\ndel(.a)")(df)) == [("X",), ("Y",)]
+    assert rows(vrl('. = merge(., {"k": .n + 1, "o": {"z": .n}})\n.p = .o.z\ndel(.message)\ndel(.o)')(df)) == [(5, 6, 5), (6, 7, 6)]
+    broken = spark.createDataFrame([("not json",)], "message string")
+    assert rows(vrl('.x = parse_json(.message) ?? "none"\n.y, err = parse_json(.message)\n.e = err\ndel(.message)')(broken.withColumn("n", F.lit(1)).drop("n")))[0][-1] == "the expression failed"
+    for program in ("parse_json!(.message)", ".x = parse_json!(.message).a", ".x = to_int!(.message)"):
+        with pytest.raises(Exception, match="MALFORMED|Malformed|CAST_INVALID|JsonParse"):
+            vrl(program)(broken).collect()
+
+
+def test_vrl_rows_abort_and_time(spark):
+    df = spark.createDataFrame([(1, "2024-01-31 10:00", "a,b"), (2, "2024-02-29 23:30", "c")], "n int, t string, s string")
+    got = vrl('[{"n": .n, "k": "one"}, {"n": .n * 10, "m": .s}]')(df)
+    assert got.columns == ["n", "k", "m"] and rows(got) == [(1, "one", None), (10, None, "a,b"), (2, "one", None), (20, None, "c")]
+    got = vrl('.at = parse_timestamp!(.t, format: "%Y-%m-%d %H:%M")\n.day = format_timestamp!(.at, "%d.%m.%Y")\n.unix = to_unix_timestamp(.at)\n.parts = split(.s, ",")\n.first = .parts[0]\n.m = match(.s, r\'^a\')\ndel(.t)\ndel(.at)\ndel(.s)')(df)
+    assert rows(got) == [(1, "31.01.2024", 1706695200, ["a", "b"], "a", True), (2, "29.02.2024", 1709249400, ["c"], "c", False)]
+    tokyo = vrl('.unix = to_unix_timestamp(parse_timestamp!(.t, "%Y-%m-%d %H:%M"))\n.d = format_timestamp!(parse_timestamp!(.t, "%Y-%m-%d %H:%M"), "%H")\ndel(.t)\ndel(.s)', "Asia/Tokyo")(df)
+    assert rows(tokyo) == [(1, 1706695200 - 9 * 3600, "10"), (2, 1709249400 - 9 * 3600, "23")]
+    assert rows(vrl(".", "Not/A_Zone")(df)) == rows(df)
+    assert rows(vrl("if .n > 5 { abort }\n.")(df)) == rows(df)
+    for program in ("if .n > 1 { abort }", "if .n > 5 { .x = 1 } else if .n > 1 { abort } else { .x = 2 }", "abort"):
+        with pytest.raises(Exception, match="aborted"):
+            vrl(program + "\n.")(df).collect()
+
+
 def test_user_functions(spark):
     functions.SCALAR.clear()
 
@@ -384,6 +484,35 @@ def test_sessions_and_tumbling(spark):
     assert rows(windows.tumbling(df, "ts", "10 seconds").groupBy("window_start").count()) == [(at(0), 3), (at(20), 2)]
 
 
+def test_sessions_over_ranges(spark):
+    """Sessions that go on over several sorted ranges, with ties, gaps of just the length and rows without time."""
+    r = np.random.default_rng(2)
+    for gap, times in ((3, np.cumsum(r.integers(0, 7, 400))), (5, np.arange(0, 900, 5)), (1, np.array([])), (2, np.repeat([4, 9, 11], 60))):
+        df = spark.createDataFrame([(at(int(t)),) for t in times] + [(None,)], "ts timestamp").repartition(9)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        try:
+            got = windows.session_bounds(df, "ts", f"{gap} seconds").collect()
+        finally:
+            spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        want, last = [], None
+        for t in times.tolist():
+            if last is None or t > last + gap:
+                want.append([t, t, 0])
+            want[-1][1:], last = [t, want[-1][2] + 1], t
+        assert sorted((x.session_start, x.session_end, x.rows) for x in got) == [(at(int(a)), at(int(b) + gap), n) for a, b, n in want]
+
+
+def test_shared_folder_is_needed_on_a_cluster(spark):
+    from types import SimpleNamespace
+
+    from rivulet.session import shared_folder
+
+    assert shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")
+    for master in ("yarn", "spark://h:7077", "local-cluster[2,1,1024]"):
+        with pytest.raises(ConfigError, match="checkpoint"):
+            shared_folder(SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master=master)))
+
+
 def test_window_join_needs_both_inputs(spark):
     a = spark.createDataFrame([(at(1), 1, 10), (at(31), 1, 11)], "ts timestamp, id int, v int")
     b = spark.createDataFrame([(at(2), 1, 20)], "ts timestamp, id int, v int")
@@ -434,19 +563,6 @@ def test_stream_window_join(spark, tmp_path):
     assert [(r.a_v, r.b_v) for r in got.collect()] == [(10, 20)]
 
 
-def test_stream_window_query(spark, tmp_path):
-    """Each closed window with rows of every input is one query; windows that miss an input give nothing."""
-    schema = "t timestamp, payload string"
-    make = lambda name, parts: stream_of(spark, tmp_path, name, [[{"t": str(at(s)), "payload": json.dumps({"id": 1, "v": v})} for s, v in p] for p in parts], schema).select("t", F.col("payload").cast("binary").alias(VALUE))
-    named = {"flow_input1": make("f", [[(1, 10), (31, 11)], [(90, 1)], [(200, 1)]]), "flow_input2": make("g", [[(2, 20)], [(91, 5)], [(201, 1)]])}
-    found = []
-    contents = stream_windows.window_contents(named, "t", interval="10 seconds")
-    work = stream_windows.window_query(list(named), lambda df: json_codec.decode(df, "id bigint, v bigint"), "SELECT a.v AS x, b.v AS y FROM flow_input1 a JOIN flow_input2 b ON a.id = b.id", lambda df: found.extend(map(tuple, df.collect())))
-    q = contents.writeStream.foreachBatch(work).option("checkpointLocation", str(tmp_path / "cpw")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    assert (10, 20) in found and all(x != 11 for x, _ in found)
-
-
 # Runtime ------------------------------------------------------------------------------------------------------------
 
 
@@ -489,6 +605,73 @@ def test_configuration(tmp_path):
     assert set(runtime.components()) == {"input", "output", "codec", "processor", "buffer", "temporary"}
 
 
+def test_components_have_schemas():
+    """The components that are described are those that can be built."""
+    assert set(configurations.COMPONENTS["input"]) == set(inputs.INPUTS) and set(configurations.COMPONENTS["output"]) == set(outputs.OUTPUTS) and set(configurations.COMPONENTS["buffer"]) == set(buffers.KINDS)
+    whole = configurations.schema()
+    assert len(whole["properties"]["streams"]["items"]["properties"]["input"]["oneOf"]) == len(inputs.INPUTS)
+    for kind, named in configurations.COMPONENTS.items():
+        for name in named:
+            own = configurations.schema_of(kind, name)
+            assert set(own["required"]) <= set(own["properties"])
+    with pytest.raises(ConfigError):
+        configurations.schema_of("input", "nope")
+
+
+def test_validation(tmp_path):
+    good = config(tmp_path, [])["streams"][0]
+    assert configurations.validate({"streams": [good]}) == []
+    assert configurations.validate({"streams": [good | {"input": {"type": "mqtt", "host": "h", "port": 1, "topics": ["t"]}, "output": {"type": "mongodb", "uri": "u", "database": "d", "collection": "c"}}]}) == []
+    issues = {i.path for i in configurations.validate({"streams": [
+        {"input": {"type": "file"}}, good | {"output": {"type": "nope"}}, good | {"buffer": {"type": "tumbling_window", "interval": "soon"}}, good | {"pipeline": {"processors": [{"type": "sql", "query": "DROP TABLE x"}]}}, 7,
+        good | {"id": "a b"}, good | {"id": "x", "input": {"type": "generate", "context": 5, "speed": 1}}, good | {"id": "x", "input": {"type": "memory", "codec": {"type": "xml"}}}, {"input": 3, "output": {"type": "drop"}},
+        good | {"id": "m", "input": {"type": "multiple_inputs", "inputs": [{"type": "memory"}, {"type": "zzz"}]}},
+    ]})}
+    assert issues == {
+        "streams[0].input.path", "streams[0].output", "streams[1].output.type", "streams[2].id", "streams[3].id", "streams[4]", "streams[5]", "streams[6].input.context", "streams[6].input.speed", "streams[7].input.codec.type",
+        "streams[7].id", "streams[8].input", "streams[9].input.inputs[1].type",
+    }
+    assert [i.path for i in configurations.validate({"streams": [good | {"buffer": {"type": "tumbling_window", "interval": "soon"}}]})] == ["streams[0]"]
+    assert [i.path for i in configurations.validate({"streams": [good | {"pipeline": {"processors": [{"type": "sql", "query": "DROP TABLE x"}]}}]})] == ["streams[0]"]
+    assert [i.path for i in configurations.validate({})] == ["streams"]
+
+
+def test_redaction():
+    given = {"input": {"url": "postgres://u:pw@h/db", "password": "p", "auth": {"token": "t", "user": "u"}, "Api_Key": 5, "list": [{"secret_key": "s"}], "password_file": None}}
+    assert configurations.redact(given) == {"input": {"url": "postgres://u:******@h/db", "password": "******", "auth": {"token": "******", "user": "u"}, "Api_Key": "******", "list": [{"secret_key": "******"}], "password_file": None}}
+    assert given["input"]["password"] == "p"
+
+
+def test_versions(tmp_path):
+    kept = configurations.Versions(str(tmp_path / "versions"))
+    assert kept.all() == []
+    first = kept.save('{"streams": []}', "json")
+    second = kept.save("streams = []", "toml", first.id)
+    assert {v.id for v in kept.all()} == {first.id, second.id} and kept.text(second.id) == ("streams = []", "toml")
+    again = kept.rollback(first.id)
+    assert again.parent_id == first.id and kept.text(again.id) == kept.text(first.id) and len(kept.all()) == 3
+    for bad in (lambda: kept.save("{", "json"), lambda: kept.text("../x"), lambda: kept.rollback("none"), lambda: kept.save("[]", "json")):
+        with pytest.raises(ConfigError):
+            bad()
+
+
+def test_command_line(tmp_path, capsys):
+    def says(*words):
+        code = command(list(words))
+        out = capsys.readouterr()
+        return code, out.out + out.err
+
+    assert "sliding_window" in says("components", "list")[1] and says("components", "list", "--kind", "codec")[1].startswith("codec: ")
+    assert json.loads(says("components", "show", "input", "file", "--format", "json")[1])["required"] == ["type", "path"] and "path (string, needed)" in says("components", "show", "input", "file")[1]
+    assert json.loads(says("schema")[1])["required"] == ["streams"] and says("components", "show", "input", "nope")[0] == 1 and says()[0] == 1
+    good, bad = tmp_path / "good.json", tmp_path / "bad.toml"
+    good.write_text(json.dumps({"streams": [{"input": {"type": "memory", "messages": ["a"]}, "output": {"type": "drop"}}]}))
+    bad.write_text('[[streams]]\ninput = {type = "file"}\n')
+    assert says("--config", str(good), "--validate") == (0, "the configuration is valid\n")
+    assert says("-c", str(bad), "-v") == (1, "streams[0].output: is needed\nstreams[0].input.path: is needed\n")
+    assert says("-c", str(tmp_path / "none.json"))[0] == 1
+
+
 def test_bounded_window_join(spark):
     found = []
     one = {
@@ -507,13 +690,120 @@ def test_sliding_window_buffer(spark, tmp_path):
     stream = runtime.streams({"streams": [one]})[0]
     stream.run(spark)
     assert sorted(map(tuple, found)) == [(0, 3, 3), (1, 3, 9)]
-    with pytest.raises(ConfigError):
-        stream.start(spark, str(tmp_path / "cp"))
-    for buffer in ({"type": "nope"}, {"type": "sliding_window", "window_size": 3}):
+    for buffer in ({"type": "nope"}, {"type": "sliding_window", "window_size": 3}, {"type": "sliding_window", "window_size": 3, "slide_size": 4}, {"type": "tumbling_window"}, {"type": "session_window", "gap": "soon"}, {"type": "memory", "capacity": 0}, {"type": "memory", "capacity": 5, "join": {"query": "SELECT 1"}}):
         with pytest.raises(ConfigError):
             runtime.streams({"streams": [one | {"buffer": buffer}]})
 
 
+class Clock:
+    def __init__(self):
+        self.at = 100.0
+
+    def __call__(self):
+        return self.at
+
+
+def buffered(spark, tmp_path, config, clock, found):
+    return buffers.Buffer(spark, str(tmp_path / "buffer"), config, lambda df: found.append(sorted(tuple(r) for r in df.collect())), clock)
+
+
+def numbers(spark, *values):
+    return spark.createDataFrame([(v,) for v in values], "v bigint")
+
+
+def test_buffer_windows_by_the_clock(spark, tmp_path):
+    """Tumbling windows close every interval, sessions after a gap, memory at its capacity or timeout; empty windows give nothing."""
+    for k, (config, times, want) in enumerate([
+        ({"type": "tumbling_window", "interval": "10s"}, (1, 8, 9, 25, 26, 41), [[(1,), (2,), (3,)], [(4,), (5,)]]),
+        ({"type": "session_window", "gap": "5s"}, (1, 4, 8, 14, 18, 30), [[(1,), (2,), (3,)], [(4,), (5,)]]),
+        ({"type": "memory", "capacity": 2, "timeout": "4s"}, (1, 2, 3, 20, 21, 40), [[(1,), (2,)], [(3,)], [(4,), (5,)]]),
+    ]):
+        found, clock = [], Clock()
+        buffer = buffered(spark, tmp_path / str(k), config, clock, found)
+        for n, t in enumerate(times, 1):
+            for at in np.arange(clock.at - 100 + 0.5, t, 0.5):  # the clock is looked at in between
+                clock.at = 100 + at
+                buffer.tick()
+            clock.at = 100 + t
+            if n < len(times):
+                buffer.add(numbers(spark, n), n)
+        assert found == want, config
+        assert not buffer.staged
+
+
+def test_sliding_buffer_and_restart(spark, tmp_path):
+    """Windows of rows over micro-batches, numbered on; what is staged is there after a restart, a batch that comes again counts once."""
+    found, clock, config = [], Clock(), {"type": "sliding_window", "window_size": 3, "slide_size": 2}
+    buffer = buffered(spark, tmp_path, config, clock, found)
+    buffer.add(numbers(spark, 0, 1), 0)
+    buffer = buffered(spark, tmp_path, config, clock, found)
+    buffer.add(numbers(spark, 2), 1)
+    assert found == [[(0, 0), (1, 0), (2, 0)]] and [s.rows for s in buffer.staged] == [1]
+    buffer = buffered(spark, tmp_path, config, clock, found)
+    buffer.add(numbers(spark, 3), 2)
+    buffer.add(numbers(spark, 3), 2)
+    buffer.add(numbers(spark, 4, 5, 6, 7), 3)
+    assert found[1:] == [[(2, 1), (3, 1), (4, 1), (4, 2), (5, 2), (6, 2)]] and [s.rows for s in buffer.staged] == [2]
+
+
+def test_stream_with_buffer(spark, tmp_path):
+    """Micro-batches of a configured stream are one window; a bounded replay closes it at its end, a stopped one keeps it staged."""
+    folder, found = tmp_path / "in", []
+    folder.mkdir()
+    for k in range(3):
+        (folder / f"{k}.json").write_text(json.dumps({"id": k}) + "\n")
+    one = {"id": "buffered", "input": {"type": "file", "format": "json", "path": str(folder), "schema": "id bigint", "options": {"maxFilesPerTrigger": "1"}}, "buffer": {"type": "session_window", "gap": "1h"}, "pipeline": {"processors": [{"type": "sql", "query": "SELECT count(*) AS n, sum(id) AS s FROM flow"}]}, "output": {"type": "memory", "rows": found}}
+    stream = runtime.streams({"streams": [one]})[0]
+    assert stream.state() == "created"
+    stream.start(spark, str(tmp_path / "cp"), once=True).awaitTermination(60)
+    assert [tuple(r) for r in found] == [(3, 3)] and stream.state() == "stopped"
+    (folder / "3.json").write_text(json.dumps({"id": 30}) + "\n")
+    stream.start(spark, str(tmp_path / "cp"))
+    with pytest.raises(ConfigError, match="running"):
+        stream.start(spark, str(tmp_path / "cp"))
+    stream.query.processAllAvailable()
+    assert stream.state() == "running" and stream.metrics.batches_in == 1
+    stream.stop()
+    assert stream.state() == "stopped" and len(found) == 1
+    stream.start(spark, str(tmp_path / "cp"), once=True).awaitTermination(60)
+    assert [tuple(r) for r in found] == [(3, 3), (1, 30)]
+
+
+def test_stream_with_buffer_on_the_clock(spark, tmp_path):
+    folder, found = tmp_path / "in", []
+    folder.mkdir()
+    (folder / "0.json").write_text(json.dumps({"id": 1}) + "\n")
+    one = {"id": "ticking", "input": {"type": "file", "format": "json", "path": str(folder), "schema": "id bigint"}, "buffer": {"type": "tumbling_window", "interval": "500ms"}, "output": {"type": "memory", "rows": found}}
+    stream = runtime.streams({"streams": [one]})[0]
+    stream.start(spark, str(tmp_path / "cp"))
+    for _ in range(200):
+        time.sleep(0.1)
+        if found:
+            break
+    stream.stop()
+    assert [r.id for r in found] == [1]
+
+
+def test_stream_window_join_of_buffers(spark, tmp_path):
+    """Inputs that are joined within a window; a window that misses an input gives nothing."""
+    found = []
+
+    def source(name):
+        (tmp_path / name).mkdir()
+        return {"name": name, "type": "http", "landing": str(tmp_path / name)}
+
+    one = {
+        "id": "joined", "input": {"type": "multiple_inputs", "inputs": [source("a"), source("b")]}, "output": {"type": "memory", "rows": found},
+        "buffer": {"type": "tumbling_window", "interval": "1h", "join": {"query": "SELECT a.id, a.v AS x, b.v AS y FROM a JOIN b ON a.id = b.id", "codec": {"type": "json", "schema": "id bigint, v bigint"}}},
+    }
+    stream = runtime.streams({"streams": [one]})[0]
+    for n, names in enumerate((("a", "b"), ("a",))):
+        for name in names:
+            (tmp_path / name / f"{n}.json").write_text("".join(json.dumps({"id": k, "v": 10 * n + k}) + "\n" for k in range(2)))
+        stream.start(spark, str(tmp_path / "cp"), once=True).awaitTermination(60)
+    assert sorted(map(tuple, found)) == [(0, 0, 0), (1, 1, 1)]
+
+
 def test_restart_loses_and_repeats_nothing(spark, tmp_path):
     """A stopped stream goes on from its checkpoint with the files that came meanwhile."""
     folder = tmp_path / "in"
