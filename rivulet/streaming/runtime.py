@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import json
 import logging
 import re
-import tomllib
 from collections.abc import Callable
 from dataclasses import dataclass, field
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,16 +18,15 @@ from rivulet.operators.lookup import Provider, RedisProvider
 from rivulet.operators.vrl import vrl
 from rivulet.operators.windows import seconds
 from rivulet.operators.windows import sliding_count as windows_of_rows
+from rivulet.schema import VALUE
 from rivulet.sinks import outputs
 from rivulet.sources import inputs
-from rivulet.streaming import windows
+from rivulet.streaming import buffers
+from rivulet.streaming.config import COMPONENTS, load  # noqa: F401  load is part of this module
 
 log = logging.getLogger(__name__)
 
 
-BUFFERS = ("memory", "session_window", "sliding_window", "tumbling_window")
-
-
 @dataclass
 class Metrics:
     batches_in: int = 0
@@ -47,16 +43,13 @@ class Stream:
     config: dict
     temporaries: dict[str, Provider] = field(default_factory=dict)
     metrics: Metrics = field(default_factory=Metrics)
+    query: StreamingQuery | buffers.BufferedQuery | None = None
 
     def __post_init__(self) -> None:
         for key in ("input", "output"):
             if key not in self.config:
                 raise ConfigError(f"stream {self.id} has no {key}")
-        kind = self.buffer().get("type", "memory")
-        if kind not in BUFFERS:
-            raise ConfigError(f"unknown buffer {kind!r}")
-        if kind == "sliding_window" and (self.buffer().get("join") or not {"window_size", "slide_size"} <= set(self.buffer())):
-            raise ConfigError("a sliding_window has window_size and slide_size and no join")
+        buffers.check(self.buffer())
         self.process = processors.chain(*[processor(p, self.temporaries) for p in self.config.get("pipeline", {}).get("processors", [])])
         self.write = outputs.build(self.config["output"])
         error = self.config.get("error_output")
@@ -103,24 +96,48 @@ class Stream:
             self.batch(inputs.build(spark, self.config["input"]))
         return self.metrics
 
-    def start(self, spark: SparkSession, checkpoint: str, once: bool = False) -> StreamingQuery:
-        """Run on streams; each micro-batch is a batch. After a restart from the checkpoint no input is lost."""
-        buffer, join = self.buffer(), self.buffer().get("join")
-        if buffer.get("type") == "sliding_window":
-            raise ConfigError("over streams, count-based windows take a key and an order: streaming.windows.sliding_count")
-        if join:
-            named = inputs.named_inputs(spark, self.config["input"], streaming=True)
-            timed = {k: df if "__meta_ingest_time" in df.columns else df.withColumn("__meta_ingest_time", F.current_timestamp()) for k, df in named.items()}
-            df = windows.window_contents(timed, "__meta_ingest_time", interval=buffer.get("interval"), gap=buffer.get("gap"))
-            work = windows.window_query(list(named), decoder(join.get("codec") or {"type": "json"}), join["query"], self.batch)
+    def start(self, spark: SparkSession, checkpoint: str, once: bool = False) -> StreamingQuery | buffers.BufferedQuery:
+        """Run on streams; a micro-batch, or with a buffer a window of them, is a batch. After a restart from the checkpoint no input is
+        lost. once: what is there is read, and the last window closed when its query has been waited for."""
+        if self.state() == "running":
+            raise ConfigError(f"stream {self.id} is running")
+        source, buffer = self.config["input"], None
+        if self.buffer().get("join"):
+            named = inputs.named_inputs(spark, source, streaming=True)
+            df = None
+            for name, rows in named.items():
+                own = rows.select(F.lit(name).alias("__meta_source"), VALUE)
+                df = own if df is None else df.union(own)
+            work = lambda window: self.batch(bounded_join(spark, {n: window.where(F.col("__meta_source") == n).select(VALUE) for n in named}, self.buffer()))
         else:
-            df = inputs.build(spark, self.config["input"], streaming=True)
-            work = lambda batch, _: self.batch(batch)
-        writer = df.writeStream.queryName(self.id).option("checkpointLocation", checkpoint).foreachBatch(work)
+            df, work = inputs.build(spark, source, streaming=True), self.batch
+        if self.buffer():
+            buffer = buffers.Buffer(spark, f"{checkpoint}/buffer", self.buffer(), work)
+        writer = df.writeStream.queryName(self.id).option("checkpointLocation", checkpoint).foreachBatch(buffer.add if buffer else lambda batch, _: self.batch(batch))
         if once:
-            return writer.trigger(availableNow=True).start()
-        wait = buffer.get("timeout") or buffer.get("interval")
-        return (writer.trigger(processingTime=f"{seconds(wait)} seconds") if wait else writer).start()
+            writer = writer.trigger(availableNow=True)
+        elif source.get("type") == "generate":
+            writer = writer.trigger(processingTime=f"{seconds(source.get('interval', '1s'))} seconds")
+        query = writer.start()
+        self.query = buffers.BufferedQuery(query, buffer, once) if buffer else query
+        return self.query
+
+    def stop(self) -> None:
+        """Stop the running query; the checkpoint keeps its place."""
+        if self.query is not None:
+            self.query.stop()
+
+    def restart(self, spark: SparkSession, checkpoint: str) -> StreamingQuery | buffers.BufferedQuery:
+        self.stop()
+        return self.start(spark, checkpoint)
+
+    def state(self) -> str:
+        """created, running, failed or stopped."""
+        if self.query is None:
+            return "created"
+        if self.query.isActive:
+            return "running"
+        return "failed" if self.query.exception() is not None or getattr(self.query, "error", None) else "stopped"
 
 
 def bounded_join(spark: SparkSession, named: dict[str, DataFrame], buffer: dict) -> DataFrame:
@@ -138,7 +155,7 @@ def bounded_join(spark: SparkSession, named: dict[str, DataFrame], buffer: dict)
 def processor(config: dict, temporaries: dict[str, Provider]) -> Callable[[DataFrame], DataFrame]:
     kind = config.get("type")
     if kind == "sql":
-        own = {t["table_name"]: temporaries[t["name"]] for t in config.get("temporary_list", [])}
+        own = {t["table_name"]: (temporaries[t["name"]], t.get("key")) for t in config.get("temporary_list", [])}
         return processors.sql(config["query"], config.get("table_name", "flow"), own)
     if kind == "json_to_arrow":
         return processors.json_to_arrow(config.get("value_field", "__value__"), config.get("fields_to_include"), config.get("schema"))
@@ -157,24 +174,10 @@ def processor(config: dict, temporaries: dict[str, Provider]) -> Callable[[DataF
     if kind == "python":
         return processors.python(schema=config.get("schema"), script=config.get("script"), module=config.get("module"), name=config.get("function", "process"), python_path=config.get("python_path"))
     if kind == "vrl":
-        return vrl(config["statement"])
+        return vrl(config["statement"], config.get("timezone"))
     raise ConfigError(f"unknown processor {kind!r}")
 
 
-def load(path: str) -> dict:
-    """A configuration file: YAML, JSON or TOML by its ending."""
-    text = Path(path).read_text()
-    if path.endswith((".yaml", ".yml")):
-        import yaml
-
-        return yaml.safe_load(text)
-    if path.endswith(".json"):
-        return json.loads(text)
-    if path.endswith(".toml"):
-        return tomllib.loads(text)
-    raise ConfigError(f"unknown configuration format: {path}")
-
-
 def streams(config: dict, temporaries: dict[str, Provider] | None = None) -> list[Stream]:
     """All streams of a configuration. Ids differ and fit into URLs; without one a stream is stream-<i>."""
     out, ids = [], set()
@@ -195,7 +198,4 @@ def streams(config: dict, temporaries: dict[str, Provider] | None = None) -> lis
 
 def components() -> dict[str, list[str]]:
     """Names of all components by kind."""
-    return {
-        "input": sorted(inputs.INPUTS), "output": sorted(outputs.OUTPUTS), "codec": ["debezium_json", "json", "protobuf", "schema_registry"],
-        "processor": ["arrow_to_json", "arrow_to_protobuf", "batch", "json_to_arrow", "protobuf_to_arrow", "python", "sql", "vrl"], "buffer": list(BUFFERS), "temporary": ["redis", "table"],
-    }
+    return {kind: sorted(named) for kind, named in COMPONENTS.items()}
