@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rivulet.packaging import ship_package
+from rivulet.session import shared_folder
 
 #: Bytes of one Arrow batch sent to Python. With two Python workers an executor this bounds what a task holds.
 BATCH_BYTES = 8 << 20
@@ -23,22 +24,13 @@ BLOOM_BITS, BLOOM_MOST = 10, 1 << 26
 SPACE = r"\x20\x09-\x0D"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "/tmp/rivulet-shared"
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder.rstrip("/")
-
-
 def work_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/rivulet/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/rivulet/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
 def discard_work(spark: SparkSession) -> None:
     """Delete what this application's operators have written; results that weren't stored elsewhere are lost."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/rivulet/{spark.sparkContext.applicationId}")
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/rivulet/{spark.sparkContext.applicationId}")
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
