@@ -24,8 +24,8 @@ def decoder(config: dict | None) -> Callable[[DataFrame], DataFrame]:
         proto = protobuf.load(config["proto_inputs"]) if "proto_inputs" in config else config["proto"]
         return lambda df: protobuf.decode(df, proto, config["message_type"])
     if kind == "schema_registry":
-        if config.get("url"):
-            resolver = registry.HttpResolver(config["url"], config["message_type"], config.get("auth"))
+        if url := config.get("url") or config.get("registry_url"):
+            resolver = registry.HttpResolver(url, config["message_type"], config.get("auth"))
             return lambda df: registry.decode(df, resolver)
         schemas = {int(k): v for k, v in config.get("schemas", {}).items()}
         resolve = {k: (lambda df, v=v: protobuf.decode(df, v["proto"], v["message_type"])) for k, v in schemas.items()}

@@ -35,7 +35,7 @@ class Registry:
     """Users' functions of one kind; a name can be given once."""
 
     def __init__(self, kind: str):
-        self.kind, self.functions = kind, {}
+        self.kind, self.functions, self.known = kind, {}, {}
 
     def add(self, name: str, function: Callable) -> None:
         if name in self.functions:
@@ -45,7 +45,9 @@ class Registry:
     def register(self, spark: SparkSession) -> None:
         """Make all of them callable by name in SQL."""
         for name, function in self.functions.items():
-            spark.udf.register(name, function)
+            if self.known.get((id(spark), name)) is not function:
+                spark.udf.register(name, function)
+                self.known[id(spark), name] = function
 
     def clear(self) -> None:
         self.functions.clear()
@@ -77,5 +79,6 @@ def aggregate(name: str, returns: str, window: bool = False) -> Callable[[Callab
 
 
 def register_all(spark: SparkSession) -> None:
+    """Make the users' functions callable in the session's SQL (queries in the dialect do so themselves)."""
     for kind in (SCALAR, AGGREGATE, WINDOW):
         kind.register(spark)

@@ -29,6 +29,7 @@ sql("join_right", "SELECT l.doc_id, d.lang FROM labels l RIGHT JOIN documents d
 sql("join_full", "SELECT s.s_nationkey AS a, c.c_nationkey AS b, count(*) AS n FROM (SELECT DISTINCT s_nationkey FROM supplier WHERE s_nationkey < 15) s FULL OUTER JOIN (SELECT DISTINCT c_nationkey FROM customer WHERE c_nationkey > 10) c ON s.s_nationkey = c.c_nationkey GROUP BY s.s_nationkey, c.c_nationkey")
 sql("join_cross", "SELECT r_name, n_name FROM region CROSS JOIN nation")
 sql("join_natural", "SELECT k, a, b FROM (SELECT n_nationkey AS k, n_name AS a FROM nation) x NATURAL JOIN (SELECT s_nationkey AS k, s_name AS b FROM supplier) y")
+sql("join_natural_without_common", "SELECT r_name, x FROM region NATURAL JOIN (SELECT n_nationkey AS x FROM nation WHERE n_nationkey < 3) y", "SELECT r_name, x FROM region CROSS JOIN (SELECT n_nationkey AS x FROM nation WHERE n_nationkey < 3) y")
 sql("join_theta_range", "SELECT a.n_nationkey AS x, b.n_nationkey AS y FROM nation a JOIN nation b ON a.n_nationkey < b.n_nationkey AND a.n_regionkey = b.n_regionkey")
 sql("join_semi_exists", "SELECT c_custkey FROM customer c WHERE EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 200000)")
 sql("join_anti_not_exists", "SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 150000)")

@@ -169,13 +169,18 @@ def http(config: dict) -> Writer:
 
 @sink("influxdb")
 def influxdb(config: dict) -> Writer:
-    """Line protocol in requests of up to `batch_size` lines."""
+    """Line protocol in requests of up to `batch_size` lines; what a batch leaves is sent at its end.
+
+    tags and fields: a key's column, or a list of {field: column, tag_name or field_name: key}.
+    """
+    named = lambda given, key: given if isinstance(given, dict) else {x[key]: x["field"] for x in given or []}
+    tags, fields = named(config.get("tags", {}), "tag_name"), named(config["fields"], "field_name")
     url = f"{config['url']}/api/v2/write?org={config['org']}&bucket={config['bucket']}&precision=ns"
     size, headers = int(config.get("batch_size", 1000)), {"Authorization": f"Token {config.get('token', '')}", "Content-Type": "text/plain; charset=utf-8"}
     retries, timeout = int(config.get("retry_count", 3)), float(config.get("timeout_ms", 5000)) / 1000
 
     def write(df: DataFrame) -> None:
-        lines = line_protocol(df, config["measurement"], config.get("tags", {}), config["fields"], config.get("timestamp"))
+        lines = line_protocol(df, config["measurement"], tags, fields, config.get("timestamp") or config.get("timestamp_field"))
 
         def send(rows: Iterable) -> None:
             held: list[bytes] = []
@@ -208,6 +213,8 @@ def kafka(config: dict) -> Writer:
     """Rows as topic, key and value to Spark's Kafka sink; at least once. A transactional producer isn't what that sink has."""
     if not config.get("brokers") or not config.get("topic"):
         raise ConfigError("a kafka output needs brokers and topic")
+    if config.get("exactly_once") or config.get("transactional_id"):
+        raise ConfigError("Spark's Kafka sink delivers at least once; it has no transactions")
 
     def write(df: DataFrame) -> None:
         try:

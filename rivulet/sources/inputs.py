@@ -6,6 +6,7 @@ Connectors whose client or Spark package isn't installed raise Unavailable, with
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,7 +20,9 @@ from rivulet.operators.windows import seconds
 from rivulet.packaging import ship_package
 from rivulet.plans.dialect import query
 from rivulet.schema import META, RAW, VALUE, with_meta
+from rivulet.session import shared_folder
 from rivulet.sources import stores
+from rivulet.sources.receiver import Receiver
 
 INPUTS: dict[str, Callable[..., DataFrame]] = {}
 
@@ -270,12 +273,31 @@ absent("websocket", "a WebSocket client", ("url",))
 absent("modbus", "a Modbus client", ("addr", "points"))
 
 
+#: Receivers that run beside this driver, by address and path.
+RECEIVERS: dict[tuple[str, str], tuple[Receiver, str]] = {}
+
+
+def received(spark: SparkSession, config: dict) -> str:
+    """The landing folder of the receiver of an address, which is started if it doesn't run."""
+    key = config["address"], config.get("path", "/")
+    if key not in RECEIVERS:
+        host, _, port = config["address"].rpartition(":")
+        if not host or not port.isdigit():
+            raise ConfigError(f"no address of host and port: {config['address']!r}")
+        folder = config.get("landing") or f"{shared_folder(spark)}/rivulet/landing-{uuid.uuid4().hex}"
+        RECEIVERS[key] = Receiver(folder, key[1], host, int(port), config.get("auth"), bool(config.get("cors_enabled"))).start(), folder
+    return RECEIVERS[key][1]
+
+
 @source("http")
 def http(spark: SparkSession, config: dict, streaming: bool = True) -> DataFrame:
-    """Payloads that the receiver (sources.receiver) has landed as files in `landing`."""
+    """Payloads that a receiver (sources.receiver) lands as files in `landing`. With `address` (host:port) one runs beside the driver,
+    which takes POSTs to `path`; without landing it has a folder in the one that the cluster shares."""
     folder = config.get("landing")
-    if not folder:
-        raise ConfigError("an http input needs landing: the folder that its receiver writes to")
+    if not folder and not config.get("address"):
+        raise ConfigError("an http input needs address, or landing: the folder that its receiver writes to")
+    if config.get("address"):
+        folder = received(spark, config)
     kind = T.StructType([T.StructField("value", T.StringType())])
     reader = (spark.readStream if streaming else spark.read).schema(kind)
     try:

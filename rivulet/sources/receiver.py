@@ -5,11 +5,11 @@ from __future__ import annotations
 import base64
 import hmac
 import json
-import os
 import threading
 import uuid
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
-from pathlib import Path
+
+from pyarrow import fs
 
 
 def authorized(header: str | None, auth: dict | None) -> bool:
@@ -24,11 +24,12 @@ def authorized(header: str | None, auth: dict | None) -> bool:
 
 
 class Receiver:
-    """POST to `path` with a JSON body: 200, and the body is a file in `landing`; 401, 404 or 400 otherwise."""
+    """POST to `path` with a JSON body: 200, and the body is a file in `landing`, a folder of any store that pyarrow knows; 401, 404 or
+    400 otherwise. cors: pages of any origin may send."""
 
-    def __init__(self, landing: str, path: str = "/", host: str = "127.0.0.1", port: int = 0, auth: dict | None = None):
-        folder = Path(landing)
-        folder.mkdir(parents=True, exist_ok=True)
+    def __init__(self, landing: str, path: str = "/", host: str = "127.0.0.1", port: int = 0, auth: dict | None = None, cors: bool = False):
+        store, folder = fs.FileSystem.from_uri(landing)
+        store.create_dir(folder, recursive=True)
 
         class Handler(BaseHTTPRequestHandler):
             def do_POST(self) -> None:
@@ -42,12 +43,19 @@ class Receiver:
                 except ValueError:
                     return self.answer(400)
                 name = uuid.uuid4().hex
-                (folder / f".{name}").write_text(text + "\n")
-                os.rename(folder / f".{name}", folder / f"{name}.json")  # whole files only
+                with store.open_output_stream(f"{folder}/.{name}") as out:
+                    out.write((text + "\n").encode())
+                store.move(f"{folder}/.{name}", f"{folder}/{name}.json")  # whole files only
                 return self.answer(200)
 
+            def do_OPTIONS(self) -> None:
+                self.answer(204 if cors and self.path == path else 404)
+
             def answer(self, code: int) -> None:
                 self.send_response(code)
+                if cors:
+                    for key, value in (("Origin", "*"), ("Methods", "POST, OPTIONS"), ("Headers", "Authorization, Content-Type")):
+                        self.send_header(f"Access-Control-Allow-{key}", value)
                 self.end_headers()
 
             def log_message(self, *args: object) -> None:

@@ -15,7 +15,7 @@ from rivulet.errors import ConfigError, EngineError, Unavailable
 #: Parts of key names whose values are secret.
 SECRET = ("password", "passwd", "secret", "token", "api_key", "apikey", "access_key", "private_key", "credential", "authorization")
 REDACTED = "******"
-TEXT, NUMBER, FLAG, LIST, TABLE, ANY = ({"type": t} for t in ("string", "integer", "boolean", "array", "object", ["string", "object"]))
+TEXT, NUMBER, FLAG, LIST, TABLE, ANY, PAIRS = ({"type": t} for t in ("string", "integer", "boolean", "array", "object", ["string", "object"], ["array", "object"]))
 SPAN = {"type": "string", "description": "a length of time such as 500ms, 10s or 5 minutes"}
 
 #: Components by kind and name: what each is for, its keys, and which of them it needs.
@@ -23,40 +23,40 @@ COMPONENTS: dict[str, dict[str, tuple[str, dict[str, dict], tuple[str, ...]]]] =
     "input": {
         "file": ("files of one format", {"path": TEXT, "format": TEXT, "input_type": ANY, "query": ANY, "schema": TEXT, "options": TABLE, "store": TABLE}, ("path",)),
         "generate": ("one payload again and again", {"context": TEXT, "interval": SPAN, "batch_size": NUMBER, "count": NUMBER}, ("context",)),
-        "http": ("payloads that a receiver lands as files", {"landing": TEXT}, ("landing",)),
-        "kafka": ("topics of Kafka", {"brokers": LIST, "topics": LIST, "consumer_group": TEXT, "start_from_latest": FLAG}, ("brokers", "topics")),
+        "http": ("payloads of requests, which a receiver lands as files", {"landing": TEXT, "address": TEXT, "path": TEXT, "method": TEXT, "interval": SPAN, "cors_enabled": FLAG, "auth": TABLE}, ()),
+        "kafka": ("topics of Kafka", {"brokers": LIST, "topics": LIST, "consumer_group": TEXT, "client_id": TEXT, "start_from_latest": FLAG, "fetch_min_bytes": NUMBER, "fetch_max_bytes": NUMBER, "fetch_max_partition_bytes": NUMBER, "fetch_wait_max_ms": NUMBER}, ("brokers", "topics")),
         "memory": ("a fixed list of messages", {"messages": LIST}, ()),
-        "modbus": ("registers of Modbus devices", {"addr": TEXT, "points": LIST, "interval": SPAN}, ("addr", "points")),
-        "mqtt": ("topics of an MQTT broker", {"host": TEXT, "port": NUMBER, "topics": LIST, "client_id": TEXT, "username": TEXT, "password": TEXT, "qos": NUMBER}, ("host", "port", "topics")),
+        "modbus": ("registers of Modbus devices", {"addr": TEXT, "slave_id": NUMBER, "points": LIST, "interval": SPAN}, ("addr", "points")),
+        "mqtt": ("topics of an MQTT broker", {"host": TEXT, "port": NUMBER, "topics": LIST, "client_id": TEXT, "username": TEXT, "password": TEXT, "qos": NUMBER, "clean_session": FLAG, "keep_alive": NUMBER}, ("host", "port", "topics")),
         "multiple_inputs": ("several named inputs", {"inputs": LIST}, ("inputs",)),
         "nats": ("subjects of NATS", {"url": TEXT, "mode": ANY, "auth": TABLE}, ("url",)),
-        "pulsar": ("a topic of Pulsar", {"service_url": TEXT, "topic": TEXT, "subscription_name": TEXT, "auth": TABLE}, ("service_url", "topic")),
+        "pulsar": ("a topic of Pulsar", {"service_url": TEXT, "topic": TEXT, "subscription_name": TEXT, "subscription_type": TEXT, "auth": TABLE, "retry_config": TABLE}, ("service_url", "topic")),
         "redis": ("channels or lists of Redis", {"mode": ANY, "redis_type": ANY}, ("mode",)),
-        "sql": ("a SELECT over databases", {"url": TEXT, "select_sql": TEXT, "input_type": TABLE, "tables": TABLE, "fetchsize": NUMBER, "options": TABLE, "partition_column": TEXT, "lower_bound": ANY, "upper_bound": ANY, "num_partitions": NUMBER}, ("select_sql",)),
-        "websocket": ("messages of a WebSocket", {"url": TEXT}, ("url",)),
+        "sql": ("a SELECT over databases", {"url": TEXT, "select_sql": TEXT, "input_type": TABLE, "tables": TABLE, "fetchsize": NUMBER, "options": TABLE, "partition_column": TEXT, "lower_bound": ANY, "upper_bound": ANY, "num_partitions": NUMBER, "poll_interval": SPAN}, ("select_sql",)),
+        "websocket": ("messages of a WebSocket", {"url": TEXT, "headers": TABLE, "timeout": SPAN}, ("url",)),
     },
     "output": {
         "drop": ("nothing is kept", {}, ()),
         "file": ("files of one format", {"path": TEXT, "format": TEXT, "mode": TEXT, "options": TABLE}, ("path",)),
-        "http": ("a request for each payload", {"url": TEXT, "method": TEXT, "headers": TABLE, "auth": TABLE, "retry_count": NUMBER, "timeout_ms": NUMBER}, ("url",)),
-        "influxdb": ("line protocol to InfluxDB", {"url": TEXT, "org": TEXT, "bucket": TEXT, "token": TEXT, "measurement": ANY, "tags": TABLE, "fields": TABLE, "timestamp": TEXT, "batch_size": NUMBER, "retry_count": NUMBER, "timeout_ms": NUMBER}, ("url", "org", "bucket", "measurement", "fields")),
-        "kafka": ("records of Kafka topics", {"brokers": LIST, "topic": ANY, "key": ANY, "acks": TEXT}, ("brokers", "topic")),
+        "http": ("a request for each payload", {"url": TEXT, "method": TEXT, "headers": TABLE, "auth": TABLE, "body_field": TEXT, "retry_count": NUMBER, "timeout_ms": NUMBER}, ("url",)),
+        "influxdb": ("line protocol to InfluxDB", {"url": TEXT, "org": TEXT, "bucket": TEXT, "token": TEXT, "measurement": ANY, "tags": PAIRS, "fields": PAIRS, "timestamp": TEXT, "timestamp_field": TEXT, "flush_interval": SPAN, "batch_size": NUMBER, "retry_count": NUMBER, "timeout_ms": NUMBER}, ("url", "org", "bucket", "measurement", "fields")),
+        "kafka": ("records of Kafka topics", {"brokers": LIST, "topic": ANY, "key": ANY, "acks": TEXT, "client_id": TEXT, "compression": TEXT, "value_field": TEXT, "exactly_once": FLAG, "transactional_id": TEXT}, ("brokers", "topic")),
         "memory": ("a list (tests)", {"rows": LIST}, ("rows",)),
         "mongodb": ("documents of MongoDB", {"uri": TEXT, "database": TEXT, "collection": TEXT}, ("uri", "database", "collection")),
-        "mqtt": ("a topic of an MQTT broker", {"host": TEXT, "port": NUMBER, "topic": ANY, "username": TEXT, "password": TEXT}, ("host", "port", "topic")),
-        "nats": ("subjects of NATS", {"url": TEXT, "mode": ANY, "auth": TABLE}, ("url",)),
-        "pulsar": ("a topic of Pulsar", {"service_url": TEXT, "topic": ANY, "auth": TABLE}, ("service_url", "topic")),
-        "redis": ("channels or lists of Redis", {"mode": ANY, "redis_type": ANY}, ("mode",)),
+        "mqtt": ("a topic of an MQTT broker", {"host": TEXT, "port": NUMBER, "topic": ANY, "client_id": TEXT, "username": TEXT, "password": TEXT, "qos": NUMBER, "clean_session": FLAG, "keep_alive": NUMBER, "retain": FLAG, "value_field": TEXT}, ("host", "port", "topic")),
+        "nats": ("subjects of NATS", {"url": TEXT, "mode": ANY, "auth": TABLE, "value_field": TEXT}, ("url",)),
+        "pulsar": ("a topic of Pulsar", {"service_url": TEXT, "topic": ANY, "auth": TABLE, "value_field": TEXT}, ("service_url", "topic")),
+        "redis": ("channels or lists of Redis", {"mode": ANY, "redis_type": ANY, "value_field": TEXT}, ("mode",)),
         "sql": ("a table of a database", {"url": TEXT, "table_name": TEXT, "properties": TABLE}, ("url", "table_name")),
-        "stdout": ("the driver's output", {"append_newline": FLAG}, ()),
+        "stdout": ("the driver's output", {"append_newline": FLAG, "pretty": FLAG}, ()),
     },
     "processor": {
         "arrow_to_json": ("rows to JSON payloads", {"value_field": TEXT, "fields_to_include": LIST}, ()),
-        "arrow_to_protobuf": ("rows to Protobuf payloads", {"proto_inputs": LIST, "proto": TEXT, "message_type": TEXT, "c": TABLE}, ()),
-        "batch": ("batches as they come", {"count": NUMBER, "timeout_ms": NUMBER}, ()),
+        "arrow_to_protobuf": ("rows to Protobuf payloads", {"proto_inputs": LIST, "proto_includes": LIST, "proto": TEXT, "message_type": TEXT, "c": TABLE}, ()),
+        "batch": ("batches as they come", {"count": NUMBER, "size": NUMBER, "timeout_ms": NUMBER, "interval": SPAN}, ()),
         "json_to_arrow": ("JSON payloads to columns", {"value_field": TEXT, "fields_to_include": LIST, "schema": TEXT}, ()),
-        "protobuf_to_arrow": ("Protobuf payloads to columns", {"proto_inputs": LIST, "proto": TEXT, "message_type": TEXT, "value_field": TEXT, "fields_to_include": LIST, "c": TABLE}, ()),
-        "python": ("a function of record batches", {"script": TEXT, "module": TEXT, "function": TEXT, "python_path": LIST, "schema": TEXT}, ()),
+        "protobuf_to_arrow": ("Protobuf payloads to columns", {"proto_inputs": LIST, "proto_includes": LIST, "proto": TEXT, "message_type": TEXT, "value_field": TEXT, "fields_to_include": LIST, "c": TABLE}, ()),
+        "python": ("a function of record batches", {"script": TEXT, "module": TEXT, "function": TEXT, "python_path": LIST, "extra_packages": LIST, "schema": TEXT}, ()),
         "sql": ("a SELECT over the batch", {"query": TEXT, "table_name": TEXT, "temporary_list": LIST}, ("query",)),
         "vrl": ("a program for every row", {"statement": TEXT, "timezone": TEXT}, ("statement",)),
     },
@@ -68,9 +68,9 @@ COMPONENTS: dict[str, dict[str, tuple[str, dict[str, dict], tuple[str, ...]]]] =
     },
     "codec": {
         "debezium_json": ("change events", {"row": TEXT}, ()),
-        "json": ("JSON objects", {"schema": TEXT}, ()),
-        "protobuf": ("Protobuf messages", {"proto_inputs": LIST, "proto": TEXT, "message_type": TEXT}, ("message_type",)),
-        "schema_registry": ("Protobuf messages with a schema's number", {"url": TEXT, "message_type": TEXT, "auth": TABLE, "schemas": TABLE}, ()),
+        "json": ("JSON objects", {"schema": TEXT, "pretty": FLAG}, ()),
+        "protobuf": ("Protobuf messages", {"proto_inputs": LIST, "proto_includes": LIST, "proto": TEXT, "message_type": TEXT}, ("message_type",)),
+        "schema_registry": ("Protobuf messages with a schema's number", {"url": TEXT, "registry_url": TEXT, "message_type": TEXT, "auth": TABLE, "schemas": TABLE}, ()),
     },
     "temporary": {
         "redis": ("lookups in Redis", {"name": TEXT, "mode": ANY, "redis_type": ANY}, ("name", "mode")),

@@ -56,7 +56,19 @@ class Stream:
         self.write_error = outputs.build(error) if error else None
 
     def buffer(self) -> dict:
-        return self.config.get("buffer", {})
+        """The stream's buffer; a batch processor is one too, where there is no other."""
+        if "buffer" in self.config:
+            return self.config["buffer"]
+        for p in self.config.get("pipeline", {}).get("processors", []):
+            if p.get("type") == "batch":
+                count, wait = p.get("count") or p.get("size"), f"{p['timeout_ms']}ms" if p.get("timeout_ms") else p.get("interval")
+                return {"type": "memory", "capacity": count, "timeout": wait} if count or wait else {}
+        return {}
+
+    def progress(self) -> dict:
+        """What Spark says of the last micro-batch: its number, rows, rates and times."""
+        last = self.query.lastProgress if self.query is not None else None
+        return {} if last is None else {"batch": last.batchId, "rows": last.numInputRows, "rows_per_second": last.processedRowsPerSecond, "milliseconds": dict(last.durationMs)}
 
     def batch(self, df: DataFrame) -> None:
         """Process and write one batch. A failure sends the input batch to the error output; without one it is logged."""

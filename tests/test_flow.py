@@ -288,6 +288,32 @@ def test_receiver(spark, tmp_path):
     assert rows(got) == [(1,)]
 
 
+def test_http_input_with_an_address(spark, tmp_path):
+    """A receiver beside the driver, for pages of other origins too; a stream reads what it lands."""
+    import socket
+
+    with socket.socket() as s:
+        s.bind(("127.0.0.1", 0))
+        port = s.getsockname()[1]
+    found = []
+    one = {"id": "posted", "input": {"type": "http", "address": f"127.0.0.1:{port}", "path": "/in", "cors_enabled": True, "codec": {"type": "json", "schema": "a bigint"}}, "output": {"type": "memory", "rows": found}}
+    stream = runtime.streams({"streams": [one]})[0]
+    stream.start(spark, str(tmp_path / "cp"))
+    ask = lambda method, body=None: urllib.request.urlopen(urllib.request.Request(f"http://127.0.0.1:{port}/in", data=body, method=method), timeout=5)
+    assert ask("OPTIONS").headers["Access-Control-Allow-Origin"] == "*" and ask("POST", b'{"a": 5}').status == 200
+    for _ in range(100):
+        time.sleep(0.1)
+        if found:
+            break
+    assert stream.progress()["rows"] >= 0
+    stream.stop()
+    inputs.RECEIVERS.pop((f"127.0.0.1:{port}", "/in"))[0].stop()
+    assert [r.a for r in found] == [5]
+    for bad in ({}, {"address": "nowhere"}):
+        with pytest.raises(ConfigError):
+            inputs.build(spark, {"type": "http"} | bad, streaming=True)
+
+
 # Sinks --------------------------------------------------------------------------------------------------------------
 
 
@@ -334,6 +360,8 @@ def test_http_output(spark, server):
 
 def test_influx_output(spark, server):
     outputs.build({"type": "influxdb", "url": server, "org": "o", "bucket": "b", "token": "t", "measurement": "m", "fields": {"v": "id"}, "batch_size": 2})(spark.range(3).coalesce(1))
+    outputs.build({"type": "influxdb", "url": server, "org": "o", "bucket": "b", "token": "t", "measurement": "m", "tags": [{"field": "t", "tag_name": "k"}], "fields": [{"field": "id", "field_name": "v"}], "timestamp_field": "id"})(spark.range(1).withColumn("t", F.lit("x")))
+    assert Recorder.seen.pop()[-1] == b"m,k=x v=0i 0"
     assert [len(b.split(b"\n")) for *_, b in Recorder.seen] == [2, 1] and Recorder.seen[0][0].startswith("/api/v2/write?org=o") and Recorder.seen[0][1] == "Token t"
 
 
@@ -350,7 +378,7 @@ def test_simple_outputs(spark, capsys, tmp_path):
     assert capsys.readouterr().out == "hi\n"
     outputs.build({"type": "file", "path": str(tmp_path / "f")})(spark.range(3))
     assert spark.read.parquet(str(tmp_path / "f")).count() == 3
-    for config in ({"type": "mongodb", "uri": "u", "database": "d", "collection": "c"}, {"type": "nope"}, {"type": "mqtt"}, {"type": "kafka"}):
+    for config in ({"type": "mongodb", "uri": "u", "database": "d", "collection": "c"}, {"type": "nope"}, {"type": "mqtt"}, {"type": "kafka"}, {"type": "kafka", "brokers": ["b"], "topic": "t", "transactional_id": "x"}):
         with pytest.raises(ConfigError):
             outputs.build(config)
     with pytest.raises(Exception):  # noqa: B017, PT011  Spark's kafka package isn't here
@@ -456,7 +484,6 @@ def test_user_functions(spark):
     with pytest.raises(ConfigError, match="already"):
         functions.scalar("plus_one", "bigint")(lambda s: s)
     functions.aggregate("spread_", "double")(lambda s: float(s.max() - s.min()))
-    functions.register_all(spark)
     assert processors.sql("SELECT spread_(plus_one(id)) AS v FROM flow")(spark.range(5)).first().v == 4.0
     assert processors.sql("SELECT id, spread_(id) OVER (PARTITION BY id % 2) AS v FROM flow")(spark.range(4)).count() == 4
 
@@ -769,6 +796,16 @@ def test_stream_with_buffer(spark, tmp_path):
     assert [tuple(r) for r in found] == [(3, 3), (1, 30)]
 
 
+def test_batch_processor_collects_micro_batches(spark, tmp_path):
+    folder, found = tmp_path / "in", []
+    folder.mkdir()
+    for k in range(5):
+        (folder / f"{k}.json").write_text(json.dumps({"id": k}) + "\n")
+    one = {"id": "batched", "input": {"type": "file", "format": "json", "path": str(folder), "schema": "id bigint", "options": {"maxFilesPerTrigger": "1"}}, "pipeline": {"processors": [{"type": "batch", "count": 2, "timeout_ms": 3600000}, {"type": "sql", "query": "SELECT count(*) AS n FROM flow"}]}, "output": {"type": "memory", "rows": found}}
+    runtime.streams({"streams": [one]})[0].start(spark, str(tmp_path / "cp"), once=True).awaitTermination(60)
+    assert [r.n for r in found] == [2, 2, 1]
+
+
 def test_stream_with_buffer_on_the_clock(spark, tmp_path):
     folder, found = tmp_path / "in", []
     folder.mkdir()
