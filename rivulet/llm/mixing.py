@@ -103,7 +103,8 @@ def words(column: str) -> Column:
 
 
 def mix(docs: DataFrame, share: float = 1.5, weights: tuple[float, ...] = (5.0, 2.0, 1.0), ceiling: float = 2.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 17) -> DataFrame:
-    """One row per document: id_col, size (words), source, source_size, target (of its source), copies, taken (words, repeats counted).
+    """One row per document: id_col, size (words), source, source_size, target (of its source), copies, taken (words, repeats counted),
+    text_hash (xxhash64 of the text, which tells rows with one id apart).
 
     Null texts have 0 words. The null source is a source of its own and comes last in the order. No document is taken more
     than ceil(`ceiling`) times, so its words are at most that times its size. A source without words has target 0. Draws
@@ -123,7 +124,7 @@ def mix(docs: DataFrame, share: float = 1.5, weights: tuple[float, ...] = (5.0,
     alike = alike.withColumn("high", F.explode(F.sequence(F.lit(0), F.expr(f"(m - 1) div {STEP}"))))
     alike = alike.withColumn("low", F.explode(F.sequence(F.lit(0), F.least(F.lit(STEP), F.col("m") - F.col("high") * STEP) - 1)))
     state = alike.withColumn("tie", F.xxhash64(F.lit(seed), F.col("id").cast("string"), "source", "size", "h", "high", "low"))
-    state = state.join(sources.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).select("id", "size", "rank", "pi", "blocks", "tie")
+    state = state.join(sources.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).select("id", "size", "h", "rank", "pi", "blocks", "tie")
     state = state.withColumn("block", F.pmod("tie", F.col("blocks")).cast("int"))
     most, rounds = sources.agg(F.max("blocks")).first()[0] or 1, []
     while True:
@@ -140,6 +141,6 @@ def mix(docs: DataFrame, share: float = 1.5, weights: tuple[float, ...] = (5.0,
     for more in rounds[1:]:
         drawn = drawn.union(more)
     copies = F.col("whole") + F.col("pi").cast("int")
-    return drawn.select("id", "size", "rank", "pi").join(sources.drop("pi"), "rank").select(
-        F.col("id").alias(id_col), "size", F.col("source").alias(source_col), "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken")
+    return drawn.select("id", "size", "h", "rank", "pi").join(sources.drop("pi"), "rank").select(
+        F.col("id").alias(id_col), "size", F.col("source").alias(source_col), "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"), F.col("h").alias("text_hash")
     )

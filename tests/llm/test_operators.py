@@ -321,7 +321,18 @@ def test_simhash_links_are_whole():
     assert len(u) == len(f) - len(set(want))
 
 
-def test_components_of_a_path(spark):
+@pytest.mark.parametrize("few", [simhash.FEW, 0])
+def test_components_of_a_path(spark, monkeypatch, few):
+    monkeypatch.setattr(simhash, "FEW", few)
+    r = random.Random(1)
+    pairs_ = [(r.randrange(400), r.randrange(400)) for _ in range(260)]
+    want = list(range(400))
+    for _ in range(400):
+        for a, b in pairs_:
+            want[a] = want[b] = min(want[a], want[b])
+    got = {x.u: x.root for x in simhash.components(spark.createDataFrame(pairs_, "u long, v long").repartition(5)).collect()}
+    assert got == {k: w for k, w in enumerate(want) if k != w}
+    assert simhash.components(spark.createDataFrame([], "u long, v long")).count() == 0
     edges = spark.createDataFrame([(k, k + 1) for k in range(60)] + [(100, 101), (101, 102), (7, 7)], "u long, v long")
     got = {r.u: r.root for r in simhash.components(edges).collect()}
     assert got == {k: 0 for k in range(1, 61)} | {101: 100, 102: 100}
@@ -459,6 +470,7 @@ def test_near_duplicates_in_a_large_bucket(spark, monkeypatch):
 def test_hot_buckets_in_pieces(spark, docs, rows, monkeypatch):
     """Buckets that are dealt to several tasks give the same links."""
     monkeypatch.setattr(simhash, "SPLIT", 5)
+    monkeypatch.setattr(simhash, "SEEN", 2)
     monkeypatch.setattr(simhash, "bands", lambda n, bits: bits + 1)
     same(simhash.simhash_components(docs).collect(), brute.simhash(pairs(rows)))
 

@@ -88,12 +88,27 @@ def test_edge_rows(spark, k):
         docs = docs.withColumn(extra, F.lit("clash"))
     got = stage(spark, docs, SF).collect()
     ids = sorted(str(r.doc_id) for r in got)
-    if k in (1, 3):
+    if k == 0:  # rows are judged by their text alone: equal texts stay or go together, null ones as empty ones
+        kept = [(r.doc_id, r.text) for r in got]
+        assert {r[1] or "" for r in kept} <= {r[1] or "" for r in EDGES}
+        for text in {r[1] or "" for r in EDGES}:
+            assert sum((t or "") == text for _, t in kept) in (0, sum((r[1] or "") == text for r in EDGES))
+        assert [r.text for r in got if r.doc_id == 6] in ([], ["long " * 200_000])
+    elif k in (1, 3):
         assert ids == sorted(str(r[0]) for r in EDGES)
     elif k == 2:
         assert ids == sorted(["1", "None", "None", "4", "4", "6", "7"])
     elif k == 4:
-        assert len(got) <= len(EDGES) and all(r.taken == r.size * r.copies for r in got)
+        sizes = {}
+        for _, text, _, source, _ in EDGES:
+            sizes[source] = sizes.get(source, 0) + len(brute.WORD.findall(text or ""))
+        want = brute.targets(sizes, 1.5, (5.0, 2.0, 1.0), 2.0)
+        assert all(r.taken == r.size * r.copies and 1 <= r.copies <= 2 and r.target == pytest.approx(want[r.source]) for r in got)
+        assert {(r.doc_id, r.text) for r in got} <= {(r[0], r[1]) for r in EDGES}
+        # all rows with words of sources that reach twice their size are taken twice
+        full = {s for s in sizes if want[s] == 2 * sizes[s]}
+        assert full and all(r.copies == 2 for r in got if r.source in full)
+        assert {(d, t) for d, t, _, s, _ in EDGES if s in full and (t or "").split()} <= {(r.doc_id, r.text) for r in got}
     assert stage(spark, docs.limit(0), SF).collect() == []
 
 
