@@ -52,11 +52,13 @@ def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix: documents that are taken, with their size in words, their source's target, copies and words taken.
 
-    Rows that share an id, or have none, get the same number of copies, the largest that any of them was drawn for.
+    Rows that agree in id, source and text get the same number of copies, the largest that any of them was drawn for; other rows
+    that share an id, or have none, are drawn on their own.
     """
-    taken = mixing.mix(docs).groupBy(F.col("doc_id").alias("taken_id")).agg(F.max("target").alias("target"), F.max("copies").alias("copies")).where("copies > 0")
-    rows = docs.select(COLUMNS).join(taken, F.col("doc_id").eqNullSafe(F.col("taken_id"))).withColumn("size", mixing.words("text"))
-    return rows.select(*COLUMNS, "size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
+    drawn = mixing.mix(docs).groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("text_hash").alias("_hash"))
+    taken = written(drawn.agg(F.max("target").alias("target"), F.max("copies").alias("copies"), F.max("size").alias("size")).where("copies > 0"), "taken")
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.xxhash64("text") == F.col("_hash"))
+    return docs.select(COLUMNS).join(taken, same).select(*COLUMNS, "size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 STAGES = [
