@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from rivulet.errors import ConfigError, QueryError
+from rivulet.errors import ConfigError, ProcessError, QueryError
 from rivulet.operators.numbering import in_ranges, numbered, with_offsets
+from rivulet.packaging import ship_package
 
 
 def tumbling(df: DataFrame, time: str, interval: str) -> DataFrame:
@@ -78,6 +82,27 @@ def over_groups(df: DataFrame, aggregate: str, name: str, partition: list[str],
     return ranked.withColumn(name, F.expr(aggregate).over(frame)).drop("_g")
 
 
+def over_partitions(df: DataFrame, function: Callable[..., pd.Series], name: str, returns: str, columns: list[str], partition: list[str], order: list[str]) -> DataFrame:
+    """df with `name`: function(series, ...) -> series of as many values, called on each partition's rows in order (nulls last).
+
+    For window functions that need a whole partition at once; a partition is in one worker's memory. What aggregates over frames
+    can say goes through functions.python.aggregate instead.
+    """
+    if not partition or not order:
+        raise ConfigError("a function over partitions needs columns to part by and to order by")
+    ship_package(df.sparkSession)
+    kind = T.StructType([*df.schema.fields, T.StructField(name, T._parse_datatype_string(returns))])
+
+    def apply(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(order, kind="stable").reset_index(drop=True)
+        values = function(*(rows[c] for c in columns))
+        if len(values) != len(rows):
+            raise ProcessError(f"{name}: {len(values)} values for {len(rows)} rows")
+        return rows.assign(**{name: values})
+
+    return df.groupBy(*partition).applyInPandas(apply, kind)
+
+
 def seconds(interval: str) -> float:
     """Length of an interval such as `5 minutes`, `1s` or `500ms`."""
     m = re.fullmatch(r"\s*(\d+(?:\.\d+)?)\s*([A-Za-z]+)\s*", interval)

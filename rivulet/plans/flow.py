@@ -173,6 +173,13 @@ def udf_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return processors.sql("SELECT p_partkey, round(width(p_retailprice) OVER (PARTITION BY p_brand), 4) AS spread FROM flow")(load(spark, sf_dir, "part"))
 
 
+@frame("udf_window_rows", "SELECT event_id, round(max(value) OVER (PARTITION BY user_id ORDER BY event_id), 6) AS most FROM events")
+def udf_window_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's function of all rows of a partition."""
+    rows = events(spark, sf_dir).select("event_id", "user_id", "value")
+    return windows.over_partitions(rows, lambda v: v.cummax(), "most", "double", ["value"], ["user_id"], ["event_id"]).select("event_id", F.round("most", 6).alias("most"))
+
+
 PROTO = 'syntax = "proto3"; package demo; message Event { int64 event_id = 1; double value = 2; string event_type = 3; }'
 
 

@@ -17,6 +17,7 @@ from rivulet.errors import ConfigError, ProcessError, Unavailable
 from rivulet.packaging import ship_package
 from rivulet.plans.dialect import expression
 from rivulet.schema import VALUE
+from rivulet.sources import jdbc
 
 Writer = Callable[[DataFrame], None]
 OUTPUTS: dict[str, Callable[[dict], Writer]] = {}
@@ -82,14 +83,17 @@ SQL_TYPES = (T.StringType, T.LongType, T.IntegerType, T.ShortType, T.ByteType, T
 
 @sink("sql")
 def sql(config: dict) -> Writer:
-    """Appends rows to a table by JDBC; columns of other than text, number and boolean type are an error."""
-    if not config.get("url") or not config.get("table_name"):
+    """Appends rows to a table by JDBC; columns of other than text, number and boolean type are an error. The address is `url`, or `uri`
+    of output_type."""
+    url = config.get("url") or (config.get("output_type") or {}).get("uri")
+    if not url or not config.get("table_name"):
         raise ConfigError("a sql output needs url and table_name")
+    url, who = jdbc.address(url)
 
     def write(df: DataFrame) -> None:
         if bad := [f.name for f in df.schema.fields if not isinstance(f.dataType, SQL_TYPES)]:
             raise ProcessError(f"unsupported column types: {', '.join(bad)}")
-        df.write.jdbc(config["url"], config["table_name"], mode="append", properties={"batchsize": "1000"} | config.get("properties", {}))
+        df.write.jdbc(url, config["table_name"], mode="append", properties={"batchsize": "1000"} | who | config.get("properties", {}))
 
     return write
 

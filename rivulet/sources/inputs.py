@@ -21,7 +21,7 @@ from rivulet.packaging import ship_package
 from rivulet.plans.dialect import query
 from rivulet.schema import META, RAW, VALUE, with_meta
 from rivulet.session import shared_folder
-from rivulet.sources import stores
+from rivulet.sources import jdbc, stores
 from rivulet.sources.receiver import Receiver
 
 INPUTS: dict[str, Callable[..., DataFrame]] = {}
@@ -124,6 +124,8 @@ def file(spark: SparkSession, config: dict, streaming: bool = False) -> DataFram
     else:
         options = {"header": "true", "inferSchema": "true"} if kind == "csv" else {}
         reader = spark.readStream if streaming else spark.read
+        if streaming and config.get("max_files_per_batch"):
+            options["maxFilesPerTrigger"] = str(config["max_files_per_batch"])
         schema = config.get("schema")
         if schema:
             reader, options = reader.schema(schema), {k: v for k, v in options.items() if k != "inferSchema"}
@@ -144,14 +146,21 @@ def file(spark: SparkSession, config: dict, streaming: bool = False) -> DataFram
 
 @source("sql")
 def sql(spark: SparkSession, config: dict, streaming: bool = False) -> DataFrame:
-    """A SELECT that a database runs, read by JDBC; partition_column with bounds and num_partitions reads it in parallel."""
+    """A SELECT that a database runs, read by JDBC; partition_column with bounds and num_partitions reads it in parallel.
+
+    input_type: a database's address (`uri`), or files (`type` is a format, `path`, `object_store`), over which the SELECT runs as
+    over `flow`. tables: several of them by name, see joined_tables.
+    """
     kind = config.get("input_type", {})
-    url = config.get("url") or kind.get("uri")
     if config.get("tables"):
         return joined_tables(spark, config)
+    if kind.get("type") in FORMATS and kind.get("path") and config.get("select_sql"):
+        return file(spark, {"format": kind["type"], "path": kind["path"], "store": kind.get("object_store"), "query": {"query": config["select_sql"], "table": kind.get("table_name", "flow")}}, streaming)
+    url = config.get("url") or kind.get("uri")
     if not url or not config.get("select_sql"):
         raise ConfigError("a sql input needs url and select_sql")
-    options = {"url": url, "query": config["select_sql"], "fetchsize": str(config.get("fetchsize", 10_000))} | config.get("options", {})
+    url, who = jdbc.address(url)
+    options = {"url": url, "query": config["select_sql"], "fetchsize": str(config.get("fetchsize", 10_000))} | who | config.get("options", {})
     if "partition_column" in config:
         options.pop("query")
         options |= {"dbtable": f"({config['select_sql']}) flow", "partitionColumn": config["partition_column"], "lowerBound": str(config["lower_bound"]), "upperBound": str(config["upper_bound"]), "numPartitions": str(config["num_partitions"])}
@@ -170,7 +179,8 @@ def joined_tables(spark: SparkSession, config: dict) -> DataFrame:
         elif not own.get("url") or not (own.get("table") or own.get("select_sql")):
             raise ConfigError(f"table {name} needs url, and table or select_sql")
         elif own.get("table"):
-            named[name] = spark.read.format("jdbc").options(**{"url": own["url"], "dbtable": own["table"]} | own.get("options", {})).load()
+            url, who = jdbc.address(own["url"])
+            named[name] = spark.read.format("jdbc").options(**{"url": url, "dbtable": own["table"]} | who | own.get("options", {})).load()
         else:
             named[name] = sql(spark, own)
     return query(spark, config["select_sql"], **named)
@@ -235,6 +245,7 @@ def kafka_columns(df: DataFrame) -> DataFrame:
 def kafka(spark: SparkSession, config: dict, streaming: bool = True) -> DataFrame:
     options = {
         "kafka.bootstrap.servers": ",".join(config["brokers"]), "subscribe": ",".join(config["topics"]), "kafka.group.id": config.get("consumer_group", ""), "startingOffsets": "latest" if config.get("start_from_latest") else "earliest",
+        "maxOffsetsPerTrigger": str(config.get("max_rows_per_batch", "")),
     }
     try:
         reader = spark.readStream if streaming else spark.read

@@ -21,10 +21,10 @@ SPAN = {"type": "string", "description": "a length of time such as 500ms, 10s or
 #: Components by kind and name: what each is for, its keys, and which of them it needs.
 COMPONENTS: dict[str, dict[str, tuple[str, dict[str, dict], tuple[str, ...]]]] = {
     "input": {
-        "file": ("files of one format", {"path": TEXT, "format": TEXT, "input_type": ANY, "query": ANY, "schema": TEXT, "options": TABLE, "store": TABLE}, ("path",)),
+        "file": ("files of one format", {"path": TEXT, "format": TEXT, "input_type": ANY, "query": ANY, "schema": TEXT, "options": TABLE, "store": TABLE, "max_files_per_batch": NUMBER}, ("path",)),
         "generate": ("one payload again and again", {"context": TEXT, "interval": SPAN, "batch_size": NUMBER, "count": NUMBER}, ("context",)),
         "http": ("payloads of requests, which a receiver lands as files", {"landing": TEXT, "address": TEXT, "path": TEXT, "method": TEXT, "interval": SPAN, "cors_enabled": FLAG, "auth": TABLE}, ()),
-        "kafka": ("topics of Kafka", {"brokers": LIST, "topics": LIST, "consumer_group": TEXT, "client_id": TEXT, "start_from_latest": FLAG, "fetch_min_bytes": NUMBER, "fetch_max_bytes": NUMBER, "fetch_max_partition_bytes": NUMBER, "fetch_wait_max_ms": NUMBER}, ("brokers", "topics")),
+        "kafka": ("topics of Kafka", {"brokers": LIST, "topics": LIST, "consumer_group": TEXT, "client_id": TEXT, "start_from_latest": FLAG, "fetch_min_bytes": NUMBER, "fetch_max_bytes": NUMBER, "fetch_max_partition_bytes": NUMBER, "fetch_wait_max_ms": NUMBER, "max_rows_per_batch": NUMBER}, ("brokers", "topics")),
         "memory": ("a fixed list of messages", {"messages": LIST}, ()),
         "modbus": ("registers of Modbus devices", {"addr": TEXT, "slave_id": NUMBER, "points": LIST, "interval": SPAN}, ("addr", "points")),
         "mqtt": ("topics of an MQTT broker", {"host": TEXT, "port": NUMBER, "topics": LIST, "client_id": TEXT, "username": TEXT, "password": TEXT, "qos": NUMBER, "clean_session": FLAG, "keep_alive": NUMBER}, ("host", "port", "topics")),
@@ -47,7 +47,7 @@ COMPONENTS: dict[str, dict[str, tuple[str, dict[str, dict], tuple[str, ...]]]] =
         "nats": ("subjects of NATS", {"url": TEXT, "mode": ANY, "auth": TABLE, "value_field": TEXT}, ("url",)),
         "pulsar": ("a topic of Pulsar", {"service_url": TEXT, "topic": ANY, "auth": TABLE, "value_field": TEXT}, ("service_url", "topic")),
         "redis": ("channels or lists of Redis", {"mode": ANY, "redis_type": ANY, "value_field": TEXT}, ("mode",)),
-        "sql": ("a table of a database", {"url": TEXT, "table_name": TEXT, "properties": TABLE}, ("url", "table_name")),
+        "sql": ("a table of a database", {"url": TEXT, "output_type": TABLE, "table_name": TEXT, "properties": TABLE}, ("table_name",)),
         "stdout": ("the driver's output", {"append_newline": FLAG, "pretty": FLAG}, ()),
     },
     "processor": {

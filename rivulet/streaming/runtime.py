@@ -50,16 +50,20 @@ class Stream:
             if key not in self.config:
                 raise ConfigError(f"stream {self.id} has no {key}")
         buffers.check(self.buffer())
-        self.process = processors.chain(*[processor(p, self.temporaries) for p in self.config.get("pipeline", {}).get("processors", [])])
+        self.process = processors.chain(*[processor(p, self.temporaries) for p in self.steps()])
         self.write = outputs.build(self.config["output"])
         error = self.config.get("error_output")
         self.write_error = outputs.build(error) if error else None
 
+    def steps(self) -> list[dict]:
+        """The processors' configurations."""
+        return (self.config.get("pipeline") or {}).get("processors") or []
+
     def buffer(self) -> dict:
         """The stream's buffer; a batch processor is one too, where there is no other."""
-        if "buffer" in self.config:
+        if self.config.get("buffer"):
             return self.config["buffer"]
-        for p in self.config.get("pipeline", {}).get("processors", []):
+        for p in self.steps():
             if p.get("type") == "batch":
                 count, wait = p.get("count") or p.get("size"), f"{p['timeout_ms']}ms" if p.get("timeout_ms") else p.get("interval")
                 return {"type": "memory", "capacity": count, "timeout": wait} if count or wait else {}

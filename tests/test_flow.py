@@ -24,7 +24,7 @@ from rivulet.operators.lookup import TableProvider, enrich
 from rivulet.operators.vrl import vrl
 from rivulet.schema import META, RAW, VALUE, keep_columns, payloads, spark_type, with_meta
 from rivulet.sinks import outputs
-from rivulet.sources import inputs, stores
+from rivulet.sources import inputs, jdbc, stores
 from rivulet.sources.receiver import Receiver
 from rivulet.__main__ import main as command
 from rivulet.streaming import buffers, runtime
@@ -233,6 +233,19 @@ def test_jdbc(spark, tmp_path):
         outputs.build({"type": "sql", "url": url, "table_name": "t"})(spark.createDataFrame([([1],)], "a array<int>"))
 
 
+def test_database_addresses(spark, tmp_path):
+    assert jdbc.address("mysql://u:p%40w@h:3306/db?x=1") == ("jdbc:mysql://h:3306/db?x=1", {"user": "u", "password": "p@w"}) and jdbc.address("postgres://h/db") == ("jdbc:postgresql://h/db", {})
+    assert jdbc.address("sqlite:///a/b.db") == ("jdbc:sqlite:/a/b.db", {}) and jdbc.address("jdbc:derby:x") == ("jdbc:derby:x", {})
+    for bad in ("oracle://u:secret@h/db", "h/db", "mysql:///db"):
+        with pytest.raises(ConfigError) as e:
+            jdbc.address(bad)
+        assert "secret" not in str(e.value)
+    outputs.build({"type": "sql", "output_type": {"type": "mysql", "uri": "mysql://u:p@h/db"}, "table_name": "t"})
+    (tmp_path / "d.json").write_text('{"value": 1}\n{"value": 5}\n')
+    got = inputs.build(spark, {"type": "sql", "input_type": {"type": "json", "path": str(tmp_path / "d.json")}, "select_sql": "SELECT *, value + 10 AS more FROM flow WHERE value > 2"})
+    assert rows(got) == [(5, 15)]
+
+
 def test_tables_of_several_databases(spark, tmp_path):
     names, options = {}, {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
     for k, name in enumerate(("left", "right")):
@@ -540,6 +553,16 @@ def test_shared_folder_is_needed_on_a_cluster(spark):
             shared_folder(SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master=master)))
 
 
+def test_functions_over_partitions(spark):
+    df = spark.createDataFrame([("a", 3, 1), ("a", 1, 5), ("b", 2, 7), ("a", 2, 2)], "k string, o int, v int")
+    got = windows.over_partitions(df, lambda v, o: v.cumsum() - o, "s", "bigint", ["v", "o"], ["k"], ["o"])
+    assert rows(got.select("k", "o", "s")) == [("a", 1, 4), ("a", 2, 5), ("a", 3, 5), ("b", 2, 5)]
+    with pytest.raises(Exception, match="1 values for 3 rows"):
+        windows.over_partitions(df, lambda v: v[:1], "s", "int", ["v"], ["k"], ["o"]).collect()
+    with pytest.raises(ConfigError):
+        windows.over_partitions(df, lambda v: v, "s", "int", ["v"], [], ["o"])
+
+
 def test_window_join_needs_both_inputs(spark):
     a = spark.createDataFrame([(at(1), 1, 10), (at(31), 1, 11)], "ts timestamp, id int, v int")
     b = spark.createDataFrame([(at(2), 1, 20)], "ts timestamp, id int, v int")
@@ -647,7 +670,7 @@ def test_components_have_schemas():
 
 def test_validation(tmp_path):
     good = config(tmp_path, [])["streams"][0]
-    assert configurations.validate({"streams": [good]}) == []
+    assert configurations.validate({"streams": [good]}) == [] and configurations.validate({"streams": [good | {"pipeline": {"processors": None}}]}) == []
     assert configurations.validate({"streams": [good | {"input": {"type": "mqtt", "host": "h", "port": 1, "topics": ["t"]}, "output": {"type": "mongodb", "uri": "u", "database": "d", "collection": "c"}}]}) == []
     issues = {i.path for i in configurations.validate({"streams": [
         {"input": {"type": "file"}}, good | {"output": {"type": "nope"}}, good | {"buffer": {"type": "tumbling_window", "interval": "soon"}}, good | {"pipeline": {"processors": [{"type": "sql", "query": "DROP TABLE x"}]}}, 7,
@@ -779,7 +802,7 @@ def test_stream_with_buffer(spark, tmp_path):
     folder.mkdir()
     for k in range(3):
         (folder / f"{k}.json").write_text(json.dumps({"id": k}) + "\n")
-    one = {"id": "buffered", "input": {"type": "file", "format": "json", "path": str(folder), "schema": "id bigint", "options": {"maxFilesPerTrigger": "1"}}, "buffer": {"type": "session_window", "gap": "1h"}, "pipeline": {"processors": [{"type": "sql", "query": "SELECT count(*) AS n, sum(id) AS s FROM flow"}]}, "output": {"type": "memory", "rows": found}}
+    one = {"id": "buffered", "input": {"type": "file", "format": "json", "path": str(folder), "schema": "id bigint", "max_files_per_batch": 1}, "buffer": {"type": "session_window", "gap": "1h"}, "pipeline": {"processors": [{"type": "sql", "query": "SELECT count(*) AS n, sum(id) AS s FROM flow"}]}, "output": {"type": "memory", "rows": found}}
     stream = runtime.streams({"streams": [one]})[0]
     assert stream.state() == "created"
     stream.start(spark, str(tmp_path / "cp"), once=True).awaitTermination(60)
@@ -801,7 +824,7 @@ def test_batch_processor_collects_micro_batches(spark, tmp_path):
     folder.mkdir()
     for k in range(5):
         (folder / f"{k}.json").write_text(json.dumps({"id": k}) + "\n")
-    one = {"id": "batched", "input": {"type": "file", "format": "json", "path": str(folder), "schema": "id bigint", "options": {"maxFilesPerTrigger": "1"}}, "pipeline": {"processors": [{"type": "batch", "count": 2, "timeout_ms": 3600000}, {"type": "sql", "query": "SELECT count(*) AS n FROM flow"}]}, "output": {"type": "memory", "rows": found}}
+    one = {"id": "batched", "input": {"type": "file", "format": "json", "path": str(folder), "schema": "id bigint", "max_files_per_batch": 1}, "pipeline": {"processors": [{"type": "batch", "count": 2, "timeout_ms": 3600000}, {"type": "sql", "query": "SELECT count(*) AS n FROM flow"}]}, "output": {"type": "memory", "rows": found}}
     runtime.streams({"streams": [one]})[0].start(spark, str(tmp_path / "cp"), once=True).awaitTermination(60)
     assert [r.n for r in found] == [2, 2, 1]
 
