@@ -316,7 +316,7 @@ def test_http_input_with_an_address(spark, tmp_path):
     assert ask("OPTIONS").headers["Access-Control-Allow-Origin"] == "*" and ask("POST", b'{"a": 5}').status == 200
     for _ in range(100):
         time.sleep(0.1)
-        if found:
+        if found and stream.progress():
             break
     assert stream.progress()["rows"] >= 0
     stream.stop()
