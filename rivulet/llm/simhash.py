@@ -32,8 +32,8 @@ SMALL = 48
 SPLIT = 1 << 20
 #: One node in so many tells which buckets those are.
 SEEN = 64
-#: Edges of a file between two rounds of the components.
-EDGES = 500_000
+#: Edges of a file between two rounds of the components, and up to which one task joins them in memory (4 MB).
+EDGES, FEW = 500_000, 250_000
 #: 64-bit lanes of the fingerprints that are cut into blocks; random fingerprints that may share a bucket; share of the pairs at
 #: the similarity that is to meet in a block; and the share that may be lost to the Hamming distance.
 LANES, RANDOM, RECALL, LOST = 16, 64, 0.99, 0.001
@@ -232,18 +232,22 @@ def links(rows: DataFrame, n: int, bits: int) -> DataFrame:
         u, v = linked(keys, nodes, nodes.view(np.uint64)[:, None], bits)
         yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
-    return dealt(pieces(rows, every=SEEN) if n > SPLIT else rows).select("key", "node").mapInArrow(runs(compare), "u long, v long").distinct()
+    return dealt(pieces(rows, sample=rows.where(seen()), every=SEEN) if n > SPLIT else rows).select("key", "node").mapInArrow(runs(compare), "u long, v long").distinct()
 
 
-def pieces(rows: DataFrame, split: int | None = None, every: int = 1) -> DataFrame:
+def seen() -> Column:
+    """One node in SEEN."""
+    return F.pmod(F.xxhash64(F.lit(SEED), "node"), F.lit(SEEN)) == 0
+
+
+def pieces(rows: DataFrame, split: int | None = None, sample: DataFrame | None = None, every: int = 1) -> DataFrame:
     """rows with the buckets of over `split` (SPLIT) rows in pieces: every two pieces of a bucket, and each with itself, are a bucket of
     their own, so that all pairs still meet and no task gets more than two pieces of a bucket.
 
-    every: bucket sizes are estimated from one node in so many. Pairs meet whatever the estimate says.
+    sample: the rows of one node in `every`, from which bucket sizes are estimated. Pairs meet whatever the estimate says.
     """
     split = split or SPLIT
-    seen = rows.where(F.pmod(F.xxhash64(F.lit(SEED), "node"), F.lit(every)) == 0) if every > 1 else rows
-    hot = seen.groupBy("key").agg((F.count(F.lit(1)) * every).alias("n")).where(F.col("n") > split)
+    hot = (rows if sample is None else sample).groupBy("key").agg((F.count(F.lit(1)) * every).alias("n")).where(F.col("n") > split)
     hot = written(hot.select("key", F.ceil(F.col("n") / split).cast("int").alias("parts")), "hot-buckets")
     rows = rows.join(hot, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     rows = rows.withColumn("piece", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
@@ -261,14 +265,27 @@ def smallest_of(rows: DataFrame, key: str, value: str, name: str) -> DataFrame:
     return grouped.select(F.bitwise_not("_complement").alias(key), name)
 
 
+def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Components of all edges of a task."""
+    parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+    if parts:
+        u, v = (np.concatenate(x) for x in zip(*parts))
+        nodes, place = np.unique(np.concatenate([u, v]), return_inverse=True)
+        labels = merge(np.arange(len(nodes)), place[: len(u)], place[len(u) :])
+        at = np.flatnonzero(labels != np.arange(len(nodes)))
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[at]), pa.array(nodes[labels[at]])], names=["u", "root"])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """u, root: the smallest node of u's component, for every node that isn't the smallest itself.
 
     Alternating stars: in each round every node's larger neighbours, then its smaller ones, are tied to the smallest
     neighbour, until nothing moves. Rounds are joins and minima that combine before they shuffle; no node's neighbours are
-    gathered, and each round is written to the shared folder.
+    gathered, and each round is written to the shared folder. At most FEW edges are joined by one task, with the same result.
     """
     now = written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    if 0 < now.count() <= FEW:
+        return written(now.repartition(1).mapInArrow(joined, "u long, root long"), "roots")
     seen = None
     while True:
         # two sums of whole hashes: equal ones are equal edges
@@ -452,18 +469,21 @@ def has_alike(keys: np.ndarray, a: np.ndarray, b: np.ndarray, most: int) -> np.n
     return found
 
 
-def shared_blocks(rows: DataFrame, n: int, most: int) -> DataFrame:
-    """key, node: the rows that are alike another one of their bucket.
+def shared_blocks(prints: DataFrame, n: int, plan: BlockPlan, similarity: float) -> DataFrame:
+    """key, node: the rows of block_rows that are alike another one of their bucket.
 
     n: nodes; no bucket can have more, so large buckets are only looked for where n is over SPLIT.
     """
+    rows = block_rows(prints, plan, similarity)
 
     def compare(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         keys, nodes, a, b = rows
-        at = np.flatnonzero(has_alike(keys, a.view(np.uint64), b.view(np.uint64), most))
+        at = np.flatnonzero(has_alike(keys, a.view(np.uint64), b.view(np.uint64), plan.carried))
         yield pa.RecordBatch.from_arrays([pa.array(keys[at]), pa.array(nodes[at])], names=["key", "node"])
 
-    return dealt(pieces(rows, every=SEEN) if n > SPLIT else rows).select("key", "node", "a", "b").mapInArrow(runs(compare), "key long, node long")
+    if n > SPLIT:
+        rows = pieces(rows, sample=block_rows(prints.where(seen()), plan, similarity), every=SEEN)
+    return dealt(rows).select("key", "node", "a", "b").mapInArrow(runs(compare), "key long, node long")
 
 
 def lanes_in(prints: np.ndarray) -> np.ndarray:
@@ -601,7 +621,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = distinct.count()
     plan = plan_blocks(nodes, similarity)
     own = prints.where("n > 0").select(F.col("row").alias("node"), "n", "print").join(distinct.select("node"), "node", "left_semi")
-    shared = written(shared_blocks(block_rows(own, plan, similarity), nodes, plan.carried), "shared")
+    shared = written(shared_blocks(own, nodes, plan, similarity), "shared")
     cuts = shared.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / PAIRED).alias("cuts")).where("cuts > 1")
     buckets = written(shared.join(own, "node").join(cuts, "key", "left").withColumn("cuts", F.coalesce("cuts", F.lit(1))), "buckets")
     stars = written(nearest(buckets.withColumn("root", F.col("node")), 0, similarity, plan.most), "stars")
