@@ -15,15 +15,16 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: The kinds in their order, their patterns and least lengths (assign: of its second group).
-ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+#: The kinds in their order, their patterns and least lengths (assign: of its second group). Tests of a first character
+#: and of the one before a run keep other positions cheap; they change no match.
+ASSIGN = r"""(?=[pPsStTaA])(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"
-HEX = r"[0-9a-f]{24,}"
+HEX = r"[0-9a-f]{24,}+"
 KINDS = ("assign", "access", "hex", "markov")
 LEAST_VALUE = 6
 #: Characters of a candidate token, in the order of the models' tables, and a candidate's least length.
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
-CANDIDATE = r"[A-Za-z0-9+/_=-]{16,}"
+CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}+"
 #: Prior share of random strings among parts of tokens: a part counts as random if its log-likelihood ratio is over the prior odds.
 PRIOR = 1e-10
 #: Counts that a character's own rate weighs in the rate of a transition.
@@ -41,7 +42,7 @@ WORDS = (
 )
 
 
-def labelled_samples(spark: SparkSession, rows: int = 2000) -> DataFrame:
+def labelled_samples(spark: SparkSession, rows: int = 1000) -> DataFrame:
     """token, random: strings derived from SHA-512 in base 64, base 64 without signs, upper case and hex; and identifiers of two to
     four of WORDS in camel case, snake case, kebab case, as paths and run together, and runs of one character. `rows` of each form."""
     ids = spark.range(rows).withColumn("h", F.sha2(F.concat(F.lit("sample"), F.col("id").cast("string")), 512))
@@ -68,11 +69,10 @@ def corpus_samples(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).join(F.broadcast(chosen), "id", "left_semi").select("t")  # `rows` ids at most
     values = F.concat(*[F.regexp_extract_all("t", F.lit(p), F.lit(g)) for p, g in ((ASSIGN, 1), (ACCESS, 0), (HEX, 0))])
     rest = F.regexp_replace(F.regexp_replace(F.regexp_replace("t", ASSIGN, " "), ACCESS, " "), HEX, " ")
-    found = [
-        texts.select(F.explode(F.filter(values, lambda x: F.length(x) >= 16)).alias("token"), F.lit(True).alias("random")),
-        texts.select(F.explode(F.array_distinct(F.regexp_extract_all(rest, F.lit(f"[A-Za-z0-9+/_=-]{{{SAMPLE_LENGTH},}}"), F.lit(0)))).alias("token"), F.lit(False).alias("random")),
-    ]
-    return found[0].union(found[1]).distinct()
+    plain = F.array_distinct(F.regexp_extract_all(rest, F.lit(f"[A-Za-z0-9+/_=-]{{{SAMPLE_LENGTH},}}"), F.lit(0)))
+    keys = F.transform(F.filter(values, lambda x: F.length(x) >= 16), lambda x: F.struct(x.alias("token"), F.lit(True).alias("random")))
+    names = F.transform(plain, lambda x: F.struct(x.alias("token"), F.lit(False).alias("random")))
+    return texts.select(F.explode(F.concat(keys, names)).alias("x")).select("x.token", "x.random").distinct()
 
 
 def numbered(token: Column) -> Column:
@@ -88,7 +88,8 @@ def train(samples: DataFrame, token_col: str = "token", label_col: str = "random
     """
     n = len(ALPHABET)
     places = samples.where(F.col(token_col).isNotNull() & F.col(label_col).isNotNull() & (F.length(token_col) > 1)).select(F.col(label_col).cast("boolean").alias("r"), numbered(F.col(token_col)).alias("p"))
-    pairs = places.select("r", F.explode(F.transform(F.sequence(F.lit(1), F.size("p") - 1), lambda i: (F.element_at("p", i) - 1) * n + F.element_at("p", i + 1) - 1)).alias("t"), "p").where(~F.array_contains("p", 0))
+    steps = F.zip_with(F.slice("p", F.lit(1), F.size("p") - 1), F.slice("p", F.lit(2), F.size("p") - 1), lambda a, b: (a - 1) * n + b - 1)
+    pairs = places.where(~F.array_contains("p", 0)).select("r", F.explode(steps).alias("t"))
     counts: dict[bool, list[float]] = {True: [0.0] * (n * n), False: [0.0] * (n * n)}
     for row in pairs.groupBy("r", "t").agg(F.count(F.lit(1)).alias("n")).collect():  # 2 x 67 x 67 rows at most
         counts[row["r"]][row["t"]] += row["n"]
@@ -137,21 +138,23 @@ def with_matches(df: DataFrame, text: str, pattern: str, name: str, kind: int, g
     One step a projection: what a step uses twice isn't evaluated twice.
     """
     t, hit = F.col(text), F.col(text).rlike(pattern)
-    none, size, gap, value, step = F.array().cast("array<int>"), f"{name}_size", f"{name}_gap", f"{name}_value", f"{name}_step"
+    none, whole, size, gap, value, step = F.array().cast("array<int>"), *(f"{name}_{x}" for x in ("whole", "size", "gap", "value", "step"))
     strings = F.array().cast("array<string>")
     df = df.withColumns({
-        value: F.when(hit, F.regexp_extract_all(t, F.lit(pattern), F.lit(group))).otherwise(strings),
-        size: F.when(hit, F.transform(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), lambda x: F.length(x))).otherwise(none),
+        whole: F.when(hit, F.regexp_extract_all(t, F.lit(pattern), F.lit(0))).otherwise(strings),
         gap: F.when(hit, F.transform(F.split(t, pattern, -1), lambda x: F.length(x))).otherwise(none),
+        **({value: F.when(hit, F.regexp_extract_all(t, F.lit(pattern), F.lit(group))).otherwise(strings)} if group else {}),
     })
+    df = df.withColumn(size, F.transform(whole, lambda x: F.length(x)))
     df = df.withColumn(gap, F.slice(gap, F.lit(1), F.size(size)))
+    value = value if group else whole
     df = df.withColumn(step, F.zip_with(gap, size, lambda a, b: a + b))
     df = df.withColumn(step, running(F.col(step)))
     spans = F.transform(
         F.arrays_zip(step, gap, size, value),
         lambda r: F.struct((r[step] + r[gap]).alias("start"), F.lit(kind).alias("kind"), (r[step] + r[gap] + r[size]).alias("end"), r[value].alias("value")),
     )
-    return df.withColumn(name, F.when(F.size(size) > 0, spans).otherwise(F.array().cast(SPAN))).drop(size, gap, value, step)
+    return df.withColumn(name, F.when(F.size(size) > 0, spans).otherwise(F.array().cast(SPAN))).drop(size, gap, whole, value, step)
 
 
 def listed(spans: Column) -> Column:
