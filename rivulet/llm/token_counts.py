@@ -106,6 +106,24 @@ def content(column: str) -> "F.Column":
     return F.trim(F.coalesce(F.col(column), F.lit("")), F.lit(" \t\n\r\x0b\x0c"))
 
 
+def chosen(texts: DataFrame, judged: DataFrame, distinct: int, missing: int, alone: int) -> DataFrame:
+    """digest, t: a text of each missing digest. texts: digest, mark, t; judged: digest, mark, rows, missing, h, of which `alone` are
+    missing and of one row.
+
+    A Bloom filter says which texts need the join with `judged`, and a shuffle: those that may be missing, if they are few; else
+    those that may be known or of several rows. Where both are too many for a filter, all texts are shuffled.
+    """
+    misses, h = judged.where("missing"), F.xxhash64("digest")
+    joined = lambda some: some.join(misses, ["digest", "mark"], "left_semi").select("digest", "t")
+    few = maybe_in(misses, "h", missing) if 2 * missing < distinct else None
+    if few is not None:
+        return joined(texts.where(few(h)))
+    others = maybe_in(judged.where("NOT missing OR rows > 1"), "h", distinct - alone)
+    if others is not None:
+        return texts.where(~others(h)).select("digest", "t").union(joined(texts.where(others(h))))
+    return joined(texts)
+
+
 def read_cache(spark: SparkSession, path: str) -> DataFrame:
     """The cache's rows; empty if nothing is there yet."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -122,8 +140,8 @@ def token_counts(docs: DataFrame, tokenizer: str, cache: str | None = None, id_c
     repeat an id and a text may be encoded by several tasks); all its counts are equal. Special strings inside texts are handled as the
     tokenizer's default; nothing is truncated or padded. Null texts are empty (0 bytes). Rows with null or repeated ids
     are counted like any other. by_word: the tokenizer drops white space and splits there, so that words that recur are encoded
-    once; None: as its file says. Otherwise digests and encodings are of whole texts. Where less than half of the digests are
-    misses, a filter of theirs keeps the other texts out of the shuffle; without misses no text is read a second time.
+    once; None: as its file says. Otherwise digests and encodings are of whole texts. Filters keep most
+    texts out of shuffles (chosen); without misses no text is read a second time.
     """
     spark = docs.sparkSession
     limit_batches(spark, 4 << 20)
@@ -134,15 +152,14 @@ def token_counts(docs: DataFrame, tokenizer: str, cache: str | None = None, id_c
     mark = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
     ids = written(docs.select(F.col(id_col).alias("id"), F.unhex(F.sha2(norm.cast("binary"), 256)).alias("digest"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes")), "digests")
     known = read_cache(spark, cache).where(F.col("version") == version).select("digest", "n_tokens").dropDuplicates(["digest"])
-    found = ids.groupBy("digest").agg(F.min(F.coalesce(F.col("id").cast("string"), F.lit(""))).alias("mark"))
-    misses = written(found.join(known, "digest", "left_anti").withColumn("h", F.xxhash64("digest")), "misses")
-    missing, distinct = misses.count(), found.count()
+    found = ids.groupBy("digest").agg(F.min(F.coalesce(F.col("id").cast("string"), F.lit(""))).alias("mark"), F.count(F.lit(1)).alias("rows"))
+    judged = found.join(known.select("digest", F.lit(False).alias("missing")), "digest", "left").withColumn("missing", F.coalesce("missing", F.lit(True))).withColumn("h", F.xxhash64("digest"))
+    judged = written(judged, "judged")
+    once = F.col("missing") & (F.col("rows") == 1)
+    distinct, missing, alone = judged.agg(F.count(F.lit(1)), F.count_if("missing"), F.count_if(once)).first()
     # the text of one document for each missing digest
     texts = docs.select(mark.alias("mark"), norm.alias("t")).withColumn("digest", F.unhex(F.sha2(F.col("t").cast("binary"), 256)))
-    maybe = maybe_in(misses, "h", missing) if 2 * missing < distinct else None
-    if maybe is not None:
-        texts = texts.where(maybe(F.xxhash64("digest")))
-    texts = texts.join(misses, ["digest", "mark"], "left_semi").select("digest", "t")
+    texts = chosen(texts, judged, distinct, missing, alone)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[bytes] = set()
@@ -154,7 +171,7 @@ def token_counts(docs: DataFrame, tokenizer: str, cache: str | None = None, id_c
                 counts += encode_count(tokenizer, todo[k : k + 64], by_word)
             yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array([version] * len(found)), pa.array(counts, pa.int64())], names=["digest", "version", "n_tokens"])
 
-    if missing or not distinct:
+    if missing or not distinct:  # an empty cache has a folder too
         texts.mapInArrow(encode, CACHE).write.mode("append").parquet(cache)
     # written, so that the join has an exchange of its own on either side and Spark can split the partition of a common digest
     counts = written(read_cache(spark, cache).where(F.col("version") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")), "counts")
