@@ -20,7 +20,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rivulet.llm.common import limit_batches, utf8, work_path, written
+from rivulet.llm.common import limit_batches, maybe_in, utf8, work_path, written
 
 #: Payload bytes of a chunk row, compressed bytes read at once, and compressed bytes after which a new archive is begun.
 CHUNK, READ, ROLL = 1 << 20, 1 << 18, 1 << 30
@@ -115,6 +115,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str, url_col: str, pay
     marks = written(rows.select("page", "proof", "bytes"), "warc-marks")
     # written, so that the joins have an exchange of their own on this side and Spark can split a common payload's partition
     keepers = written(keepers_of(marks, least_revisit), "warc-keepers")
+    maybe = maybe_in(keepers.select(F.xxhash64("proof").alias("h")), "h", keepers.count())
     same = [F.col("page").cast("string").alias("page"), "uri", "row", "proof", "bytes", "sha", "keeper", "several"]
     response = F.col("keeper").isNull() | F.col("page").cast("string").eqNullSafe(F.col("keeper"))
 
@@ -151,12 +152,20 @@ def write_archives(pages: DataFrame, folder: str, id_col: str, url_col: str, pay
         if done:
             yield pa.RecordBatch.from_arrays([pa.array([d[c] for d in done]) for c in range(3)], names=["archive", "records", "bytes"])
 
+    def judged(some: DataFrame) -> DataFrame:
+        """With keeper and several. Payloads that a filter of the common ones leaves out don't go through the join."""
+        if maybe is None:
+            return some.join(keepers, ["proof", "bytes"], "left")
+        known = maybe(F.xxhash64("proof"))
+        alone = some.where(~known).withColumns({"keeper": F.lit(None).cast("string"), "several": F.lit(None).cast("boolean")})
+        return some.where(known).join(keepers, ["proof", "bytes"], "left").unionByName(alone)
+
     # a record of one chunk is a row; those of several are chunk rows, which are brought together by record
-    one = rows.where(F.col("bytes") <= chunk_bytes).join(keepers, ["proof", "bytes"], "left")
+    one = judged(rows.where(F.col("bytes") <= chunk_bytes))
     manifest = one.select(*same, F.lit(0).alias("chunk"), F.when(response, F.col("payload")).otherwise(F.lit(b"")).alias("piece")).mapInArrow(write, MANIFEST)
     if (marks.agg(F.max("bytes")).first()[0] or 0) > chunk_bytes:
         long = rows.where(F.col("bytes") > chunk_bytes).withColumn("chunk", F.explode(F.sequence(F.lit(0), ((F.col("bytes") - 1) / chunk_bytes).cast("int"))))
-        long = long.withColumn("payload", F.expr(f"substring(payload, chunk * {chunk_bytes} + 1, {chunk_bytes})")).join(keepers, ["proof", "bytes"], "left")
+        long = judged(long.withColumn("payload", F.expr(f"substring(payload, chunk * {chunk_bytes} + 1, {chunk_bytes})")))
         long = long.where((F.col("chunk") == 0) | response).select(*same, "chunk", F.col("payload").alias("piece"))
         manifest = manifest.union(long.repartition("row", "proof").sortWithinPartitions("row", "proof", "chunk").mapInArrow(write, MANIFEST))
     manifest.write.parquet(f"{folder}/manifest")
