@@ -32,9 +32,11 @@ def sink(name: str) -> Callable[[Callable], Callable]:
 
 
 def build(config: dict) -> Writer:
+    """The output's function of a batch. value_field or body_field: the column that is sent, in place of the payload."""
     if config.get("type") not in OUTPUTS:
         raise ConfigError(f"unknown output {config.get('type')!r}")
-    return OUTPUTS[config["type"]](config)
+    write, own = OUTPUTS[config["type"]](config), config.get("value_field") or config.get("body_field")
+    return (lambda df: write(df.withColumn(VALUE, F.col(own).cast("binary")))) if own else write
 
 
 def dynamic(value: str | dict | None) -> Column | None:

@@ -367,6 +367,8 @@ def test_http_output(spark, server):
     Recorder.fail = 1
     outputs.build({"type": "http", "url": server, "retry_count": 2, "auth": {"type": "basic", "username": "u", "password": "p"}})(raw(spark, "x", "y").coalesce(1))
     assert [b for *_, b in Recorder.seen] == [b"x", b"y"] and Recorder.seen[0][1] == "Basic dTpw" and Recorder.seen[0][2] == "application/json"
+    outputs.build({"type": "http", "url": server, "body_field": "s"})(spark.createDataFrame([("one", 1)], "s string, n int"))
+    assert Recorder.seen[-1][-1] == b"one"
     with pytest.raises(ConfigError):
         outputs.build({"type": "http", "url": server, "method": "BREW"})
 
