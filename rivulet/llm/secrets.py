@@ -53,12 +53,8 @@ def labelled_samples(spark: SparkSession, rows: int = 1000) -> DataFrame:
     word = [words[F.pmod(F.xxhash64(F.lit(k), "id"), F.lit(len(WORDS))).cast("int")] for k in range(4)]
     cap = [F.initcap(w) for w in word]
     plain = [F.concat(word[0], cap[1], cap[2]), F.concat_ws("_", *word[:3]), F.concat_ws("-", *word), F.concat_ws("/", *word), F.concat(*word[:3]), F.upper(F.concat_ws("_", *word[:3])), F.concat(cap[0], cap[1], cap[2], (F.col("id") % 100).cast("string")), F.repeat(F.substring(F.lit(ALPHABET), (F.col("id") % len(ALPHABET) + 1).cast("int"), F.lit(1)), size)]
-    out = None
-    for label, forms in ((True, [F.substring(x, F.lit(1), size) for x in random]), (False, plain)):
-        for form in forms:
-            part = ids.select(form.alias("token"), F.lit(label).alias("random"))
-            out = part if out is None else out.union(part)
-    return out
+    forms = [(F.substring(x, F.lit(1), size), True) for x in random] + [(x, False) for x in plain]
+    return ids.select(F.explode(F.array(*[F.struct(x.alias("token"), F.lit(r).alias("random")) for x, r in forms])).alias("x")).select("x.token", "x.random")
 
 
 def corpus_samples(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = SAMPLE_ROWS) -> DataFrame:
