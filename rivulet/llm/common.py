@@ -17,8 +17,8 @@ from rivulet.session import shared_folder
 #: Bytes of one Arrow batch sent to Python. With two Python workers an executor this bounds what a task holds.
 BATCH_BYTES = 8 << 20
 
-#: Bits of a Bloom filter a key, and of all that one may have (8 MB).
-BLOOM_BITS, BLOOM_MOST = 10, 1 << 26
+#: Bits of a Bloom filter a key, and of all that one may have (8 MB); bytes of a table from which going around a join is worth a second scan.
+BLOOM_BITS, BLOOM_MOST, AROUND = 10, 1 << 26, 64 << 20
 
 #: The white space of the contracts, as a Java/Python character class body.
 SPACE = r"\x20\x09-\x0D"
@@ -55,9 +55,14 @@ def utf8(column: str) -> "F.Column":
     return F.coalesce(F.col(column), F.lit("")).cast("binary")
 
 
+def estimated_bytes(df: DataFrame) -> int:
+    """The optimizer's statistics: file sizes, no job."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def scan_bytes(df: DataFrame, column: str) -> int:
     """Input bytes: the optimizer's statistics (file sizes, no job), or the column's own where those are missing or far too large."""
-    estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    estimate = estimated_bytes(df)
     if estimate < 1 << 42:
         return estimate
     return df.agg(F.sum(F.octet_length(F.col(column).cast("string")).cast("long"))).first()[0] or 0
@@ -73,12 +78,13 @@ def binary_parts(column: pa.Array) -> tuple[memoryview, np.ndarray]:
     return memoryview(values if values is not None else b""), at
 
 
-def maybe_in(keys: DataFrame, column: str, n: int) -> Callable[[Column], Column] | None:
+def maybe_in(keys: DataFrame, column: str, n: int, rows: DataFrame) -> Callable[[Column], Column] | None:
     """A test that is true for every one of the n longs of keys' column and for about one in a hundred others: a Bloom filter of
-    BLOOM_BITS a key. None if that would be over BLOOM_MOST bits: what it should keep out of a shuffle then has to go through it.
+    BLOOM_BITS a key. None if that would be over BLOOM_MOST bits, or if `rows`, which it should keep out of a shuffle, are a small
+    table: they then go through it.
     """
     size = max(1, -(-BLOOM_BITS * n // (1 << 15))) << 15
-    if size > BLOOM_MOST:
+    if size > BLOOM_MOST or estimated_bytes(rows) < AROUND:
         return None
 
     def places(key: Column) -> list[Column]:
@@ -101,6 +107,16 @@ def maybe_in(keys: DataFrame, column: str, n: int) -> Callable[[Column], Column]
     return lambda key: test(*places(key))
 
 
+def without(rows: DataFrame, away: DataFrame, key: str) -> DataFrame:
+    """The rows whose key isn't in away (one column, written, distinct); rows without key stay. Rows that a filter of the keys leaves
+    out go around the join; where there are too many keys for a filter, all go through it."""
+    maybe = maybe_in(away.select(F.xxhash64(key).alias("h")), "h", away.count(), rows)
+    if maybe is None:
+        return rows.join(away, key, "left_anti").select(rows.columns)
+    known = maybe(F.xxhash64(key))
+    return rows.where(~known).unionByName(rows.where(known).join(away, key, "left_anti").select(rows.columns))
+
+
 def tree_sum(partials: DataFrame, key: str, vector: str, parts: int) -> DataFrame:
     """Sum float64 vectors (packed as binary) by key; parts: about how many rows a key has.
 

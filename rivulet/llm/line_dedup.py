@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rivulet.llm.common import BATCH_BYTES, limit_batches, scan_bytes, utf8, written
+from rivulet.llm.common import BATCH_BYTES, limit_batches, maybe_in, scan_bytes, utf8, written
 
 STRIP = b" \t\n\x0b\x0c\r"
 #: Input bytes a shard of the index stands for, and probes that one task answers against a copy of a shard.
@@ -242,8 +242,14 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     docs = docs.drop(out)
     key, mark, text, lost = f"__{out}_id", f"__{out}_mark", f"__{out}_text", f"__{out}_drops"
     own = docs.withColumns({key: owner_of(id_col), mark: mark_of(text_col)})
-    work = own.join(drops.select(F.col("id").alias(key), F.col("mark").alias(mark), F.col("drops").alias(lost)), [key, mark], "left").drop(key, mark)
-    work = work.withColumn(text, utf8(text_col)).withColumn(lost, F.coalesce(lost, F.array().cast("array<binary>")))
+    verdicts, none = drops.select(F.col("id").alias(key), F.col("mark").alias(mark), F.col("drops").alias(lost)), F.array().cast("array<binary>")
+    maybe = maybe_in(drops.select(F.xxhash64("id", "mark").alias("h")), "h", drops.count(), docs)
+    if maybe is None:
+        work = own.join(verdicts, [key, mark], "left")
+    else:  # documents that lose no line go around the join
+        known = maybe(F.xxhash64(key, mark))
+        work = own.where(known).join(verdicts, [key, mark], "left").unionByName(own.where(~known).withColumn(lost, none))
+    work = work.select(*docs.columns, F.coalesce(lost, none).alias(lost), utf8(text_col).alias(text))
     columns = docs.columns
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

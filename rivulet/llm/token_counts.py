@@ -115,10 +115,10 @@ def chosen(texts: DataFrame, judged: DataFrame, distinct: int, missing: int, alo
     """
     misses, h = judged.where("missing"), F.xxhash64("digest")
     joined = lambda some: some.join(misses, ["digest", "mark"], "left_semi").select("digest", "t")
-    few = maybe_in(misses, "h", missing) if 2 * missing < distinct else None
+    few = maybe_in(misses, "h", missing, texts) if 2 * missing < distinct else None
     if few is not None:
         return joined(texts.where(few(h)))
-    others = maybe_in(judged.where("NOT missing OR rows > 1"), "h", distinct - alone)
+    others = maybe_in(judged.where("NOT missing OR rows > 1"), "h", distinct - alone, texts)
     if others is not None:
         return texts.where(~others(h)).select("digest", "t").union(joined(texts.where(others(h))))
     return joined(texts)

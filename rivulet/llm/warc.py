@@ -115,7 +115,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str, url_col: str, pay
     marks = written(rows.select("page", "proof", "bytes"), "warc-marks")
     # written, so that the joins have an exchange of their own on this side and Spark can split a common payload's partition
     keepers = written(keepers_of(marks, least_revisit), "warc-keepers")
-    maybe = maybe_in(keepers.select(F.xxhash64("proof").alias("h")), "h", keepers.count())
+    maybe = maybe_in(keepers.select(F.xxhash64("proof").alias("h")), "h", keepers.count(), pages)
     same = [F.col("page").cast("string").alias("page"), "uri", "row", "proof", "bytes", "sha", "keeper", "several"]
     response = F.col("keeper").isNull() | F.col("page").cast("string").eqNullSafe(F.col("keeper"))
 
