@@ -406,18 +406,18 @@ def set_prints(docs: DataFrame, id_col: str, text_col: str, words_in_shingle: in
     return docs.select(F.col(id_col).alias("id"), *text_marks(text_col), utf8(text_col).alias("t")).mapInArrow(hashed, f"id {kind}, h1 long, h2 long, fp binary, n long, print binary")
 
 
-def shingle_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, words_in_shingle: int) -> DataFrame:
-    """wanted without id, h1 and h2, and with shingles: the sorted distinct hashes, packed. wanted: node, and id, h1 and h2 of a row with its text.
+def shingle_sets(docs: DataFrame, wanted: DataFrame, text_col: str, words_in_shingle: int) -> DataFrame:
+    """wanted without h1 and h2, and with shingles: the sorted distinct hashes, packed. wanted: node, and h1 and h2 of its text.
 
-    Only texts that a filter of h1 lets pass are shuffled, which is all if there are too many nodes for one.
+    Only texts that a filter of h1 lets pass are shuffled, which is all if there are too many nodes for one, and once: copies are
+    left out by the same keys that the join has.
     """
-    texts = docs.select(F.col(id_col).alias("id"), *text_marks(text_col), utf8(text_col).alias("t"))
-    maybe = maybe_in(wanted, "h1", wanted.count())
+    texts = docs.select(*text_marks(text_col), utf8(text_col).alias("t"))
+    maybe = maybe_in(wanted, "h1", wanted.count(), docs)
     if maybe is not None:
         texts = texts.where(maybe(F.col("h1")))
-    same = (texts["h1"] == wanted["h1"]) & (texts["h2"] == wanted["h2"]) & texts["id"].eqNullSafe(wanted["id"])
-    kept = [c for c in wanted.columns if c not in ("id", "h1", "h2")]
-    found = texts.join(wanted, same).select(*kept, "t").dropDuplicates(["node"])
+    kept = [c for c in wanted.columns if c not in ("h1", "h2")]
+    found = texts.dropDuplicates(["h1", "h2"]).join(wanted, ["h1", "h2"]).select(*kept, "t")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -617,21 +617,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     kept for all.
     """
     prints = written(set_prints(docs, id_col, text_col, words_in_shingle).withColumn("row", F.monotonically_increasing_id()), "prints")
-    distinct = written(prints.groupBy("fp").agg(F.min("id").alias("least"), F.min("row").alias("node")), "distinct")
+    distinct = prints.groupBy("fp").agg(F.min("id").alias("least"), F.min(F.struct("row", "n", "print", "h1", "h2")).alias("one"))
+    distinct = written(distinct.select("fp", "least", F.col("one.row").alias("node"), "one.n", "one.print", "one.h1", "one.h2"), "distinct")
     nodes = distinct.count()
     plan = plan_blocks(nodes, similarity)
-    own = prints.where("n > 0").select(F.col("row").alias("node"), "n", "print").join(distinct.select("node"), "node", "left_semi")
+    own = distinct.where("n > 0").select("node", "n", "print")
     shared = written(shared_blocks(own, nodes, plan, similarity), "shared")
     cuts = shared.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / PAIRED).alias("cuts")).where("cuts > 1")
     buckets = written(shared.join(own, "node").join(cuts, "key", "left").withColumn("cuts", F.coalesce("cuts", F.lit(1))), "buckets")
     stars = written(nearest(buckets.withColumn("root", F.col("node")), 0, similarity, plan.most), "stars")
     first = stars.select(F.greatest("node", "other").alias("u"), F.least("node", "other").alias("v")).distinct()
     clusters = components(first).withColumnRenamed("u", "node")
-    rows = prints.select(F.col("row").alias("node"), "n", "id", "h1", "h2")
+    rows = distinct.select("node", "n", "h1", "h2")
     members = written(rows.join(buckets.select("node").distinct(), "node").join(clusters, "node", "left").withColumn("root", F.coalesce("root", "node")), "members")
     sizes = members.groupBy("root").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / BLOCK_SHINGLES)).alias("blocks"))
-    wanted = written(members.join(sizes, "root").withColumn("block", F.pmod(F.xxhash64("node"), "blocks")).select("node", "root", "block", "blocks", "n", "id", "h1", "h2"), "wanted")
-    sets = written(shingle_sets(docs, wanted, id_col, text_col, words_in_shingle), "sets")
+    wanted = written(members.join(sizes, "root").withColumn("block", F.pmod(F.xxhash64("node"), "blocks")).select("node", "root", "block", "blocks", "n", "h1", "h2"), "wanted")
+    sets = written(shingle_sets(docs, wanted, text_col, words_in_shingle), "sets")
     groups = 1 + (members.agg(F.sum("n")).first()[0] or 0) // BLOCK_SHINGLES
 
     linked = written(similar(first, sets, groups, similarity), "links")
