@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rivulet.llm import decontaminate, line_dedup, mixing, quality, simhash
-from rivulet.llm.common import table, written
+from rivulet.llm.common import table, without, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -40,8 +40,8 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Texts without words are one group. Rows that share an id stay or go together; rows without id stay.
     """
     groups = simhash.near_duplicates(docs, words_in_shingle=5, similarity=0.8)
-    away = groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id")
-    return docs.select(COLUMNS).join(away, "doc_id", "left_anti").select(COLUMNS)
+    away = written(groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct(), "away")
+    return without(docs.select(COLUMNS), away, "doc_id")
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
