@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 import brute
 
-from rivulet.llm import decontaminate, exact_dedup, language_id, line_dedup, mixing, quality, secrets, simhash, token_counts, warc
+from rivulet.llm import common, decontaminate, exact_dedup, language_id, line_dedup, mixing, quality, secrets, simhash, token_counts, warc
 
 KIND = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 LONG = " ".join(f"word{i % 977} other{i}" for i in range(60_000))
@@ -72,7 +72,20 @@ def lines_of(df):
     return line_dedup.dedup_lines(df).select("doc_id", "line_dedup.n_lines", "line_dedup.n_dropped", F.sha2(F.col("line_dedup.text").cast("binary"), 256)).collect()
 
 
-def test_line_dedup(docs, none, rows):
+@pytest.mark.parametrize("most", [common.BLOOM_MOST, 0])
+def test_without(spark, monkeypatch, most):
+    monkeypatch.setattr(common, "BLOOM_MOST", most)
+    monkeypatch.setattr(common, "AROUND", 0)
+    rows = spark.createDataFrame([(k if k % 7 else None, k) for k in range(300)], "doc_id bigint, h int")
+    away = common.written(spark.range(0, 300, 3).withColumnRenamed("id", "doc_id"), "away")
+    got = common.without(rows, away, "doc_id")
+    assert got.columns == rows.columns and sorted(r.h for r in got.collect()) == [k for k in range(300) if k % 7 == 0 or k % 3]
+
+
+@pytest.mark.parametrize("most", [common.BLOOM_MOST, 0])
+def test_line_dedup(docs, none, rows, monkeypatch, most):
+    monkeypatch.setattr(common, "BLOOM_MOST", most)
+    monkeypatch.setattr(common, "AROUND", 0)
     same(lines_of(docs), brute.lines(pairs(rows)))
     assert lines_of(none) == []
     kept = line_dedup.dedup_lines(docs)
@@ -154,7 +167,8 @@ def test_warc_chunks(spark, tmp_path):
     assert warc.opened(path)[0].get_file_info(warc.opened(path)[1]).size < len(text)
 
 
-def test_warc_common_payload(spark, monkeypatch):
+@pytest.mark.parametrize("most", [common.BLOOM_MOST, 0])
+def test_warc_common_payload(spark, monkeypatch, most):
     """A payload that nearly all pages have, of several chunks: tasks share its records, and revisits move no chunks."""
     rows = [(k, "u", "x" * 5000 if k % 10 else f"own {k}") for k in range(300)]
     df = spark.createDataFrame(rows, PAGES).repartition(6)
@@ -166,6 +180,8 @@ def test_warc_common_payload(spark, monkeypatch):
         return real(self, f, schema, *rest)
 
     monkeypatch.setattr(type(df), "mapInArrow", watched)
+    monkeypatch.setattr(common, "BLOOM_MOST", most)
+    monkeypatch.setattr(common, "AROUND", 0)
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
         same(pages_of(df, chunk_bytes=1000), plain_pages(rows))
@@ -192,7 +208,7 @@ def test_warc_record_ids(spark, tmp_path):
 TOKENIZER = pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")
 
 
-def test_token_counts(spark, docs, none, rows, tmp_path):
+def test_token_counts(spark, docs, none, rows, tmp_path, monkeypatch):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(TOKENIZER)
@@ -202,6 +218,7 @@ def test_token_counts(spark, docs, none, rows, tmp_path):
     want = [(d, len((x or "").encode()), n := len(t.encode(x or "", add_special_tokens=False).ids), n > 2048) for d, x in pairs(rows) + odd]
     df = docs.unionByName(spark.createDataFrame(odd, "doc_id bigint, text string"), allowMissingColumns=True)
     cache = str(tmp_path / "cache")
+    monkeypatch.setattr(common, "AROUND", 0)
     same(token_counts.token_counts(df, TOKENIZER, cache).collect(), want)
     before = token_counts.read_cache(spark, cache).count()
     stored = {bytes(r.digest) for r in token_counts.read_cache(spark, cache).collect()}
@@ -210,6 +227,9 @@ def test_token_counts(spark, docs, none, rows, tmp_path):
     assert stored == {hashlib.sha256((x or "").strip(" \t\n\r\x0b\x0c").encode()).digest() for _, x in pairs(rows) + odd}
     same(token_counts.token_counts(df, TOKENIZER, by_word=False).collect(), want)
     assert token_counts.token_counts(none, TOKENIZER).collect() == []
+    with monkeypatch.context() as m:  # no filter
+        m.setattr(common, "BLOOM_MOST", 0)
+        same(token_counts.token_counts(df, TOKENIZER).collect(), want)
     more = df.unionByName(spark.createDataFrame([(k, f"another text of number {k}") for k in range(900, 905)], "doc_id bigint, text string"), allowMissingColumns=True)
     extra = [(k, len(f"another text of number {k}"), len(t.encode(f"another text of number {k}", add_special_tokens=False).ids), False) for k in range(900, 905)]
     same(token_counts.token_counts(more, TOKENIZER, cache).collect(), want + extra)  # few misses: a filter keeps the others out
@@ -338,9 +358,11 @@ def test_components_of_a_path(spark, monkeypatch, few):
     assert got == {k: 0 for k in range(1, 61)} | {101: 100, 102: 100}
 
 
-def test_near_duplicates(docs, none, rows):
+def test_near_duplicates(docs, none, rows, monkeypatch):
     """Similar texts are joined, others aren't, as a comparison of all pairs says."""
     same(simhash.near_duplicates(docs).collect(), brute.near(pairs(rows), 0.8))
+    monkeypatch.setattr(common, "AROUND", 0)
+    same(simhash.near_duplicates(docs).collect(), brute.near(pairs(rows), 0.8))
     assert simhash.near_duplicates(none).collect() == []
 
 
@@ -436,23 +458,22 @@ def test_steps_of_sizes():
     assert (steps - steps[np.ceil(0.8 * n).astype(int) - 1]).max() <= simhash.STEPS and steps.max() < 255
 
 
-def test_maybe_in(spark):
+def test_maybe_in(spark, monkeypatch):
     """A filter lets all keys pass and few others; there is none for too many keys."""
-    from rivulet.llm import common
-
     keys = spark.range(0, 3000, 3).selectExpr("xxhash64(id) AS k")
-    maybe = common.maybe_in(keys, "k", 1000)
+    monkeypatch.setattr(common, "AROUND", 0)
+    maybe = common.maybe_in(keys, "k", 1000, keys)
     passed = {r.id for r in spark.range(9000).where(maybe(F.xxhash64("id"))).collect()}
     assert passed >= set(range(0, 3000, 3)) and len(passed) < 1200
-    assert common.maybe_in(keys, "k", 10**9) is None
-    none = common.maybe_in(keys.limit(0), "k", 0)
+    assert common.maybe_in(keys, "k", 10**9, keys) is None
+    none = common.maybe_in(keys.limit(0), "k", 0, keys)
     assert spark.range(100).where(none(F.xxhash64("id"))).count() == 0
 
 
 def test_near_duplicates_in_a_large_bucket(spark, monkeypatch):
     """Many edits of one text: all links of a large bucket are found, in pieces and by components too."""
-    for name in ("PAIRED", "BLOCK", "SHIFTED", "WINDOW"):
-        monkeypatch.setattr(simhash, name, 16 if name != "WINDOW" else 3)
+    for name in ("PAIRED", "BLOCK", "SHIFTED", "WINDOW", "SPLIT", "SEEN"):
+        monkeypatch.setattr(simhash, name, {"WINDOW": 3, "SEEN": 2}.get(name, 16))
     r, base, texts_ = random.Random(3), words(9, 150).split(), []
     for k in range(90):
         copy = list(base)
