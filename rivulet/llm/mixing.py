@@ -25,7 +25,7 @@ BLOCK, STEP, EPS = 1_000, 4_096, 1e-9
 
 
 def targets(totals: DataFrame, share: float, weights: tuple[float, ...], ceiling: float) -> DataFrame:
-    """totals (source, source_size and others) with rank and target.
+    """totals (source, source_size and others), written, with rank and target.
 
     The weights repeat over the sources in order of code points, null last. A source's target is its weight times a unit, or
     `ceiling` times its size if that is less; the unit is raised until the targets make up `share` of all sizes, or none is
@@ -33,17 +33,16 @@ def targets(totals: DataFrame, share: float, weights: tuple[float, ...], ceiling
     """
     ranked, _ = numbered(totals, ["source"], "rank")
     weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("rank") % len(weights) + 1).cast("int"))
-    ranked = written(ranked.withColumn("weight", weight), "mix-ranks")
+    ranked = written(ranked.withColumn("weight", weight), "mix-sources")
     most = F.col("source_size") * ceiling
-    first = ranked.agg(F.sum("source_size").alias("size"), F.sum("weight").alias("weight")).first()
-    whole, unit, full = share * (first["size"] or 0), share * (first["size"] or 0) / (first["weight"] or 1), 0
+    whole = unit = full = None
     while True:
-        over = F.lit(unit) * F.col("weight") >= most
-        now = ranked.agg(F.sum(F.when(over, F.col("source_size"))).alias("size"), F.sum(F.when(~over, F.col("weight"))).alias("weight"), F.count_if(over).alias("n")).first()
+        over = F.lit(False) if unit is None else F.lit(unit) * F.col("weight") >= most
+        now = ranked.agg(F.sum(F.when(over, F.col("source_size"))).alias("size"), F.sum(F.when(~over, F.col("weight"))).alias("weight"), F.count_if(over).alias("n"), F.sum("source_size").alias("all")).first()
+        whole = share * (now["all"] or 0) if whole is None else whole
         if now["n"] == full or not now["weight"]:
-            break
-        unit, full = max(0.0, whole - ceiling * (now["size"] or 0)) / now["weight"], now["n"]
-    return ranked.withColumn("target", F.when(over, most).otherwise(F.lit(unit) * F.col("weight"))).drop("weight")
+            return ranked.withColumn("target", F.when(over, most).otherwise(F.lit(unit or 0.0) * F.col("weight"))).drop("weight")
+        unit, full = max(0.0, whole - ceiling * (now["size"] or 0)) / now["weight"], now["n"] if unit is not None else None
 
 
 def fly(pi: np.ndarray, size: np.ndarray, rng: random.Random) -> np.ndarray:
@@ -114,11 +113,11 @@ def mix(docs: DataFrame, share: float = 1.5, weights: tuple[float, ...] = (5.0,
     """
     spark = docs.sparkSession
     limit_batches(spark)
-    sized = written(docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), words(text_col).alias("size"), F.xxhash64(text_col).alias("h")), "mix-sizes")
+    sized = written(docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), words(text_col).alias("size"), F.xxhash64(text_col).alias("h")).hint("rebalance"), "mix-sizes")  # small rows: not a file a task
     totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     plan = targets(totals, share, weights, ceiling).withColumn("whole", F.floor(rate + EPS).cast("int")).withColumn("pi", F.greatest(F.lit(0.0), rate - F.col("whole")))
-    sources = written(plan.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).drop("n"), "mix-sources")
+    sources = plan.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).drop("n")
     alike = sized.groupBy("id", "source", "size", "h").agg(F.count(F.lit(1)).alias("m"))
     # rows that can't be told apart get numbers, in two steps: none makes an array of all of them
     alike = alike.withColumn("high", F.explode(F.sequence(F.lit(0), F.expr(f"(m - 1) div {STEP}"))))
